@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +69,31 @@ def blocks(batches: Iterable[pa.RecordBatch], text: int | str, limit: int = BLOC
             yield batch.slice(start)
 
 
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _inverse_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    p = np.full(n, _PRIME)
+    q = np.full(n, np.uint64(pow(int(_PRIME), -1, 1 << 64)))
+    p[:1] = q[:1] = 1
+    return np.multiply.accumulate(p), np.multiply.accumulate(q)
+
+
+_POWERS: tuple[np.ndarray, np.ndarray] = _inverse_powers(1 << 16)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial hash (mod 2**64) of each span of bytes, from one prefix sum."""
+    global _POWERS
+    if len(data) > len(_POWERS[0]):
+        _POWERS = _inverse_powers(1 << int(len(data)).bit_length())
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[0][: len(data)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * _POWERS[1][starts]
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _changed(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
     return row["n"], row["x"] or 0

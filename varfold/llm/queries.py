@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from varfold.llm.decontaminate import op10_decontaminate
+from varfold.llm.quality import op9_quality
+from varfold.llm.secrets import op4_secrets
+from varfold.llm.sharding import op7_sharding
 from varfold.llm.simhash import op1_simhash
+from varfold.llm.toxicity import op5_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op4_secrets": op4_secrets,
+    "op5_toxicity": op5_toxicity,
+    "op7_sharding": op7_sharding,
+    "op9_quality": op9_quality,
+    "op10_decontaminate": op10_decontaminate,
+}
 
 ORACLE_SQL: dict[str, str] = {}
