@@ -18,6 +18,7 @@ ignored by ``scan_secrets`` and kept by ``redact_secrets``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,40 +74,45 @@ def _if_found(text: Column, probe: str, spans: Column) -> Column:
     return F.when(text.rlike(probe), spans).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _dense(candidate: Column, alphabet: str, bits: float, digits: int, lower: int, upper: int, letters: int) -> Column:
     """struct<first,last> (code points in the candidate) of the windows that are dense enough; nulls if there are none."""
-    chars = F.split(candidate, "")
     part = F.array(*[F.lit(v) for v in _PART])
     most = int(WINDOW * (math.log2(WINDOW) - bits) * _SCALE)
-
-    def of(names: str, char: Column) -> Column:
-        return (F.instr(F.lit(names), char) > 0).cast("int") if names else F.lit(0)
-
-    def step(s: Column, i: Column) -> Column:
-        char, old = F.get(chars, i), F.when(i >= WINDOW, F.get(chars, i - WINDOW)).otherwise("")
-        into = F.instr(F.lit(alphabet), char) - 1
-        out = F.when(i >= WINDOW, F.instr(F.lit(alphabet), old) - 1).otherwise(-1)
-        had, lost = F.get(s["counts"], into), F.when(out >= 0, F.get(s["counts"], out) + (into == out).cast("int")).otherwise(1)
-        total = s["total"] + F.get(part, had + 1) - F.get(part, had) + F.get(part, lost - 1) - F.get(part, lost)
-        counts = F.transform(s["counts"], lambda c, j: c + (j == into).cast("int") - (j == out).cast("int"))
-        mix = {k: s[k] + of(v, char) - F.when(i >= WINDOW, of(v, old)).otherwise(0) for k, v in (("d", _DIGITS), ("l", _LOWER), ("u", _UPPER))}
-        good = (i >= WINDOW - 1) & (total <= most) & (mix["d"] >= digits) & (mix["l"] >= lower) & (mix["u"] >= upper) & (mix["l"] + mix["u"] >= letters)
-        return F.struct(
-            counts.alias("counts"),
-            total.alias("total"),
-            *[v.alias(k) for k, v in mix.items()],
-            F.coalesce(s["first"], F.when(good, i - WINDOW + 1)).alias("first"),
-            F.when(good, i + 1).otherwise(s["last"]).alias("last"),
+    kinds = F.array(*[F.lit(0 if c in _DIGITS else 1 if c in _LOWER else 2 if c in _UPPER else 3) for c in alphabet])
+
+    def move(s: Column, m: Column) -> Column:
+        """The state after character ``m.into`` has come in and, from the second window on, ``m.out`` has gone."""
+        had, lost = F.get(s["counts"], m["into"]), F.get(s["counts"], m["out"]) + (m["into"] == m["out"]).cast("int")
+        gone = F.coalesce(F.get(part, lost - 1) - F.get(part, lost), F.lit(0))
+        total = s["total"] + F.get(part, had + 1) - F.get(part, had) + gone
+        counts = F.transform(s["counts"], lambda c, j: c + (j == m["into"]).cast("int") - (j == m["out"]).cast("int"))
+        mix = F.transform(s["mix"], lambda c, j: c + (F.get(kinds, m["into"]) == j).cast("int") - F.coalesce((F.get(kinds, m["out"]) == j).cast("int"), F.lit(0)))
+        return F.struct(counts.alias("counts"), total.alias("total"), mix.alias("mix"), s["first"].alias("first"), s["last"].alias("last"))
+
+    def judge(s: Column, i: Column) -> Column:
+        d, lo, up = (F.get(s["mix"], F.lit(k)) for k in range(3))
+        good = (i >= WINDOW - 1) & (s["total"] <= most) & (d >= digits) & (lo >= lower) & (up >= upper) & (lo + up >= letters)
+        first, last = F.coalesce(s["first"], F.when(good, i - WINDOW + 1)), F.when(good, i + 1).otherwise(s["last"])
+        return F.struct(s["counts"].alias("counts"), s["total"].alias("total"), s["mix"].alias("mix"), first.alias("first"), last.alias("last"))
+
+    def slide(at: Column) -> Column:
+        out_of = lambda i: F.when(i >= WINDOW, F.get(at, i - WINDOW)).otherwise(-1)
+        step = lambda s, i: _let(_let(F.struct(F.get(at, i).alias("into"), out_of(i).alias("out")), lambda m: move(s, m)), lambda t: judge(t, i))
+        start = F.struct(
+            F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
+            F.lit(0).alias("total"),
+            F.array_repeat(F.lit(0), 3).alias("mix"),
+            F.lit(None).cast("int").alias("first"),
+            F.lit(None).cast("int").alias("last"),
         )
+        return F.aggregate(F.sequence(F.lit(0), F.size(at) - 1), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
-        F.lit(0).alias("total"),
-        *[F.lit(0).alias(k) for k in "dlu"],
-        F.lit(None).cast("int").alias("first"),
-        F.lit(None).cast("int").alias("last"),
-    )
-    return F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    return _let(F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c) - 1), slide)
 
 
 def _entropy_spans(text: Column, name: str) -> Column:
@@ -169,5 +175,5 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
     found = scan_secrets(table(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    count = [F.expr(f"cast(size(filter(base, s -> s.rank = {k})) as long)").alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select(F.col("id").alias("doc_id"), *count, F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))

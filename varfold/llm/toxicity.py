@@ -28,8 +28,8 @@ from varfold.llm.common import SharedTable, blocks, crc_fold, span_hashes, table
 
 BITS = 18
 #: Labelled rows learnt from at most, and updates made in all.
-SAMPLE, EXAMPLES = 40_000, 40_000
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.5, 0.5
+SAMPLE, EXAMPLES = 40_000, 16_000
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.5
 
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True
