@@ -56,15 +56,19 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.frombuffer(raw, ">u8").astype(np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The 64 bits that are set in over half the hashes, as a signed long."""
-    if not len(hashes):
-        return 0
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), COUNT_ROWS):
-        part = hashes[at : at + COUNT_ROWS].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+def majority(hashes: np.ndarray, width: int = 1) -> np.ndarray:
+    """``width`` times 64 bits that are set in over half the hashes, as signed longs; all after the first from remixed hashes."""
+    out = np.zeros(width, np.int64)
+    for k in range(width if len(hashes) else 0):
+        if k:
+            hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            hashes = hashes ^ (hashes >> np.uint64(32))
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), COUNT_ROWS):
+            part = hashes[at : at + COUNT_ROWS].astype("<u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int32)
+        out[k] = np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0]
+    return out
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -78,25 +82,31 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
-def _fingerprinter(words: int, bands: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _fingerprinter(words: int, width: int, bands: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 1):
             prints, keys = [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, words)
-                prints.append(majority(hashes))
+                prints.append(majority(hashes, width))
                 if bands:
                     keys.append(band_keys(hashes))
-            out = [batch.column(0), pa.array(prints, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(keys, pa.list_(pa.int64()))] if bands else out, ["id", "fp", "keys"][: 2 + bands])
+            out = [batch.column(0), *(pa.array([p[k] for p in prints], pa.int64()) for k in range(width))]
+            out += [pa.array(keys, pa.list_(pa.int64()))] * bands
+            yield pa.RecordBatch.from_arrays(out, ["id", *(f"fp{k}" for k in range(width)), "keys"][: len(out)])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bands: bool = False) -> DataFrame:
-    """(id, fp) of each document, and its min-hash band keys if asked for. Whole texts, one pass, no shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, width: int = 1, bands: bool = False) -> DataFrame:
+    """(id, fp, fp0 ...) of each document, and its min-hash band keys if asked for. Whole texts, one pass, no shuffle.
+
+    fp0 and on are the fingerprint's ``width`` longs; fp stands for all of them (it is fp0 if there is one, else their hash).
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprinter(words, bands), "id long, fp long" + ", keys array<long>" * bands)
+    longs = [f"fp{k}" for k in range(width)]
+    found = rows.mapInArrow(_fingerprinter(words, width, bands), "id long, " + ", ".join(f"{c} long" for c in longs) + ", keys array<long>" * bands)
+    return found.select("id", (F.xxhash64(*longs) if width > 1 else F.col("fp0")).alias("fp"), *longs, *["keys"] * bands)
 
 
 def counts_of(fp: np.ndarray) -> np.ndarray:
@@ -111,28 +121,28 @@ def manhattan(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return np.bitwise_count(low | high) + np.bitwise_count(high & ~low)
 
 
-def _forest(fp: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _near(counts: np.ndarray, fp: np.ndarray, c: np.ndarray, v: np.ndarray, most: int) -> np.ndarray:
+    """Rows of ``fp`` within ``most`` bits of ``v``: those within the Manhattan bound, verified exactly."""
+    near = np.flatnonzero(manhattan(counts, c).sum(1, dtype=np.int64) <= most)
+    return near[np.bitwise_count(fp[near] ^ v).sum(1, dtype=np.int64) <= most]
+
+
+def _forest(node: np.ndarray, fp: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Edges (root, member) of a spanning forest of the links among distinct fingerprints."""
-    left, left_counts = fp, counts_of(fp)
+    left, counts = np.arange(len(node)), counts_of(fp)
     roots, members = [], []
     while len(left) > 1:
-        root, front = left[0], [left[:1]]
-        left, left_counts = left[1:], left_counts[1:]
+        root, front = left[0], [left[0]]
+        left = left[1:]
         while front and len(left):
-            reached = front.pop()
-            for v, c in zip(reached, counts_of(reached), strict=True):
-                near = np.flatnonzero(manhattan(left_counts, c) <= most)
-                near = near[np.bitwise_count(left[near] ^ v) <= most]
-                if len(near):
-                    hit = left[near]
-                    roots.append(np.full(len(hit), root))
-                    members.append(hit)
-                    front.append(hit)
-                    rest = np.ones(len(left), bool)
-                    rest[near] = False
-                    left, left_counts = left[rest], left_counts[rest]
-                    if not len(left):
-                        break
+            v = front.pop()
+            near = _near(counts[left], fp[left], counts[v], fp[v], most)
+            if len(near):
+                hit = left[near]
+                roots.append(np.full(len(hit), node[root]))
+                members.append(node[hit])
+                front += hit.tolist()
+                left = np.delete(left, near)
     return roots, members
 
 
@@ -140,9 +150,9 @@ def _forest(fp: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarra
 _SMALL = 12
 
 
-def _links(cells: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(cells: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal cells."""
-    us, vs = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     if len(cells) > 1:
         bounds = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]).any(1), [True])))
         sizes = np.diff(bounds)
@@ -153,45 +163,46 @@ def _links(cells: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np
             at = np.flatnonzero(run_at[shift:] == run_at[:-shift])
             if not len(at):
                 break
-            at = at[manhattan(counts[at], counts[at + shift]) <= most]
-            a, b = fp[small[at]], fp[small[at + shift]]
-            near = (np.bitwise_count(a ^ b) <= most) & (a != b)
-            us.append(a[near])
-            vs.append(b[near])
+            at = at[manhattan(counts[at], counts[at + shift]).sum(1, dtype=np.int64) <= most]
+            a, b = small[at], small[at + shift]
+            near = (np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64) <= most) & (node[a] != node[b])
+            us.append(node[a][near])
+            vs.append(node[b][near])
         for k in np.flatnonzero(sizes > _SMALL):
-            roots, members = _forest(np.unique(fp[bounds[k] : bounds[k + 1]]), most)
+            mine, at = np.unique(node[bounds[k] : bounds[k + 1]], return_index=True)
+            roots, members = _forest(mine, fp[bounds[k] + at], most)
             us += roots
             vs += members
     return np.concatenate(us), np.concatenate(vs)
 
 
 def _linker(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (cell, pair, fp) sorted by cell and pair come in; links (u, v) go out. Holds one cell's unit at a time."""
+    """Rows (cell, pair, fp, fp0 ...) sorted by cell and pair come in; links (u, v) go out. Holds one cell's unit at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_cells, held_fp = np.empty((0, 2), np.int64), np.empty(0, np.uint64)
+        held = None
 
-        def out(cells: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            u, v = _links(cells, fp, most)
+        def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            u, v = _links(rows[:, :2], rows[:, 2], rows[:, 3:].view(np.uint64), most)
             if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for batch in batches:
-            cell, pair, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            held_cells = np.concatenate((held_cells, np.stack((cell, pair.astype(np.int64)), 1)))
-            held_fp = np.concatenate((held_fp, fp.view(np.uint64)))
-            if not len(held_fp):
+            fresh = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
+            held = fresh if held is None else np.concatenate((held, fresh))
+            if not len(held):
                 continue
-            whole = int(np.flatnonzero((held_cells != held_cells[-1]).any(1)).max(initial=-1)) + 1
-            yield from out(held_cells[:whole], held_fp[:whole])
-            held_cells, held_fp = held_cells[whole:], held_fp[whole:]
-        yield from out(held_cells, held_fp)
+            whole = int(np.flatnonzero((held[:, :2] != held[-1, :2]).any(1)).max(initial=-1)) + 1
+            yield from out(held[:whole])
+            held = held[whole:]
+        if held is not None:
+            yield from out(held)
 
     return run
 
 
 def grid_cells(nodes: DataFrame, max_distance: int) -> DataFrame:
-    """(cell, fp) of each fingerprint ``fp``: one cell for each choice of blocks that a link may leave untouched."""
+    """(cell, fp, fp0) of each fingerprint ``fp``: one cell for each choice of blocks that a link may leave untouched."""
     if not 0 <= max_distance < GRID_BLOCKS:
         raise ValueError(f"the grid has {GRID_BLOCKS} blocks, so it serves distances below {GRID_BLOCKS}")
     wide = 64 // GRID_BLOCKS
@@ -202,18 +213,22 @@ def grid_cells(nodes: DataFrame, max_distance: int) -> DataFrame:
     counts = even.bitwiseXOR(odd).bitwiseOR(F.shiftleft(even.bitwiseAND(odd), 1))
     keyed = nodes.select("fp", counts.alias("counts"))
     cells = F.array(*[F.xxhash64(F.lit(i), F.col("counts").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    return keyed.select(F.explode(cells).alias("cell"), "fp")
+    return keyed.select(F.explode(cells).alias("cell"), "fp", F.col("fp").alias("fp0"))
 
 
 def links(cells: DataFrame, max_distance: int) -> DataFrame:
-    """Links (u, v) among fingerprints that share a cell: enough of them to give the same components as all do."""
+    """Links (u, v) among fingerprints that share a cell: enough of them to give the same components as all do.
+
+    ``cells`` has cell, fp (a node's key) and fp0 ... (its longs).
+    """
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
     hot = SharedTable(sizes.select("cell", F.ceil(F.col("n") / (CELL_ROWS // 2)).cast("int").alias("chunks")), "hot-cells")
     k = F.col("chunks")
     mine = F.pmod(F.xxhash64("fp"), k).cast("int")
     others = F.transform(F.array_except(F.sequence(F.lit(0), k - 1), F.array(mine)), lambda o: F.least(o, mine) * k + F.greatest(o, mine))
     pairs = F.when(k.isNull(), F.array(F.lit(0))).otherwise(others)
-    spread = cells.join(hot.df, "cell", "left").select("cell", F.explode(pairs).alias("pair"), "fp")
+    longs = [c for c in cells.columns if c not in ("cell", "fp")]
+    spread = cells.join(hot.df, "cell", "left").select("cell", F.explode(pairs).alias("pair"), "fp", *longs)
     dealt = spread.repartition(F.col("cell"), F.col("pair")).sortWithinPartitions("cell", "pair")
     return dealt.mapInArrow(_linker(max_distance), "u long, v long")
 
@@ -230,22 +245,24 @@ def assign_components(prints: DataFrame, edges: DataFrame) -> DataFrame:
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_distance: int = 4) -> DataFrame:
     """One row for each row of ``docs``: (id, fp, component_id), linking fingerprints at ``max_distance`` bits or fewer."""
-    prints = SharedTable(fingerprints(docs, id_col, text_col, words), "prints").df
+    prints = SharedTable(fingerprints(docs, id_col, text_col, words).select("id", "fp"), "prints").df
     cells = grid_cells(prints.select("fp").distinct(), max_distance)
     return assign_components(prints, links(cells, max_distance))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, fp, component_id) where documents of a SimHash similarity (1 - bits / 64) of ``similarity`` or more are linked.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
+    """(id, fp, component_id) where documents of a SimHash similarity (1 - bits / all bits) of ``similarity`` or more are linked.
 
-    At 0.8 this allows 12 of 64 bits. A grid of counts can't separate fingerprints at that radius (a choice of blocks
-    that 12 bits leave untouched has too few counts left), and by chance alone 2 of 10 million unlike pairs come that
-    near. So a pair must also meet in a band of min-hashes over its shingles; in such cells the Manhattan bound and
-    the exact Hamming test apply as in the grid, and large cells are cut in the same way.
+    Fingerprints have ``width`` times 64 bits here: at 64 bits the share of differing bits scatters so much that pairs
+    well below the threshold pass it and others well above don't; at 256 that scatter is half as wide. At 0.8 this allows 51 of
+    256 bits. A grid of counts can't separate fingerprints at that radius (a choice of blocks that so many bits leave
+    untouched has no counts left). So candidates are pairs that meet in a band of min-hashes over their shingles; in such
+    cells the Manhattan bound and the exact Hamming test apply as in the grid, and large cells are cut in the same way.
     """
-    most = int(64 * (1 - similarity) + 1e-9)
-    prints = SharedTable(fingerprints(docs, id_col, text_col, words, bands=True), "prints").df
-    cells = prints.select(F.explode("keys").alias("cell"), "fp").distinct()
+    most = int(64 * width * (1 - similarity) + 1e-9)
+    prints = SharedTable(fingerprints(docs, id_col, text_col, words, width, bands=True), "prints").df
+    longs = [f"fp{k}" for k in range(width)]
+    cells = prints.select(F.explode("keys").alias("cell"), "fp", *longs).distinct()
     return assign_components(prints.select("id", "fp"), links(cells, most))
 
 
