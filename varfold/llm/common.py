@@ -82,16 +82,32 @@ def _inverse_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _POWERS: tuple[np.ndarray, np.ndarray] = _inverse_powers(1 << 16)
 
 
+class SpanHashes:
+    """Polynomial hashes (mod 2**64) of spans of an array of small numbers, from one prefix sum."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        global _POWERS
+        if len(data) > len(_POWERS[0]):
+            _POWERS = _inverse_powers(1 << int(len(data)).bit_length())
+        self._sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[0][: len(data)], out=self._sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self._sums[ends] - self._sums[starts]) * _POWERS[1][starts]
+        h ^= h >> np.uint64(32)
+        return h * np.uint64(0xD6E8FEB86659FD93)
+
+    def all(self, width: int) -> np.ndarray:
+        """The hashes of all spans of ``width``, by their start."""
+        h = (self._sums[width:] - self._sums[:-width]) * _POWERS[1][: len(self._sums) - width]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash (mod 2**64) of each span of bytes, from one prefix sum."""
-    global _POWERS
-    if len(data) > len(_POWERS[0]):
-        _POWERS = _inverse_powers(1 << int(len(data)).bit_length())
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[0][: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _POWERS[1][starts]
-    h ^= h >> np.uint64(32)
-    return h * np.uint64(0xD6E8FEB86659FD93)
+    """A hash of each span of ``data``."""
+    return SpanHashes(data)(starts, ends)
 
 
 def _changed(edges: DataFrame) -> tuple[int, int]:

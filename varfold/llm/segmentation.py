@@ -3,7 +3,7 @@
 A text's lattice holds every way to write it in pieces of the vocabulary; characters outside it become byte pieces. A
 segmentation's probability is proportional to the product of its pieces' weights, which follow Zipf's law in the rank that
 the model's scores give. No piece reaches across a space that follows another character, or across a line end, so the
-lattice is a chain of small ones, each built once for its string and kept; backward sums of the weights turn it into
+lattice is a chain of small ones, built once for equal strings and kept up to a bound; backward sums of the weights turn it into
 exact conditional probabilities.
 
 The k segmentations with the largest Gumbel-perturbed log-probabilities are a sample without replacement. They are found
@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varfold.llm.common import blocks, table
+from varfold.llm.common import SpanHashes, blocks, span_hashes, table
 
-#: Edges of lattices kept by a Python worker; beyond that it starts anew. Bytes of text sampled together.
-KEPT_EDGES = 2_000_000
+#: Edges of lattices kept by a Python worker, beyond which it starts anew; bytes of text sampled together.
+KEPT_EDGES = 6_000_000
 _TOGETHER = 1 << 20
+#: The factor (its logarithm) that lifts sums of weights for each character, and the longest rest of a part that is summed so.
+_LIFT, _PLAIN = 3.0, 48
 _PARTS = re.compile(" *[^ \n]+| +|\n")
 _U = np.uint64
 
@@ -94,122 +96,180 @@ _SAMPLE, _PLACE, _TURN, _REGION = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
 
 class Lattices:
-    """The lattices of all strings seen, in flat arrays: states, and the edges of each state."""
+    """The lattices of the distinct strings of texts, in flat arrays; those of a block of texts are built all at once."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.longest = max(map(len, vocabulary.ids), default=1)
+        self.longest = max(map(len, vocabulary.ids), default=0)
+        pieces = list(vocabulary.ids)
+        data, starts, ends = _code_points(pieces)
+        hashes = span_hashes(data, starts, ends)
+        order = np.argsort(hashes, kind="stable")
+        self._hashes = np.append(hashes[order], _U(0))
+        self._ids = np.append(np.array([vocabulary.ids[p] for p in pieces], np.int64)[order], -1)
+        self._bucket = np.searchsorted(hashes[order] >> _U(44), np.arange((1 << 20) + 1, dtype=_U)).astype(np.int32)
+        self._filled = np.diff(self._bucket).astype(np.int8)
+        self._weight = np.full(vocabulary.size + 5, -np.inf)  # then those of one to four bytes; the last stands for no piece
+        for i, w in vocabulary.log_weight.items():
+            self._weight[i] = w
+        self._weight[vocabulary.size : -1] = np.arange(1, 5) * vocabulary.byte_log_weight
+        self._length = np.ones(vocabulary.size + 4)
+        for p, i in vocabulary.ids.items():
+            self._length[i] = len(p)
         self.clear()
 
+    def _look_up(self, h: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes; -1 where there is none."""
+        bucket = (h >> _U(44)).astype(np.int32)
+        filled, out = self._filled[bucket], np.full(len(h), -1, np.int32)
+        some, j = np.flatnonzero(filled), 0
+        while len(some):
+            at = self._bucket[bucket[some]] + j
+            hit = self._hashes[at] == h[some]
+            out[some[hit]] = self._ids[at[hit]]
+            j += 1
+            some = some[~hit & (filled[some] > j)]
+        return out
+
     def clear(self) -> None:
-        self.start: dict[str, int] = {}
-        self.states = 0
-        self._new: list[list] = [[], [], [], []]
-        #: By edge: state + cumulative probability; next state (-1 at the end); symbol; log-probability given the state; log of 1 - it.
-        self.reach, self.next, self.symbol, self.log_p, self.log_rest = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)
-        #: By state: its first edge.
+        self._number: dict[str, int] = {}
+        self._states = self._edges = 0
+        size = KEPT_EDGES + (KEPT_EDGES >> 2)
+        #: By edge: ``next`` state (-1 at the part's end), ``symbol`` (a piece, or the vocabulary's size plus a code point that
+        #: is written in bytes), ``log_p`` given the state, ``log_rest`` (of 1 less that), ``share`` (cumulative within the state).
+        self.next, self.symbol = np.empty(size, np.int32), np.empty(size, np.int32)
+        self.log_p, self.log_rest, self.share = np.empty(size), np.empty(size), np.empty(size)
+        #: By state: its first edge; one more at the end.
         self.first = np.zeros(1, np.int64)
-        #: Symbols from the vocabulary's size on: the byte pieces of a character.
-        self.chars: dict[str, int] = {}
-        self.char_ids: list[list[int]] = []
-
-    def numbers(self, parts: list[str]) -> np.ndarray:
-        """The first state of each string."""
-        start, add = self.start, self._add
-        out = np.fromiter((start[p] if p in start else add(p) for p in parts), np.int64, len(parts))
-        if self._new[1]:
-            self._grow()
-        return out
 
-    def _add(self, part: str) -> int:
-        v, n = self.vocabulary, len(part)
-        ids, weight, longest = v.ids, v.log_weight, self.longest
-        base = self.states
-        after, edges = [0.0] * (n + 1), [None] * n
-        for i in range(n - 1, -1, -1):
-            here = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                k = ids.get(part[i:j])
-                if k is not None:
-                    here.append((weight[k] + after[j], j, k))
-            if not here or here[0][1] > i + 1:  # no piece for the one character
-                c = part[i]
-                if c not in ids:
-                    raw = c.encode("utf-8", "replace")
-                    if c not in self.chars:
-                        self.chars[c] = len(self.char_ids)
-                        self.char_ids.append([v.byte_ids[b] for b in raw])
-                    here.append((len(raw) * v.byte_log_weight + after[i + 1], i + 1, v.size + self.chars[c]))
-            top = max(here)[0]
-            total = 0.0
-            for w, _, _ in here:
-                total += np.exp(w - top) if w != top else 1.0
-            after[i] = top + float(np.log(total)) if total != 1.0 else top
-            edges[i] = here
-        weights, nexts, symbols, counts = self._new
-        for i in range(n):
-            counts.append(len(edges[i]))
-            for w, j, k in edges[i]:
-                weights.append(w - after[i])
-                nexts.append(base + j if j < n else -1)
-                symbols.append(k)
-        self.states += n
-        self.start[part] = base
-        return base
-
-    def _grow(self) -> None:
-        log_p, nexts, symbols, counts = (np.array(x) for x in self._new)
-        self._new = [[], [], [], []]
-        p = np.exp(log_p)
+    def _put(self, name: str, values: np.ndarray) -> None:
+        held = getattr(self, name)
+        end = self._edges + len(values)
+        if end > len(held):
+            held = np.concatenate((held[: self._edges], np.empty(end + (end >> 1) - self._edges, held.dtype)))
+            setattr(self, name, held)
+        held[self._edges : end] = values
+
+    def starts(self, parts: list[str]) -> np.ndarray:
+        """The first state of each part. A state is a place in a distinct part; parts seen before are not built again."""
+        if self._edges > KEPT_EDGES:
+            self.clear()
+        number = self._number
+        new = [p for p in dict.fromkeys(parts) if p not in number]
+        if new:
+            self._build(new)
+        return np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+
+    def _build(self, new: list[str]) -> None:
+        data, starts, ends = _code_points(new)
+        sizes, size = ends - starts, self.vocabulary.size
+        places = _ranges(starts, sizes)
+        left = np.repeat(ends, sizes) - places  # characters from a state to its part's end
+        # A table of states and widths with the piece there is; one prefix sum gives the hashes of all spans.
+        table_ = np.full((len(places), max(self.longest, 1)), -1, np.int32)
+        spans = SpanHashes(data)
+        for width in range(1, self.longest + 1):
+            row = np.flatnonzero(left >= width)
+            if not len(row):
+                break
+            table_[row, width - 1] = self._look_up(spans.all(width)[places[row]])
+        odd = np.flatnonzero(table_[:, 0] < 0)  # a character that is no piece becomes bytes
+        code = data[places[odd]].astype(np.int64)
+        table_[odd, 0] = size + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        # Backward sums, from the ends of all parts at once.
+        after = np.zeros(len(places) + 1)
+        order = np.argsort(np.minimum(left, 0xFFFF).astype(np.uint16) if left.max(initial=0) < 0xFFFF else left, kind="stable")
+        levels = np.flatnonzero(np.diff(left[order], prepend=0, append=0))
+        # Sums of weights, each character lifted by a factor that keeps them near 1; where a part is too long for that, their logarithms.
+        lift = np.exp(self._weight + _LIFT * np.concatenate((self._length, [0.0])))
+        plain, logs = np.zeros(len(places) + 1), False
+        for a, b in zip(levels[:-1], levels[1:], strict=True):
+            rows = order[a:b]
+            level = int(left[rows[0]])
+            deep = min(level, table_.shape[1])
+            if level <= _PLAIN:
+                found = table_[rows, :deep].T
+                total = lift[found[deep - 1]] * (1.0 if deep == level else plain[rows + deep])
+                for w in range(deep - 1):
+                    total += lift[found[w]] * plain[rows + w + 1]
+                plain[rows] = total
+                continue
+            if not logs:
+                done = left <= _PLAIN
+                after[:-1][done], logs = np.log(plain[:-1][done]) - _LIFT * left[done], True
+            value = self._weight[table_[rows, :deep]] + after[rows[:, None] + np.arange(1, deep + 1)]
+            top = value.max(1)
+            after[rows] = top + np.log(np.exp(value - top[:, None]).sum(1))
+        if not logs:
+            after[:-1] = np.log(plain[:-1]) - _LIFT * left
+        flat = np.flatnonzero(table_.ravel() >= 0)
+        source, width = np.divmod(flat, table_.shape[1])
+        symbol = table_.ravel()[flat]
+        counts = np.bincount(source, minlength=len(places))
+        inside = width + 1 < left[source]
+        target = source + width + 1
+        log_p = self._weight[symbol] + np.where(inside, after[np.minimum(target, len(places))], 0.0) - after[source]
         first = np.concatenate(([0], np.cumsum(counts)))
-        state = np.repeat(np.arange(len(counts)), counts)
+        symbol[first[:-1][odd]] = size + code
+        one = counts[source] == 1
+        log_p[one] = 0.0
+        p = np.exp(log_p)
         sums = np.cumsum(p)
-        before = np.concatenate(([0.0], sums))[first[:-1]]
-        total = sums[first[1:] - 1] - before
-        share = (sums - before[state]) / total[state]
-        share[first[1:] - 1] = 1.0
-        log_p = log_p - np.log(total)[state]
-        one = np.bincount(state, minlength=len(counts))[state] == 1
-        rest = np.where(one, -np.inf, np.log(-np.expm1(np.minimum(np.where(one, -1.0, log_p), -1e-17))))
-        self.reach = np.concatenate((self.reach, share + state + len(self.first) - 1))
-        self.next = np.concatenate((self.next, nexts.astype(np.int64)))
-        self.symbol = np.concatenate((self.symbol, symbols.astype(np.int64)))
-        self.log_p = np.concatenate((self.log_p, np.where(one, 0.0, log_p)))
-        self.log_rest = np.concatenate((self.log_rest, rest))
-        self.first = np.concatenate((self.first, self.first[-1] + first[1:]))
+        share = sums - np.concatenate(([0.0], sums))[first[source]]
+        share[first[1:] - 1] = 2.0  # the last edge takes what is left
+        rest = np.full(len(p), -np.inf)
+        several = np.flatnonzero(~one)
+        rest[several] = np.log(-np.expm1(np.minimum(log_p[several], -1e-17)))
+        for name, values in (("next", np.where(inside, target + self._states, -1)), ("symbol", symbol), ("log_p", log_p), ("log_rest", rest), ("share", share)):
+            self._put(name, values)
+        self._number.update(zip(new, (np.cumsum(sizes) - sizes + self._states).tolist(), strict=True))
+        self.first = np.concatenate((self.first[:-1], first + self._edges))
+        self._states += len(places)
+        self._edges += len(symbol)
 
     def pick(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge that each uniform number selects."""
-        return np.minimum(np.searchsorted(self.reach, state + u), self.first[state + 1] - 1)
+        edge = self.first[state]
+        on = np.flatnonzero(self.share[edge] < u)
+        while len(on):
+            edge[on] += 1
+            on = on[self.share[edge[on]] < u[on]]
+        return edge
 
     def expand(self, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of symbols, with the bounds of runs of symbols turned into bounds of runs of ids."""
-        size = self.vocabulary.size
+        size, byte_ids = self.vocabulary.size, self.vocabulary.byte_ids
         odd = np.flatnonzero(symbols >= size)
         if not len(odd):
             return symbols.astype(np.int32), bounds
+        distinct, which = np.unique(symbols[odd], return_inverse=True)
+        spelt = [[byte_ids[b] for b in chr(c).encode("utf-8", "replace")] for c in (distinct - size).tolist()]
         counts = np.ones(len(symbols), np.int64)
-        counts[odd] = [len(self.char_ids[k]) for k in (symbols[odd] - size).tolist()]
+        counts[odd] = np.array([len(x) for x in spelt])[which]
         ends = np.cumsum(counts)
         out = np.repeat(symbols, counts).astype(np.int32)
-        for k in np.unique(symbols[odd]).tolist():
-            mine = odd[symbols[odd] == k]
-            at = (ends[mine] - counts[mine])[:, None] + np.arange(counts[mine[0]])
-            out[at] = self.char_ids[k - size]
+        flat = np.array([i for x in spelt for i in x], np.int32)
+        begin = np.cumsum([len(x) for x in spelt]) - [len(x) for x in spelt]
+        out[_ranges(ends[odd] - counts[odd], counts[odd])] = flat[_ranges(begin[which], counts[odd])]
         return out, np.concatenate(([0], ends))[bounds]
 
 
+def _code_points(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the strings in a row, one unused place after each, and where each begins and ends."""
+    sizes = np.array([len(x) for x in strings], np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    data = np.frombuffer("".join(x + "\0" for x in strings).encode("utf-32-le", "replace"), np.uint32)
+    return data, ends - sizes, ends
+
+
 @dataclass
 class _Drawn:
     """One sample of each text that has one: its decisions in a row."""
 
     bounds: np.ndarray  # by text: where its decisions begin; one more at the end
-    state: np.ndarray
     edge: np.ndarray
-    part: np.ndarray  # the part of the text each decision is in
     value: np.ndarray  # by text: perturbed log-probability, -inf where there is no sample
     open: np.ndarray  # by decision: the largest value of the region that leaves the sample here, -inf if closed
-    floor: np.ndarray  # by decision: log of the probability left there, for regions with several pieces taken out
     from_: np.ndarray  # by text: the decision from which the sample left its parent
     out: dict  # by text: pieces taken out at that decision
 
@@ -229,11 +289,9 @@ class Sampler:
     def sample(self, keys: list[int | None], texts: list[str], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text its samples in falling order of value: (ids, log-probability, value, inclusion)."""
         n, lat = len(texts), self.lattices
-        if len(lat.reach) > KEPT_EDGES:
-            lat.clear()
         lists = [_PARTS.findall(" " + t) if t else [] for t in texts]
         first = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
-        starts = lat.numbers([p for x in lists for p in x])
+        starts = lat.starts([p for x in lists for p in x])
         key = _mix(np.array([(hash_key if hash_key is not None else 0x5EED) & (2**64 - 1) for hash_key in keys], _U) * _SAMPLE + _U(self.seed & (2**64 - 1)))
         has = np.diff(first) > 0
         root = np.where(has, -np.log(-np.log(_uniform(key ^ _REGION))), 0.0)
@@ -280,7 +338,7 @@ class Sampler:
         texts = np.flatnonzero(np.isfinite(value))
         salt = key + _times(_SAMPLE, j + 1)
         head = np.zeros(n, np.int64)  # decisions kept from the parent
-        turned_state, turned_edge, turned_part = (np.zeros(n, np.int64) for _ in range(3))
+        turned_edge = np.zeros(n, np.int64)
         outs: dict[int, list[int]] = {}
         parents: list[_Drawn] = []
         whose = where = None
@@ -290,37 +348,38 @@ class Sampler:
             parents, whose, where = source
             u = _uniform(salt ^ _REGION)
             for i in texts.tolist():
-                d, at = parents[whose[i]], where[i]
-                state = int(d.state[at])
-                gone = [int(d.edge[at])] + (d.out.get(i, []) if at == d.from_[i] else [])
-                edges = [e for e in range(lat.first[state], lat.first[state + 1]) if e not in gone]
+                d, at = parents[whose[i]], int(where[i])
+                taken = int(d.edge[at])
+                state = int(np.searchsorted(lat.first, taken, side="right")) - 1
+                gone = [taken, *(d.out.get(i, []) if at == d.from_[i] else [])]
+                edges = [e for e in range(int(lat.first[state]), int(lat.first[state + 1])) if e not in gone]
                 p = np.exp(lat.log_p[edges])
                 edge = edges[min(int(np.searchsorted(np.cumsum(p), u[i] * p.sum())), len(edges) - 1)]
                 d.open[at] = -np.inf
-                head[i], turned_state[i], turned_edge[i], turned_part[i] = at - d.bounds[i], state, edge, d.part[at]
-                outs[i] = gone
-                next_state[i], part_from[i] = lat.next[edge], d.part[at] + 1
+                begin = int(d.bounds[i])
+                head[i], turned_edge[i], outs[i], next_state[i] = at - begin, edge, gone, lat.next[edge]
+                part_from[i] += 1 + int(np.count_nonzero(lat.next[d.edge[begin:at]] < 0))
         # Draw the parts anew, all at once: first what is left of the part in which the sample turned off.
         rest = np.zeros(n, np.int64)
         rest[texts] = first[1:][texts] - part_from[texts]
         fresh = _ranges(part_from, rest)
         tail = texts[next_state[texts] >= 0] if source is not None else np.empty(0, np.int64)
-        part = np.concatenate((turned_part[tail], fresh))
+        part = np.concatenate((part_from[tail] - 1, fresh))
         owner = np.concatenate((tail, np.repeat(np.arange(n), rest)))
         state = np.concatenate((next_state[tail], starts[fresh]))
         order = np.lexsort((part, owner)) if len(tail) else np.arange(len(part))
         part, owner, state = part[order], owner[order], state[order]
         seed = _mix(salt[owner] + _PLACE * (part - first[owner]).astype(_U))
-        turns: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        turns: list[tuple[np.ndarray, np.ndarray]] = []
         live, turn = np.arange(len(part)), 0
         while len(live):
             edge = lat.pick(state, _uniform(seed[live] + _times(_TURN, turn + 1)))
-            turns.append((live, state, edge))
+            turns.append((live, edge))
             state = lat.next[edge]
             on = state >= 0
             live, state, turn = live[on], state[on], turn + 1
         lengths = np.zeros(len(part), np.int64)
-        for t, (live, _, _) in enumerate(turns):
+        for t, (live, _) in enumerate(turns):
             lengths[live] = t + 1
         tail_count = np.bincount(owner, lengths, n).astype(np.int64)
         turned = np.zeros(n, np.int64)
@@ -328,18 +387,16 @@ class Sampler:
             turned[texts] = 1
         bounds = np.concatenate(([0], np.cumsum(head + turned + tail_count)))
         total = int(bounds[-1])
-        out_state, out_edge, out_part = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int64)
+        out_edge = np.empty(total, np.int64)
         place = (bounds[:-1] + head + turned - (np.cumsum(tail_count) - tail_count))[owner] + np.cumsum(lengths) - lengths
-        for t, (live, st, edge) in enumerate(turns):
-            out_state[place[live] + t], out_edge[place[live] + t] = st, edge
-        out_part[_ranges(place, lengths)] = np.repeat(part, lengths)
+        for t, (live, edge) in enumerate(turns):
+            out_edge[place[live] + t] = edge
         if source is not None:
-            at = bounds[texts] + head[texts]
-            out_state[at], out_edge[at], out_part[at] = turned_state[texts], turned_edge[texts], turned_part[texts]
+            out_edge[bounds[texts] + head[texts]] = turned_edge[texts]
             for s, d in enumerate(parents):
                 mine = texts[whose[texts] == s]
                 to, of = _ranges(bounds[mine], head[mine]), _ranges(d.bounds[mine], head[mine])
-                out_state[to], out_edge[to], out_part[to] = d.state[of], d.edge[of], d.part[of]
+                out_edge[to] = d.edge[of]
         # The regions that leave this sample: at the turn and after it.
         owner_all = np.repeat(np.arange(n), np.diff(bounds))
         sums = np.concatenate(([0.0], np.cumsum(lat.log_p[out_edge])))
@@ -349,7 +406,8 @@ class Sampler:
             for i in texts.tolist():
                 at = fresh_from[i]
                 left = 1.0 - float(np.exp(lat.log_p[[out_edge[at], *outs[i]]]).sum())
-                several = lat.first[out_state[at] + 1] - lat.first[out_state[at]] > len(outs[i]) + 1
+                state = int(np.searchsorted(lat.first, out_edge[at], side="right")) - 1
+                several = lat.first[state + 1] - lat.first[state] > len(outs[i]) + 1
                 mass[at] = sums[at] - sums[bounds[i]] + np.log(left) if several and left > 1e-15 else -np.inf
         region = np.full(total, -np.inf)
         new = np.flatnonzero((np.arange(total) >= fresh_from[owner_all]) & np.isfinite(mass))
@@ -357,7 +415,7 @@ class Sampler:
         u = _uniform(salt[o] + _REGION * (new - bounds[o] + 1).astype(_U))
         m = mass[new]
         region[new] = m - np.log(np.exp(m - value[o]) - np.log(u))
-        return _Drawn(bounds, out_state, out_edge, out_part, value, region, mass, fresh_from, outs)
+        return _Drawn(bounds, out_edge, value, region, fresh_from, outs)
 
 
 def decode(ids: np.ndarray, piece_bytes: list[bytes]) -> str:
