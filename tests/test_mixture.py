@@ -1,0 +1,126 @@
+"""The somatic mixture: recovery, edge cases, priors, labels, the whole pipeline."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from varfold.functions import numeric
+from varfold.operators import mixture as m
+from varfold.operators.prior import default_prior, germline_prior, priors
+from varfold.operators.specs import FitOptions, SomaticMixtureSpec
+from varfold.plans import registry
+
+KEYS = ("chrom", "arm")
+SCHEMA = "chrom string, arm string, truth int, alt int, depth int"
+
+
+def clusters(rng, chrom="chr1", arm="p", sizes=(300, 500, 200), mus=(0.15, 0.45, 0.85)):
+    out = []
+    for k, (n, p) in enumerate(zip(sizes, mus, strict=True)):
+        depth = rng.integers(50, 150, n)
+        out += [(chrom, arm, k, int(a), int(d)) for a, d in zip(rng.binomial(depth, p), depth, strict=True)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def variants(spark):
+    rng = np.random.default_rng(42)
+    rows = clusters(rng) + clusters(rng, "chr2", "q", (30, 50, 20)) + clusters(rng, "chrUn", None, (0, 40, 0))
+    return spark.createDataFrame(rows + [("chr3", "p", 0, 10, 50), ("chr3", "p", 1, 25, 50)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def fits(spark, variants):
+    keys = variants.select(*KEYS).union(spark.createDataFrame([("chr4", "p")], "chrom string, arm string")).distinct()
+    return m.fit_mixture(variants, priors(keys, None, KEYS), KEYS).cache()
+
+
+def test_recovery(fits):
+    r = fits.where("chrom = 'chr1'").first()
+    assert r.mu == sorted(r.mu)
+    assert r.mu == pytest.approx([0.15, 0.45, 0.85], abs=0.03)
+    assert sum(r.pi) == pytest.approx(1) and r.pi == pytest.approx([0.3, 0.5, 0.2], abs=0.03)
+    assert r.converged and 0 < r.n_iterations < 500 and r.n_variants == 1000
+    assert r.bic == pytest.approx(8 * math.log(1000) - 2 * r.loglik)
+
+
+def test_edge_cases(fits):
+    tiny, empty, unknown = (fits.where(f"chrom = '{c}'").first() for c in ("chr3", "chr4", "chrUn"))
+    assert (tiny.mu, tiny.kappa, tiny.loglik, tiny.bic, tiny.n_variants) == ([0.15, 0.5, 0.85], [50.0] * 3, -math.inf, math.inf, 2)
+    assert (empty.mu, empty.pi, empty.loglik, empty.bic, empty.n_variants, empty.n_iterations) == ([0.15, 0.5, 0.85], [0.25, 0.5, 0.25], 0.0, 0.0, 0, 0)
+    assert tiny.converged and empty.converged and unknown.n_variants == 40 and unknown.arm is None
+
+
+def test_labels_and_summary(variants, fits):
+    scored = m.predict(variants, fits, KEYS)
+    rows = scored.where("chrom <> 'chr3'").collect()
+    assert all(sum(r.resp) == pytest.approx(1) for r in rows)
+    assert np.mean([r.truth == r.label for r in rows]) > 0.95
+    assert scored.count() == variants.count()
+    strict = m.predict(variants, fits, KEYS, 1.1).select("label").distinct().collect()
+    assert [r.label for r in strict] == [-1]
+    assert m.assignments(variants, fits, KEYS).where("label = -1").count() <= 5
+    summary = m.component_summary(scored, fits, KEYS).collect()
+    assert len(summary) == 3 * fits.count()
+    assert sum(r.n_assigned for r in summary) == variants.count()
+    assert m.component_rows(scored, 2).count() == sum(r.n_assigned for r in summary if r.component == "loh")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan
+
+
+def test_counts_equal_rows_and_best_restart_is_no_worse(variants, fits):
+    rows = [(r.alt, r.depth) for r in variants.where("chrom = 'chr2'").collect()]
+    alt, depth = (np.array(x, float) for x in zip(*rows, strict=True))
+    spec, prior = SomaticMixtureSpec(), {"mu_prior_mean": [0.15, 0.5, 0.85], "mu_prior_sigma": [0.08, 0.12, 0.12], "kappa_prior_mean": [50.0] * 3, "kappa_prior_log_sigma": 0.5, "pi_prior": [2.0, 4.0, 2.0]}
+    each = m.map_em(numeric.Counts(alt, depth, np.ones(len(alt))), prior, spec, FitOptions())
+    r = fits.where("chrom = 'chr2'").first()
+    assert each["loglik"] == pytest.approx(r.loglik, abs=1e-4) and each["mu"] == pytest.approx(r.mu, abs=1e-3)
+    one = m.map_em(numeric.Counts(alt, depth, np.ones(len(alt))), prior, spec, FitOptions(n_restarts=1))
+    assert each["loglik"] >= one["loglik"] - 1e-9
+    lse = [np.logaddexp.reduce([math.log(each["pi"][k]) + numeric.beta_binom_logpmf(a, d, *numeric.shapes(each["mu"][k], each["kappa"][k])) for k in range(3)]) for a, d in rows]
+    assert sum(lse) == pytest.approx(each["loglik"], abs=1e-4)
+
+
+def test_start_values_have_fixed_jitter():
+    found = m.starts(np.array([0.2, 0.4, 0.8]), np.array([0.15, 0.5, 0.85]), np.full(3, 50.0), SomaticMixtureSpec(), FitOptions())
+    assert found[0][0] == pytest.approx([0.175, 0.45, 0.825])
+    assert found[1][0] == pytest.approx([0.15 + 0.04383296776895414, 0.5 - 0.00977944963967163, 0.85 + 0.0573756671858212])
+    assert found[2][1] == pytest.approx(50 * np.array([0.9702315627373403, 0.9224788145395487, 1.256058993309161]))
+    with pytest.raises(ValueError, match="1 or more"):
+        FitOptions(max_iter=0)
+
+
+@pytest.mark.parametrize(
+    ("mu", "loh", "mean", "sigma", "pi"),
+    [
+        (0.48, False, [0.15, 0.5, 0.85], [0.08, 0.10, 0.12], [4.0, 8.0, 3.0]),
+        (0.70, True, [0.15, 0.70, 0.70], [0.08, 0.05, 0.08], [2.0, 6.0, 6.0]),
+        (0.20, True, [0.15, 0.20, 0.80], [0.08, 0.05, 0.08], [2.0, 6.0, 6.0]),
+        (0.97, True, [0.15, 0.97, 0.95], [0.08, 0.05, 0.08], [2.0, 6.0, 6.0]),
+    ],
+)
+def test_prior_from_germline(spark, mu, loh, mean, sigma, pi):
+    frame = spark.createDataFrame([(mu, 60.0, loh, 1.0)], "mu_het double, kappa_het double, has_loh_signal boolean, confidence double")
+    r = frame.select(*[c.alias(n) for n, c in germline_prior().items()]).first()
+    assert r.mu_prior_mean == pytest.approx(mean) and r.mu_prior_sigma == pytest.approx(sigma) and r.pi_prior == pytest.approx(pi)
+    assert r.kappa_prior_mean == [60.0] * 3 and r.source == "germline" and r.loh_detected == loh
+    low = frame.withColumn("confidence", F.lit(0.1)).select(germline_prior(0.2)["mu_prior_sigma"].alias("s"), germline_prior(0.2)["mu_prior_mean"].alias("m")).first()
+    assert low.s == pytest.approx([x / 0.55 for x in sigma]) and low.m[0] == pytest.approx(0.05)
+
+
+def test_pipeline_over_all_arms(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {(r.chrom, r.arm): r for r in registry.fit_arm(spark, sf).collect()}
+    assert len(rows) == registry._arms(spark, sf).select("chrom", "arm").distinct().count()
+    assert {r.prior_source for r in rows.values()} >= {"germline"}
+    for r in rows.values():
+        assert (r.germline_fit is None) == (r.prior_source == "default")
+        assert all(lo <= x <= hi for x, (lo, hi) in zip(r.mu, SomaticMixtureSpec().bounds_mu, strict=True)) or r.n_variants < 3
+    small = {(r.sample_id, r.chrom, r.arm): r for r in registry.fit_sample_arm(spark, sf).collect()}
+    assert {0, 1, 2} <= {min(r.n_variants, 3) for r in small.values()} and any(r.prior_source == "default" for r in small.values())
+    assert registry.entry(spark, sf).columns
+    assert default_prior()["source"] is not None

@@ -1,14 +1,441 @@
-"""Queries over the reference tables and their DuckDB SQL, by name."""
+"""Queries over the synthetic variants, by name, and the DuckDB SQL of those that SQL can express.
+
+Per-group sums are rounded before they are compared, since the two engines add in different orders.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from varfold.functions import special as sp
+from varfold.operators import germline as g
+from varfold.operators import mixture as m
+from varfold.operators.prior import default_prior, germline_prior, priors
+from varfold.operators.specs import FitOptions, GermlineSpec, SomaticMixtureSpec
+from varfold.operators.variants import genotype_class, germline_variants, histogram, is_common
+from varfold.sources import vcf
+from varfold.sources.arms import CHROMOSOMES, arm_rows, arm_table, reduce_arms, with_arm
+from varfold.sources.tables import KEYS, VARIANTS_SQL, variants
+
+ARM = ("chrom", "arm")
+SPEC, GERMLINE = SomaticMixtureSpec(), GermlineSpec()
+
+
+def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_arm(variants(spark, sf_dir))
+
+
+def _germline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _arms(spark, sf_dir).where("origin = 'germline'")
+
+
+def _somatic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _arms(spark, sf_dir).where("origin = 'somatic'")
+
+
+def _round(c: Column | str, digits: int = 4) -> Column:
+    """Rounded, and without negative zeros."""
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + 0.0
+
+
+# --- lookups and filters
+
+
+def arm_table_reduce(spark, sf_dir):
+    return reduce_arms(arm_table(spark))
+
+
+def arm_lookup(spark, sf_dir):
+    return _arms(spark, sf_dir).groupBy("chrom", "arm").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+_GENOTYPES = ("0/1", "1|1", "1/2", "./1", "2/2", "0/0", "1", "./.", "1/1")
+
+
+def genotype_classes(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    gt = F.get(F.array(*[F.lit(x) for x in _GENOTYPES]), ((F.col("l_partkey") + F.col("l_linenumber")) % len(_GENOTYPES)).cast("int"))
+    return line.select(gt.alias("gt")).groupBy("gt", genotype_class("gt").alias("genotype")).agg(F.count("*").alias("n"))
+
+
+_CSQ = "concat('G', cast(l_partkey % 7 as {s}), '|', case when l_linenumber % 2 = 0 then 'HIGH' else 'LOW' end, '|', case l_suppkey % 6 when 0 then '' when 1 then '0.05' when 2 then '0.1&0.2' when 3 then 'NaN' when 4 then '0.051' else '0.3' end, case when l_orderkey % 3 = 0 then ',H|LOW|0.9' else '' end)"
+
+
+def csq_af_filter(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    made = line.withColumn("csq", F.expr(f"case when l_orderkey % 11 = 0 then null when l_orderkey % 11 = 1 then '' else {_CSQ.format(s='string')} end"))
+    keys = vcf.csq_keys('"Consequence annotations. Format: gene|impact| AF"')
+    kept = made.where(F.col("csq").isNotNull() & (F.col("csq") != "")).where(is_common(vcf.csq_value("csq", keys, "AF")))
+    return kept.groupBy(vcf.csq_value("csq", keys, "gene").alias("gene")).agg(F.count("*").alias("n"))
+
+
+def vcf_germline(spark, sf_dir):
+    """VCF lines made from line items, parsed, filtered and counted."""
+    v = variants(spark, sf_dir)
+    gt = F.when(F.col("genotype") == "homalt", "1/1").when(F.col("genotype") == "hetalt", "0/1").otherwise("0/0")
+    af = F.when(F.col("pos") % 4 == 0, "0.01").otherwise("0.25")
+    info = F.concat(F.lit("NS=1;CSQ=G|HIGH|"), af, F.lit(";DB"))
+    ref = (F.col("depth") - F.col("alt")).cast("string")
+    sample = F.concat_ws(":", gt, F.col("depth").cast("string"), F.concat_ws(",", ref, F.col("alt").cast("string")))
+    fields = [F.col("chrom"), F.col("pos").cast("string"), *[F.lit(x) for x in (".", "A", "C", "50", "PASS")], info, F.lit("GT:DP:AD"), sample]
+    found = germline_variants(vcf.parse_records(v.select(F.concat_ws("\t", *fields).alias("value"))), ["gene", "impact", "AF"])
+    return found.groupBy("chrom", "arm", "genotype").agg(F.count("*").alias("n"), F.sum("depth").alias("depth"), F.sum("alt").alias("alt"))
+
+
+# --- germline
+
+
+def germline_collect_counts(spark, sf_dir):
+    v = _germline(spark, sf_dir).where(F.col("genotype").isNotNull())
+    return v.groupBy(*KEYS, "genotype").agg(F.count("*").alias("n"), F.sum("depth").alias("depth"), F.sum("alt").alias("alt"))
+
+
+def _moments(spark, sf_dir) -> DataFrame:
+    c = g.counts_by_class(_germline(spark, sf_dir))
+    mu, kappa = g.moment_start("mean_het", "var_het", GERMLINE.mu_het_bounds, GERMLINE.kappa_bounds)
+    return c.select("*", mu.alias("mu0"), kappa.alias("kappa0"))
+
+
+def germline_moments(spark, sf_dir):
+    c = _moments(spark, sf_dir)
+    return c.select(*KEYS, "n_het", "n_hom", *[_round(x, 6).alias(x) for x in ("mean_het", "mean_hom", "var_het", "var_hom", "mu0")], _round("kappa0", 2).alias("kappa0"))
+
+
+def germline_fallback(spark, sf_dir):
+    c = g.counts_by_class(_germline(spark, sf_dir))
+    out = []
+    for kind in ("het", "hom"):
+        mu, kappa = g.fallback(f"n_{kind}", f"mean_{kind}", kind, GERMLINE)
+        out += [_round(mu, 6).alias(f"mu_{kind}"), kappa.alias(f"kappa_{kind}")]
+    return c.select(*KEYS, *out)
+
+
+def _moment_fits(spark, sf_dir) -> DataFrame:
+    """Moment estimates in the place of fits, for queries that SQL can follow; the mean is rounded so that flags agree."""
+    c = _moments(spark, sf_dir).where("n_het > 0")
+    zero = F.lit(0.0)
+    rows = c.select(*KEYS, F.round("mu0", 6).alias("mu_het"), F.round("kappa0", 2).alias("kappa_het"), zero.alias("loglik_het"), "n_het", zero.alias("loglik_hom"), "n_hom")
+    return g.with_flags(rows, GERMLINE)
+
+
+def germline_flags(spark, sf_dir):
+    f = _moment_fits(spark, sf_dir)
+    return f.select(*KEYS, "n_variants", _round("allelic_imbalance", 6).alias("allelic_imbalance"), "has_loh_signal", "has_loh_by_spec", _round("confidence", 6).alias("confidence"), "het_direction")
+
+
+# --- priors
+
+
+def _flat_prior(df: DataFrame, keys=KEYS) -> DataFrame:
+    arrays = [_round(F.get(c, F.lit(k)), d).alias(f"{n}{k}") for c, n, d in (("mu_prior_mean", "mu", 6), ("mu_prior_sigma", "sigma", 6), ("kappa_prior_mean", "kappa", 2), ("pi_prior", "pi", 6)) for k in range(3)]
+    return df.select(*keys, *arrays, "kappa_prior_log_sigma", "loh_detected", _round("confidence", 6).alias("confidence"), "source")
+
+
+def somatic_prior(spark, sf_dir):
+    every = _arms(spark, sf_dir).select(*KEYS).distinct()
+    return _flat_prior(priors(every, _moment_fits(spark, sf_dir), tumor_purity=0.8))
+
+
+def default_priors(spark, sf_dir):
+    return _flat_prior(spark.range(1).select(*[c.alias(n) for n, c in default_prior().items()]), ())
+
+
+# --- mixture
+
+
+def smart_init(spark, sf_dir):
+    return m.smart_init(_somatic(spark, sf_dir)).select(*KEYS, *[_round(F.get("init_mu", F.lit(k)), 6).alias(f"mu{k}") for k in range(3)])
+
+
+def bb_logpmf_by_arm(spark, sf_dir):
+    v = _arms(spark, sf_dir)
+    return v.groupBy(*ARM).agg(_round(F.sum(sp.beta_binom_logpmf("alt", "depth", 25.0, 25.0)), 3).alias("loglik"), F.count("*").alias("n"))
+
+
+def _with_default(df: DataFrame) -> DataFrame:
+    total = sum(SPEC.pi_prior_default)
+    return df.select("*", F.array(*sp.literals(SPEC.mu_default)).alias("mu"), F.array(*sp.literals(SPEC.kappa_default)).alias("kappa"), F.array(*sp.literals([x / total for x in SPEC.pi_prior_default])).alias("pi"))
+
+
+def _scored_counts(spark, sf_dir, keys=KEYS) -> DataFrame:
+    """One E-step from the default prior over counts, not rows: the likelihood depends on a row through (alt, depth) only."""
+    return m.e_step(_with_default(histogram(_somatic(spark, sf_dir), keys)))
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+def estep_loglik(spark, sf_dir):
+    s = _scored_counts(spark, sf_dir).groupBy(*KEYS).agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("log_norm")).alias("ll"))
+    return s.select(*KEYS, "n", _round("ll", 3).alias("loglik"), _round(-2.0 * F.col("ll") + m.PARAMETERS * F.ln(F.col("n").cast("double")), 2).alias("bic"))
+
+
+def em_pi_update(spark, sf_dir):
+    mass = [F.sum(F.col("weight") * F.get("resp", F.lit(k))) + SPEC.pi_prior_default[k] for k in range(3)]
+    s = _scored_counts(spark, sf_dir).groupBy(*KEYS).agg(*[x.alias(f"e{k}") for k, x in enumerate(mass)])
+    total = F.col("e0") + F.col("e1") + F.col("e2")
+    return s.select(*KEYS, *[_round(F.col(f"e{k}") / total, 6).alias(f"pi{k}") for k in range(3)])
+
+
+def predict_labels(spark, sf_dir):
+    s = _scored_counts(spark, sf_dir, ARM).select(*ARM, "weight", sp.label("resp").alias("label"), sp.label("resp", 0.9).alias("sure_label"))
+    return s.groupBy(*ARM, "label", "sure_label").agg(F.sum("weight").alias("n"))
+
+
+def component_summary(spark, sf_dir):
+    scored = m.e_step(_with_default(_somatic(spark, sf_dir)))
+    fits = _with_default(_somatic(spark, sf_dir).select(*ARM).distinct())
+    out = m.component_summary(scored, fits, ARM)
+    return out.select(*ARM, "component", "mu", "kappa", "pi", "n_assigned", _round("mean_responsibility", 6).alias("mean_responsibility"))
+
+
+# --- grids
+
+
+_MU_GRID, _KAPPA_GRID = (0.10, 0.90, 17), (5.0, 1000.0, 9)
+
+
+def germline_grid_mle(spark, sf_dir):
+    """The best point of a grid over mean and precision for each chromosome.
+
+    A log-likelihood is a sum over alt, over depth - alt and over depth alone, so three marginal counts replace the
+    rows, and what doesn't depend on the point is left out until the end.
+    """
+    v = _germline(spark, sf_dir).where("genotype = 'hetalt'")
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), x.cast("double").alias("x")) for i, x in enumerate((F.col("alt"), F.col("depth") - F.col("alt"), F.col("depth")))])
+    margins = v.select("chrom", F.explode(sides).alias("s")).groupBy("chrom", "s.side", "s.x").agg(F.count("*").alias("w"))
+    (mu_low, mu_high, n_mu), (kappa_low, kappa_high, n_kappa) = _MU_GRID, _KAPPA_GRID
+    point = F.explode(F.sequence(F.lit(0), F.lit(n_mu * n_kappa - 1))).alias("point")
+    mu_i, kappa_i = F.floor(F.col("point") / n_kappa).cast("int"), (F.col("point") % n_kappa).cast("int")
+    mu = mu_low + (mu_high - mu_low) * (mu_i / float(n_mu - 1))
+    kappa = kappa_low * F.pow(F.lit(kappa_high / kappa_low), kappa_i / float(n_kappa - 1))
+    a, b = sp.shapes(mu, kappa)
+    shape = F.when(F.col("side") == 0, a).when(F.col("side") == 1, b).otherwise(a + b)
+    sign = F.when(F.col("side") == 2, -1.0).otherwise(1.0)
+    sums = margins.select("*", point).groupBy("chrom", "point").agg(
+        F.sum(F.col("w") * sign * sp.lgamma(F.col("x") + shape)).alias("s"), F.sum(F.when(F.col("side") == 2, F.col("w"))).alias("n")
+    )
+    choose = v.groupBy("chrom").agg(F.sum(sp.ln_choose(F.col("depth").cast("double"), F.col("alt").cast("double"))).alias("c"))
+    ll = F.col("s") - F.col("n") * sp.ln_beta(a, b)
+    scored = sums.join(choose, "chrom").select("chrom", mu_i.alias("mu_i"), kappa_i.alias("kappa_i"), F.round(ll + F.col("c"), 4).alias("loglik"))
+    best = scored.groupBy("chrom").agg(F.max(F.struct("loglik", (-F.col("mu_i")).alias("m"), (-F.col("kappa_i")).alias("k"))).alias("b"))
+    return best.select("chrom", (-F.col("b.m")).alias("mu_i"), (-F.col("b.k")).alias("kappa_i"), (F.col("b.loglik") + 0.0).alias("loglik"))
+
+
+def _component_masses(spark, sf_dir) -> DataFrame:
+    """(chrom, k, alt, depth, mass): responsibilities after one E-step, one row a component."""
+    s = _scored_counts(spark, sf_dir, ("chrom",))
+    return s.select("chrom", "alt", "depth", "weight", F.posexplode("resp").alias("k", "r")).select("chrom", "k", "alt", "depth", (F.col("weight") * F.col("r")).alias("mass"))
+
+
+def _map_step(spark, sf_dir, name: str, mu: Column, kappa: Column, penalty: Column) -> DataFrame:
+    """The best of 11 values (number i) of a parameter of each component k, with the log-prior -penalty / 2."""
+    own = _component_masses(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("i"))
+    a, b = sp.shapes(mu, kappa)
+    s = own.groupBy("chrom", "k", "i").agg(F.sum(F.col("mass") * sp.beta_binom_logpmf("alt", "depth", a, b)).alias("data"), F.max(penalty).alias("penalty"))
+    scored = s.select("chrom", "k", "i", F.round(F.col("data") - 0.5 * F.col("penalty"), 3).alias("objective"))
+    best = scored.groupBy("chrom", "k").agg(F.max(F.struct("objective", (-F.col("i")).alias("i"))).alias("b"))
+    return best.select("chrom", F.col("k").alias("component"), (-F.col("b.i")).alias(f"{name}_i"), (F.col("b.objective") + 0.0).alias("objective"))
+
+
+def _of_component(values) -> Column:
+    return F.get(F.array(*sp.literals(values)), F.col("k"))
+
+
+def em_mu_grid_step(spark, sf_dir):
+    low, high = (_of_component([b[i] for b in SPEC.bounds_mu]) for i in (0, 1))
+    mu = low + (high - low) * F.col("i") / 10.0
+    z = (mu - _of_component(SPEC.mu_default)) / _of_component(SPEC.mu_prior_sigma_default)
+    return _map_step(spark, sf_dir, "mu", mu, F.lit(50.0), z * z)
+
+
+def em_kappa_grid_step(spark, sf_dir):
+    kappa = 5.0 * F.pow(F.lit(100.0), F.col("i") / 10.0)
+    z = F.ln(kappa / 50.0) / SPEC.kappa_prior_log_sigma_default
+    return _map_step(spark, sf_dir, "kappa", _of_component(SPEC.mu_default), kappa, z * z)
+
+
+#: Start means of two further restarts for the query below, beside the default.
+_RESTARTS = ((0.15, 0.50, 0.85), (0.19, 0.49, 0.90), (0.12, 0.54, 0.79))
+
+
+def best_restart(spark, sf_dir):
+    """The restart whose start values give the largest log-likelihood; the first of equals."""
+    hist = _with_default(histogram(_somatic(spark, sf_dir), KEYS)).drop("mu")
+    tries = F.array(*[F.struct(F.lit(i).alias("restart"), F.array(*sp.literals(mu)).alias("mu")) for i, mu in enumerate(_RESTARTS)])
+    s = m.e_step(hist.select("*", F.explode(tries).alias("t")).select("*", "t.*").drop("t"))
+    ll = s.groupBy(*KEYS, "restart").agg(F.round(F.sum(F.col("weight") * F.col("log_norm")), 4).alias("ll"))
+    best = ll.groupBy(*KEYS).agg(F.max(F.struct("ll", (-F.col("restart")).alias("r"))).alias("b"))
+    return best.select(*KEYS, (-F.col("b.r")).alias("restart"), (F.col("b.ll") + 0.0).alias("loglik"))
+
+
+# --- fits (no SQL: iterative estimators)
+
+
+def germline_mle(spark, sf_dir):
+    return g.fit_germline(_germline(spark, sf_dir), ARM)
+
+
+def somatic_mixture(spark, sf_dir):
+    somatic = _somatic(spark, sf_dir)
+    prior = priors(somatic.select(*ARM).distinct(), None, ARM)
+    return m.fit_mixture(somatic, prior, ARM)
+
+
+def fit_arm(spark, sf_dir):
+    """Every chromosome arm over all samples."""
+    return m.fit_arms(_germline(spark, sf_dir), _somatic(spark, sf_dir), ARM)
+
+
+def fit_sample_arm(spark, sf_dir):
+    """Every chromosome arm of every sample, with one restart."""
+    return m.fit_arms(_germline(spark, sf_dir), _somatic(spark, sf_dir), KEYS, options=FitOptions(n_restarts=1))
+
+
+def predicted(spark, sf_dir):
+    """Label counts under the fitted mixtures."""
+    somatic = _somatic(spark, sf_dir)
+    fits = m.fit_mixture(somatic, priors(somatic.select(*ARM).distinct(), None, ARM), ARM, options=FitOptions(n_restarts=1))
+    return m.predict(somatic, fits, ARM, 0.5).groupBy(*ARM, "label").agg(F.count("*").alias("n"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        arm_table_reduce,
+        arm_lookup,
+        genotype_classes,
+        csq_af_filter,
+        vcf_germline,
+        germline_collect_counts,
+        germline_moments,
+        germline_fallback,
+        germline_flags,
+        somatic_prior,
+        default_priors,
+        smart_init,
+        bb_logpmf_by_arm,
+        estep_loglik,
+        em_pi_update,
+        predict_labels,
+        component_summary,
+        germline_grid_mle,
+        em_mu_grid_step,
+        em_kappa_grid_step,
+        best_restart,
+        germline_mle,
+        somatic_mixture,
+        fit_arm,
+        fit_sample_arm,
+        predicted,
+    )
+}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return fit_arm(spark, sf_dir)
+
+
+# --- SQL
+
+_CENT = "cent(chrom, centromere) as (values " + ", ".join(f"('{c}', {p})" for c, p, _ in CHROMOSOMES) + ")"
+_V = f"with {VARIANTS_SQL}, {_CENT}, v as (select r.*, cast(floor(depth*vaf_pct/100.0) as int) as alt, case when c.centromere is null then null when pos < c.centromere then 'p' else 'q' end as arm from raw r left join cent c using (chrom)), ger as (select *, alt/(depth+1e-9) as vaf from v where origin='germline'), som as (select *, alt/(depth+1e-9) as vaf from v where origin='somatic')"
+_K = "sample_id, chrom, arm"
+_SUMS = f"""mom as (select {_K}, count(*) filter (genotype='hetalt') as n_het, count(*) filter (genotype='homalt') as n_hom,
+  avg(vaf) filter (genotype='hetalt') as mean_het, avg(vaf) filter (genotype='homalt') as mean_hom,
+  var_pop(vaf) filter (genotype='hetalt') as var_het, var_pop(vaf) filter (genotype='homalt') as var_hom from ger group by all),
+mk as (select *, greatest(11e-2, least(89e-2, mean_het)) as mu0 from mom),
+mm as (select *, case when var_het>0 and var_het<mu0*(1-mu0) then greatest(5e0, least(1e3, mu0*(1-mu0)/var_het-1)) else 5e1 end as kappa0 from mk)"""
+_FLAGS = """fl as (select sample_id, chrom, arm, n_het, n_hom, round(mu0,6) as mu_het, round(kappa0,2) as kappa_het, abs(round(mu0,6)-5e-1) as imb,
+  greatest(1e-1, least(1e0, n_het/3e1)) as confidence from mm where n_het>0)"""
+_LB = "(lgamma({a})+lgamma({b})-lgamma(({a})+({b})))"
+_CH = "(lgamma(depth+1e0)-lgamma(alt+1e0)-lgamma(depth-alt+1e0))"
+
+
+def _pmf(a: str, b: str) -> str:
+    return f"({_CH}+lgamma(alt+{a})+lgamma(depth-alt+{b})-lgamma(depth+{a}+{b})-{_LB.format(a=a, b=b)})"
+
+
+def _joint(mu, kappa, pi, k: int) -> str:
+    return f"(ln({pi[k]!r}+1e-10)+{_pmf(repr(float(mu[k] * kappa[k])), repr(float((1 - mu[k]) * kappa[k])))})"
+
+
+def _estep(mu=SPEC.mu_default, keys: str = _K) -> str:
+    pi = [x / sum(SPEC.pi_prior_default) for x in SPEC.pi_prior_default]
+    j = [f"cast({_joint(mu, SPEC.kappa_default, pi, k)} as double) as j{k}" for k in range(3)]
+    return f"""es as (select *, greatest(j0,j1,j2) as jm from (select {keys}, alt, depth, {', '.join(j)} from som)),
+ln_ as (select *, jm+ln(exp(j0-jm)+exp(j1-jm)+exp(j2-jm)) as lse from es),
+rs as (select *, exp(j0-lse) as r0, exp(j1-lse) as r1, exp(j2-lse) as r2 from ln_)"""
+
+
+_LABEL = "case when r0>=r1 and r0>=r2 then 0 when r1>=r2 then 1 else 2 end"
+
+
+def _case(values) -> str:
+    return "case k " + " ".join(f"when {k} then {float(v)!r}" for k, v in enumerate(values[:2])) + f" else {float(values[2])!r} end"
+
+
+def _map_sql(name: str, mu: str, kappa: str, penalty: str) -> str:
+    pmf = _pmf("a", "b")
+    return f"""{_V}, {_estep(keys="chrom")}, mass as (select chrom, 0 as k, alt, depth, r0 as w from rs union all select chrom, 1, alt, depth, r1 from rs union all select chrom, 2, alt, depth, r2 from rs),
+hist as (select chrom, k, alt, depth, sum(w) as w from mass group by all),
+grid as (select k, i, {mu} as mu, {kappa} as kappa from (select unnest(range(3)) as k) a, (select unnest(range(11)) as i) c),
+ab as (select k, i, mu*kappa as a, (1-mu)*kappa as b, {penalty} as pen from grid),
+sc as (select chrom, k, i, round(sum(w*{pmf})-5e-1*max(pen), 3) as o from hist join ab using (k) group by chrom, k, i),
+bs as (select *, row_number() over (partition by chrom, k order by o desc, i) as rn from sc)
+select chrom, cast(k as int) as component, cast(i as int) as {name}_i, o+0e0 as objective from bs where rn=1"""
+
+
+_PRIOR_COLUMNS = ", ".join(f"round({e}, {d})+0e0 as {n}" for n, e, d in [
+    ("mu0", "case when s then 12e-2 else 15e-2 end", 6),
+    ("mu1", "case when not s then 5e-1 when loh then mu_het else 5e-1 end", 6),
+    ("mu2", "case when s and loh then greatest(6e-1, least(95e-2, case when mu_het>5e-1 then mu_het else 1-mu_het end)) else 85e-2 end", 6),
+    ("sigma0", "case when s then 8e-2*sc else 8e-2 end", 6),
+    ("sigma1", "case when s then (case when loh then 5e-2 else 1e-1 end)*sc else 12e-2 end", 6),
+    ("sigma2", "case when s then (case when loh then 8e-2 else 12e-2 end)*sc else 12e-2 end", 6),
+    *[(f"kappa{k}", "case when s then kappa_het else 5e1 end", 2) for k in range(3)],
+    ("pi0", "case when s then (case when loh then 1e0 else 2e0 end)*(1+confidence) else 2e0 end", 6),
+    ("pi1", "case when s then (case when loh then 3e0 else 4e0 end)*(1+confidence) else 4e0 end", 6),
+    ("pi2", "case when s then (case when loh then 3e0 else 15e-1 end)*(1+confidence) else 2e0 end", 6),
+])
+
+ORACLE_SQL: dict[str, str] = {
+    "arm_table_reduce": "select chrom, cast(max(case when arm='p' then e end) as bigint) as centromere, cast(max(e) as bigint) as chr_end from (values "
+    + ", ".join(f"('{c}', {s}, {e}, '{a}')" for c, s, e, a in arm_rows())
+    + ") t(chrom, s, e, arm) group by chrom",
+    "arm_lookup": f"{_V} select chrom, arm, count(*) as n, min(pos) as first_pos, max(pos) as last_pos from v group by chrom, arm",
+    "genotype_classes": "with x as (select list_extract([" + ", ".join(f"'{x}'" for x in _GENOTYPES) + "], cast((l_partkey+l_linenumber)%9 as int)+1) as gt from lineitem), y as (select gt, string_split(replace(gt,'|','/'),'/') as a from x)"
+    " select gt, case when len(a)<>2 then 'skip' when a[1]='1' and a[2]='1' then 'homalt' when a[1]='1' or a[2]='1' then 'hetalt' else 'skip' end as genotype, count(*) as n from y group by 1, 2",
+    "csq_af_filter": f"with x as (select case when l_orderkey%11=0 then null when l_orderkey%11=1 then '' else {_CSQ.format(s='varchar')} end as csq from lineitem), y as (select string_split(string_split(csq,',')[1],'|') as f from x where csq is not null and csq<>'')"
+    " select f[1] as gene, count(*) as n from y where try_cast(f[3] as double)>5e-2 and not isnan(try_cast(f[3] as double)) group by 1",
+    "vcf_germline": f"{_V} select chrom, arm, genotype, count(*) as n, cast(sum(depth) as bigint) as depth, cast(sum(alt) as bigint) as alt from ger where pos%4<>0 and genotype is not null group by all",
+    "germline_collect_counts": f"{_V} select {_K}, genotype, count(*) as n, cast(sum(depth) as bigint) as depth, cast(sum(alt) as bigint) as alt from ger where genotype is not null group by all",
+    "germline_moments": f"{_V}, {_SUMS} select {_K}, n_het, n_hom, round(mean_het,6)+0e0 as mean_het, round(mean_hom,6)+0e0 as mean_hom, round(var_het,6)+0e0 as var_het, round(var_hom,6)+0e0 as var_hom, case when mean_het is null then null else round(mu0,6)+0e0 end as mu0, round(kappa0,2)+0e0 as kappa0 from mm",
+    "germline_fallback": f"{_V}, {_SUMS} select {_K}, round(case when n_het=0 then 5e-1 when n_het<5 then greatest(3e-1, least(7e-1, mean_het)) end,6)+0e0 as mu_het, case when n_het<5 then 5e1 end as kappa_het, round(case when n_hom=0 then 98e-2 when n_hom<3 then greatest(9e-1, least(999e-3, mean_hom)) end,6)+0e0 as mu_hom, case when n_hom<3 then 1e2 end as kappa_hom from mom",
+    "germline_flags": f"{_V}, {_SUMS}, {_FLAGS} select {_K}, n_het+n_hom as n_variants, round(imb,6)+0e0 as allelic_imbalance, n_het>=10 and imb>1e-1 as has_loh_signal, n_het>=10 and imb>1e-1 as has_loh_by_spec, round(confidence,6)+0e0 as confidence, cast(case when imb<5e-2 then 0 when mu_het>5e-1 then 1 else -1 end as int) as het_direction from fl",
+    "somatic_prior": f"{_V}, {_SUMS}, {_FLAGS}, ks as (select distinct {_K} from v), jn as (select ks.*, n_het is not null as s, n_het>=10 and imb>1e-1 as loh, mu_het, kappa_het, confidence, 1/(5e-1+5e-1*confidence) as sc from ks left join (select * from fl where n_het>=5) f on ks.sample_id=f.sample_id and ks.chrom=f.chrom and ks.arm is not distinct from f.arm)"
+    f" select {_K}, {_PRIOR_COLUMNS}, 5e-1 as kappa_prior_log_sigma, coalesce(loh, false) as loh_detected, case when s then round(confidence,6)+0e0 else 0e0 end as confidence, case when s then 'germline' else 'default' end as source from jn",
+    "default_priors": "select 15e-2 as mu0, 5e-1 as mu1, 85e-2 as mu2, 8e-2 as sigma0, 12e-2 as sigma1, 12e-2 as sigma2, 5e1 as kappa0, 5e1 as kappa1, 5e1 as kappa2, 2e0 as pi0, 4e0 as pi1, 2e0 as pi2, 5e-1 as kappa_prior_log_sigma, false as loh_detected, 0e0 as confidence, 'default' as source",
+    "smart_init": f"{_V}, st as (select {_K}, count(*) filter (vaf<25e-2) as n0, count(*) filter (vaf>=35e-2 and vaf<=65e-2) as n1, count(*) filter (vaf>65e-2) as n2, avg(vaf) filter (vaf<25e-2) as m0, median(vaf) filter (vaf>=35e-2 and vaf<=65e-2) as m1, avg(vaf) filter (vaf>65e-2) as m2 from som group by all)"
+    f" select {_K}, round(greatest(2e-2, least(3e-1, case when n0>5 then m0 else 15e-2 end)),6)+0e0 as mu0, round(greatest(25e-2, least(75e-2, case when n1>5 then m1 else 5e-1 end)),6)+0e0 as mu1, round(greatest(5e-1, least(99e-2, case when n2>5 then m2 else 85e-2 end)),6)+0e0 as mu2 from st",
+    "bb_logpmf_by_arm": f"{_V} select chrom, arm, round(sum({_pmf('25e0', '25e0')}),3)+0e0 as loglik, count(*) as n from v group by chrom, arm",
+    "estep_loglik": f"{_V}, {_estep()}, s as (select {_K}, count(*) as n, sum(lse) as ll from rs group by all) select {_K}, n, round(ll,3)+0e0 as loglik, round(-2*ll+8*ln(n),2)+0e0 as bic from s",
+    "em_pi_update": f"{_V}, {_estep()}, s as (select {_K}, sum(r0)+2e0 as e0, sum(r1)+4e0 as e1, sum(r2)+2e0 as e2 from rs group by all) select {_K}, round(e0/(e0+e1+e2),6)+0e0 as pi0, round(e1/(e0+e1+e2),6)+0e0 as pi1, round(e2/(e0+e1+e2),6)+0e0 as pi2 from s",
+    "predict_labels": f"{_V}, {_estep(keys='chrom, arm')} select chrom, arm, cast({_LABEL} as int) as label, cast(case when greatest(r0,r1,r2)<9e-1 then -1 else {_LABEL} end as int) as sure_label, count(*) as n from rs group by 1, 2, 3, 4",
+    "component_summary": f"{_V}, {_estep(keys='chrom, arm')}, l as (select *, {_LABEL} as label from rs) "
+    + " union all ".join(f"select chrom, arm, '{n}' as component, {SPEC.mu_default[k]!r}::double as mu, 5e1 as kappa, {SPEC.pi_prior_default[k] / 8!r}::double as pi, count(*) filter (label={k}) as n_assigned, round(avg(r{k}),6)+0e0 as mean_responsibility from l group by chrom, arm" for k, n in enumerate(sp.COMPONENTS)),
+    "germline_grid_mle": f"""{_V}, h as (select chrom, alt, depth, count(*) as w from ger where genotype='hetalt' group by all),
+grid as (select mi, ki, 1e-1+8e-1*(mi/16e0) as mu, 5e0*pow(200e0, ki/8e0) as kappa from (select unnest(range(17)) as mi) a, (select unnest(range(9)) as ki) c),
+ab as (select mi, ki, mu*kappa as a, (1-mu)*kappa as b from grid),
+sc as (select chrom, mi, ki, round(sum(w*{_pmf('a', 'b')}), 4) as ll from h, ab group by all),
+bs as (select *, row_number() over (partition by chrom order by ll desc, mi, ki) as rn from sc)
+select chrom, cast(mi as int) as mu_i, cast(ki as int) as kappa_i, ll+0e0 as loglik from bs where rn=1""",
+    "em_mu_grid_step": _map_sql(
+        "mu",
+        f"({_case([b[0] for b in SPEC.bounds_mu])})+(({_case([b[1] for b in SPEC.bounds_mu])})-({_case([b[0] for b in SPEC.bounds_mu])}))*i/1e1",
+        "5e1",
+        f"pow((mu-({_case(SPEC.mu_default)}))/({_case(SPEC.mu_prior_sigma_default)}), 2)",
+    ),
+    "em_kappa_grid_step": _map_sql("kappa", _case(SPEC.mu_default), "5e0*pow(100e0, i/1e1)", "pow(ln(kappa/5e1)/5e-1, 2)"),
+    "best_restart": f"{_V}, " + "all_ as (" + " union all ".join(f"(with {_estep(mu)} select {_K}, {i} as restart, round(sum(lse),4) as ll from rs group by {_K})" for i, mu in enumerate(_RESTARTS)) + f"), bs as (select *, row_number() over (partition by {_K} order by ll desc, restart) as rn from all_) select {_K}, cast(restart as int) as restart, ll+0e0 as loglik from bs where rn=1",
+}
