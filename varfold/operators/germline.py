@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from varfold.functions.numeric import Counts, fit_beta_binomial_mle
 from varfold.functions.special import clip, vaf
+from varfold.operators.keys import join_on
 from varfold.operators.specs import GermlineSpec
 from varfold.operators.variants import histogram, valid_counts
 
@@ -97,14 +98,6 @@ def fit_classes(variants: DataFrame, keys: tuple[str, ...] = KEYS, spec: Germlin
     return hist.groupBy(*columns).applyInPandas(fit, _schema_of(hist, columns) + ", mu double, kappa double, loglik double")
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> Column:
-    """Equality of keys that takes nulls (an unknown arm) as equal."""
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(right[k])
-    return condition
-
-
 def fit_germline(variants: DataFrame, keys: tuple[str, ...] = KEYS, spec: GermlineSpec | None = None) -> DataFrame:
     """One row a key: both classes' mean, precision, log-likelihood and count, and the flags.
 
@@ -116,7 +109,7 @@ def fit_germline(variants: DataFrame, keys: tuple[str, ...] = KEYS, spec: Germli
     counts = counts_by_class(germline, keys)
     fitted = fit_classes(germline, keys, spec)
     wide = fitted.groupBy(*keys).agg(*[F.max(F.when(F.col("genotype") == g, F.col(c))).alias(f"{c}_{s}_fit") for g, s in (("hetalt", "het"), ("homalt", "hom")) for c in ("mu", "kappa", "loglik")])
-    both = counts.join(wide, same_keys(counts, wide, keys), "left").select(*[counts[k] for k in keys], "n_het", "n_hom", "mean_het", "mean_hom", *[c for c in wide.columns if c not in keys])
+    both = join_on(counts, wide, keys)
     out = [F.col(k) for k in keys]
     for s in ("het", "hom"):
         mu, kappa = fallback(f"n_{s}", f"mean_{s}", s, spec)

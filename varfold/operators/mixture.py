@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from varfold.functions import special as sp
 from varfold.functions.numeric import Counts, maximise
-from varfold.operators.germline import KEYS, _schema_of, counts_of, same_keys
+from varfold.operators.germline import KEYS, _schema_of, counts_of, fit_germline
+from varfold.operators.keys import join_on
 from varfold.operators.prior import PRIOR, priors
 from varfold.operators.specs import FitOptions, SomaticMixtureSpec
 from varfold.operators.variants import histogram
@@ -109,32 +110,31 @@ def fit_mixture(variants: DataFrame, prior: DataFrame, keys: tuple[str, ...] = K
     spec, options = spec or SomaticMixtureSpec(), options or FitOptions()
     hist = histogram(variants, keys)
     needed = ("mu_prior_mean", "mu_prior_sigma", "kappa_prior_mean", "kappa_prior_log_sigma", "pi_prior")
-    joined = hist.join(prior, same_keys(hist, prior, keys)).select(*[hist[k] for k in keys], "alt", "depth", "weight", *needed)
+    joined = join_on(hist, prior.select(*keys, *needed), keys, "inner")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         key, counts = rows[list(keys)].iloc[:1], counts_of(rows)
-        if counts.total < 3:
-            return key.iloc[:0].assign(**{c: [] for c in FIT})
+        if counts.total < 3:  # nothing to fit: null arrays, for which the prior stands in below
+            return key.assign(mu=[None], kappa=[None], pi=[None], n_variants=int(counts.total), loglik=0.0, bic=0.0, converged=True, n_iterations=0)
         found = map_em(counts, rows[list(needed)].iloc[0].to_dict(), spec, options)
         return key.assign(mu=[found["mu"]], kappa=[found["kappa"]], pi=[found["pi"]], n_variants=int(counts.total), **{c: found[c] for c in FIT[4:]})
 
     fitted = joined.groupBy(*keys).applyInPandas(fit, f"{_schema_of(hist, keys)}, {_FIT_SCHEMA}")
     sizes = hist.groupBy(*keys).agg(F.sum("weight").alias("__n"))
-    p = prior.alias("p")
-    out = p.join(sizes, same_keys(prior, sizes, keys), "left").join(fitted, same_keys(prior, fitted, keys), "left")
-    n, has = F.coalesce(sizes["__n"], F.lit(0)), fitted["mu"].isNotNull()
-    total = F.aggregate(prior["pi_prior"], F.lit(0.0), lambda s, x: s + x)
+    out = join_on(join_on(prior.select(*keys, *PRIOR), sizes, keys), fitted.select(*keys, *[F.col(c).alias(f"__fit_{c}") for c in FIT]), keys)
+    n, has = F.coalesce("__n", F.lit(0)), F.col("__fit_mu").isNotNull()
+    total = F.aggregate("pi_prior", F.lit(0.0), lambda s, x: s + x)
     instead = {
-        "mu": prior["mu_prior_mean"],
-        "kappa": prior["kappa_prior_mean"],
-        "pi": F.transform(prior["pi_prior"], lambda x: x / total),
+        "mu": F.col("mu_prior_mean"),
+        "kappa": F.col("kappa_prior_mean"),
+        "pi": F.transform("pi_prior", lambda x: x / total),
         "n_variants": n,
         "loglik": F.when(n == 0, 0.0).otherwise(F.lit(float("-inf"))),
         "bic": F.when(n == 0, 0.0).otherwise(F.lit(float("inf"))),
         "converged": F.lit(True),
         "n_iterations": F.lit(0),
     }
-    return out.select(*[prior[k] for k in keys], *[prior[c] for c in PRIOR], *[F.when(has, fitted[c]).otherwise(instead[c]).alias(c) for c in FIT])
+    return out.select(*keys, *PRIOR, *[F.when(has, F.col(f"__fit_{c}")).otherwise(instead[c]).alias(c) for c in FIT])
 
 
 def joint_columns(alt: Column | str, depth: Column | str, mu: Column | str, kappa: Column | str, pi: Column | str) -> Column:
@@ -154,9 +154,9 @@ def posteriors(variants: DataFrame, fits: DataFrame, keys: tuple[str, ...] = KEY
     Distinct (key, alt, depth) are few, but scoring a row is cheaper than joining twice, so rows are scored where they are;
     the fits are one row a key, and Spark broadcasts them when they are small.
     """
-    parameters = fits.select(*keys, "mu", "kappa", "pi")
-    joined = variants.join(parameters, same_keys(variants, parameters, keys)).select(*[variants[c] for c in variants.columns], "mu", "kappa", "pi")
-    return e_step(joined).drop("mu", "kappa", "pi", "log_norm")
+    parameters = fits.select(*keys, *[F.col(c).alias(f"__fit_{c}") for c in ("mu", "kappa", "pi")])
+    scored = e_step(join_on(variants, parameters, keys, "inner"), "__fit_mu", "__fit_kappa", "__fit_pi")
+    return scored.drop("__fit_mu", "__fit_kappa", "__fit_pi", "log_norm")
 
 
 def predict(variants: DataFrame, fits: DataFrame, keys: tuple[str, ...] = KEYS, threshold: float = 0.0) -> DataFrame:
@@ -181,9 +181,9 @@ def component_summary(scored: DataFrame, fits: DataFrame, keys: tuple[str, ...]
         *[F.count_if(own == k).alias(f"n{k}") for k in range(3)],
         *[F.avg(F.get("resp", F.lit(k))).alias(f"r{k}") for k in range(3)],
     )
-    joined = fits.join(counted, same_keys(fits, counted, keys), "left")
+    joined = join_on(fits.select(*keys, "mu", "kappa", "pi"), counted, keys)
     rows = F.array(*[F.struct(F.lit(sp.COMPONENTS[k]).alias("component"), *[F.get(c, F.lit(k)).alias(c) for c in ("mu", "kappa", "pi")], F.coalesce(f"n{k}", F.lit(0)).alias("n_assigned"), F.col(f"r{k}").alias("mean_responsibility")) for k in range(3)])
-    return joined.select(*[fits[k] for k in keys], F.explode(rows).alias("c")).select(*keys, "c.*")
+    return joined.select(*keys, F.explode(rows).alias("c")).select(*keys, "c.*")
 
 
 def fit_arms(germline: DataFrame, somatic: DataFrame, keys: tuple[str, ...] = KEYS, tumor_purity: float = 1.0, min_germline_het: int = 5, germline_spec=None, spec: SomaticMixtureSpec | None = None, options: FitOptions | None = None) -> DataFrame:
@@ -191,13 +191,10 @@ def fit_arms(germline: DataFrame, somatic: DataFrame, keys: tuple[str, ...] = KE
 
     ``germline_fit`` is a struct, null where the key has fewer het variants than ``min_germline_het``.
     """
-    from varfold.operators.germline import fit_germline
-
     fits = fit_germline(germline, keys, germline_spec).where(F.col("n_het") >= min_germline_het)
     every = germline.select(*keys).union(somatic.select(*keys)).distinct()
     prior = priors(every, fits, keys, tumor_purity, min_germline_het, spec)
     mixture = fit_mixture(somatic, prior, keys, spec, options)
-    struct = F.struct(*[fits[c] for c in fits.columns if c not in keys])
-    both = mixture.join(fits, same_keys(mixture, fits, keys), "left")
-    kept = [mixture[c] for c in mixture.columns if c not in ("confidence", "source")]
-    return both.select(*kept, mixture["confidence"].alias("prior_confidence"), mixture["source"].alias("prior_source"), F.when(fits["n_het"].isNotNull(), struct).alias("germline_fit"))
+    struct = F.struct(*[c for c in fits.columns if c not in keys]).alias("germline_fit")
+    both = join_on(mixture, fits.select(*keys, struct), keys)
+    return both.withColumnsRenamed({"confidence": "prior_confidence", "source": "prior_source"})

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varfold.functions.special import clip, literals
-from varfold.operators.germline import KEYS, same_keys
+from varfold.operators.germline import KEYS
+from varfold.operators.keys import join_on
 from varfold.operators.specs import SomaticMixtureSpec
 
 PRIOR = ("mu_prior_mean", "mu_prior_sigma", "kappa_prior_mean", "kappa_prior_log_sigma", "pi_prior", "loh_detected", "confidence", "source")
@@ -42,6 +43,6 @@ def priors(keys_of: DataFrame, germline: DataFrame | None, keys: tuple[str, ...]
     if germline is None:
         return keys_of.select(*keys, *[c.alias(n) for n, c in base.items()])
     own = germline.where(F.col("n_het") >= min_germline_het).select(*keys, *[c.alias(n) for n, c in germline_prior(tumor_purity).items()])
-    joined = keys_of.join(own, same_keys(keys_of, own, keys), "left")
-    has = own["source"].isNotNull()
-    return joined.select(*[keys_of[k] for k in keys], *[F.when(has, own[n]).otherwise(base[n]).alias(n) for n in PRIOR])
+    joined = join_on(keys_of.select(*keys), own, keys)
+    has = F.col("source").isNotNull()
+    return joined.select(*keys, *[F.when(has, F.col(n)).otherwise(base[n]).alias(n) for n in PRIOR])
