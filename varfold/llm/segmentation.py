@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from varfold.llm.common import SpanHashes, blocks, span_hashes, table
 
 #: Edges of lattices kept by a Python worker, beyond which it starts anew; bytes of text sampled together.
-KEPT_EDGES = 6_000_000
-_TOGETHER = 1 << 20
+KEPT_EDGES = 2_000_000
+_TOGETHER = 1 << 18
 #: The factor (its logarithm) that lifts sums of weights for each character, and the longest rest of a part that is summed so.
 _LIFT, _PLAIN = 3.0, 48
 _PARTS = re.compile(" *[^ \n]+| +|\n")
@@ -85,14 +85,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _uniform(x: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from hashes."""
-    return ((_mix(x) >> _U(12)).astype(np.float64) + 0.5) * 2.0**-52
+    return _to_unit(_mix(x))
+
+
+def _to_unit(x: np.ndarray) -> np.ndarray:
+    u = (x >> _U(12)).astype(np.float64)
+    u += 0.5
+    u *= 2.0**-52
+    return u
+
+
+def _again(seed: np.ndarray, turn: int) -> np.ndarray:
+    """Further numbers in (0, 1) from well-mixed seeds, one for each turn."""
+    x = seed * _times(_PLACE, 2 * turn + 1)
+    x ^= x >> _U(32)
+    x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(29)
+    return _to_unit(x)
 
 
 def _times(factor: np.uint64, n: int) -> np.uint64:
     return _U(int(factor) * n & (2**64 - 1))
 
 
-_SAMPLE, _PLACE, _TURN, _REGION = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x27D4EB2F165667C5)
+_SAMPLE, _PLACE, _REGION = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x27D4EB2F165667C5)
 
 
 class Lattices:
@@ -373,7 +389,7 @@ class Sampler:
         turns: list[tuple[np.ndarray, np.ndarray]] = []
         live, turn = np.arange(len(part)), 0
         while len(live):
-            edge = lat.pick(state, _uniform(seed[live] + _times(_TURN, turn + 1)))
+            edge = lat.pick(state, _again(seed[live], turn))
             turns.append((live, edge))
             state = lat.next[edge]
             on = state >= 0
