@@ -246,7 +246,10 @@ def assign_components(prints: DataFrame, edges: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_distance: int = 4) -> DataFrame:
     """One row for each row of ``docs``: (id, fp, component_id), linking fingerprints at ``max_distance`` bits or fewer."""
     prints = SharedTable(fingerprints(docs, id_col, text_col, words).select("id", "fp"), "prints").df
-    cells = grid_cells(prints.select("fp").distinct(), max_distance)
+    # Each fingerprint becomes a row a grid next, so the few small partitions that distinct leaves are dealt out first.
+    context = docs.sparkSession.sparkContext
+    nodes = prints.select("fp").distinct().repartition(4 * max(context.defaultParallelism, 1), "fp")
+    cells = grid_cells(nodes, max_distance)
     return assign_components(prints, links(cells, max_distance))
 
 
