@@ -6,8 +6,8 @@ is found by binary search; each check fills shards greedily.
 
 No task and not the driver ever holds all groups. Groups are first summed into slices of the hash range. If a slice
 counts as one atom, a feasible capacity is an upper bound; if a slice may be cut anywhere, it is a lower bound. While
-the two differ, the few slices in which the greedy cuts of either search fall are fetched group by group. When they
-meet, the capacity is exact, whatever the sizes.
+the two differ, the few slices in which the greedy cuts of either search fall are divided into 256 finer ones, down to
+single groups where needed. When the bounds meet, the capacity is exact, whatever the sizes.
 
 Defined results: null text counts as empty (size 1, one group with the empty texts); repeated rows are members of
 their group; with fewer groups than shards the last shards have no rows; an empty table gives an empty result;
@@ -25,32 +25,32 @@ from pyspark.sql import functions as F
 
 from varfold.llm.common import SharedTable, table
 
-#: Slices of the hash range (their number bounds what the driver holds): the first 14 bits of the hash.
-SLICE_BITS = 14
+#: Bytes of the hash that make the first slices: at most 65,536 sums reach the driver at first, and 256 for each slice divided.
+SLICE_BYTES = 2
 #: Parts of a shard in which slots are counted apart.
 PARTS = 512
 
 
 @dataclass
 class _Line:
-    """Atoms in order: first key, size and, for a slice not yet fetched, its number (else None)."""
+    """Atoms in order: the hash's first bytes, the size, and whether several groups are in it."""
 
     keys: list[bytes]
     sizes: list[int]
-    slices: list[int | None]
+    several: list[bool]
     totals: list[int] = field(init=False)
 
     def __post_init__(self) -> None:
         self.totals = [0, *accumulate(self.sizes)]
 
-    def fill(self, capacity: int, shards: int, divisible: bool) -> tuple[bool, list[int], set[int]]:
+    def fill(self, capacity: int, shards: int, divisible: bool) -> tuple[bool, list[int], set[bytes]]:
         """Greedy shards: whether they take all, the atoms at which they end, and the slices in which they end."""
         spent, ends, met, totals = 0, [], set(), self.totals
         for _ in range(shards):
             at = bisect_right(totals, spent + capacity) - 1
-            inside = at < len(self.keys) and totals[at] < spent + capacity and self.slices[at] is not None
+            inside = at < len(self.keys) and totals[at] < spent + capacity and self.several[at]
             if inside:
-                met.add(self.slices[at])
+                met.add(self.keys[at])
             spent = spent + capacity if divisible and inside else totals[at]
             ends.append(at)
         return spent >= totals[-1], ends, met
@@ -64,28 +64,31 @@ class _Line:
         return high
 
 
+def _sums(groups: DataFrame, size: int, within: list[bytes] | None = None) -> list[tuple[bytes, int, bool]]:
+    """Slices by the first ``size`` bytes, in order; only those inside the slices ``within``, which are a byte shorter."""
+    if within is not None:
+        groups = groups.where(F.substring("key", 1, size - 1).isin([F.lit(bytearray(w)) for w in within]))
+    rows = groups.groupBy(F.substring("key", 1, size).alias("slice")).agg(F.sum("total").alias("total"), F.count("*").alias("n"))
+    return sorted((bytes(r["slice"]), int(r["total"]), r["n"] > 1) for r in rows.collect())
+
+
 def find_cuts(groups: DataFrame, shards: int) -> tuple[list[bytes], int]:
-    """First keys of shards 1 and on (shards without rows at the end have none), and the smallest capacity.
+    """Lower bounds of the keys of shards 1 and on (shards without rows at the end have none), and the smallest capacity.
 
-    ``groups`` has one row a group: slice int, key binary (its slice is the key's first bits), total long.
+    ``groups`` has one row a group: key binary, total long.
     """
-    sums = groups.groupBy("slice").agg(F.sum("total").alias("total")).orderBy("slice").collect()
-    if not sums:
+    atoms = _sums(groups, SLICE_BYTES)
+    if not atoms:
         return [], 0
-    line = _Line([(r["slice"] << (16 - SLICE_BITS)).to_bytes(2, "big") for r in sums], [int(r["total"]) for r in sums], [r["slice"] for r in sums])
     while True:
+        line = _Line(*map(list, zip(*atoms, strict=True)))
         low, high = line.least(shards, divisible=True), line.least(shards, divisible=False)
         _, ends, met = line.fill(high, shards, divisible=False)
         if low == high:
             return [line.keys[e] for e in ends[:-1] if e < len(line.keys)], high
         met |= line.fill(low, shards, divisible=True)[2]
-        fetched: dict[int, list] = {}
-        for r in groups.where(F.col("slice").isin(sorted(met))).orderBy("key").collect():
-            fetched.setdefault(r["slice"], []).append(r)
-        atoms = []
-        for key, size, name in zip(line.keys, line.sizes, line.slices, strict=True):
-            atoms += [(bytes(r["key"]), int(r["total"]), None) for r in fetched[name]] if name in fetched else [(key, size, name)]
-        line = _Line(*map(list, zip(*atoms, strict=True)))
+        finer = [x for size in sorted({len(m) for m in met}) for x in _sums(groups, size + 1, [m for m in met if len(m) == size])]
+        atoms = sorted([a for a in atoms if a[0] not in met] + finer)
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,8 +105,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         F.unhex(F.sha2(text, 256)).alias("key"),
     )
     rows = SharedTable(made, "sizes").df
-    slice_of = F.shiftright(F.conv(F.hex(F.substring("key", 1, 2)), 16, 10).cast("int"), 16 - SLICE_BITS)
-    groups = SharedTable(rows.groupBy("key").agg(F.sum("size").alias("total")).select(slice_of.alias("slice"), "key", "total"), "groups")
+    groups = SharedTable(rows.groupBy("key").agg(F.sum("size").alias("total")), "groups")
     cuts, _ = find_cuts(groups.df, shards)
     groups.drop()
     shard = sum((F.when(F.col("key") >= F.lit(bytearray(c)), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
