@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the model.
@@ -76,13 +76,31 @@ def beta_binom_logpmf(k: Column | str, n: Column | str, alpha: Column | str | fl
     return F.when((k >= 0) & (k <= n), ln_choose(n, k) + ln_beta(k + a, n - k + b) - ln_beta(a, b))
 
 
-def log_joint(alt: Column | str, depth: Column | str, mu: list[Column], kappa: list[Column], pi: list[Column]) -> Column:
-    """array<double>: log weight plus log-probability of each component."""
-    k, n = col(alt).cast("double"), col(depth).cast("double")
-    terms = []
-    for m, c, p in zip(mu, kappa, pi, strict=True):
-        terms.append(F.ln(p + PI_FLOOR) + beta_binom_logpmf(k, n, *shapes(m, c)))
-    return F.array(*terms)
+def with_logpmf(rows: DataFrame, laws: dict[str, tuple[Column | str, Column | str]], alt: str = "alt", depth: str = "depth") -> DataFrame:
+    """``rows`` with a log-probability column for each law (mean, precision).
+
+    Shapes, then the arguments of the log-gammas, then the log-gammas are columns of stages of their own: as one
+    expression they would repeat each other many times over and outgrow generated code.
+    """
+    k, n = F.col(alt).cast("double"), F.col(depth).cast("double")
+    shaped = {}
+    for i, (m, c) in enumerate(laws.values()):
+        shaped |= {f"__m{i}": col(m), f"__c{i}": col(c)}
+    rows, names = rows.withColumns(shaped), rows.columns
+    for i in range(len(laws)):
+        a, b = shapes(f"__m{i}", f"__c{i}")
+        shaped |= {f"__a{i}": F.greatest(a, F.lit(SHAPE_FLOOR)), f"__b{i}": F.greatest(b, F.lit(SHAPE_FLOOR))}
+    rows = rows.withColumns({c: e for c, e in shaped.items() if c[2] in "ab"})
+    args = {"n": n + 1.0, "k": k + 1.0, "d": n - k + 1.0}
+    for i in range(len(laws)):
+        a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
+        args |= {f"a{i}": a, f"b{i}": b, f"s{i}": a + b, f"ka{i}": k + a, f"db{i}": n - k + b, f"ns{i}": n + a + b}
+    rows = rows.withColumns({f"__x{c}": e for c, e in args.items()})
+    rows = rows.withColumns({f"__g{c}": lgamma(f"__x{c}") for c in args})
+    g = {c: F.col(f"__g{c}") for c in args}
+    choose, valid = g["n"] - g["k"] - g["d"], (k >= 0) & (k <= n)
+    laws_of = {name: F.when(valid, choose + g[f"ka{i}"] + g[f"db{i}"] - g[f"ns{i}"] + g[f"s{i}"] - g[f"a{i}"] - g[f"b{i}"]) for i, name in enumerate(laws)}
+    return rows.select(*[c for c in names if c not in laws], *[e.alias(c) for c, e in laws_of.items()])
 
 
 def logsumexp(x: Column | str) -> Column:

@@ -137,14 +137,12 @@ def fit_mixture(variants: DataFrame, prior: DataFrame, keys: tuple[str, ...] = K
     return out.select(*keys, *PRIOR, *[F.when(has, F.col(f"__fit_{c}")).otherwise(instead[c]).alias(c) for c in FIT])
 
 
-def joint_columns(alt: Column | str, depth: Column | str, mu: Column | str, kappa: Column | str, pi: Column | str) -> Column:
-    return sp.log_joint(alt, depth, sp.three(mu), sp.three(kappa), sp.three(pi))
-
-
 def e_step(rows: DataFrame, mu: Column | str = "mu", kappa: Column | str = "kappa", pi: Column | str = "pi") -> DataFrame:
     """``rows`` (alt, depth and parameters) with log_norm and resp: log-likelihood and posteriors of each row. Plain columns."""
-    joint = rows.withColumn("__joint", joint_columns("alt", "depth", mu, kappa, pi))
-    summed = joint.withColumn("log_norm", sp.logsumexp("__joint"))
+    laws = {f"__j{k}": (m, c) for k, (m, c) in enumerate(zip(sp.three(mu), sp.three(kappa), strict=True))}
+    joint = F.array(*[F.ln(w + sp.PI_FLOOR) + F.col(j) for j, w in zip(laws, sp.three(pi), strict=True)])
+    rows = sp.with_logpmf(rows, laws).withColumn("__joint", joint).drop(*laws)
+    summed = rows.withColumn("log_norm", sp.logsumexp("__joint"))
     return summed.withColumn("resp", sp.softmax("__joint", "log_norm")).drop("__joint")
 
 

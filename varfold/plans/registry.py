@@ -231,8 +231,8 @@ def _component_masses(spark, sf_dir) -> DataFrame:
 def _map_step(spark, sf_dir, name: str, mu: Column, kappa: Column, penalty: Column) -> DataFrame:
     """The best of 11 values (number i) of a parameter of each component k, with the log-prior -penalty / 2."""
     own = _component_masses(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("i"))
-    a, b = sp.shapes(mu, kappa)
-    s = own.groupBy("chrom", "k", "i").agg(F.sum(F.col("mass") * sp.beta_binom_logpmf("alt", "depth", a, b)).alias("data"), F.max(penalty).alias("penalty"))
+    own = sp.with_logpmf(own.withColumn("penalty", penalty), {"logpmf": (mu, kappa)})
+    s = own.groupBy("chrom", "k", "i").agg(F.sum(F.col("mass") * F.col("logpmf")).alias("data"), F.max("penalty").alias("penalty"))
     scored = s.select("chrom", "k", "i", F.round(F.col("data") - 0.5 * F.col("penalty"), 3).alias("objective"))
     best = scored.groupBy("chrom", "k").agg(F.max(F.struct("objective", (-F.col("i")).alias("i"))).alias("b"))
     return best.select("chrom", F.col("k").alias("component"), (-F.col("b.i")).alias(f"{name}_i"), (F.col("b.objective") + 0.0).alias("objective"))
