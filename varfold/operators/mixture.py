@@ -140,10 +140,12 @@ def fit_mixture(variants: DataFrame, prior: DataFrame, keys: tuple[str, ...] = K
 def e_step(rows: DataFrame, mu: Column | str = "mu", kappa: Column | str = "kappa", pi: Column | str = "pi") -> DataFrame:
     """``rows`` (alt, depth and parameters) with log_norm and resp: log-likelihood and posteriors of each row. Plain columns."""
     laws = {f"__j{k}": (m, c) for k, (m, c) in enumerate(zip(sp.three(mu), sp.three(kappa), strict=True))}
-    joint = F.array(*[F.ln(w + sp.PI_FLOOR) + F.col(j) for j, w in zip(laws, sp.three(pi), strict=True)])
-    rows = sp.with_logpmf(rows, laws).withColumn("__joint", joint).drop(*laws)
-    summed = rows.withColumn("log_norm", sp.logsumexp("__joint"))
-    return summed.withColumn("resp", sp.softmax("__joint", "log_norm")).drop("__joint")
+    rows = sp.with_logpmf(rows, laws).withColumns({f"__w{k}": F.ln(w + sp.PI_FLOOR) + F.col(j) for k, (j, w) in enumerate(zip(laws, sp.three(pi), strict=True))})
+    # Scalars and stages instead of array functions: a lambda would compute the sum anew for each element.
+    w, top = [F.col(f"__w{k}") for k in range(3)], F.col("__top")
+    rows = rows.withColumn("__top", F.greatest(*w))
+    rows = rows.withColumn("log_norm", top + F.ln(F.exp(w[0] - top) + F.exp(w[1] - top) + F.exp(w[2] - top)))
+    return rows.withColumn("resp", F.array(*[F.exp(x - F.col("log_norm")) for x in w])).drop(*laws, "__w0", "__w1", "__w2", "__top")
 
 
 def posteriors(variants: DataFrame, fits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

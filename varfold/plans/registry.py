@@ -225,7 +225,9 @@ def germline_grid_mle(spark, sf_dir):
 def _component_masses(spark, sf_dir) -> DataFrame:
     """(chrom, k, alt, depth, mass): responsibilities after one E-step, one row a component."""
     s = _scored_counts(spark, sf_dir, ("chrom",))
-    return s.select("chrom", "alt", "depth", "weight", F.posexplode("resp").alias("k", "r")).select("chrom", "k", "alt", "depth", (F.col("weight") * F.col("r")).alias("mass"))
+    # Exploding the posteriors themselves would have their whole expression pushed down as a filter; a literal range has none.
+    rows = s.select("chrom", "alt", "depth", "weight", "resp", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    return rows.select("chrom", "k", "alt", "depth", (F.col("weight") * F.get("resp", F.col("k"))).alias("mass"))
 
 
 def _map_step(spark, sf_dir, name: str, mu: Column, kappa: Column, penalty: Column) -> DataFrame:
