@@ -36,10 +36,6 @@ COUNT_ROWS = 1 << 16
 GRID_BLOCKS = 8
 _LOW = np.uint64(0x5555555555555555)
 _ONE = np.uint64(1)
-#: Bands and rows a band: at a Jaccard index of 0.8 a pair meets in some band with probability 1 - (1 - 0.8**4)**24 > 0.99999, at 0.6 with 0.96.
-BANDS, BAND_ROWS = 24, 4
-_MIXERS = np.random.default_rng(20).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + _ONE
-_BAND_MIX = np.random.default_rng(21).integers(1, 1 << 63, (BANDS, BAND_ROWS), dtype=np.uint64) * np.uint64(2) + _ONE
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -71,42 +67,25 @@ def majority(hashes: np.ndarray, width: int = 1) -> np.ndarray:
     return out
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """Keys of min-hash bands over the set of shingles; none for an empty set."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    least = np.full(len(_MIXERS), ~np.uint64(0))
-    for at in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[None, at : at + 4096] * _MIXERS[:, None]).min(1), out=least)
-    key = (least.reshape(BANDS, BAND_ROWS) * _BAND_MIX).sum(1, dtype=np.uint64)
-    return (key ^ (key >> np.uint64(29))).view(np.int64)
-
-
-def _fingerprinter(words: int, width: int, bands: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _fingerprinter(words: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 1):
-            prints, keys = [], []
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_hashes(text, words)
-                prints.append(majority(hashes, width))
-                if bands:
-                    keys.append(band_keys(hashes))
+            prints = [majority(shingle_hashes(text, words), width) for text in batch.column(1).to_pylist()]
             out = [batch.column(0), *(pa.array([p[k] for p in prints], pa.int64()) for k in range(width))]
-            out += [pa.array(keys, pa.list_(pa.int64()))] * bands
-            yield pa.RecordBatch.from_arrays(out, ["id", *(f"fp{k}" for k in range(width)), "keys"][: len(out)])
+            yield pa.RecordBatch.from_arrays(out, ["id", *(f"fp{k}" for k in range(width))])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, width: int = 1, bands: bool = False) -> DataFrame:
-    """(id, fp, fp0 ...) of each document, and its min-hash band keys if asked for. Whole texts, one pass, no shuffle.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, width: int = 1) -> DataFrame:
+    """(id, fp, fp0 ...) of each document. Whole texts, one pass, no shuffle.
 
     fp0 and on are the fingerprint's ``width`` longs; fp stands for all of them (it is fp0 if there is one, else their hash).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     longs = [f"fp{k}" for k in range(width)]
-    found = rows.mapInArrow(_fingerprinter(words, width, bands), "id long, " + ", ".join(f"{c} long" for c in longs) + ", keys array<long>" * bands)
-    return found.select("id", (F.xxhash64(*longs) if width > 1 else F.col("fp0")).alias("fp"), *longs, *["keys"] * bands)
+    found = rows.mapInArrow(_fingerprinter(words, width), "id long, " + ", ".join(f"{c} long" for c in longs))
+    return found.select("id", (F.xxhash64(*longs) if width > 1 else F.col("fp0")).alias("fp"), *longs)
 
 
 def counts_of(fp: np.ndarray) -> np.ndarray:
@@ -253,28 +232,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return assign_components(prints, links(cells, max_distance))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
-    """(id, fp, component_id) where documents of a SimHash similarity (1 - bits / all bits) of ``similarity`` or more are linked.
-
-    Fingerprints have ``width`` times 64 bits here: at 64 bits the share of differing bits scatters so much that pairs
-    well below the threshold pass it and others well above don't; at 256 that scatter is half as wide. At 0.8 this allows 51 of
-    256 bits. A grid of counts can't separate fingerprints at that radius (a choice of blocks that so many bits leave
-    untouched has no counts left). So candidates are pairs that meet in a band of min-hashes over their shingles; in such
-    cells the Manhattan bound and the exact Hamming test apply as in the grid, and large cells are cut in the same way.
-    """
-    most = int(64 * width * (1 - similarity) + 1e-9)
-    prints = SharedTable(fingerprints(docs, id_col, text_col, words, width, bands=True), "prints").df
-    longs = [f"fp{k}" for k in range(width)]
-    cells = prints.select(F.explode("keys").alias("cell"), "fp", *longs).distinct()
-    return assign_components(prints.select("id", "fp"), links(cells, most))
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` less its near-duplicates: of each component the document with the smallest id stays.
 
+    Links are all pairs whose sets of ``words``-word shingles have an exact Jaccard index of ``similarity`` or more.
     Rows that share an id stand or fall together, but exact repeats of id and text are reduced to one. Rows with a
     null id have no place in a component's order and all stay.
     """
+    from varfold.llm.jaccard import near_duplicates  # which builds on this module
+
     found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, similarity)
     keep = found.where("id = component_id").select(F.col("id").alias("__kept")).distinct()
     once = docs.join(keep, F.col(id_col) == F.col("__kept"), "left_semi")
