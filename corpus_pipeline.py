@@ -7,7 +7,7 @@ stage's ``docs``. All but the last return the columns of ``documents``:
 2. near_dedup: of each group of near-duplicates the document with the smallest id stays;
 3. decontaminate: documents in which a benchmark item occurs within its error budget go;
 4. secrets: secrets in the texts are replaced by a mark, and n_chars is set anew;
-5. segmentation: each text becomes two sampled segmentations (ids as four bytes little-endian a piece) with inclusion scores.
+5. segmentation: each text becomes four sampled segmentations (ids as four bytes little-endian a piece) with inclusion scores.
 
 Defined results: rows with null texts count as empty texts in every stage; an empty table gives an empty result.
 SQL cannot express the stages, so ORACLE_SQL is None and tests/llm/test_pipeline.py holds them against plain versions.
@@ -27,8 +27,8 @@ from varfold.llm.secrets import redact_secrets
 from varfold.llm.segmentation import default_model, sample_segmentations
 from varfold.llm.simhash import keep_one
 
-#: Segmentations of each text.
-SEGMENTATIONS = 2
+#: Segmentations of each text, as many as ``op2_segmentations`` takes.
+SEGMENTATIONS = 4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group, at five-word shingles and a similarity of 0.8."""
+    """Keep one document of each group, at a Jaccard index of 0.8 over five-word shingles."""
     return keep_one(docs)
 
 
