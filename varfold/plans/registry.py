@@ -14,7 +14,7 @@ from varfold.functions import special as sp
 from varfold.operators import germline as g
 from varfold.operators import mixture as m
 from varfold.operators.prior import default_prior, germline_prior, priors
-from varfold.operators.specs import FitOptions, GermlineSpec, SomaticMixtureSpec
+from varfold.operators.specs import GermlineSpec, SomaticMixtureSpec
 from varfold.operators.variants import genotype_class, germline_variants, histogram, is_common
 from varfold.sources import vcf
 from varfold.sources.arms import CHROMOSOMES, arm_rows, arm_table, reduce_arms, with_arm
@@ -290,14 +290,14 @@ def fit_arm(spark, sf_dir):
 
 
 def fit_sample_arm(spark, sf_dir):
-    """Every chromosome arm of every sample, with one restart."""
-    return m.fit_arms(_germline(spark, sf_dir), _somatic(spark, sf_dir), KEYS, options=FitOptions(n_restarts=1))
+    """Every chromosome arm of every sample."""
+    return m.fit_arms(_germline(spark, sf_dir), _somatic(spark, sf_dir), KEYS)
 
 
 def predicted(spark, sf_dir):
     """Label counts under the fitted mixtures."""
     somatic = _somatic(spark, sf_dir)
-    fits = m.fit_mixture(somatic, priors(somatic.select(*ARM).distinct(), None, ARM), ARM, options=FitOptions(n_restarts=1))
+    fits = m.fit_mixture(somatic, priors(somatic.select(*ARM).distinct(), None, ARM), ARM)
     return m.predict(somatic, fits, ARM, 0.5).groupBy(*ARM, "label").agg(F.count("*").alias("n"))
 
 
