@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -89,6 +91,54 @@ def test_samples_depend_on_the_key_only():
         assert all(sg.decode(x[0], spelt) == text for x in found)
 
 
+def exact(found) -> list:
+    return [[(ids.tobytes(), log_p.hex(), value.hex(), inclusion.hex()) for ids, log_p, value, inclusion in f] for f in found]
+
+
+def test_results_are_the_same_to_the_last_bit_in_any_block():
+    """One block, blocks of seven, single rows; warm and cold lattices; lattices built in another order."""
+    frame = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet' order by doc_id limit 120").fetchall()
+    frame += [(900, "x" * 700), (901, "ab cd " * 300), (902, ""), (903, "\n" * 500), (904, "日本語の文章です。" * 40), (905, "zq" * 60 + " \U0001f600 end")]
+    keys, texts = map(list, zip(*frame, strict=True))
+    vocabulary = sg.Vocabulary.load(sg.default_model())
+    warm = sg.Lattices(vocabulary)
+    whole = exact(sg.Sampler(warm, 0).sample(keys, texts, 4))
+    assert exact(sg.Sampler(warm, 0).sample(keys, texts, 4)) == whole
+    sampler = sg.Sampler(sg.Lattices(vocabulary), 0)
+    sevens = [x for i in range(0, len(keys), 7) for x in exact(sampler.sample(keys[i : i + 7], texts[i : i + 7], 4))]
+    assert sevens == whole
+    for lattices in (warm, sg.Lattices(vocabulary)):
+        single = [exact(sg.Sampler(lattices, 0).sample([k], [t], 4))[0] for k, t in reversed(frame)][::-1]
+        assert single == whole
+    for i in range(0, len(keys), 15):
+        lattices = sg.Lattices(vocabulary)
+        assert exact(sg.Sampler(lattices, 0).sample([keys[i]], [texts[i]], 4))[0] == whole[i]
+
+
+def test_pruned_regions_never_win():
+    """The search that stops early gives what a search over every decision gives."""
+    v, keys = tiny(), list(range(60))
+    texts = ["abab aba c " * (i % 9) + "ab" * (i % 5) for i in keys]
+    found = exact(sg.Sampler(sg.Lattices(v), 2).sample(keys, texts, 4))
+    whole, sg._HIGHEST = sg._HIGHEST, 1e9
+    try:
+        assert exact(sg.Sampler(sg.Lattices(v), 2).sample(keys, texts, 4)) == found
+    finally:
+        sg._HIGHEST = whole
+
+
+def test_parts():
+    for text in ["", " a b", " a  b", " a\n\nb c\n", " a \n b", " a ", "\0 x\0y z", " \n", " é\t\u3000 b\r\n"]:
+        assert sg.split_parts(text) == sg._PARTS.findall(text)
+
+
+def test_long_runs_take_time_in_proportion():
+    sampler = sg.Sampler(sg.Lattices(sg.Vocabulary.load(sg.default_model())), 0)
+    began = time.perf_counter()
+    (found,) = sampler.sample([1], ["themeinerationst" * 16_000], 4)
+    assert len(found) == 4 and time.perf_counter() - began < 30
+
+
 def test_hard_rows_and_round_trip(spark):
     texts = [None, "", " ", "\n", "a▁b ▁", "  two  spaces ", "x" * 100_000, "word " * 20_000, "\U0001f600 é\t\r\n", "<s> <0x41> </s>"]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(None, "one", "c"), (3, "\n", "c")], "doc_id long, text string, ids string")

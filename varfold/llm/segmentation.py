@@ -11,7 +11,7 @@ by an A* search over regions of the lattice: the best segmentation of a region i
 probabilities, and what is left of the region falls into disjoint regions (same pieces up to a point, another piece
 there), whose exact mass gives the law of their largest perturbed value, truncated at the value just taken. The region
 with the largest value is next. All random numbers are hashes of the row key, the sample's number and the
-place, so a row's samples depend on nothing else. The inclusion score of a sample is the probability that its value
+place, and all sums run over a row's own pieces, so a row's samples and scores depend on nothing else, to the last bit. The inclusion score of a sample is the probability that its value
 exceeds the (k + 1)-th largest value, given the latter: 1 - exp(-exp(log p - threshold)).
 
 Decoding joins the pieces' bytes; every segmentation decodes to the text exactly.
@@ -23,9 +23,11 @@ one key; empty tables give empty results; columns other than the two named ones
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,16 @@ from pyspark.sql import functions as F
 from varfold.llm.common import SpanHashes, blocks, span_hashes, table
 
 #: Edges of lattices kept by a Python worker, beyond which it starts anew; bytes of text sampled together.
-KEPT_EDGES = 2_000_000
+KEPT_EDGES = 5_000_000
 _TOGETHER = 1 << 18
 #: The factor (its logarithm) that lifts sums of weights for each character, and the longest rest of a part that is summed so.
 _LIFT, _PLAIN = 3.0, 48
+#: Rows of a long part's table that are lists at a time; parts so few are drawn one after the other.
+_ROWS, _FEW = 4096, 4
+#: Uniform numbers lie in 2**-53 to 1 - 2**-53, so none has a Gumbel value above this.
+_HIGHEST = 36.75
 _PARTS = re.compile(" *[^ \n]+| +|\n")
+_ODD_SPACES = re.compile("  | \n| $|\0")
 _U = np.uint64
 
 
@@ -95,9 +102,9 @@ def _to_unit(x: np.ndarray) -> np.ndarray:
     return u
 
 
-def _again(seed: np.ndarray, turn: int) -> np.ndarray:
-    """Further numbers in (0, 1) from well-mixed seeds, one for each turn."""
-    x = seed * _times(_PLACE, 2 * turn + 1)
+def _again(seed: np.ndarray, factor: np.ndarray | np.uint64) -> np.ndarray:
+    """Further numbers in (0, 1) from well-mixed seeds, one for each turn's factor."""
+    x = seed * factor
     x ^= x >> _U(32)
     x *= _U(0xD6E8FEB86659FD93)
     x ^= x >> _U(29)
@@ -111,6 +118,13 @@ def _times(factor: np.uint64, n: int) -> np.uint64:
 _SAMPLE, _PLACE, _REGION = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x27D4EB2F165667C5)
 
 
+def split_parts(text: str) -> list[str]:
+    """The parts of a text: words with the spaces before them, line ends, and spaces that no word follows."""
+    if _ODD_SPACES.search(text):
+        return _PARTS.findall(text)
+    return list(filter(None, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
+
+
 class Lattices:
     """The lattices of the distinct strings of texts, in flat arrays; those of a block of texts are built all at once."""
 
@@ -132,6 +146,8 @@ class Lattices:
         self._length = np.ones(vocabulary.size + 4)
         for p, i in vocabulary.ids.items():
             self._length[i] = len(p)
+        # Sums of weights, each character lifted by a factor that keeps them near 1.
+        self._lifted = np.exp(self._weight + _LIFT * np.concatenate((self._length, [0.0])))
         self.clear()
 
     def _look_up(self, h: np.ndarray) -> np.ndarray:
@@ -149,97 +165,114 @@ class Lattices:
 
     def clear(self) -> None:
         self._number: dict[str, int] = {}
-        self._states = self._edges = 0
-        size = KEPT_EDGES + (KEPT_EDGES >> 2)
+        self._states = self._edges = self._parts = 0
         #: By edge: ``next`` state (-1 at the part's end), ``symbol`` (a piece, or the vocabulary's size plus a code point that
-        #: is written in bytes), ``log_p`` given the state, ``log_rest`` (of 1 less that), ``share`` (cumulative within the state).
+        #: is written in bytes), ``log_p`` given the state (0 if it is the only edge), ``share`` (cumulative within the state).
+        size = KEPT_EDGES + (KEPT_EDGES >> 2)
         self.next, self.symbol = np.empty(size, np.int32), np.empty(size, np.int32)
-        self.log_p, self.log_rest, self.share = np.empty(size), np.empty(size), np.empty(size)
-        #: By state: its first edge; one more at the end.
-        self.first = np.zeros(1, np.int64)
+        self.log_p, self.share = np.empty(size), np.empty(size)
+        #: By state: its first edge, one more at the end. By part: its first state.
+        self.first, self._starts = np.zeros(size // 2, np.int64), np.empty(size // 8, np.int64)
 
-    def _put(self, name: str, values: np.ndarray) -> None:
+    def _put(self, name: str, begin: int, values: np.ndarray) -> None:
         held = getattr(self, name)
-        end = self._edges + len(values)
+        end = begin + len(values)
         if end > len(held):
-            held = np.concatenate((held[: self._edges], np.empty(end + (end >> 1) - self._edges, held.dtype)))
+            held = np.concatenate((held[:begin], np.empty(end + (end >> 1) - begin, held.dtype)))
             setattr(self, name, held)
-        held[self._edges : end] = values
+        held[begin:end] = values
 
     def starts(self, parts: list[str]) -> np.ndarray:
         """The first state of each part. A state is a place in a distinct part; parts seen before are not built again."""
         if self._edges > KEPT_EDGES:
             self.clear()
-        number = self._number
-        new = [p for p in dict.fromkeys(parts) if p not in number]
-        if new:
-            self._build(new)
-        return np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+        numbers = np.fromiter(map(self._number.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            asked = [parts[i] for i in missing.tolist()]
+            new = dict.fromkeys(asked)
+            self._number.update(zip(new, count(len(self._number))))
+            self._build(list(new))
+            numbers[missing] = np.fromiter(map(self._number.__getitem__, asked), np.int64, len(asked))
+        return self._starts[numbers]
+
+    def _long_sums(self, part: np.ndarray, after: np.ndarray, begin: int, end: int) -> None:
+        """``after`` (logarithms) of the places begin to end of one long part, from the last to the first; those from end on are known."""
+        weight = self._weight.tolist()
+        held = after[end : end + part.shape[1]].tolist()  # of the places that follow, the nearest first
+        for at in range(end, begin, -_ROWS):
+            low = max(at - _ROWS, begin)
+            found = []
+            for row in reversed(part[low:at].tolist()):
+                values = [weight[s] + a for s, a in zip(row, held, strict=False) if s >= 0]
+                top = max(values)
+                value = top + math.log(sum([math.exp(v - top) for v in values]))
+                found.append(value)
+                held.insert(0, value)
+                held.pop()
+            after[low:at] = found[::-1]
 
     def _build(self, new: list[str]) -> None:
         data, starts, ends = _code_points(new)
         sizes, size = ends - starts, self.vocabulary.size
         places = _ranges(starts, sizes)
         left = np.repeat(ends, sizes) - places  # characters from a state to its part's end
-        # A table of states and widths with the piece there is; one prefix sum gives the hashes of all spans.
-        table_ = np.full((len(places), max(self.longest, 1)), -1, np.int32)
+        # A table of states and widths, the longest first, with the piece there is; one prefix sum gives the hashes of all spans.
+        bits = max(self.longest - 1, 0).bit_length()
+        table_ = np.full((len(places), 1 << bits), -1, np.int32)
         spans = SpanHashes(data)
         for width in range(1, self.longest + 1):
             row = np.flatnonzero(left >= width)
             if not len(row):
                 break
-            table_[row, width - 1] = self._look_up(spans.all(width)[places[row]])
-        odd = np.flatnonzero(table_[:, 0] < 0)  # a character that is no piece becomes bytes
+            table_[row, -width] = self._look_up(spans.all(width)[places[row]])
+        odd = np.flatnonzero(table_[:, -1] < 0)  # a character that is no piece becomes bytes
         code = data[places[odd]].astype(np.int64)
-        table_[odd, 0] = size + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
-        # Backward sums, from the ends of all parts at once.
+        table_[odd, -1] = size + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        # Backward sums, from the ends of all parts at once; where a part is too long for plain sums, their logarithms.
+        plain, lift = np.zeros(len(places) + 1), self._lifted
+        near = np.flatnonzero(left <= _PLAIN)
+        order = near[np.argsort(left[near].astype(np.uint8), kind="stable")]
+        levels = np.concatenate(([0], np.cumsum(np.bincount(left[order], minlength=_PLAIN + 1))))
+        for level in range(1, _PLAIN + 1):
+            rows = order[levels[level] : levels[level + 1]]
+            if not len(rows):
+                break
+            deep = min(level, self.longest)
+            found = table_[rows, -deep:].T
+            total = lift[found[0]] * (1.0 if deep == level else plain[rows + deep])
+            for w in range(1, deep):
+                total += lift[found[-w]] * plain[rows + w]
+            plain[rows] = total
         after = np.zeros(len(places) + 1)
-        order = np.argsort(np.minimum(left, 0xFFFF).astype(np.uint16) if left.max(initial=0) < 0xFFFF else left, kind="stable")
-        levels = np.flatnonzero(np.diff(left[order], prepend=0, append=0))
-        # Sums of weights, each character lifted by a factor that keeps them near 1; where a part is too long for that, their logarithms.
-        lift = np.exp(self._weight + _LIFT * np.concatenate((self._length, [0.0])))
-        plain, logs = np.zeros(len(places) + 1), False
-        for a, b in zip(levels[:-1], levels[1:], strict=True):
-            rows = order[a:b]
-            level = int(left[rows[0]])
-            deep = min(level, table_.shape[1])
-            if level <= _PLAIN:
-                found = table_[rows, :deep].T
-                total = lift[found[deep - 1]] * (1.0 if deep == level else plain[rows + deep])
-                for w in range(deep - 1):
-                    total += lift[found[w]] * plain[rows + w + 1]
-                plain[rows] = total
-                continue
-            if not logs:
-                done = left <= _PLAIN
-                after[:-1][done], logs = np.log(plain[:-1][done]) - _LIFT * left[done], True
-            value = self._weight[table_[rows, :deep]] + after[rows[:, None] + np.arange(1, deep + 1)]
-            top = value.max(1)
-            after[rows] = top + np.log(np.exp(value - top[:, None]).sum(1))
-        if not logs:
-            after[:-1] = np.log(plain[:-1]) - _LIFT * left
+        after[near] = np.log(plain[near]) - _LIFT * left[near]
+        begins = np.cumsum(sizes) - sizes
+        for k in np.flatnonzero(sizes > _PLAIN).tolist():
+            mine = slice(int(begins[k]), int(begins[k] + sizes[k]))
+            self._long_sums(table_[mine, : -self.longest - 1 : -1], after[mine], 0, int(sizes[k]) - _PLAIN)
         flat = np.flatnonzero(table_.ravel() >= 0)
-        source, width = np.divmod(flat, table_.shape[1])
+        source, width = flat >> bits, (1 << bits) - (flat & ((1 << bits) - 1))
         symbol = table_.ravel()[flat]
         counts = np.bincount(source, minlength=len(places))
-        inside = width + 1 < left[source]
-        target = source + width + 1
+        inside = width < left[source]
+        target = source + width
         log_p = self._weight[symbol] + np.where(inside, after[np.minimum(target, len(places))], 0.0) - after[source]
         first = np.concatenate(([0], np.cumsum(counts)))
-        symbol[first[:-1][odd]] = size + code
-        one = counts[source] == 1
-        log_p[one] = 0.0
-        p = np.exp(log_p)
-        sums = np.cumsum(p)
-        share = sums - np.concatenate(([0.0], sums))[first[source]]
+        symbol[first[1:][odd] - 1] = size + code
+        log_p = np.where(counts[source] == 1, 0.0, np.minimum(log_p, -1e-17))
+        share = np.exp(log_p)
+        several, k = np.flatnonzero(counts > 1), 1
+        while len(several):  # running sums within each state, whatever stands beside it
+            at = first[several] + k
+            share[at] += share[at - 1]
+            k += 1
+            several = several[counts[several] > k]
         share[first[1:] - 1] = 2.0  # the last edge takes what is left
-        rest = np.full(len(p), -np.inf)
-        several = np.flatnonzero(~one)
-        rest[several] = np.log(-np.expm1(np.minimum(log_p[several], -1e-17)))
-        for name, values in (("next", np.where(inside, target + self._states, -1)), ("symbol", symbol), ("log_p", log_p), ("log_rest", rest), ("share", share)):
-            self._put(name, values)
-        self._number.update(zip(new, (np.cumsum(sizes) - sizes + self._states).tolist(), strict=True))
-        self.first = np.concatenate((self.first[:-1], first + self._edges))
+        for name, values in (("next", np.where(inside, target + self._states, -1)), ("symbol", symbol), ("log_p", log_p), ("share", share)):
+            self._put(name, self._edges, values)
+        self._put("_starts", self._parts, begins + self._states)
+        self._put("first", self._states, first + self._edges)
+        self._parts += len(new)
         self._states += len(places)
         self._edges += len(symbol)
 
@@ -252,6 +285,22 @@ class Lattices:
             on = on[self.share[edge[on]] < u[on]]
         return edge
 
+    def walk(self, state: int, seed: np.uint64, turn: int) -> list[int]:
+        """The edges from a state to its part's end, with the numbers of the turns from ``turn`` on; the same as ``pick`` turn by turn."""
+        first, share, next_, out = self.first, self.share, self.next, []
+        while state >= 0:
+            turns = np.arange(turn, turn + 256, dtype=_U)
+            for u in _again(np.full(256, seed), _PLACE * (_U(2) * turns + _U(1))).tolist():
+                edge = int(first[state])
+                while share[edge] < u:
+                    edge += 1
+                out.append(edge)
+                state = int(next_[edge])
+                if state < 0:
+                    break
+            turn += 256
+        return out
+
     def expand(self, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of symbols, with the bounds of runs of symbols turned into bounds of runs of ids."""
         size, byte_ids = self.vocabulary.size, self.vocabulary.byte_ids
@@ -280,14 +329,16 @@ def _code_points(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 @dataclass
 class _Drawn:
-    """One sample of each text that has one: its decisions in a row."""
+    """One sample of each text that has one: its decisions in a row, and the regions that leave it."""
 
     bounds: np.ndarray  # by text: where its decisions begin; one more at the end
     edge: np.ndarray
     value: np.ndarray  # by text: perturbed log-probability, -inf where there is no sample
-    open: np.ndarray  # by decision: the largest value of the region that leaves the sample here, -inf if closed
     from_: np.ndarray  # by text: the decision from which the sample left its parent
     out: dict  # by text: pieces taken out at that decision
+    region: np.ndarray  # by text: the largest values of its regions in falling order, -inf beyond them
+    where: np.ndarray  # the decisions at which these leave
+    taken: np.ndarray  # by text: how many of them have been sampled
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -297,7 +348,10 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Sampler:
-    """Samples segmentations of several texts at once."""
+    """Samples segmentations of several texts at once.
+
+    A text's results are sums over its own decisions in their order, so they are the same to the last bit whatever texts stand beside it.
+    """
 
     def __init__(self, lattices: Lattices, seed: int) -> None:
         self.lattices, self.seed = lattices, seed
@@ -305,24 +359,25 @@ class Sampler:
     def sample(self, keys: list[int | None], texts: list[str], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text its samples in falling order of value: (ids, log-probability, value, inclusion)."""
         n, lat = len(texts), self.lattices
-        lists = [_PARTS.findall(" " + t) if t else [] for t in texts]
+        lists = [split_parts(" " + t) if t else [] for t in texts]
         first = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
         starts = lat.starts([p for x in lists for p in x])
         key = _mix(np.array([(hash_key if hash_key is not None else 0x5EED) & (2**64 - 1) for hash_key in keys], _U) * _SAMPLE + _U(self.seed & (2**64 - 1)))
         has = np.diff(first) > 0
         root = np.where(has, -np.log(-np.log(_uniform(key ^ _REGION))), 0.0)
-        drawn = [self._draw(0, key, first, starts, None, np.where(has, root, -np.inf))]
+        drawn = [self._draw(0, k, key, first, starts, None, np.where(has, root, -np.inf))]
         for j in range(1, k + 1):
-            best, whose, where = self._best(drawn, n)
+            best, whose = self._best(drawn)
             if j == k or not np.isfinite(best).any():
                 break
-            drawn.append(self._draw(j, key, first, starts, (drawn, whose, where), best))
-        limit = self._best(drawn, n)[0]
+            drawn.append(self._draw(j, k, key, first, starts, (drawn, whose), best))
+        limit = self._best(drawn)[0]
         out: list[list] = [[] for _ in range(n)]
         for d in drawn:
             ids, bounds = lat.expand(lat.symbol[d.edge], d.bounds)
-            sums = np.concatenate(([0.0], np.cumsum(lat.log_p[d.edge])))
-            log_p = sums[d.bounds[1:]] - sums[d.bounds[:-1]]
+            log_p, some = np.zeros(n), np.flatnonzero(np.diff(d.bounds))
+            if len(some):
+                log_p[some] = np.add.reduceat(lat.log_p[d.edge], d.bounds[some])
             inclusion = -np.expm1(-np.exp(np.minimum(log_p - limit, 700.0)))
             for i in np.flatnonzero(np.isfinite(d.value)).tolist():
                 out[i].append((ids[bounds[i] : bounds[i + 1]], float(log_p[i]), float(d.value[i]), float(inclusion[i])))
@@ -331,107 +386,129 @@ class Sampler:
         return out
 
     @staticmethod
-    def _best(drawn: list[_Drawn], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text the open region of the largest value: the value, its sample, its decision."""
-        best, whose, where = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for s, d in enumerate(drawn):
-            mine = np.flatnonzero(np.diff(d.bounds) > 0)
-            if not len(mine):
-                continue
-            top = np.maximum.reduceat(d.open, d.bounds[mine])
-            more = top > best[mine]
-            if not more.any():
-                continue
-            owner = np.repeat(np.arange(len(mine)), np.diff(d.bounds)[mine])
-            hit = np.flatnonzero((d.open == top[owner]) & more[owner])
-            _, one = np.unique(owner[hit], return_index=True)
-            best[mine[more]], whose[mine[more]], where[mine[more]] = top[more], s, hit[one]
-        return best, whose, where
-
-    def _draw(self, j: int, key: np.ndarray, first: np.ndarray, starts: np.ndarray, source: tuple | None, value: np.ndarray) -> _Drawn:
-        """Sample number j of each text whose value is finite, from the regions of ``source`` (or from everything)."""
+    def _best(drawn: list[_Drawn]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the open region of the largest value: the value and its sample."""
+        tops = np.stack([d.region[np.arange(len(d.taken)), d.taken] for d in drawn])
+        whose = tops.argmax(0)
+        return tops[whose, np.arange(tops.shape[1])], whose
+
+    def _turn(self, source: tuple, texts: np.ndarray, u: np.ndarray, edge: np.ndarray, rest: np.ndarray, head: np.ndarray, parts: np.ndarray) -> dict[int, list[int]]:
+        """Take the best region of each text: the decisions kept (``head``) and the parts that they end (``parts``), the edge taken there
+        instead, and the logarithm of the others' share (``rest``). Gives the edges taken out by text."""
+        lat, outs = self.lattices, {}
+        for s, d in enumerate(source[0]):
+            mine = texts[source[1][texts] == s]
+            at = d.where[mine, d.taken[mine]]
+            d.taken[mine] += 1
+            head[mine] = at - d.bounds[mine]
+            ended = lat.next[d.edge[_ranges(d.bounds[mine], head[mine])]] < 0
+            parts[mine] = np.bincount(np.repeat(np.arange(len(mine)), head[mine]), ended, len(mine))
+            taken = d.edge[at]
+            state = np.searchsorted(lat.first[: lat._states + 1], taken, side="right") - 1
+            again = at == d.from_[mine]
+            for i, e, low, high, same in zip(mine.tolist(), taken.tolist(), lat.first[state].tolist(), lat.first[state + 1].tolist(), again.tolist(), strict=True):
+                gone = [e, *(d.out.get(i, []) if same else [])]
+                edges = [x for x in range(low, high) if x not in gone]
+                p = [math.exp(lat.log_p[x]) for x in edges]
+                want, k = u[i] * sum(p), 0
+                while k + 1 < len(p) and want > p[k]:
+                    want -= p[k]
+                    k += 1
+                others = sum(p[:k] + p[k + 1 :])
+                edge[i], rest[i], outs[i] = edges[k], math.log(others) if others > 0 else -np.inf, gone
+        return outs
+
+    def _draw(self, j: int, k: int, key: np.ndarray, first: np.ndarray, starts: np.ndarray, source: tuple | None, value: np.ndarray) -> _Drawn:
+        """Sample number j of each text whose value is finite, from the best regions of ``source`` (or from everything)."""
         lat, n = self.lattices, len(key)
         texts = np.flatnonzero(np.isfinite(value))
         salt = key + _times(_SAMPLE, j + 1)
-        head = np.zeros(n, np.int64)  # decisions kept from the parent
-        turned_edge = np.zeros(n, np.int64)
-        outs: dict[int, list[int]] = {}
-        parents: list[_Drawn] = []
-        whose = where = None
+        head, parts, turned, turned_edge = (np.zeros(n, np.int64) for _ in range(4))
+        rest, outs = np.full(n, -np.inf), {}
         part_from = first[:-1].copy()  # parts from here on are drawn anew
-        next_state = np.full(n, -1, np.int64)
+        tail = np.empty(0, np.int64)
         if source is not None:
-            parents, whose, where = source
-            u = _uniform(salt ^ _REGION)
-            for i in texts.tolist():
-                d, at = parents[whose[i]], int(where[i])
-                taken = int(d.edge[at])
-                state = int(np.searchsorted(lat.first, taken, side="right")) - 1
-                gone = [taken, *(d.out.get(i, []) if at == d.from_[i] else [])]
-                edges = [e for e in range(int(lat.first[state]), int(lat.first[state + 1])) if e not in gone]
-                p = np.exp(lat.log_p[edges])
-                edge = edges[min(int(np.searchsorted(np.cumsum(p), u[i] * p.sum())), len(edges) - 1)]
-                d.open[at] = -np.inf
-                begin = int(d.bounds[i])
-                head[i], turned_edge[i], outs[i], next_state[i] = at - begin, edge, gone, lat.next[edge]
-                part_from[i] += 1 + int(np.count_nonzero(lat.next[d.edge[begin:at]] < 0))
+            outs = self._turn(source, texts, _uniform(salt ^ _REGION), turned_edge, rest, head, parts)
+            turned[texts] = 1
+            part_from += parts
+            tail = texts[lat.next[turned_edge[texts]] >= 0]
+            part_from[np.setdiff1d(texts, tail)] += 1
         # Draw the parts anew, all at once: first what is left of the part in which the sample turned off.
-        rest = np.zeros(n, np.int64)
-        rest[texts] = first[1:][texts] - part_from[texts]
-        fresh = _ranges(part_from, rest)
-        tail = texts[next_state[texts] >= 0] if source is not None else np.empty(0, np.int64)
-        part = np.concatenate((part_from[tail] - 1, fresh))
-        owner = np.concatenate((tail, np.repeat(np.arange(n), rest)))
-        state = np.concatenate((next_state[tail], starts[fresh]))
-        order = np.lexsort((part, owner)) if len(tail) else np.arange(len(part))
-        part, owner, state = part[order], owner[order], state[order]
+        counts = np.zeros(n, np.int64)
+        counts[texts] = (first[1:] - part_from)[texts]
+        owner = np.repeat(np.arange(n), counts)
+        part = _ranges(part_from, counts)
+        state = starts[part]
+        state[(np.cumsum(counts) - counts)[tail]] = lat.next[turned_edge[tail]]
         seed = _mix(salt[owner] + _PLACE * (part - first[owner]).astype(_U))
         turns: list[tuple[np.ndarray, np.ndarray]] = []
-        live, turn = np.arange(len(part)), 0
-        while len(live):
-            edge = lat.pick(state, _again(seed[live], turn))
+        lengths = np.zeros(len(part), np.int64)
+        live, turn, walks = np.arange(len(part)), 0, {}
+        while len(live) > _FEW:
+            edge = lat.pick(state, _again(seed[live], _times(_PLACE, 2 * turn + 1)))
             turns.append((live, edge))
+            lengths[live] += 1
             state = lat.next[edge]
-            on = state >= 0
+            on = np.flatnonzero(state >= 0)
             live, state, turn = live[on], state[on], turn + 1
-        lengths = np.zeros(len(part), np.int64)
-        for t, (live, _) in enumerate(turns):
-            lengths[live] = t + 1
+        for i, s in zip(live.tolist(), state.tolist(), strict=True):
+            walks[i] = lat.walk(s, seed[i], turn)
+            lengths[i] += len(walks[i])
         tail_count = np.bincount(owner, lengths, n).astype(np.int64)
-        turned = np.zeros(n, np.int64)
-        if source is not None:
-            turned[texts] = 1
         bounds = np.concatenate(([0], np.cumsum(head + turned + tail_count)))
-        total = int(bounds[-1])
-        out_edge = np.empty(total, np.int64)
+        edges = np.empty(int(bounds[-1]), np.int64)
         place = (bounds[:-1] + head + turned - (np.cumsum(tail_count) - tail_count))[owner] + np.cumsum(lengths) - lengths
         for t, (live, edge) in enumerate(turns):
-            out_edge[place[live] + t] = edge
-        if source is not None:
-            out_edge[bounds[texts] + head[texts]] = turned_edge[texts]
-            for s, d in enumerate(parents):
-                mine = texts[whose[texts] == s]
-                to, of = _ranges(bounds[mine], head[mine]), _ranges(d.bounds[mine], head[mine])
-                out_edge[to] = d.edge[of]
-        # The regions that leave this sample: at the turn and after it.
-        owner_all = np.repeat(np.arange(n), np.diff(bounds))
-        sums = np.concatenate(([0.0], np.cumsum(lat.log_p[out_edge])))
-        mass = sums[:-1] - sums[bounds[:-1]][owner_all] + lat.log_rest[out_edge]
-        fresh_from = bounds[:-1] + head
+            edges[place[live] + t] = edge
+        for i, walk in walks.items():
+            edges[place[i] + turn : place[i] + turn + len(walk)] = walk
         if source is not None:
-            for i in texts.tolist():
-                at = fresh_from[i]
-                left = 1.0 - float(np.exp(lat.log_p[[out_edge[at], *outs[i]]]).sum())
-                state = int(np.searchsorted(lat.first, out_edge[at], side="right")) - 1
-                several = lat.first[state + 1] - lat.first[state] > len(outs[i]) + 1
-                mass[at] = sums[at] - sums[bounds[i]] + np.log(left) if several and left > 1e-15 else -np.inf
-        region = np.full(total, -np.inf)
-        new = np.flatnonzero((np.arange(total) >= fresh_from[owner_all]) & np.isfinite(mass))
-        o = owner_all[new]
-        u = _uniform(salt[o] + _REGION * (new - bounds[o] + 1).astype(_U))
-        m = mass[new]
-        region[new] = m - np.log(np.exp(m - value[o]) - np.log(u))
-        return _Drawn(bounds, out_edge, value, region, fresh_from, outs)
+            edges[bounds[texts] + head[texts]] = turned_edge[texts]
+            for s, d in enumerate(source[0]):
+                mine = texts[source[1][texts] == s]
+                edges[_ranges(bounds[mine], head[mine])] = d.edge[_ranges(d.bounds[mine], head[mine])]
+        region, where = self._regions(k, salt, bounds, edges, head, rest, source is not None, value)
+        return _Drawn(bounds, edges, value, bounds[:-1] + head, outs, region, where, np.zeros(n, np.int64))
+
+    def _regions(self, k: int, salt: np.ndarray, bounds: np.ndarray, edges: np.ndarray, head: np.ndarray, rest: np.ndarray, turned: bool, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k largest values of the regions that leave each sample at its turn or later, and their decisions.
+
+        A region of log-mass m has the value m - log(exp(m - value) - log u), which rises with m - log(-log u); m is the
+        log-probability of the decisions before it, which only falls, and more. So a text is done as soon as that and the largest
+        Gumbel value together are below the k-th largest found.
+        """
+        lat, n = self.lattices, len(value)
+        best, mass, noise, where = np.full((n, k), -np.inf), np.zeros((n, k)), np.ones((n, k)), np.zeros((n, k), np.int64)
+        live, at, size, before = np.flatnonzero(np.diff(bounds)), 0, 32, np.zeros(n)
+        while len(live):
+            column = at + np.arange(size)
+            here = bounds[live][:, None] + column
+            beyond = here >= bounds[live + 1][:, None]
+            log_p = lat.log_p[edges[np.where(beyond, bounds[live][:, None], here)]]
+            log_p[beyond] = 0.0
+            sums = np.cumsum(np.concatenate((before[live][:, None], log_p), 1), 1)
+            m = np.full(log_p.shape, -np.inf)
+            open_ = (log_p < 0) & (column >= head[live][:, None])
+            m[open_] = sums[:, :-1][open_] + np.log(-np.expm1(log_p[open_]))
+            if turned:
+                row = np.flatnonzero((head[live] >= at) & (head[live] < at + size))
+                m[row, head[live[row]] - at] = sums[row, head[live[row]] - at] + rest[live[row]]
+            x = np.ones(log_p.shape)
+            some = np.isfinite(m)
+            x[some] = -np.log(_uniform((salt[live][:, None] + _REGION * (column + 1).astype(_U))[some]))
+            score = np.full(log_p.shape, -np.inf)
+            score[some] = m[some] - np.log(x[some])
+            joined = [np.concatenate((old[live], fresh), 1) for old, fresh in ((best, score), (mass, m), (noise, x), (where, here))]
+            top = np.argsort(-joined[0], axis=1, kind="stable")[:, :k]
+            best[live], mass[live], noise[live], where[live] = (np.take_along_axis(c, top, 1) for c in joined)
+            before[live] = sums[:, -1]
+            at += size
+            live = live[(bounds[live] + at < bounds[live + 1]) & (before[live] + _HIGHEST >= best[live, -1])]
+            size = max(32, min(2 * size, (1 << 18) // max(len(live), 1)))
+        some = np.isfinite(best)
+        m, top = mass[some], np.repeat(value, k).reshape(n, k)[some]
+        best[some] = m - np.log(np.exp(m - top) + noise[some])
+        return best, where
 
 
 def decode(ids: np.ndarray, piece_bytes: list[bytes]) -> str:
@@ -439,6 +516,22 @@ def decode(ids: np.ndarray, piece_bytes: list[bytes]) -> str:
     return b"".join(map(piece_bytes.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
 
+class Spelling:
+    """The bytes of all pieces in a row, to decode many segmentations at once."""
+
+    def __init__(self, piece_bytes: list[bytes]) -> None:
+        self._data = np.frombuffer(b"".join(piece_bytes), np.uint8)
+        self._size = np.array([len(p) for p in piece_bytes], np.int64)
+        self._start = np.cumsum(self._size) - self._size
+
+    def equal(self, ids: np.ndarray, ends: np.ndarray, wanted: list[bytes]) -> list[bool]:
+        """Whether the pieces of each segmentation (it ends at ``ends``) join to the bytes wanted."""
+        size = self._size[ids]
+        made = self._data[_ranges(self._start[ids], size)].tobytes()
+        bytes_to = np.concatenate(([0], np.cumsum(size)))[ends].tolist()
+        return [made[a:b] == w for a, b, w in zip([0, *bytes_to], bytes_to, wanted, strict=False)]
+
+
 _KEPT: dict[str, Lattices] = {}
 
 
@@ -450,22 +543,25 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = 4, seed: int
     vocabulary = Vocabulary.load(model_file)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = "id long, rank int, ids binary, n_pieces long, log_prob double, value double, inclusion double, round_trip boolean"
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
     names = ["id", "rank", "ids", "n_pieces", "log_prob", "value", "inclusion", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model_file not in _KEPT:
             _KEPT.clear()
             _KEPT[model_file] = Lattices(shared.value)
-        sampler, spelt = Sampler(_KEPT[model_file], seed), shared.value.piece_bytes()
+        sampler, spelt = Sampler(_KEPT[model_file], seed), Spelling(shared.value.piece_bytes())
         for batch in blocks(batches, 1, _TOGETHER):
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            rows = []
-            for key, text, found in zip(ids, texts, sampler.sample(ids, texts, k), strict=True):
-                for rank, (pieces, log_p, value, inclusion) in enumerate(found):
-                    rows.append((key, rank, pieces.astype("<i4").tobytes(), len(pieces), log_p, value, inclusion, decode(pieces, spelt) == text))
-            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            found = sampler.sample(keys, texts, k)
+            owner = [i for i, samples in enumerate(found) for _ in samples]
+            rank = [r for samples in found for r in range(len(samples))]
+            pieces, *numbers = zip(*[sample for samples in found for sample in samples], strict=True)
+            sizes = np.array([len(x) for x in pieces], np.int64)
+            flat, ends = np.concatenate(pieces).astype("<i4"), np.cumsum(sizes)
+            same = spelt.equal(flat, ends, [(" " + texts[i] if texts[i] else "").encode("utf-8", "replace") for i in owner])
+            ids = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(np.append(0, 4 * ends).astype(np.int32)), pa.py_buffer(flat)])
+            columns = [pa.array([keys[i] for i in owner], pa.int64()), pa.array(rank, pa.int32()), ids, pa.array(sizes), *(pa.array(c, pa.float64()) for c in numbers), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, schema)
