@@ -11,8 +11,9 @@ by an A* search over regions of the lattice: the best segmentation of a region i
 probabilities, and what is left of the region falls into disjoint regions (same pieces up to a point, another piece
 there), whose exact mass gives the law of their largest perturbed value, truncated at the value just taken. The region
 with the largest value is next. All random numbers are hashes of the row key, the sample's number and the
-place, and all sums run over a row's own pieces, so a row's samples and scores depend on nothing else, to the last bit. The inclusion score of a sample is the probability that its value
-exceeds the (k + 1)-th largest value, given the latter: 1 - exp(-exp(log p - threshold)).
+place, and all sums run over a row's own pieces, so a row's samples and scores depend on nothing else, to the last bit. The
+inclusion score of a sample is the probability that its value exceeds the (k + 1)-th largest value, given the latter:
+1 - exp(-exp(log p - threshold)).
 
 Decoding joins the pieces' bytes; every segmentation decodes to the text exactly.
 
