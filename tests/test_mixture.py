@@ -72,6 +72,26 @@ def test_labels_and_summary(variants, fits):
     assert "MapInPandas" not in plan
 
 
+def test_filters_on_posteriors_do_not_repeat_them(variants, fits):
+    clashing = variants.withColumnsRenamed({"truth": "__w0"}).withColumn("mu", F.lit("clash")).withColumn("__arm", F.lit(1))
+    scored = m.predict(clashing, fits, KEYS, 0.5)
+    assert scored.columns == [*clashing.columns, "resp", "label"]
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    plain = size(scored)
+    for filtered in (scored.where("label = -1"), m.component_rows(scored, 2), scored.where(F.col("resp")[0] > 0.5)):
+        assert size(filtered) < plain + 2000 < 200_000
+    assert m.component_rows(scored, 1).count() > 500
+
+
+def test_extra_columns_of_the_prior_stay_and_germline_is_fitted_once(spark):
+    sf = "/root/testdata/sf0.001"
+    plan = registry.fit_arm(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and plan.count("FlatMapCoGroupsInArrow") == 1
+    keys = spark.createDataFrame([("a",)], "chrom string")
+    out = m.fit_mixture(spark.createDataFrame([], "chrom string, alt int, depth int"), priors(keys, None, ("chrom",)).withColumn("note", F.lit("x")), ("chrom",)).first()
+    assert out.note == "x" and out.n_variants == 0 and out.loglik == 0.0
+
+
 def test_counts_equal_rows_and_best_restart_is_no_worse(variants, fits):
     rows = [(r.alt, r.depth) for r in variants.where("chrom = 'chr2'").collect()]
     alt, depth = (np.array(x, float) for x in zip(*rows, strict=True))

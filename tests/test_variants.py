@@ -82,6 +82,17 @@ def test_gzip_second_sample_and_threshold(spark, file, tmp_path):
     assert {(r.genotype, r.depth, r.alt) for r in other} == {("homalt", 9, 9)} and len(other) == 9
 
 
+def test_reads_of_every_alternative_allele(spark, tmp_path):
+    path = str(tmp_path / "many")
+    lines = spark.createDataFrame([(line("chr1", 5, "CSQ=G|LOW|0.3", "1/2", "60", "10,20,9").strip(),), (line("chr1", 6, "CSQ=G|LOW|0.3", "0/1", "7", ".").strip(),)], "value string")
+    vcf.write_vcf(lines, HEADER, path)
+    first = {r.pos: (r.depth, r.alt) for r in va.read_germline_variants(spark, path).collect()}
+    every = {r.pos: (r.depth, r.alt) for r in va.read_germline_variants(spark, path, every_alt=True).collect()}
+    assert first == {5: (60, 20), 6: (7, None)} and every == {5: (39, 29), 6: (7, None)}
+    plan = va.read_germline_variants(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
+
+
 def test_header(spark, file, tmp_path):
     assert vcf.read_csq_keys(spark, file) == ["gene", "impact", "AF"]
     bare = tmp_path / "bare.vcf"

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varfold.functions.names import unused_prefix
+
 #: Fixed values of the model.
 VAF_EPSILON = 1e-9
 SHAPE_FLOOR = 1e-9
@@ -36,6 +38,16 @@ def lgamma(x: Column | str | float) -> Column:
     return (z - 0.5) * F.ln(z) - z + _HALF_LOG_TAU + series - F.ln(rising)
 
 
+def staged(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with more columns that are computed once a row.
+
+    They are elements of a one-row generator, which the optimiser neither merges with later projections nor lets filters
+    pass, so a filter on them reads their values instead of repeating their expressions.
+    """
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in columns]
+    return rows.select(*others, F.inline(F.array(F.struct(*[e.alias(n) for n, e in columns.items()]))))
+
+
 def ln_beta(a: Column, b: Column) -> Column:
     return lgamma(a) + lgamma(b) - lgamma(a + b)
 
@@ -62,13 +74,6 @@ def shapes(mu: Column | str | float, kappa: Column | str | float) -> tuple[Colum
     return m * k, (F.lit(1.0) - m) * k
 
 
-def logpmf_kernel(k: Column | str, n: Column | str, a: Column, b: Column) -> Column:
-    """The part of the Beta-Binomial log-probability that depends on a row and on the shapes, without ln C(n, k) and ln B(a, b)."""
-    k, n = col(k).cast("double"), col(n).cast("double")
-    a, b = F.greatest(a, F.lit(SHAPE_FLOOR)), F.greatest(b, F.lit(SHAPE_FLOOR))
-    return ln_beta(k + a, n - k + b)
-
-
 def beta_binom_logpmf(k: Column | str, n: Column | str, alpha: Column | str | float, beta: Column | str | float) -> Column:
     """Log-probability of k of n under the Beta-Binomial law; shapes are at least 1e-9. Null unless 0 <= k <= n."""
     k, n = col(k).cast("double"), col(n).cast("double")
@@ -82,25 +87,26 @@ def with_logpmf(rows: DataFrame, laws: dict[str, tuple[Column | str, Column | st
     Shapes, then the arguments of the log-gammas, then the log-gammas are columns of stages of their own: as one
     expression they would repeat each other many times over and outgrow generated code.
     """
-    k, n = F.col(alt).cast("double"), F.col(depth).cast("double")
-    shaped = {}
+    k, n, p = F.col(alt).cast("double"), F.col(depth).cast("double"), unused_prefix(rows)
+    means = {}
     for i, (m, c) in enumerate(laws.values()):
-        shaped |= {f"__m{i}": col(m), f"__c{i}": col(c)}
-    rows, names = rows.withColumns(shaped), rows.columns
+        means |= {f"{p}m{i}": col(m), f"{p}c{i}": col(c)}
+    rows, names = rows.withColumns(means), rows.columns
+    shaped = {}
     for i in range(len(laws)):
-        a, b = shapes(f"__m{i}", f"__c{i}")
-        shaped |= {f"__a{i}": F.greatest(a, F.lit(SHAPE_FLOOR)), f"__b{i}": F.greatest(b, F.lit(SHAPE_FLOOR))}
-    rows = rows.withColumns({c: e for c, e in shaped.items() if c[2] in "ab"})
+        a, b = shapes(f"{p}m{i}", f"{p}c{i}")
+        shaped |= {f"{p}a{i}": F.greatest(a, F.lit(SHAPE_FLOOR)), f"{p}b{i}": F.greatest(b, F.lit(SHAPE_FLOOR))}
+    rows = rows.withColumns(shaped)
     args = {"n": n + 1.0, "k": k + 1.0, "d": n - k + 1.0}
     for i in range(len(laws)):
-        a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
+        a, b = F.col(f"{p}a{i}"), F.col(f"{p}b{i}")
         args |= {f"a{i}": a, f"b{i}": b, f"s{i}": a + b, f"ka{i}": k + a, f"db{i}": n - k + b, f"ns{i}": n + a + b}
-    rows = rows.withColumns({f"__x{c}": e for c, e in args.items()})
-    rows = rows.withColumns({f"__g{c}": lgamma(f"__x{c}") for c in args})
-    g = {c: F.col(f"__g{c}") for c in args}
+    rows = rows.withColumns({f"{p}x{c}": e for c, e in args.items()})
+    rows = rows.withColumns({f"{p}g{c}": lgamma(f"{p}x{c}") for c in args})
+    g = {c: F.col(f"{p}g{c}") for c in args}
     choose, valid = g["n"] - g["k"] - g["d"], (k >= 0) & (k <= n)
     laws_of = {name: F.when(valid, choose + g[f"ka{i}"] + g[f"db{i}"] - g[f"ns{i}"] + g[f"s{i}"] - g[f"a{i}"] - g[f"b{i}"]) for i, name in enumerate(laws)}
-    return rows.select(*[c for c in names if c not in laws], *[e.alias(c) for c, e in laws_of.items()])
+    return rows.select(*[f"`{c}`" for c in names if c not in laws], *[e.alias(c) for c, e in laws_of.items()])
 
 
 def logsumexp(x: Column | str) -> Column:

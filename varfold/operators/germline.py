@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from varfold.functions.numeric import Counts, fit_beta_binomial_mle
 from varfold.functions.special import clip, vaf
-from varfold.operators.keys import join_on
+from varfold.operators.keys import dealt_by, join_on
 from varfold.operators.specs import GermlineSpec
 from varfold.operators.variants import histogram, valid_counts
 
@@ -95,7 +95,7 @@ def fit_classes(variants: DataFrame, keys: tuple[str, ...] = KEYS, spec: Germlin
         mu, kappa, loglik = fit_beta_binomial_mle(counts_of(rows), bounds, spec.kappa_bounds)
         return found.assign(mu=mu, kappa=kappa, loglik=loglik)
 
-    return hist.groupBy(*columns).applyInPandas(fit, _schema_of(hist, columns) + ", mu double, kappa double, loglik double")
+    return dealt_by(hist, columns).groupBy(*columns).applyInPandas(fit, _schema_of(hist, columns) + ", mu double, kappa double, loglik double")
 
 
 def fit_germline(variants: DataFrame, keys: tuple[str, ...] = KEYS, spec: GermlineSpec | None = None) -> DataFrame:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from varfold.functions import special as sp
+from varfold.functions.names import unused_prefix
 from varfold.functions.numeric import Counts, maximise
-from varfold.operators.germline import KEYS, _schema_of, counts_of, fit_germline
-from varfold.operators.keys import join_on
+from varfold.operators.germline import KEYS, counts_of, fit_germline
+from varfold.operators.keys import dealt_by, join_on
 from varfold.operators.prior import PRIOR, priors
 from varfold.operators.specs import FitOptions, SomaticMixtureSpec
 from varfold.operators.variants import histogram
@@ -21,6 +23,8 @@ START_DEFAULT = (0.15, 0.50, 0.85)
 #: Jitter of later restarts.
 MU_JITTER, KAPPA_JITTER = 0.08, (0.7, 1.3)
 PARAMETERS = 8
+#: The prior's columns that a fit reads.
+NEEDED = ["mu_prior_mean", "mu_prior_sigma", "kappa_prior_mean", "kappa_prior_log_sigma", "pi_prior"]
 FIT = ("mu", "kappa", "pi", "n_variants", "loglik", "bic", "converged", "n_iterations")
 _FIT_SCHEMA = "mu array<double>, kappa array<double>, pi array<double>, n_variants long, loglik double, bic double, converged boolean, n_iterations int"
 
@@ -100,63 +104,65 @@ def map_em(counts: Counts, prior: dict, spec: SomaticMixtureSpec, options: FitOp
     return best
 
 
+def _fit_key(counts: Counts, prior: dict, spec: SomaticMixtureSpec, options: FitOptions) -> dict:
+    """One key's fit; the prior's values where there are fewer than three variants."""
+    n = int(counts.total)
+    if n >= 3:
+        return map_em(counts, prior, spec, options) | {"n_variants": n}
+    weight = np.array(prior["pi_prior"], float)
+    loglik, bic = (0.0, 0.0) if n == 0 else (-np.inf, np.inf)
+    return {"mu": prior["mu_prior_mean"], "kappa": prior["kappa_prior_mean"], "pi": weight / weight.sum(), "n_variants": n, "loglik": loglik, "bic": bic, "converged": True, "n_iterations": 0}
+
+
 def fit_mixture(variants: DataFrame, prior: DataFrame, keys: tuple[str, ...] = KEYS, spec: SomaticMixtureSpec | None = None, options: FitOptions | None = None) -> DataFrame:
-    """One row for each row of ``prior``: its prior columns and the fit.
+    """One row for each row of ``prior``: its columns and the fit.
 
     Keys without variants take the prior's values, log-likelihood 0; keys with one or two take them too, with -inf
     (and BIC +inf). All keys are fitted in one job, on their counts of (alt, depth): what a grouped task holds is bounded by
-    the range of depths, and only parameters come back. Posteriors are then plain columns (``posteriors``).
+    the range of depths, and only parameters come back. Each prior meets its counts once, so whatever ``prior`` was made
+    from is computed once. Posteriors are then plain columns (``posteriors``).
     """
     spec, options = spec or SomaticMixtureSpec(), options or FitOptions()
-    hist = histogram(variants, keys)
-    needed = ("mu_prior_mean", "mu_prior_sigma", "kappa_prior_mean", "kappa_prior_log_sigma", "pi_prior")
-    joined = join_on(hist, prior.select(*keys, *needed), keys, "inner")
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        key, counts = rows[list(keys)].iloc[:1], counts_of(rows)
-        if counts.total < 3:  # nothing to fit: null arrays, for which the prior stands in below
-            return key.assign(mu=[None], kappa=[None], pi=[None], n_variants=int(counts.total), loglik=0.0, bic=0.0, converged=True, n_iterations=0)
-        found = map_em(counts, rows[list(needed)].iloc[0].to_dict(), spec, options)
-        return key.assign(mu=[found["mu"]], kappa=[found["kappa"]], pi=[found["pi"]], n_variants=int(counts.total), **{c: found[c] for c in FIT[4:]})
-
-    fitted = joined.groupBy(*keys).applyInPandas(fit, f"{_schema_of(hist, keys)}, {_FIT_SCHEMA}")
-    sizes = hist.groupBy(*keys).agg(F.sum("weight").alias("__n"))
-    out = join_on(join_on(prior.select(*keys, *PRIOR), sizes, keys), fitted.select(*keys, *[F.col(c).alias(f"__fit_{c}") for c in FIT]), keys)
-    n, has = F.coalesce("__n", F.lit(0)), F.col("__fit_mu").isNotNull()
-    total = F.aggregate("pi_prior", F.lit(0.0), lambda s, x: s + x)
-    instead = {
-        "mu": F.col("mu_prior_mean"),
-        "kappa": F.col("kappa_prior_mean"),
-        "pi": F.transform("pi_prior", lambda x: x / total),
-        "n_variants": n,
-        "loglik": F.when(n == 0, 0.0).otherwise(F.lit(float("-inf"))),
-        "bic": F.when(n == 0, 0.0).otherwise(F.lit(float("inf"))),
-        "converged": F.lit(True),
-        "n_iterations": F.lit(0),
-    }
-    return out.select(*keys, *PRIOR, *[F.when(has, F.col(f"__fit_{c}")).otherwise(instead[c]).alias(c) for c in FIT])
+    kept = prior.select(*[f"`{c}`" for c in prior.columns if c not in FIT])
+    kinds = (*[pa.list_(pa.float64())] * 3, pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int32())
+
+    def fit(own: pa.Table, rows: pa.Table) -> pa.Table:
+        values: dict = dict.fromkeys(FIT)
+        if own.num_rows:  # counts of keys that have no prior give no row
+            values = _fit_key(counts_of(rows.select(["alt", "depth", "weight"]).to_pandas()), own.slice(0, 1).select(NEEDED).to_pylist()[0], spec, options)
+        for name, kind in zip(FIT, kinds, strict=True):
+            own = own.append_column(name, pa.array([values[name]] * own.num_rows, kind))
+        return own
+
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL(_FIT_SCHEMA).fields])
+    return dealt_by(kept, keys).groupBy(*keys).cogroup(dealt_by(histogram(variants, keys), keys).groupBy(*keys)).applyInArrow(fit, schema)
 
 
 def e_step(rows: DataFrame, mu: Column | str = "mu", kappa: Column | str = "kappa", pi: Column | str = "pi") -> DataFrame:
     """``rows`` (alt, depth and parameters) with log_norm and resp: log-likelihood and posteriors of each row. Plain columns."""
-    laws = {f"__j{k}": (m, c) for k, (m, c) in enumerate(zip(sp.three(mu), sp.three(kappa), strict=True))}
-    rows = sp.with_logpmf(rows, laws).withColumns({f"__w{k}": F.ln(w + sp.PI_FLOOR) + F.col(j) for k, (j, w) in enumerate(zip(laws, sp.three(pi), strict=True))})
+    p = unused_prefix(rows)
+    laws = {f"{p}j{k}": (m, c) for k, (m, c) in enumerate(zip(sp.three(mu), sp.three(kappa), strict=True))}
+    names = [f"{p}w{k}" for k in range(3)]
+    rows = sp.with_logpmf(rows, laws).withColumns({n: F.ln(w + sp.PI_FLOOR) + F.col(j) for n, j, w in zip(names, laws, sp.three(pi), strict=True)})
     # Scalars and stages instead of array functions: a lambda would compute the sum anew for each element.
-    w, top = [F.col(f"__w{k}") for k in range(3)], F.col("__top")
-    rows = rows.withColumn("__top", F.greatest(*w))
-    rows = rows.withColumn("log_norm", top + F.ln(F.exp(w[0] - top) + F.exp(w[1] - top) + F.exp(w[2] - top)))
-    return rows.withColumn("resp", F.array(*[F.exp(x - F.col("log_norm")) for x in w])).drop(*laws, "__w0", "__w1", "__w2", "__top")
+    w, top, lse = [F.col(n) for n in names], F.col(f"{p}top"), F.col(f"{p}lse")
+    rows = rows.withColumn(f"{p}top", F.greatest(*w))
+    rows = rows.withColumn(f"{p}lse", top + F.ln(F.exp(w[0] - top) + F.exp(w[1] - top) + F.exp(w[2] - top)))
+    rows = sp.staged(rows, log_norm=lse, resp=F.array(*[F.exp(x - lse) for x in w]))
+    return rows.drop(*laws, *names, f"{p}top", f"{p}lse")
 
 
 def posteriors(variants: DataFrame, fits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """``variants`` with resp, the posterior of each component under its key's fit.
 
     Distinct (key, alt, depth) are few, but scoring a row is cheaper than joining twice, so rows are scored where they are;
-    the fits are one row a key, and Spark broadcasts them when they are small.
+    the fits are one row a key, and Spark broadcasts them when they are small. Filters on resp or on what is derived from it
+    read the computed value. Columns resp and log_norm of ``variants`` are replaced and dropped.
     """
-    parameters = fits.select(*keys, *[F.col(c).alias(f"__fit_{c}") for c in ("mu", "kappa", "pi")])
-    scored = e_step(join_on(variants, parameters, keys, "inner"), "__fit_mu", "__fit_kappa", "__fit_pi")
-    return scored.drop("__fit_mu", "__fit_kappa", "__fit_pi", "log_norm")
+    p = unused_prefix(variants)
+    parameters = fits.select(*keys, *[F.col(c).alias(f"{p}{c}") for c in ("mu", "kappa", "pi")])
+    scored = e_step(join_on(variants, parameters, keys, "inner"), f"{p}mu", f"{p}kappa", f"{p}pi")
+    return scored.drop(f"{p}mu", f"{p}kappa", f"{p}pi", "log_norm")
 
 
 def predict(variants: DataFrame, fits: DataFrame, keys: tuple[str, ...] = KEYS, threshold: float = 0.0) -> DataFrame:
@@ -176,8 +182,9 @@ def component_rows(scored: DataFrame, component: int) -> DataFrame:
 
 def component_summary(scored: DataFrame, fits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Three rows a key: component, mu, kappa, pi, n_assigned, mean_responsibility."""
-    own = F.col("__k")
-    counted = scored.withColumn("__k", sp.argmax("resp")).groupBy(*keys).agg(
+    p = unused_prefix(scored)
+    own = F.col(f"{p}k")
+    counted = scored.withColumn(f"{p}k", sp.argmax("resp")).groupBy(*keys).agg(
         *[F.count_if(own == k).alias(f"n{k}") for k in range(3)],
         *[F.avg(F.get("resp", F.lit(k))).alias(f"r{k}") for k in range(3)],
     )
@@ -193,8 +200,6 @@ def fit_arms(germline: DataFrame, somatic: DataFrame, keys: tuple[str, ...] = KE
     """
     fits = fit_germline(germline, keys, germline_spec).where(F.col("n_het") >= min_germline_het)
     every = germline.select(*keys).union(somatic.select(*keys)).distinct()
-    prior = priors(every, fits, keys, tumor_purity, min_germline_het, spec)
-    mixture = fit_mixture(somatic, prior, keys, spec, options)
-    struct = F.struct(*[c for c in fits.columns if c not in keys]).alias("germline_fit")
-    both = join_on(mixture, fits.select(*keys, struct), keys)
-    return both.withColumnsRenamed({"confidence": "prior_confidence", "source": "prior_source"})
+    prior = priors(every, fits, keys, tumor_purity, min_germline_het, spec, fit_col="germline_fit")
+    found = fit_mixture(somatic, prior, keys, spec, options).select(*keys, *PRIOR, *FIT, "germline_fit")
+    return found.withColumnsRenamed({"confidence": "prior_confidence", "source": "prior_source"})

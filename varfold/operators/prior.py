@@ -37,12 +37,16 @@ def default_prior(spec: SomaticMixtureSpec | None = None) -> dict[str, Column]:
     return dict(zip(PRIOR, (*arrays, *rest), strict=True))
 
 
-def priors(keys_of: DataFrame, germline: DataFrame | None, keys: tuple[str, ...] = KEYS, tumor_purity: float | Column = 1.0, min_germline_het: int = 5, spec: SomaticMixtureSpec | None = None) -> DataFrame:
-    """One prior for each row of ``keys_of``: from its germline estimate if that has enough het variants, else the default."""
+def priors(keys_of: DataFrame, germline: DataFrame | None, keys: tuple[str, ...] = KEYS, tumor_purity: float | Column = 1.0, min_germline_het: int = 5, spec: SomaticMixtureSpec | None = None, fit_col: str | None = None) -> DataFrame:
+    """One prior for each row of ``keys_of``: from its germline estimate if that has enough het variants, else the default.
+
+    ``fit_col`` names a further column for the estimate used, a struct of ``germline``'s columns; null for the default.
+    """
     base = default_prior(spec)
     if germline is None:
         return keys_of.select(*keys, *[c.alias(n) for n, c in base.items()])
-    own = germline.where(F.col("n_het") >= min_germline_het).select(*keys, *[c.alias(n) for n, c in germline_prior(tumor_purity).items()])
+    used = [F.struct(*[c for c in germline.columns if c not in keys]).alias(fit_col)] if fit_col else []
+    own = germline.where(F.col("n_het") >= min_germline_het).select(*keys, *[c.alias(n) for n, c in germline_prior(tumor_purity).items()], *used)
     joined = join_on(keys_of.select(*keys), own, keys)
     has = F.col("source").isNotNull()
-    return joined.select(*keys, *[F.when(has, F.col(n)).otherwise(base[n]).alias(n) for n in PRIOR])
+    return joined.select(*keys, *[F.when(has, F.col(n)).otherwise(base[n]).alias(n) for n in PRIOR], *([fit_col] if fit_col else []))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varfold.functions.special import staged
 from varfold.sources import vcf
 from varfold.sources.arms import arm_of, with_arm
 
@@ -26,36 +27,37 @@ def is_common(af_text: Column | str, least: float = COMMON_AF) -> Column:
     return F.coalesce((af > least) & ~F.isnan(af), F.lit(False))
 
 
-def germline_variants(records: DataFrame, keys: list[str] | None, least_af: float = COMMON_AF, sample: int = 0, arms: DataFrame | None = None) -> DataFrame:
+def germline_variants(records: DataFrame, keys: list[str] | None, least_af: float = COMMON_AF, sample: int = 0, arms: DataFrame | None = None, every_alt: bool = False) -> DataFrame:
     """(chrom, pos, arm, genotype, depth, alt, vaf) of the common het and hom variants among VCF records.
 
-    The filters stand before the arm lookup, and the whole is one stage without an exchange. Variants on
-    chromosomes that the arm table lacks stay, with a null arm.
+    The filters stand before the arm lookup, and the whole is one stage without an exchange. Each field is split once. Variants on
+    chromosomes that the arm table lacks stay, with a null arm. Reads are those of the first alternative allele, and the
+    depth is DP where given; with ``every_alt`` they are those of all alternative alleles, and the depth is the sum of AD where given.
     """
-    csq = vcf.info_field("INFO", "CSQ")
-    kept = records.withColumn("csq", csq).where(F.col("csq").isNotNull() & (F.col("csq") != ""))
-    kept = kept.where(is_common(vcf.csq_value("csq", keys, "AF"), least_af))
-    called = kept.withColumn("genotype", genotype_class(vcf.sample_field("GT", sample))).where(F.col("genotype") != "skip")
-    out = called.select(
-        F.col("CHROM").alias("chrom"),
-        F.col("POS").alias("pos"),
-        "genotype",
-        vcf.total_depth(sample).alias("depth"),
-        vcf.alt_depth(sample).alias("alt"),
+    af = vcf.csq_value(vcf.info_field("INFO", "CSQ"), keys, "AF")
+    common = staged(records.select("CHROM", "POS", "INFO", "FORMAT", F.get("samples", F.lit(sample)).alias("sample")), af=af).where(is_common("af", least_af))
+    split = common.select("CHROM", "POS", F.split("FORMAT", ":").alias("names"), F.split("sample", ":").alias("values"))
+    texts = {n: vcf.field_of(n, F.col("names"), F.col("values")) for n in ("GT", "DP", "AD")}
+    called = staged(split, genotype=genotype_class(texts["GT"]), dp=texts["DP"], reads=vcf.reads_of(texts["AD"])).where(F.col("genotype") != "skip")
+    out = staged(
+        called.select(F.col("CHROM").alias("chrom"), F.col("POS").alias("pos"), "genotype", "dp", "reads"),
+        depth=vcf.total_depth(F.col("reads"), F.col("dp"), every_alt),
+        alt=vcf.alt_depth(F.col("reads"), every_alt),
     )
     out = with_arm(out, arms) if arms is not None else out.withColumn("arm", arm_of("chrom", "pos"))
     share = F.when(F.col("depth") > 0, F.col("alt") / F.col("depth"))
     return out.select("chrom", "pos", "arm", "genotype", "depth", "alt", share.alias("vaf"))
 
 
-def read_germline_variants(spark: SparkSession, path: str, least_af: float = COMMON_AF, sample: int = 0) -> DataFrame:
+def read_germline_variants(spark: SparkSession, path: str, least_af: float = COMMON_AF, sample: int = 0, every_alt: bool = False) -> DataFrame:
     """Germline variants of the VCF file(s) at ``path``."""
-    return germline_variants(vcf.read_vcf(spark, path), vcf.read_csq_keys(spark, path), least_af, sample)
+    return germline_variants(vcf.read_vcf(spark, path), vcf.read_csq_keys(spark, path), least_af, sample, None, every_alt)
 
 
 def malformed_af(records: DataFrame, keys: list[str] | None) -> DataFrame:
     """One row: how many records have a frequency that is not a number, and so were dropped."""
-    af = vcf.csq_value(vcf.info_field("INFO", "CSQ"), keys, "AF")
+    records = staged(records, af=vcf.csq_value(vcf.info_field("INFO", "CSQ"), keys, "AF"))
+    af = F.col("af")
     bad = (af != "") & af.try_cast("double").isNull()
     return records.agg(F.count_if(bad).alias("malformed"))
 

@@ -7,17 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varfold.functions import special as sp
 from varfold.operators import germline as g
 from varfold.operators import mixture as m
+from varfold.operators.keys import join_on
 from varfold.operators.prior import default_prior, germline_prior, priors
 from varfold.operators.specs import GermlineSpec, SomaticMixtureSpec
-from varfold.operators.variants import genotype_class, germline_variants, histogram, is_common
+from varfold.operators.variants import collected, genotype_class, histogram, is_common, read_germline_variants
 from varfold.sources import vcf
 from varfold.sources.arms import CHROMOSOMES, arm_rows, arm_table, reduce_arms, with_arm
+from varfold.sources.shared import SharedFits, shared_path
 from varfold.sources.tables import KEYS, VARIANTS_SQL, variants
 
 ARM = ("chrom", "arm")
@@ -72,8 +75,16 @@ def csq_af_filter(spark, sf_dir):
     return kept.groupBy(vcf.csq_value("csq", keys, "gene").alias("gene")).agg(F.count("*").alias("n"))
 
 
-def vcf_germline(spark, sf_dir):
-    """VCF lines made from line items, parsed, filtered and counted."""
+#: The header of the VCF files that the queries below write and read again.
+VCF_HEADER = """##fileformat=VCFv4.2
+##INFO=<ID=NS,Number=1,Type=Integer,Description="Number of samples with data">
+##INFO=<ID=CSQ,Number=.,Type=String,Description="Consequence annotations. Format: gene|impact|AF">
+##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">
+#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"""
+
+
+def _vcf(spark, sf_dir) -> DataFrame:
+    """Germline variants of VCF files made from line items in the shared folder: header, records and all."""
     v = variants(spark, sf_dir)
     gt = F.when(F.col("genotype") == "homalt", "1/1").when(F.col("genotype") == "hetalt", "0/1").otherwise("0/0")
     af = F.when(F.col("pos") % 4 == 0, "0.01").otherwise("0.25")
@@ -81,13 +92,27 @@ def vcf_germline(spark, sf_dir):
     ref = (F.col("depth") - F.col("alt")).cast("string")
     sample = F.concat_ws(":", gt, F.col("depth").cast("string"), F.concat_ws(",", ref, F.col("alt").cast("string")))
     fields = [F.col("chrom"), F.col("pos").cast("string"), *[F.lit(x) for x in (".", "A", "C", "50", "PASS")], info, F.lit("GT:DP:AD"), sample]
-    found = germline_variants(vcf.parse_records(v.select(F.concat_ws("\t", *fields).alias("value"))), ["gene", "impact", "AF"])
-    return found.groupBy("chrom", "arm", "genotype").agg(F.count("*").alias("n"), F.sum("depth").alias("depth"), F.sum("alt").alias("alt"))
+    path = shared_path(spark, "vcf")
+    vcf.write_vcf(v.select(F.concat_ws("\t", *fields).alias("value")), VCF_HEADER, path)
+    return read_germline_variants(spark, path)
+
+
+def vcf_germline(spark, sf_dir):
+    """Counts and reads of the germline variants in VCF files."""
+    return _vcf(spark, sf_dir).groupBy("chrom", "arm", "genotype").agg(F.count("*").alias("n"), F.sum("depth").alias("depth"), F.sum("alt").alias("alt"))
 
 
 # --- germline
 
 
+def germline_store(spark, sf_dir):
+    """The collected store, opened again: counts, reads and fractions of its lists."""
+    opened = collected(_vcf(spark, sf_dir)).select("chrom", "arm", "genotype", F.explode("variants").alias("v"))
+    return opened.groupBy("chrom", "arm", "genotype").agg(
+        F.count("*").alias("n"), F.sum("v.DP").alias("depth"), F.sum("v.alt_DP").alias("alt"), _round(F.sum("v.VAF"), 4).alias("vaf")
+    )
+
+
 def germline_collect_counts(spark, sf_dir):
     v = _germline(spark, sf_dir).where(F.col("genotype").isNotNull())
     return v.groupBy(*KEYS, "genotype").agg(F.count("*").alias("n"), F.sum("depth").alias("depth"), F.sum("alt").alias("alt"))
@@ -151,8 +176,9 @@ def smart_init(spark, sf_dir):
 
 
 def bb_logpmf_by_arm(spark, sf_dir):
-    v = _arms(spark, sf_dir)
-    return v.groupBy(*ARM).agg(_round(F.sum(sp.beta_binom_logpmf("alt", "depth", 25.0, 25.0)), 3).alias("loglik"), F.count("*").alias("n"))
+    """Log-likelihood of each arm under one law, over counts: distinct (alt, depth) are few, whatever the rows."""
+    scored = sp.with_logpmf(histogram(_arms(spark, sf_dir), ARM), {"logpmf": (F.lit(0.5), F.lit(50.0))})
+    return scored.groupBy(*ARM).agg(_round(F.sum(F.col("weight") * F.col("logpmf")), 3).alias("loglik"), F.sum("weight").alias("n"))
 
 
 def _with_default(df: DataFrame) -> DataFrame:
@@ -182,6 +208,24 @@ def predict_labels(spark, sf_dir):
     return s.groupBy(*ARM, "label", "sure_label").agg(F.sum("weight").alias("n"))
 
 
+def _predicted_by_default(spark, sf_dir, threshold: float) -> DataFrame:
+    somatic = _somatic(spark, sf_dir)
+    return m.predict(somatic, _with_default(somatic.select(*ARM).distinct()), ARM, threshold)
+
+
+def component_rows(spark, sf_dir):
+    """Rows of each component by arm, however uncertain: what is filtered is a computed value, not its expression."""
+    scored = _predicted_by_default(spark, sf_dir, 0.0)
+    parts = [m.component_rows(scored, k).groupBy(*ARM).agg(F.count("*").alias("n"), F.sum("alt").alias("alt")).withColumn("component", F.lit(k)) for k in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def uncertain_labels(spark, sf_dir):
+    """Rows that no component has at 0.9, by arm, and those among them that the middle one has above one half."""
+    unsure = _predicted_by_default(spark, sf_dir, 0.9).where("label = -1")
+    return unsure.groupBy(*ARM).agg(F.count("*").alias("n"), F.sum("depth").alias("depth"), F.count_if(F.get("resp", F.lit(1)) > 0.5).alias("n_middle"))
+
+
 def component_summary(spark, sf_dir):
     scored = m.e_step(_with_default(_somatic(spark, sf_dir)))
     fits = _with_default(_somatic(spark, sf_dir).select(*ARM).distinct())
@@ -271,7 +315,99 @@ def best_restart(spark, sf_dir):
     return best.select(*KEYS, (-F.col("b.r")).alias("restart"), (F.col("b.ll") + 0.0).alias("loglik"))
 
 
-# --- fits (no SQL: iterative estimators)
+# --- fits (iterative estimators: SQL follows properties of what they find)
+
+
+#: Steps of the mean and factors of the precision around a germline fit; the first point is the fit.
+_AROUND = [(0.0, 1.0)] + [(d, f) for d in (-0.02, -0.002, 0.002, 0.02) for f in (0.8, 1.0, 1.25)]
+
+
+def _around(counts: DataFrame, fits: DataFrame, kind: str, bounds: tuple[float, float]) -> DataFrame:
+    """chrom, own and best: log-likelihoods of ``counts`` under its chromosome's fit, and under the likeliest point around it."""
+    points = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d"), F.lit(f).alias("f")) for i, (d, f) in enumerate(_AROUND)]))
+    rows = join_on(counts, fits.select("chrom", F.col(f"mu_{kind}").alias("mu"), F.col(f"kappa_{kind}").alias("kappa")), ("chrom",), "inner").select("*", points.alias("p"))
+    law = (sp.clip(F.col("mu") + F.col("p.d"), *bounds), sp.clip(F.col("kappa") * F.col("p.f"), *GERMLINE.kappa_bounds))
+    sums = sp.with_logpmf(rows.select("*", "p.i"), {"logpmf": law}).groupBy("chrom", "i").agg(F.sum(F.col("weight") * F.col("logpmf")).alias("ll"))
+    return sums.groupBy("chrom").agg(F.max(F.when(F.col("i") == 0, F.col("ll"))).alias(f"own_{kind}"), F.max("ll").alias(f"best_{kind}"))
+
+
+def germline_fit_checked(spark, sf_dir):
+    """Properties of the germline fits by chromosome: the log-likelihood is that of the rows, and no point around is likelier.
+
+    The fits by genotype column and by a boolean mask are one, and the het fit alone is the same as beside the hom one.
+    """
+    v, key = _germline(spark, sf_dir), ("chrom",)
+    fits = SharedFits(g.fit_germline(v, key), "germline").df
+    masked = SharedFits(g.fit_germline_from_mask(v.withColumn("is_het", F.col("genotype") == "hetalt"), keys=key), "germline").df
+    alone = SharedFits(g.fit_germline(v.where("genotype = 'hetalt'"), key), "germline").df
+    out = fits
+    for kind, genotype, bounds in (("het", "hetalt", GERMLINE.mu_het_bounds), ("hom", "homalt", GERMLINE.mu_hom_bounds)):
+        out = join_on(out, _around(histogram(v.where(F.col("genotype") == genotype), key), fits, kind, bounds), key)
+    out = join_on(out, masked.select(*key, F.struct("mu_het", "kappa_het", "mu_hom", "kappa_hom").alias("masked")), key)
+    out = join_on(out, alone.select(*key, F.struct("mu_het", "kappa_het").alias("alone")), key)
+    slack = {kind: 1e-6 * (1.0 + F.abs(F.col(f"own_{kind}"))) for kind in ("het", "hom")}
+    few = {"het": F.col("n_het") < GERMLINE.min_variants_het, "hom": F.col("n_hom") < GERMLINE.min_variants_hom}
+    of_rows = [F.when(few[k], F.col(f"loglik_{k}") == 0.0).otherwise(F.abs(F.col(f"loglik_{k}") - F.col(f"own_{k}")) < slack[k]) for k in slack]
+    likeliest = [few[k] | (F.col(f"best_{k}") <= F.col(f"own_{k}") + slack[k]) for k in slack]
+    return out.select(
+        *key,
+        "n_het",
+        "n_hom",
+        (of_rows[0] & of_rows[1]).alias("loglik_is_of_rows"),
+        (likeliest[0] & likeliest[1]).alias("likeliest_around"),
+        (F.col("masked") == F.struct("mu_het", "kappa_het", "mu_hom", "kappa_hom")).alias("mask_is_same"),
+        (F.col("alone") == F.struct("mu_het", "kappa_het")).alias("het_alone_is_same"),
+    )
+
+
+#: Chromosomes that lose all but two somatic variants below, and those that lose all.
+_TWO_LEFT, _NONE_LEFT = ("chr3", "chr14"), ("chr5", "chrUn")
+
+
+def mixture_fit_checked(spark, sf_dir):
+    """Properties of the mixture fits by chromosome, of which some have two variants or none.
+
+    Sums, bounds and BIC hold; the log-likelihood is that of the rows; the posterior density is not below that of the
+    prior's own parameters; without enough variants the values are the prior's.
+    """
+    somatic = _somatic(spark, sf_dir)
+    order = Window.partitionBy("chrom").orderBy("l_orderkey", "l_linenumber")
+    few = somatic.where(F.col("chrom").isin(*_TWO_LEFT)).withColumn("at", F.row_number().over(order)).where("at <= 2").drop("at")
+    kept = somatic.where(~F.col("chrom").isin(*_TWO_LEFT, *_NONE_LEFT)).unionByName(few)
+    fits = SharedFits(m.fit_mixture(kept, priors(somatic.select("chrom").distinct(), None, ("chrom",)), ("chrom",)), "mixture").df
+    counts = histogram(kept, ("chrom",))
+    default = _with_default(fits.select("chrom")).select("chrom", *[F.col(c).alias(f"{c}0") for c in ("mu", "kappa", "pi")])
+    scored = m.e_step(join_on(counts, fits.select("chrom", "mu", "kappa", "pi"), ("chrom",), "inner")).groupBy("chrom").agg(F.sum(F.col("weight") * F.col("log_norm")).alias("own"))
+    start = m.e_step(join_on(counts, default, ("chrom",), "inner"), "mu0", "kappa0", "pi0").groupBy("chrom").agg(F.sum(F.col("weight") * F.col("log_norm")).alias("start"))
+    out = join_on(join_on(fits, scored, ("chrom",)), start, ("chrom",))
+    mu, kappa, pi = (sp.three(c) for c in ("mu", "kappa", "pi"))
+    total = sum(SPEC.pi_prior_default)
+    penalty = sum((((a - x) / s) * ((a - x) / s) for a, x, s in zip(mu, SPEC.mu_default, SPEC.mu_prior_sigma_default, strict=True)), F.lit(0.0)) + sum(
+        ((F.ln(c / x) / SPEC.kappa_prior_log_sigma_default) * (F.ln(c / x) / SPEC.kappa_prior_log_sigma_default) for c, x in zip(kappa, SPEC.kappa_default, strict=True)), F.lit(0.0)
+    )
+    weighed = sum((w * (F.ln(p + sp.PI_FLOOR) - float(np.log(w / total + sp.PI_FLOOR))) for p, w in zip(pi, SPEC.pi_prior_default, strict=True)), F.lit(0.0))
+    fitted, n = F.col("n_variants") >= 3, F.col("n_variants")
+    inside = F.lit(True)
+    for a, (low, high) in zip(mu, SPEC.bounds_mu, strict=True):
+        inside = inside & (a >= low) & (a <= high)
+    at_prior = (F.array(*mu) == F.array(*sp.literals(SPEC.mu_default))) & (F.array(*kappa) == F.array(*sp.literals(SPEC.kappa_default))) & F.col("converged") & (F.col("n_iterations") == 0)
+    close = lambda x, y: F.abs(x - y) < 1e-6 * (1.0 + F.abs(y))
+    return out.select(
+        "chrom", n,
+        F.when(fitted, "fit").when(n == 0, "no variants").otherwise("too few").alias("kind"),
+        F.when(fitted, close(F.col("loglik"), F.col("own"))).otherwise(F.col("loglik") == F.when(n == 0, 0.0).otherwise(float("-inf"))).alias("loglik_holds"),
+        F.when(fitted, close(F.col("bic"), m.PARAMETERS * F.ln(n.cast("double")) - 2.0 * F.col("loglik"))).otherwise(F.col("bic") == F.when(n == 0, 0.0).otherwise(float("inf"))).alias("bic_holds"),
+        (F.abs(pi[0] + pi[1] + pi[2] - 1.0) < 1e-9).alias("pi_holds"),
+        F.when(fitted, inside & (F.col("n_iterations") > 0)).otherwise(at_prior).alias("values_hold"),
+        F.when(fitted, F.col("own") - 0.5 * penalty + weighed >= F.col("start") - 1e-6 * F.abs(F.col("start"))).otherwise(True).alias("no_worse_than_prior"),
+    )
+
+
+def arms_checked(spark, sf_dir):
+    """Properties of the whole pipeline by arm: variants, where the prior comes from, whether the germline fit stands beside it."""
+    out = m.fit_arms(_germline(spark, sf_dir), _somatic(spark, sf_dir), KEYS)
+    own = F.col("germline_fit")
+    return out.select(*KEYS, "n_variants", "prior_source", own["n_het"].alias("n_het"), (own.isNull() == (F.col("prior_source") == "default")).alias("fit_beside_prior"), (F.size("mu") == 3).alias("whole"))
 
 
 def germline_mle(spark, sf_dir):
@@ -317,6 +453,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         default_priors,
         smart_init,
         bb_logpmf_by_arm,
+        germline_store,
+        component_rows,
+        uncertain_labels,
+        germline_fit_checked,
+        mixture_fit_checked,
+        arms_checked,
         estep_loglik,
         em_pi_update,
         predict_labels,
@@ -412,6 +554,15 @@ ORACLE_SQL: dict[str, str] = {
     " select f[1] as gene, count(*) as n from y where try_cast(f[3] as double)>5e-2 and not isnan(try_cast(f[3] as double)) group by 1",
     "vcf_germline": f"{_V} select chrom, arm, genotype, count(*) as n, cast(sum(depth) as bigint) as depth, cast(sum(alt) as bigint) as alt from ger where pos%4<>0 and genotype is not null group by all",
     "germline_collect_counts": f"{_V} select {_K}, genotype, count(*) as n, cast(sum(depth) as bigint) as depth, cast(sum(alt) as bigint) as alt from ger where genotype is not null group by all",
+    "germline_store": f"{_V} select chrom, arm, genotype, count(*) as n, cast(sum(depth) as bigint) as depth, cast(sum(alt) as bigint) as alt, round(sum(alt/depth),4)+0e0 as vaf from ger where pos%4<>0 and genotype is not null group by all",
+    "component_rows": f"{_V}, {_estep(keys='chrom, arm')} select chrom, arm, cast({_LABEL} as int) as component, count(*) as n, cast(sum(alt) as bigint) as alt from rs group by 1, 2, 3",
+    "uncertain_labels": f"{_V}, {_estep(keys='chrom, arm')} select chrom, arm, count(*) as n, cast(sum(depth) as bigint) as depth, count(*) filter (r1>5e-1) as n_middle from rs where greatest(r0,r1,r2)<9e-1 group by 1, 2",
+    "germline_fit_checked": f"{_V} select chrom, count(*) filter (genotype='hetalt') as n_het, count(*) filter (genotype='homalt') as n_hom, true as loglik_is_of_rows, true as likeliest_around, true as mask_is_same, case when count(*) filter (genotype='hetalt')>0 then true end as het_alone_is_same from ger group by chrom",
+    "mixture_fit_checked": f"{_V}, c as (select chrom, count(*) as n from som group by all), k as (select chrom, cast(case when chrom in {_TWO_LEFT} then least(n, 2) when chrom in {_NONE_LEFT} then 0 else n end as bigint) as n_variants from c)"
+    " select chrom, n_variants, case when n_variants>=3 then 'fit' when n_variants=0 then 'no variants' else 'too few' end as kind, true as loglik_holds, true as bic_holds, true as pi_holds, true as values_hold, true as no_worse_than_prior from k",
+    "arms_checked": f"{_V}, ks as (select distinct {_K} from v), h as (select {_K}, count(*) filter (genotype='hetalt') as n_het from ger group by all), s as (select {_K}, count(*) as n from som group by all)"
+    " select ks.*, coalesce(n, 0) as n_variants, case when n_het>=5 then 'germline' else 'default' end as prior_source, case when n_het>=5 then n_het end as n_het, true as fit_beside_prior, true as whole from ks"
+    " left join h on ks.sample_id=h.sample_id and ks.chrom=h.chrom and ks.arm is not distinct from h.arm left join s on ks.sample_id=s.sample_id and ks.chrom=s.chrom and ks.arm is not distinct from s.arm",
     "germline_moments": f"{_V}, {_SUMS} select {_K}, n_het, n_hom, round(mean_het,6)+0e0 as mean_het, round(mean_hom,6)+0e0 as mean_hom, round(var_het,6)+0e0 as var_het, round(var_hom,6)+0e0 as var_hom, case when mean_het is null then null else round(mu0,6)+0e0 end as mu0, round(kappa0,2)+0e0 as kappa0 from mm",
     "germline_fallback": f"{_V}, {_SUMS} select {_K}, round(case when n_het=0 then 5e-1 when n_het<5 then greatest(3e-1, least(7e-1, mean_het)) end,6)+0e0 as mu_het, case when n_het<5 then 5e1 end as kappa_het, round(case when n_hom=0 then 98e-2 when n_hom<3 then greatest(9e-1, least(999e-3, mean_hom)) end,6)+0e0 as mu_hom, case when n_hom<3 then 1e2 end as kappa_hom from mom",
     "germline_flags": f"{_V}, {_SUMS}, {_FLAGS} select {_K}, n_het+n_hom as n_variants, round(imb,6)+0e0 as allelic_imbalance, n_het>=10 and imb>1e-1 as has_loh_signal, n_het>=10 and imb>1e-1 as has_loh_by_spec, round(confidence,6)+0e0 as confidence, cast(case when imb<5e-2 then 0 when mu_het>5e-1 then 1 else -1 end as int) as het_direction from fl",

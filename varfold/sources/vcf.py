@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varfold.functions.special import staged
+
 FIXED = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
 #: Header lines read to find the annotation's keys; a header is a fixed, small part of a file.
 HEADER_LINES = 20_000
@@ -30,12 +32,16 @@ def read_csq_keys(spark: SparkSession, path: str) -> list[str] | None:
 
 
 def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Records of VCF text lines: the fixed fields (POS as long) and ``samples``, an array of the sample columns."""
+    """Records of VCF text lines: the fixed fields (POS as long) and ``samples``, an array of the sample columns.
+
+    A line is split once, whatever is filtered on later.
+    """
     records = lines.where(~F.col(column).startswith("#") & (F.trim(column) != ""))
     parts = records.select(F.split(column, "\t").alias("f"))
-    fields = [F.get("f", F.lit(i)).alias(n) for i, n in enumerate(FIXED)]
-    sample = F.when(F.size("f") > len(FIXED), F.slice("f", len(FIXED) + 1, F.size("f"))).otherwise(F.array().cast("array<string>")).alias("samples")
-    return parts.select(*fields, sample).withColumn("POS", F.expr("try_cast(POS AS BIGINT)"))
+    fields = {n: F.get("f", F.lit(i)) for i, n in enumerate(FIXED)}
+    fields["POS"] = fields["POS"].try_cast("long")
+    samples = F.when(F.size("f") > len(FIXED), F.slice("f", len(FIXED) + 1, F.size("f"))).otherwise(F.array().cast("array<string>"))
+    return staged(parts, **fields, samples=samples).drop("f")
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
@@ -43,6 +49,12 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     return parse_records(spark.read.text(path))
 
 
+def write_vcf(lines: DataFrame, header: str, path: str, column: str = "value") -> None:
+    """Write text lines of records as a folder of VCF files, each of the tasks' files under the header of its own that readers look for once."""
+    head = lines.sparkSession.createDataFrame([(h,) for h in header.splitlines()], "value string").coalesce(1)
+    head.unionByName(lines.select(F.col(column).alias("value"))).write.text(path)
+
+
 def info_field(info: Column | str, key: str) -> Column:
     """The value of an INFO key; null if the key is absent or has none."""
     found = F.filter(F.split(info, ";"), lambda x: x.startswith(f"{key}="))
@@ -59,18 +71,29 @@ def csq_value(csq: Column | str, keys: list[str] | None, key: str) -> Column:
 
 def sample_field(key: str, sample: int = 0, form: str = "FORMAT", samples: str = "samples") -> Column:
     """A FORMAT field of one sample; null if absent or '.'."""
-    at = F.array_position(F.split(form, ":"), F.lit(key)).cast("int")
-    value = F.when(at > 0, F.get(F.split(F.get(F.col(samples), F.lit(sample)), ":"), at - 1))
+    return field_of(key, F.split(form, ":"), F.split(F.get(F.col(samples), F.lit(sample)), ":"))
+
+
+def field_of(key: str, names: Column, values: Column) -> Column:
+    """The value of the first of ``names`` that is ``key``; null if absent or '.'."""
+    at = F.array_position(names, F.lit(key)).cast("int")
+    value = F.when(at > 0, F.get(values, at - 1))
     return F.when(value != ".", value)
 
 
-def alt_depth(sample: int = 0) -> Column:
-    """Reads of the first alternative allele from AD."""
-    return F.get(F.split(sample_field("AD", sample), ","), F.lit(1)).try_cast("int")
+def reads_of(ad: Column) -> Column:
+    """Reads by allele, the reference first, from the text of AD."""
+    return F.transform(F.split(ad, ","), lambda x: x.try_cast("int"))
+
+
+def alt_depth(reads: Column, every: bool = False) -> Column:
+    """Reads of the first alternative allele, or of every one."""
+    if not every:
+        return F.get(reads, F.lit(1))
+    return F.when(F.size(reads) > 1, F.aggregate(F.slice(reads, 2, F.greatest(F.size(reads), F.lit(2))), F.lit(0), lambda s, x: s + x))
 
 
-def total_depth(sample: int = 0) -> Column:
-    """DP, or else the sum of AD."""
-    reads = F.transform(F.split(sample_field("AD", sample), ","), lambda x: x.try_cast("int"))
+def total_depth(reads: Column, dp: Column, every: bool = False) -> Column:
+    """DP, or else the sum of AD; with ``every`` the sum of AD, or else DP."""
     total = F.aggregate(reads, F.lit(0), lambda s, x: s + x)
-    return F.coalesce(sample_field("DP", sample).try_cast("int"), total)
+    return F.coalesce(total, dp.try_cast("int")) if every else F.coalesce(dp.try_cast("int"), total)
