@@ -8,7 +8,8 @@ gives one span, from the first such window to the last, unless an allow-listed p
 span overlaps it.
 
 Positions are code points, ends exclusive. They come from splitting the text at the matches: a match starts where the
-pieces and matches before it end.
+pieces and matches before it end. Matches are summed and compared in chunks of about the square root of their number, and
+texts are redacted a piece at a time, so time stays nearly in proportion to a text's length.
 
 Defined results: null text counts as empty, and a text without spans gives empty lists and the SHA-256 of the empty
 text; repeated rows are scanned alike; empty tables give empty results; columns other than the two named ones are
@@ -23,6 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varfold.functions.names import unused_prefix
 from varfold.llm.common import table
 
 #: The base patterns, the kinds in their order.
@@ -32,8 +34,12 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
+#: Code points of a text that are redacted at a time.
+_PIECE = 4096
 _SCALE = 1 << 20
 _PART = [0, *(round(c * math.log2(c) * _SCALE) for c in range(1, WINDOW + 2))]
+#: Bits of a count, which is at most WINDOW + 1, and counts in a long.
+_WIDE, _COUNTERS = 5, 12
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Name: the candidates' pattern, the alphabet, least entropy in bits, least digits, lower and upper case letters in a window, least letters of either case.
 CLASSES = {
@@ -47,19 +53,38 @@ ALLOWED = (
 )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _in_chunks(items: Column) -> Column:
+    """``items`` as arrays of about the square root of their number, so that what is done to each chunk stays cheap."""
+    n = F.size(items)
+    step = F.ceil(F.sqrt(n.cast("double"))).cast("int")
+    return F.when(n > 0, _let(step, lambda k: F.transform(F.sequence(F.lit(0), ((n - 1) / k).cast("int")), lambda c: F.slice(items, c * k + 1, k)))).otherwise(F.array(items))
+
+
+def _running(steps: Column) -> Column:
+    """Running sums. Sums within chunks, then over chunks: an array that grows by each of its elements would be copied each time."""
+    none = F.array().cast("array<int>")
+    add = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["ends"], F.array(s["at"] + x)).alias("ends"))
+    sums = lambda xs: F.aggregate(xs, F.struct(F.lit(0).alias("at"), none.alias("ends")), add, lambda s: s["ends"])
+    shift = lambda own, offset: F.transform(own, lambda e: e + offset)
+    before = lambda own: F.concat(F.array(F.lit(0)), sums(F.transform(own, lambda e: F.coalesce(F.get(e, F.size(e) - 1), F.lit(0)))))
+    return _let(F.transform(_in_chunks(steps), sums), lambda own: F.flatten(F.zip_with(own, F.slice(before(own), 1, F.size(own)), shift)))
+
+
 def _places(text: Column, pattern: str) -> Column:
     """array<struct<start,end,all,own>> of the matches; ``own`` is group 2 where the pattern has one."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    own = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if pattern is ASSIGN else found
-    lengths = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda piece, match: F.struct(F.length(piece).alias("before"), F.length(match).alias("long")))
-    none = F.array().cast("array<int>")
-    ends = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), none.alias("ends")),
-        lambda s, x: F.struct((s["at"] + x["before"] + x["long"]).alias("at"), F.concat(s["ends"], F.array(s["at"] + x["before"] + x["long"])).alias("ends")),
-        lambda s: s["ends"],
-    )
-    return F.transform(F.arrays_zip(ends.alias("end"), found.alias("all"), own.alias("own")), lambda z: F.struct((z["end"] - F.length(z["all"])).alias("start"), z["end"].alias("end"), z["all"].alias("all"), z["own"].alias("own")))
+
+    def of(found: Column) -> Column:
+        own = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if pattern is ASSIGN else found
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda piece, match: F.length(piece) + F.length(match))
+        zipped = _let(steps, lambda x: F.arrays_zip(_running(x).alias("end"), found.alias("all"), own.alias("own")))
+        return F.transform(zipped, lambda z: F.struct((z["end"] - F.length(z["all"])).alias("start"), z["end"].alias("end"), z["all"].alias("all"), z["own"].alias("own")))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
 
 
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
@@ -74,28 +99,32 @@ def _if_found(text: Column, probe: str, spans: Column) -> Column:
     return F.when(text.rlike(probe), spans).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _dense(candidate: Column, alphabet: str, bits: float, digits: int, lower: int, upper: int, letters: int) -> Column:
     """struct<first,last> (code points in the candidate) of the windows that are dense enough; nulls if there are none."""
     part = F.array(*[F.lit(v) for v in _PART])
     most = int(WINDOW * (math.log2(WINDOW) - bits) * _SCALE)
-    kinds = F.array(*[F.lit(0 if c in _DIGITS else 1 if c in _LOWER else 2 if c in _UPPER else 3) for c in alphabet])
+    # Counts are kept _COUNTERS to a long, and those of digits, lower and upper case in one, so a step changes a few numbers.
+    word = F.array(*[F.lit(k // _COUNTERS) for k in range(len(alphabet))])
+    shift = F.array(*[F.lit(_WIDE * (k % _COUNTERS)) for k in range(len(alphabet))])
+    one = F.array(*[F.lit(1 << (_WIDE * (k % _COUNTERS))).cast("long") for k in range(len(alphabet))])
+    kind = F.array(*[F.lit(1 if c in _DIGITS else 1 << _WIDE if c in _LOWER else 1 << 2 * _WIDE if c in _UPPER else 0) for c in alphabet])
+    low = (1 << _WIDE) - 1
+
+    def count(counts: Column, c: Column) -> Column:
+        return F.call_function("shiftrightunsigned", F.get(counts, F.get(word, c)), F.get(shift, c)).bitwiseAND(F.lit(low)).cast("int")
 
     def move(s: Column, m: Column) -> Column:
         """The state after character ``m.into`` has come in and, from the second window on, ``m.out`` has gone."""
-        had, lost = F.get(s["counts"], m["into"]), F.get(s["counts"], m["out"]) + (m["into"] == m["out"]).cast("int")
+        had, lost = count(s["counts"], m["into"]), count(s["counts"], m["out"]) + (m["into"] == m["out"]).cast("int")
         gone = F.coalesce(F.get(part, lost - 1) - F.get(part, lost), F.lit(0))
         total = s["total"] + F.get(part, had + 1) - F.get(part, had) + gone
-        counts = F.transform(s["counts"], lambda c, j: c + (j == m["into"]).cast("int") - (j == m["out"]).cast("int"))
-        mix = F.transform(s["mix"], lambda c, j: c + (F.get(kinds, m["into"]) == j).cast("int") - F.coalesce((F.get(kinds, m["out"]) == j).cast("int"), F.lit(0)))
-        return F.struct(counts.alias("counts"), total.alias("total"), mix.alias("mix"), s["first"].alias("first"), s["last"].alias("last"))
+        nothing = F.lit(0).cast("long")
+        change = lambda c, j: c + F.when(F.get(word, m["into"]) == j, F.get(one, m["into"])).otherwise(nothing) - F.when(F.get(word, m["out"]) == j, F.get(one, m["out"])).otherwise(nothing)
+        mix = s["mix"] + F.get(kind, m["into"]) - F.coalesce(F.get(kind, m["out"]), F.lit(0))
+        return F.struct(F.transform(s["counts"], change).alias("counts"), total.alias("total"), mix.alias("mix"), s["first"].alias("first"), s["last"].alias("last"))
 
     def judge(s: Column, i: Column) -> Column:
-        d, lo, up = (F.get(s["mix"], F.lit(k)) for k in range(3))
+        d, lo, up = (F.shiftright(s["mix"], _WIDE * k).bitwiseAND(F.lit(low)) for k in range(3))
         good = (i >= WINDOW - 1) & (s["total"] <= most) & (d >= digits) & (lo >= lower) & (up >= upper) & (lo + up >= letters)
         first, last = F.coalesce(s["first"], F.when(good, i - WINDOW + 1)), F.when(good, i + 1).otherwise(s["last"])
         return F.struct(s["counts"].alias("counts"), s["total"].alias("total"), s["mix"].alias("mix"), first.alias("first"), last.alias("last"))
@@ -104,9 +133,9 @@ def _dense(candidate: Column, alphabet: str, bits: float, digits: int, lower: in
         out_of = lambda i: F.when(i >= WINDOW, F.get(at, i - WINDOW)).otherwise(-1)
         step = lambda s, i: _let(_let(F.struct(F.get(at, i).alias("into"), out_of(i).alias("out")), lambda m: move(s, m)), lambda t: judge(t, i))
         start = F.struct(
-            F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
+            F.array_repeat(F.lit(0).cast("long"), -(-len(alphabet) // _COUNTERS)).alias("counts"),
             F.lit(0).alias("total"),
-            F.array_repeat(F.lit(0), 3).alias("mix"),
+            F.lit(0).alias("mix"),
             F.lit(None).cast("int").alias("first"),
             F.lit(None).cast("int").alias("last"),
         )
@@ -126,16 +155,30 @@ def _entropy_spans(text: Column, name: str) -> Column:
 
 def with_secret_spans(rows: DataFrame, text_col: str, base: str = "base", spans: str = "spans") -> DataFrame:
     """``rows`` with two more columns, array<struct<start,rank,end>> in order: base spans, and all spans."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     kinds = [
         _if_found(text, ASSIGN, _spans(F.filter(_places(text, ASSIGN), lambda p: F.length(p["own"]) >= 8), "assign")),
         _if_found(text, ACCESS, _spans(_places(text, ACCESS), "access")),
         _if_found(text, HEX, _spans(_places(text, HEX), "hex")),
     ]
     rows = rows.withColumn(base, F.array_sort(F.concat(*kinds)))
-    found = rows.withColumn(spans, F.array_distinct(F.concat(*[_entropy_spans(text, name) for name in CLASSES])))
-    apart = F.filter(spans, lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return found.withColumn(spans, F.array_sort(F.concat(F.col(base), apart)))
+    found = rows.withColumn(spans, _distinct(F.array_sort(F.concat(*[_entropy_spans(text, name) for name in CLASSES]))))
+    return found.withColumn(spans, F.array_sort(F.concat(F.col(base), _apart(F.col(spans), F.col(base)))))
+
+
+def _distinct(ordered: Column) -> Column:
+    """An ordered array without repeats."""
+    return _let(ordered, lambda xs: F.filter(xs, lambda x, i: (i == 0) | (x != F.get(xs, i - 1))))
+
+
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that no span of ``base`` overlaps. A chunk of ``base``, which is in order, is looked into only where its range overlaps."""
+    over = lambda x, s: (x["start"] < s["end"]) & (s["start"] < x["end"])
+    ranges = F.transform(
+        _in_chunks(base), lambda c: F.struct(F.get(c, F.lit(0))["start"].alias("start"), F.array_max(F.transform(c, lambda x: x["end"])).alias("end"), c.alias("spans"))
+    )
+    free = _let(ranges, lambda cs: F.filter(spans, lambda s: ~F.exists(cs, lambda c: over(c, s) & F.exists(c["spans"], lambda x: over(x, s)))))
+    return F.when((F.size(base) > 0) & (F.size(spans) > 0), free).otherwise(spans)
 
 
 def spans_text(spans: Column | str) -> Column:
@@ -156,19 +199,29 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
 
     ``chars_col`` names a column that holds the text's length; it is set anew where the text has changed.
     """
-    names = docs.columns
-    found = with_secret_spans(docs, text_col, "__base", "__spans")
-
-    def cut(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        piece = F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, piece).otherwise(s["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__spans", start, cut, lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col))))
-    hit = F.size("__spans") > 0
-    out = found.withColumn("__clean", F.when(hit, clean).otherwise(F.col(text_col)))
-    replaced = {text_col: F.col("__clean")} | ({chars_col: F.when(hit, F.length("__clean").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))} if chars_col in names else {})
+    names, p = docs.columns, unused_prefix(docs)
+    text, spans = F.col(f"`{text_col}`"), F.col(f"{p}spans")
+    found = with_secret_spans(docs, text_col, f"{p}base", f"{p}spans")
+    nearby = lambda low: F.filter(spans, lambda x: (x["start"] < low + _PIECE) & (x["end"] > low))
+
+    def clean(piece: Column, number: Column) -> Column:
+        """A piece of the text, from code point number * _PIECE on, with the parts of spans in it replaced."""
+        low = number * _PIECE
+
+        def cut(s: Column, x: Column) -> Column:
+            kept = F.concat(s["out"], F.substring(piece, s["at"] - low + 1, x["start"] - s["at"]), F.lit(mark))
+            return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], kept).otherwise(s["out"]).alias("out"))
+
+        start = F.struct(low.alias("at"), F.lit("").alias("out"))
+        # What a span covers beyond this piece is left out of the pieces that follow.
+        return F.aggregate(nearby(low), start, cut, lambda s: F.concat(s["out"], F.substring(piece, s["at"] - low + 1, _PIECE)))
+
+    hit = F.size(spans) > 0
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    out = found.withColumn(f"{p}clean", F.when(hit, F.array_join(F.transform(pieces, clean), "")).otherwise(text))
+    replaced = {text_col: F.col(f"{p}clean")}
+    if chars_col in names:
+        replaced[chars_col] = F.when(hit, F.length(f"{p}clean").cast(docs.schema[chars_col].dataType)).otherwise(F.col(f"`{chars_col}`"))
     return out.select(*[replaced.get(n, F.col(f"`{n}`")).alias(n) for n in names])
 
 
