@@ -6,12 +6,15 @@ least one piece is untouched. An Aho-Corasick automaton finds all exact piece hi
 point to the same place of the same item share one window, and each window is verified with Myers's bit-parallel edit
 distance (semi-global; one bit a character of the item).
 
-The items are the stated query set: they go to the executors in blocks of a bounded number of characters, and every
-block runs over all documents.
+Items shorter than WHOLE_WORDS characters have no budget and must stand between other characters than letters and digits
+(or at an end), so that "art" is not found in "part".
 
-Defined results: null text counts as empty and matches nothing; items that are null or shorter than MIN_CHARS after
-normalising are left out, since so short a text is no evidence; repeated items and rows each give their own rows; empty
-tables give empty results; columns other than the named ones are ignored, or kept by ``drop_contaminated``.
+The items are the stated query set: their distinct texts go to the executors in blocks of a bounded number of
+characters, and every block runs over all documents. Ids are joined to what was found, so repeated items cost nothing twice.
+
+Defined results: null text counts as empty and matches nothing; items that are null or empty after normalising are left
+out; repeated items and rows each give their own rows; empty tables give empty results; columns other than the named
+ones are ignored, or kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from pyspark.sql import functions as F
 from varfold.llm.common import blocks, table
 
 ERROR_RATE = 0.05
-MIN_CHARS = 24
-#: Characters of items in one block; this bounds what is collected and broadcast at a time.
+#: Shorter items are found as they are, as whole words.
+WHOLE_WORDS = 24
+#: Characters of distinct items in one block (at least one item each); this bounds what is collected and broadcast at a time.
 BLOCK_CHARS = 4_000_000
 
 
@@ -73,6 +77,12 @@ def myers(peq: dict[str, int], size: int, text: str) -> tuple[int, int]:
     return best, best_end
 
 
+def _stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether a match neither begins nor ends inside a word."""
+    within = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+    return not within(start) and not within(end)
+
+
 @dataclass
 class _Item:
     key: int | None
@@ -90,9 +100,9 @@ class Matcher:
         places: dict[str, list[tuple[int, int]]] = {}
         for key, raw in items:
             text = normalise(raw)
-            if len(text) < MIN_CHARS:
+            if not text:
                 continue
-            budget = int(len(text) * rate)
+            budget = int(len(text) * rate) if len(text) >= WHOLE_WORDS else 0
             for offset, piece in pieces(text, budget):
                 places.setdefault(piece, []).append((len(self.items), offset))
             self.items.append(_Item(key, text, budget, masks(text), masks(text[::-1])))
@@ -111,12 +121,21 @@ class Matcher:
         if not self.items or not text:
             return []
         points: dict[int, list[int]] = {}
+        exact: dict[int, int] = {}
         for last, (size, where) in self.automaton.iter(text):
             for k, offset in where:
-                points.setdefault(k, []).append(last + 1 - size - offset)
+                if len(self.items[k].text) >= WHOLE_WORDS:
+                    points.setdefault(k, []).append(last + 1 - size - offset)
+                elif k not in exact and _stands_alone(text, last + 1 - size, last + 1):
+                    exact[k] = last + 1 - size
         out = []
-        for k in sorted(points):
+        for k in sorted(points.keys() | exact.keys()):
             item, best = self.items[k], None
+            if k in exact:
+                out.append((item.key, 0, exact[k], exact[k] + len(item.text)))
+                if first_only:
+                    break
+                continue
             e, n = item.budget, len(item.text)
             windows: list[list[int]] = []
             for at in sorted(points[k]):
@@ -145,13 +164,18 @@ class Matcher:
         return out
 
 
-def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
-    rows = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    chars = rows.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
-    count = -(-chars // BLOCK_CHARS)
-    for k in range(count):
-        part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k)
-        yield [(r["id"], r["text"]) for r in part.collect()]
+def _item_blocks(items: DataFrame, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """Distinct texts with a number each, in blocks of BLOCK_CHARS; the driver holds one block and one partition at a time."""
+    texts = items.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct()
+    block, chars = [], 0
+    for number, row in enumerate(texts.toLocalIterator()):
+        if block and chars + len(row["text"]) > BLOCK_CHARS:
+            yield block
+            block, chars = [], 0
+        block.append((number, row["text"]))
+        chars += len(row["text"])
+    if block:
+        yield block
 
 
 _BUILT: dict[str, Matcher] = {}
@@ -188,16 +212,23 @@ def _pairs(block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, distance, start, end): the best occurrence of each item in each document, within the item's budget."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, item long, distance int, start int, end int"
-    found = [rows.mapInArrow(_pairs(_Block(docs.sparkSession, b)), schema) for b in _item_blocks(items, item_col, item_text_col)]
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
+    keyed = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
+    found = []
+    for block in _item_blocks(items, item_text_col):
+        numbers = spark.createDataFrame(block, "number long, text string")
+        ids = keyed.join(F.broadcast(numbers), "text").select("number", "item")  # a block is BLOCK_CHARS characters at most, or one item
+        hits = rows.mapInArrow(_pairs(_Block(spark, block)), schema).withColumnRenamed("item", "number")
+        found.append(hits.join(ids, "number").select("id", "item", "distance", "start", "end"))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item occurs within its budget, all columns kept."""
     out = docs
-    for items_of in _item_blocks(items, item_col, item_text_col):
+    for items_of in _item_blocks(items, item_text_col):
         block = _Block(docs.sparkSession, items_of)
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
