@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varfold.llm.common import blocks, span_hashes, table
@@ -175,31 +175,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, fingerprint binary")
 
 
-#: Ranges of ids that are put in order apart.
-RANGES = 512
+#: Ranges of ids that are put in order apart: so many at least, one for so many bytes of text, and so many at most (they are listed in the plan).
+RANGES, RANGE_BYTES, MOST_RANGES = 64, 64 << 20, 1 << 18
 _LAST = -(1 << 63)
 
 
+def _range_of(id_: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds the id reaches: a binary search, the widest step first."""
+    if not bounds:
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    known = F.lit(np.array(bounds, np.int64))
+    reach = lambda at, step: F.coalesce(F.get(known, at + step - 1) <= id_, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(reach(at, step), at + step).otherwise(at))
+
+
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(range, id, ahead, text) dealt by range and sorted by descending id, each range followed by the next one's first row.
 
     ``ahead`` is true for such a row, which belongs to another range. Equal ids are in order of their texts; null ids come
-    last; after the last row comes the first. Texts are shuffled once.
+    last; after the last row comes the first. Texts are shuffled once. The number of ranges, each a task's, follows from the bytes of text.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = rows.select("id")
-    bounds = sorted(set(map(int, ids.where(F.col("id") != _LAST).approxQuantile("id", [k / RANGES for k in range(1, RANGES)], 1 / (4 * RANGES)))))
-    steps = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    rows = rows.withColumn("range", F.size(F.filter(steps, lambda b: b <= F.col("id"))))
-    firsts = rows.groupBy("range").agg(F.max("id").alias("id")).orderBy(F.desc("range")).collect()  # at most RANGES rows
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ranges = min(max(RANGES, -(-size // RANGE_BYTES)), MOST_RANGES)
+    bounds = sorted(set(map(int, rows.select("id").where(F.col("id") != _LAST).approxQuantile("id", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))))
+    rows = rows.withColumn("range", _range_of(F.col("id"), bounds))
+    firsts = rows.groupBy("range").agg(F.max("id").alias("id")).orderBy(F.desc("range")).collect()  # a row a range
     if not firsts:
         return rows.select("range", "id", F.lit(False).alias("ahead"), "text")
-    # The first row of a range follows the last row of the range before it in descending order.
-    follows = {f["id"]: firsts[i - 1]["range"] for i, f in enumerate(firsts)}
-    own, extra = F.struct(F.col("range"), F.lit(False).alias("ahead")), F.create_map(*[F.lit(v) for kv in follows.items() for v in kv])
-    goes = F.when(F.col("id").isin(list(follows)), F.array(own, F.struct(F.element_at(extra, F.col("id")).alias("range"), F.lit(True).alias("ahead")))).otherwise(F.array(own))
+    # The first row of a range also follows the last row of the range before it in descending order.
+    first_id, goes_to = np.full(len(bounds) + 1, _LAST), np.full(len(bounds) + 1, -1, np.int32)
+    for i, f in enumerate(firsts):
+        first_id[f["range"]], goes_to[f["range"]] = f["id"], firsts[i - 1]["range"]
+    own = F.struct(F.col("range"), F.lit(False).alias("ahead"))
+    other = F.struct(F.get(F.lit(goes_to), F.col("range")).alias("range"), F.lit(True).alias("ahead"))
+    goes = F.when(F.col("id") == F.get(F.lit(first_id), F.col("range")), F.array(own, other)).otherwise(F.array(own))
     dealt = rows.select(F.explode(goes).alias("to"), "id", "text").select("to.range", "id", "to.ahead", "text")
-    return dealt.repartition(F.col("range")).sortWithinPartitions("range", "ahead", F.desc("id"), "text")
+    return dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "ahead", F.desc("id"), "text")
 
 
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
