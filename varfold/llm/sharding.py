@@ -27,8 +27,8 @@ from varfold.llm.common import SharedTable, table
 
 #: Bytes of the hash that make the first slices: at most 65,536 sums reach the driver at first, and 256 for each slice divided.
 SLICE_BYTES = 2
-#: Parts of a shard in which slots are counted apart.
-PARTS = 512
+#: Rows of a part of a shard, in which slots are counted apart, on average at most; and the fewest parts of a shard.
+PART_ROWS, PARTS = 1 << 18, 64
 
 
 @dataclass
@@ -109,11 +109,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     cuts, _ = find_cuts(groups.df, shards)
     groups.drop()
     shard = sum((F.when(F.col("key") >= F.lit(bytearray(c)), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
-    part = F.pmod(F.xxhash64("id", "key"), F.lit(PARTS)).cast("int")
+    parts = max(PARTS, -(-rows.count() // (shards * PART_ROWS)))
+    part = F.pmod(F.xxhash64("id", "key"), F.lit(parts)).cast("int")
     placed = rows.select("id", "size", "text_crc32", shard.alias("shard"), part.alias("part"))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("shard", "part", before.alias("start"))  # at most shards * PARTS rows
+    starts = counts.select("shard", "part", before.alias("start"))  # a row a part, so one for PART_ROWS rows or so
     order = Window.partitionBy("shard", "part").orderBy("id", "text_crc32", "size")
     numbered = placed.withColumn("rank", F.row_number().over(order) - 1)
     slot = (F.col("start") + F.col("rank")).cast("long").alias("slot")
