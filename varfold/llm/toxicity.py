@@ -5,9 +5,10 @@ its words, of its pairs of neighbours and of its pairs with one word between the
 learner keeps a rate for each coordinate and an L1 penalty, so most weights end at zero: what is broadcast for scoring
 are the others, at most 2**BITS pairs of index and weight.
 
-Learning takes a bounded sample of labelled rows (SAMPLE, in the order of a hash of their ids) and makes EXAMPLES updates
-in all, one row after the other in one task that streams them; fewer rows are seen several times, in another order
-each. Features are extracted in parallel, from whole texts. Scoring is one pass over all rows without a shuffle.
+Learning takes a bounded sample of labelled rows (SAMPLE, in the order of a hash of their ids) and makes ``updates`` updates,
+whatever the number of rows, one row after the other in one task that streams them: it goes through the sample in turns,
+in another order each, until they are made. Features are extracted in parallel, from whole texts. Scoring is one pass over
+all rows without a shuffle.
 
 Defined results: null text counts as empty; an empty text has no features and gets the score of the bias; labels that
 are null or neither 0 nor 1 are ignored; of several labels for a document the mean decides (0.5 or more is 1), of
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from varfold.llm.common import SharedTable, blocks, crc_fold, span_hashes, table
 
 BITS = 18
-#: Labelled rows learnt from at most, and updates made in all.
-SAMPLE, EXAMPLES = 40_000, 16_000
+#: Labelled rows learnt from at most, and updates made in all; not fewer, so that the whole sample is seen.
+SAMPLE, UPDATES = 40_000, 40_000
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.5
 
 _WORD = np.zeros(256, bool)
@@ -101,8 +102,8 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(w[at], bias))], ["slot", "weight"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "label", id_col: str = "doc_id", text_col: str = "text") -> dict[int, float]:
-    """Weights by slot (the bias at -1), learnt from the documents that ``labels`` (id, label 0 or 1) marks."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "label", id_col: str = "doc_id", text_col: str = "text", updates: int = UPDATES) -> dict[int, float]:
+    """Weights by slot (the bias at -1), learnt by so many updates from the documents that ``labels`` (id, label 0 or 1) marks."""
     one = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     sample = one.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # at most SAMPLE rows
@@ -112,9 +113,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "label", id_co
     if not count:
         kept.drop()
         return {}
-    rounds = max(1, -(-EXAMPLES // count))
-    turns = kept.df.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    ordered = turns.repartition(1).sortWithinPartitions("turn", F.xxhash64("id", "turn"), "id").select("label", "features")
+    turns = kept.df.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(-(-updates // count)))))
+    ordered = turns.repartition(1).sortWithinPartitions("turn", F.xxhash64("id", "turn"), "id").select("label", "features").limit(updates)
     weights = {r["slot"]: r["weight"] for r in ordered.mapInArrow(_learn, "slot int, weight double").collect()}
     kept.drop()
     return weights
