@@ -110,6 +110,27 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return SpanHashes(data)(starts, ends)
 
 
+#: A key of so many rows at least may be hot; and at most so many keys are, since each has more than that share of all rows.
+HOT_ROWS, HOT_KEYS = 1024, 1 << 16
+
+
+def join_one(rows: DataFrame, ones: DataFrame, key: str, count_col: str) -> DataFrame:
+    """``rows`` with the row of ``ones`` that its key has; ``count_col`` there says how many rows the key has.
+
+    Keys with more than HOT_ROWS rows and more than a share of 1 / HOT_KEYS of all are fewer than HOT_KEYS, whatever the
+    data, so these are broadcast and their rows stay where they are; the others are joined by a shuffle without hot keys.
+    ``ones`` should be a stored table, since it is read more than once.
+    """
+    n = F.col(count_col)
+    whole = ones.agg(F.sum(n).alias("total"), F.max(n).alias("most")).first()
+    least = max(HOT_ROWS, (whole["total"] or 0) // HOT_KEYS)
+    if (whole["most"] or 0) <= least:
+        return rows.join(ones.drop(count_col), key)
+    hot = F.broadcast(ones.where(n > least).drop(count_col))
+    cold = rows.join(hot.select(key), key, "left_anti").join(ones.where(n <= least).drop(count_col), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def _changed(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
     return row["n"], row["x"] or 0

@@ -1,4 +1,7 @@
-"""Near-duplicates by exact Jaccard index of word-shingle sets: prefix filtering, exact verification, components.
+"""Near-duplicates at an exact Jaccard index of word-shingle sets: SimHash candidates first, prefix filtering for the rest.
+
+SimHash fingerprints of the texts are linked by the grid of ``simhash`` (segment bit counts, Manhattan bound, exact Hamming
+test), and these links are verified on the whole sets. Bits only estimate the index, so an exact path takes what they miss:
 
 All shingles stand in one order. Two sets of a Jaccard index of t or more share a shingle among the first n - ceil(t n) + 1 of
 each (n its size), so pairs that meet in no such prefix need no look, and no pair above the threshold is lost. The position
@@ -8,9 +11,10 @@ shared shingle of a true pair never rules it out). What remains is verified on t
 Any order gives the same links. Shingles that are frequent in a sample of texts come last in it, so that few prefixes hold
 them; the others are in the order of their hashes. Texts with equal sets are one node from the start.
 
-Pairs are verified in two rounds. The first takes neighbours by size in each cell (a cell: the nodes that have a shingle in
-their prefixes), a number in proportion to the cells' rows, which joins nearly all of what belongs together; the second takes all
-pairs that are still in different components. So each link is verified or its ends are in one component already.
+Pairs are verified in two rounds. The first takes the SimHash links, and neighbours by size in each cell (a cell: the nodes
+that have a shingle in their prefixes), a number in proportion to the nodes and cells' rows, which joins nearly all of what
+belongs together; the second takes all pairs that are still in different components. So each link is verified or its ends
+are in one component already.
 """
 
 from __future__ import annotations
@@ -23,9 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varfold.llm.common import SharedTable, blocks, connected_components
-from varfold.llm.simhash import CELL_ROWS, assign_components, shingle_hashes
+from varfold.llm.common import SharedTable, blocks, connected_components, join_one
+from varfold.llm.simhash import CELL_ROWS, assign_components, grid_links, majority, shingle_hashes
 
+#: Bits of 64 in which fingerprints that are candidates differ at most.
+BITS = 4
 #: The sample that frequent shingles are counted in, how often they occur there at least, and how many are held at most. These only set the order.
 SAMPLE, FREQUENT, HELD = 16, 4, 1 << 17
 #: Similarity is held in thousandths, so that the threshold is met exactly.
@@ -77,22 +83,24 @@ def _frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, n
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, words: int, least: int) -> DataFrame:
-    """(id, fp, key, n, prefix): fp stands for the set, key for the row's id and text."""
+    """(id, fp, key, n, sim, prefix): fp stands for the set, key for the row's id and text, sim is the SimHash fingerprint."""
     order = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 2):
-            fps, sizes, prefixes = [], [], []
+            fps, sizes, sims, prefixes = [], [], [], []
             for text in batch.column(2).to_pylist():
-                found = shingle_set(text, words)
+                hashes = shingle_hashes(text, words)
+                found = np.unique(hashes)
+                sims.append(majority(hashes)[0])
                 fps.append(xxhash.xxh64_intdigest(found.tobytes(), 42))
                 sizes.append(len(found))
                 prefixes.append(in_order(found, *order.value)[: prefix_size(len(found), least)].view(np.int64))
-            out = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, ["id", "fp", "key", "n", "prefix"])
+            out = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sims, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["id", "fp", "key", "n", "sim", "prefix"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, fp long, key long, n long, prefix array<long>")
+    return rows.mapInArrow(run, "id long, fp long, key long, n long, sim long, prefix array<long>")
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -176,6 +184,16 @@ def _candidates(cells: DataFrame, hot: DataFrame, least: int, every: bool) -> Da
     return dealt.mapInArrow(_pairer(least, every), "u long, v long").distinct()
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets by their fingerprints; ``nodes`` has fp and sim. Sets with one fingerprint meet its first set, which stands for them in the grid's links."""
+    first = nodes.groupBy("sim").agg(F.min("fp").alias("u"), F.count("*").alias("m"))
+    first = SharedTable(first, "sims").df
+    same = join_one(nodes, first, "sim", "m").where("fp <> u").select("u", F.col("fp").alias("v"))
+    near = grid_links(first.select(F.col("sim").alias("fp")), BITS)
+    near = near.join(first.select(F.col("sim").alias("u"), F.col("u").alias("a")), "u").join(first.select(F.col("sim").alias("v"), F.col("u").alias("b")), "v")
+    return same.unionByName(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
     """The pairs (u, v) whose whole sets are alike; ``texts`` has fp and text."""
 
@@ -207,10 +225,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = SharedTable(dealt.mapInArrow(_shared, "cell long, fp long, n long, rest long"), "cells").df
     sizes = cells.groupBy("cell").agg(F.count("*").alias("m")).where(F.col("m") > CELL_ROWS)
     hot = SharedTable(sizes.select("cell", F.ceil(F.col("m") / (CELL_ROWS // 2)).cast("int").alias("chunks")), "hot-cells").df
+    sims = SharedTable(prints.groupBy("fp").agg(F.min("sim").alias("sim")), "fingerprints").df
+    # SimHash links of sets that share no prefix can't be alike; they end at the texts, which only sets in cells have.
+    meet = _candidates(cells.withColumn("part", F.col("fp")), hot, least, False).unionByName(_simhash_pairs(sims))
+    first = SharedTable(meet.distinct(), "pairs").df
     keys = prints.groupBy("fp").agg(F.min("key").alias("key")).join(cells.select("fp").distinct(), "fp", "left_semi")
     once = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     texts = SharedTable(once.join(keys, "key").groupBy("fp").agg(F.first("text").alias("text")), "texts").df
-    first = SharedTable(_candidates(cells.withColumn("part", F.col("fp")), hot, least, False), "pairs").df
     edges = SharedTable(_verified(first, texts, words, least), "links").df
     parts = connected_components(edges).select(F.col("node").alias("fp"), "root")
     parted = cells.join(parts, "fp", "left").withColumn("part", F.coalesce("root", "fp")).drop("root")

@@ -18,22 +18,27 @@ the two named ones are ignored.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varfold.llm.common import SharedTable, blocks, connected_components
+from varfold.functions.names import unused_prefix
+from varfold.llm.common import SharedTable, blocks, connected_components, join_one
 
 #: Members of a grid cell that one unit of work compares at most; larger cells are cut into chunks of half as many.
 CELL_ROWS = 4096
 #: Hashes whose bits are counted at a time.
 COUNT_ROWS = 1 << 16
 GRID_BLOCKS = 8
+#: Unlike fingerprints that share a cell with one, up to which cells are of counts alone.
+FELLOWS = 4
 _LOW = np.uint64(0x5555555555555555)
 _ONE = np.uint64(1)
 
@@ -180,8 +185,21 @@ def _linker(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def grid_cells(nodes: DataFrame, max_distance: int) -> DataFrame:
-    """(cell, fp, fp0) of each fingerprint ``fp``: one cell for each choice of blocks that a link may leave untouched."""
+def exact_segments(nodes: int) -> int:
+    """How many segments of each kept block have their bits in the cell, so that an unlike fingerprint is met about FELLOWS times a grid.
+
+    Two fingerprints agree in a segment's count with probability 3/8, in its bits with 1/4; four kept blocks have 16 segments.
+    """
+    wanted = math.log(max(nodes * (3 / 8) ** 16 / FELLOWS, 1.0), 1.5)
+    return min(4, math.ceil(wanted / 4))
+
+
+def grid_cells(nodes: DataFrame, max_distance: int, exact: int = 0) -> DataFrame:
+    """(cell, fp, fp0) of each fingerprint ``fp``: one cell for each choice of blocks that a link may leave untouched.
+
+    A cell is the counts of these blocks, and the bits of the first ``exact`` segments of each: a link leaves both as they
+    are, so cells grow finer with the number of fingerprints and lose nothing.
+    """
     if not 0 <= max_distance < GRID_BLOCKS:
         raise ValueError(f"the grid has {GRID_BLOCKS} blocks, so it serves distances below {GRID_BLOCKS}")
     wide = 64 // GRID_BLOCKS
@@ -191,7 +209,10 @@ def grid_cells(nodes: DataFrame, max_distance: int) -> DataFrame:
     even, odd = F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 1).bitwiseAND(low)
     counts = even.bitwiseXOR(odd).bitwiseOR(F.shiftleft(even.bitwiseAND(odd), 1))
     keyed = nodes.select("fp", counts.alias("counts"))
-    cells = F.array(*[F.xxhash64(F.lit(i), F.col("counts").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
+    bits = sum(((1 << 2 * exact) - 1) << (wide * b) for b in range(GRID_BLOCKS))
+    bits_of = [m & bits for m in masks]
+    known = [F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in bits_of] if exact else []
+    cells = F.array(*[F.xxhash64(F.lit(i), F.col("counts").bitwiseAND(F.lit(m)), *known[i : i + 1]) for i, m in enumerate(signed)])
     return keyed.select(F.explode(cells).alias("cell"), "fp", F.col("fp").alias("fp0"))
 
 
@@ -215,37 +236,49 @@ def links(cells: DataFrame, max_distance: int) -> DataFrame:
 def assign_components(prints: DataFrame, edges: DataFrame) -> DataFrame:
     """prints(id, fp) with component_id: the smallest id of all documents whose fingerprints ``edges`` connect."""
     roots = connected_components(edges)
-    per_print = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    rooted = per_print.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    per_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = rooted.join(per_root, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("id", "fp", "component_id")
+    per_print = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    rooted = SharedTable(per_print.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted").df
+    per_root = SharedTable(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints")), "roots").df
+    of_print = SharedTable(join_one(rooted, per_root, "root", "prints").select("fp", "n", "component_id"), "named").df
+    return join_one(prints, of_print, "fp", "n").select("id", "fp", "component_id")
+
+
+def grid_links(prints: DataFrame, max_distance: int) -> DataFrame:
+    """Links (u, v) among the distinct fingerprints ``fp`` within ``max_distance`` bits: enough of them to give the same components."""
+    # Each fingerprint becomes a row a grid next, so the few small partitions that distinct leaves are dealt out first.
+    context = prints.sparkSession.sparkContext
+    nodes = SharedTable(prints.select("fp").distinct().repartition(4 * max(context.defaultParallelism, 1), "fp"), "nodes").df
+    return links(grid_cells(nodes, max_distance, exact_segments(nodes.count())), max_distance)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_distance: int = 4) -> DataFrame:
     """One row for each row of ``docs``: (id, fp, component_id), linking fingerprints at ``max_distance`` bits or fewer."""
     prints = SharedTable(fingerprints(docs, id_col, text_col, words).select("id", "fp"), "prints").df
-    # Each fingerprint becomes a row a grid next, so the few small partitions that distinct leaves are dealt out first.
-    context = docs.sparkSession.sparkContext
-    nodes = prints.select("fp").distinct().repartition(4 * max(context.defaultParallelism, 1), "fp")
-    cells = grid_cells(nodes, max_distance)
-    return assign_components(prints, links(cells, max_distance))
+    return assign_components(prints, grid_links(prints, max_distance))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` less its near-duplicates: of each component the document with the smallest id stays.
 
     Links are all pairs whose sets of ``words``-word shingles have an exact Jaccard index of ``similarity`` or more.
-    Rows that share an id stand or fall together, but exact repeats of id and text are reduced to one. Rows with a
-    null id have no place in a component's order and all stay.
+    Rows that share an id stand or fall together, but exact repeats of id and text are reduced to one, the least by its
+    other columns (those that can be ordered). Rows with a null id have no place in a component's order and all stay.
     """
     from varfold.llm.jaccard import near_duplicates  # which builds on this module
 
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, similarity)
-    keep = found.where("id = component_id").select(F.col("id").alias("__kept")).distinct()
-    once = docs.join(keep, F.col(id_col) == F.col("__kept"), "left_semi")
-    copy = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(id_col))
-    once = once.withColumn("__copy", copy).where("__copy = 1").drop("__copy")
+    p, known = unused_prefix(docs), docs.where(F.col(id_col).isNotNull())
+    own, print_ = F.col(f"{p}id"), F.xxhash64(text_col)
+    keep = near_duplicates(known, id_col, text_col, words, similarity).where("id = component_id").select(F.col("id").alias(f"{p}id")).distinct()
+    once = docs.join(keep, F.col(id_col) == own, "left_semi")
+    counted = known.groupBy(F.col(id_col).alias(f"{p}id"), print_.alias(f"{p}text")).agg(F.count("*").alias(f"{p}n"))
+    repeated = SharedTable(counted.where(F.col(f"{p}n") > 1).drop(f"{p}n"), "repeated").df
+    if not repeated.isEmpty():
+        same = (F.col(id_col) == own) & (print_ == F.col(f"{p}text"))
+        ordered = [f"`{f.name}`" for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+        least = F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), F.struct(*ordered)).alias(f"{p}row")
+        # Repeats meet in an aggregate, which reduces them before they are shuffled.
+        one = once.join(repeated, same, "left_semi").groupBy(F.col(id_col).alias(f"{p}id"), print_.alias(f"{p}text")).agg(least).select(f"{p}row.*")
+        once = once.join(repeated, same, "left_anti").unionByName(one)
     return once.unionByName(docs.where(F.col(id_col).isNull()))
 
 
