@@ -99,6 +99,13 @@ def test_short_items_are_whole_words(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 60
 
 
+def test_short_and_long_items_together():
+    long = "a long item with an edit in it that stands beside short ones in one text"
+    matcher = dc.Matcher([(1, long), (2, "one"), (3, "stand"), (4, long.replace("edit", "word")), (5, "text")])
+    assert [m[:2] for m in matcher.find(f"One {long} here")] == [(1, 0), (2, 0), (5, 0)]
+    assert [m[:2] for m in matcher.find(long.replace("item", "itm") + " one")] == [(1, 1), (2, 0), (5, 0)]
+
+
 def test_repeated_items_share_a_block(spark, monkeypatch):
     item = "one item that ten thousand rows of the benchmark repeat"
     monkeypatch.setattr(dc, "BLOCK_CHARS", 100)

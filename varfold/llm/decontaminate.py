@@ -146,9 +146,9 @@ class Matcher:
                     windows.append([a, b, at])
             for a, b, _ in windows:
                 window = text[a:b]
-                exact = window.find(item.text)
-                if exact >= 0:
-                    found = (0, a + exact, a + exact + n)
+                same = window.find(item.text)
+                if same >= 0:
+                    found = (0, a + same, a + same + n)
                 else:
                     distance, end = myers(item.forward, n, window)
                     if distance > e:
