@@ -16,6 +16,7 @@ ignored. Positions are word numbers, ends exclusive.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,8 +169,9 @@ class Index:
         for (d, t), found in sorted(hits.items()):
             taken: list[tuple[int, int]] = []
             for share, first, end in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-                if all(end <= a or b <= first for a, b in taken):
-                    taken.append((first, end))
+                k = bisect(taken, (first, end))  # those taken are disjoint and in order, so only the nearest two matter
+                if (k == 0 or taken[k - 1][1] <= first) and (k == len(taken) or end <= taken[k][0]):
+                    taken.insert(k, (first, end))
                     out.append((d, t, share, first, end))
         return out
 
