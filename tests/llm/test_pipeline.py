@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from varfold.llm import decontaminate, segmentation
 from varfold.llm import quality as q
@@ -87,3 +88,57 @@ def test_run_and_empty(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+CLASHES = ("id", "fp", "root", "spans", "base", "label", "__base", "__clean", "__copy", "__kept", "__id", "cell", "score", "item")
+
+
+@pytest.fixture(scope="module")
+def hard(spark, tmp_path_factory):
+    """Null, empty, repeated, tied and very long texts, null ids, and columns whose names the operators use themselves."""
+    folder = str(tmp_path_factory.mktemp("hard"))
+    good = [r.text for r in spark.sql(f"select text from parquet.`{SF}/documents.parquet` join parquet.`{SF}/labels.parquet` using (doc_id) where quality = 1 order by doc_id limit 40").collect()]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    halves = lambda a, b: a[: len(a) // 2] + " " + b[len(b) // 2 :]
+    long = " ".join(good)
+    long = (long + "\n") * (1_000_000 // len(long) + 1)
+    texts = {i: t for i, t in enumerate(good)}
+    rows = [*texts.items(), (100, None), (101, ""), (102, " \n"), (103, good[3]), (103, good[3]), (104, good[3].upper()), (None, good[5]), (None, None)]
+    rows += [(105, long), (106, halves(good[7], good[9]) + "\n" + item.upper()), (107, halves(good[8], good[10]) + " password=hunter2hunter2 end"), (108, "\U0001f600é" * 50), (109, "x" * 50_000)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in CLASHES:
+        docs = docs.withColumn(name, F.lit("clash"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i < 40), 0) for i in [*range(40), 101, 102, 108, 109]] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder, dict(rows), docs
+
+
+def test_every_stage_takes_hard_rows(spark, hard):
+    folder, texts, docs = hard
+    frames = [spark.read.parquet(f"{folder}/documents.parquet")]
+    for name, stage in corpus_pipeline.STAGES:
+        frames.append(SharedTable(stage(spark, frames[-1], folder), name).df)
+        if name != "segmentation":
+            assert sorted(frames[-1].columns) == sorted(docs.columns)
+            assert frames[-1].where(" or ".join(f"`{c}` <> 'clash'" for c in CLASHES)).count() == 0
+    found = [f.collect() for f in frames]
+    ids = [sorted((r.doc_id for r in rows), key=str) for rows in found]
+    assert set(range(40)) <= set(ids[1]) and 105 in ids[1]
+    # Repeats and copies go, documents of no id stay, and unlike ones do.
+    assert set(ids[2]) == set(ids[1]) - {103, 104} and len(set(ids[2])) <= len(ids[2]) <= len(set(ids[2])) + 1
+    assert 106 not in ids[3] and set(ids[3]) <= set(ids[2])
+    clean = {r.doc_id: r.text for r in found[4]}
+    assert len(found[4]) == len(found[3]) and all("hunter2" not in (t or "") for t in clean.values())
+    assert {d: t for d, t in clean.items() if d not in (107, None) and "[SECRET]" not in (t or "")}.items() <= texts.items()
+    spelt = segmentation.Vocabulary.load(segmentation.default_model()).piece_bytes()
+    for r in found[5]:
+        if r.doc_id is not None:
+            assert segmentation.decode(np.frombuffer(r.ids, "<i4"), spelt) == (clean[r.doc_id] or "")
+    assert {r.doc_id for r in found[5]} == set(ids[4])
+
+
+def test_every_stage_takes_empty_tables(spark, hard):
+    folder, _, docs = hard
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).collect() == [], name

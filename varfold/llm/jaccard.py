@@ -199,17 +199,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
-        for batch in batches:
+        for batch in (part for b in batches for part in blocks([b], 2)):
             u, v, a, b = (c.to_pylist() for c in batch.columns)
             keep = []
             for i in range(len(u)):
-                if last[0] != u[i]:
-                    last = (u[i], shingle_set(a[i], words))
-                keep.append(alike(last[1], shingle_set(b[i], words), least))
+                if last[0] != v[i]:
+                    last = (v[i], shingle_set(b[i], words))
+                keep.append(alike(shingle_set(a[i], words), last[1], least))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    # A pair costs time rather than bytes, so the number of partitions is stated, which adaptive execution leaves as it is.
+    spark = pairs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    one = pairs.repartition(n, "u").join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u")
+    both = one.repartition(n, "v").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
+    return both.sortWithinPartitions("v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
