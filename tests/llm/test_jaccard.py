@@ -70,7 +70,38 @@ def test_kept_documents_equal_all_pairs(spark, monkeypatch, cell_rows):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == kept_ids(rows)
 
 
+def test_simhash_links_are_taken_first(spark):
+    """Near copies within the grid's bits are candidates of its own, and what it finds is verified."""
+    from varfold.llm import jaccard
+
+    rows = list(enumerate(texts()))
+    prints = jaccard._prints(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5, 800)
+    nodes = prints.groupBy("fp").agg({"sim": "min"}).withColumnRenamed("min(sim)", "sim")
+    of = {r.fp: r.sim for r in nodes.collect()}
+    pairs = {(r.u, r.v) for r in jaccard._simhash_pairs(nodes).collect()}
+    near = {(a, b) for a in of for b in of if a < b and ((of[a] ^ of[b]) & (1 << 64) - 1).bit_count() <= jaccard.BITS}
+    root = {f: f for f in of}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    assert len(near) > 40 and all(find(a) == find(b) for a, b in near)
+    assert {find(a) for a, _ in pairs} <= {find(a) for a, _ in near}
+
+
 def test_table_equals_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == kept_ids(rows)
+
+
+def test_sets_that_share_a_hash_are_told_apart(spark):
+    from varfold.llm import jaccard
+
+    rows = [(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 8, 5), (5, 8, 5)]
+    got = {r.id: r.fp for r in jaccard._told_apart(spark.createDataFrame(rows, "id long, fp long, other long")).collect()}
+    assert got[1] == got[3] != got[2] and got[4] == got[5] == 8 and len(set(got.values())) == 3

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import inspect
+import os
 
 import pytest
 
+from varfold.llm.common import SharedTable, drop_tables
 from varfold.llm.segmentation import sample_segmentations
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -16,3 +18,13 @@ def test_segmentation_draws_as_many_as_the_operator(spark):
     docs = spark.createDataFrame([(1, text), (2, text.upper())], "doc_id long, text string")
     got = corpus_pipeline.segmentation(spark, docs, "").groupBy("doc_id").count().collect()
     assert {(r.doc_id, r["count"]) for r in got} == {(d, inspect.signature(sample_segmentations).parameters["k"].default) for d in (1, 2)}
+
+
+def test_tables_on_the_way_can_be_dropped(spark):
+    kept = SharedTable(spark.range(5), "kept")
+    assert kept.path in SharedTable.written and kept.df.count() == 5
+    gone = SharedTable(spark.range(3), "gone")
+    gone.drop()
+    SharedTable.written[:], others = [kept.path], list(SharedTable.written)
+    assert drop_tables(spark) == 1 and not os.path.exists(kept.path.removeprefix("file:"))
+    SharedTable.written[:] = [p for p in others if p != kept.path]

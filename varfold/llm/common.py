@@ -31,17 +31,33 @@ def shared_dir(spark: SparkSession) -> str:
 class SharedTable:
     """A DataFrame written as Parquet to the shared folder: its lineage ends there, and lost executors cost nothing."""
 
+    #: Paths of this process's tables that are still there.
+    written: list[str] = []
+
     def __init__(self, df: DataFrame, name: str) -> None:
         self._spark = df.sparkSession
         self.path = f"{shared_dir(self._spark)}/varfold/{name}-{uuid.uuid4().hex}"
+        SharedTable.written.append(self.path)
         df.write.parquet(self.path)
         self.df = self._spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Delete the files. Only call this when no DataFrame that reads them is still to run."""
-        jvm, hadoop = self._spark._jvm, self._spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(hadoop).delete(path, True)
+        _delete(self._spark, self.path)
+        SharedTable.written.remove(self.path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete all tables that this process has written on the way, once results that read them have been stored. Gives their number."""
+    paths, SharedTable.written[:] = list(SharedTable.written), []
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

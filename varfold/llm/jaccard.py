@@ -36,6 +36,7 @@ BITS = 4
 SAMPLE, FREQUENT, HELD = 16, 4, 1 << 17
 #: Similarity is held in thousandths, so that the threshold is met exactly.
 _UNIT = 1000
+_WORD = (1 << 64) - 1
 #: Cells of at most so many rows are compared by shifts over the whole batch.
 _SMALL = 12
 #: Pairs that a task holds before it hands them on.
@@ -83,24 +84,35 @@ def _frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, n
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, words: int, least: int) -> DataFrame:
-    """(id, fp, key, n, sim, prefix): fp stands for the set, key for the row's id and text, sim is the SimHash fingerprint."""
+    """(id, fp, other, key, n, sim, prefix): fp and other are hashes of the set, key of the row's id and text, sim is the SimHash fingerprint."""
     order = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 2):
-            fps, sizes, sims, prefixes = [], [], [], []
+            fps, others, sizes, sims, prefixes = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = shingle_hashes(text, words)
                 found = np.unique(hashes)
                 sims.append(majority(hashes)[0])
-                fps.append(xxhash.xxh64_intdigest(found.tobytes(), 42))
+                whole = xxhash.xxh3_128_intdigest(found.tobytes(), 42)
+                fps.append(whole & _WORD)
+                others.append(whole >> 64)
                 sizes.append(len(found))
                 prefixes.append(in_order(found, *order.value)[: prefix_size(len(found), least)].view(np.int64))
-            out = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sims, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, ["id", "fp", "key", "n", "sim", "prefix"])
+            out = [batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, others)), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sims, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["id", "fp", "other", "key", "n", "sim", "prefix"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, fp long, key long, n long, sim long, prefix array<long>")
+    return rows.mapInArrow(run, "id long, fp long, other long, key long, n long, sim long, prefix array<long>")
+
+
+def _told_apart(prints: DataFrame) -> DataFrame:
+    """``prints`` with fp such that different sets have different ones: where two sets share a hash, both halves of it give a new one."""
+    shared = prints.groupBy("fp").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select("fp", F.lit(True).alias("shared"))
+    shared = SharedTable(shared, "shared").df
+    if shared.isEmpty():
+        return prints
+    return prints.join(shared, "fp", "left").withColumn("fp", F.when(F.col("shared"), F.xxhash64("fp", "other")).otherwise(F.col("fp"))).drop("shared")
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -221,8 +233,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = round(_UNIT * similarity)
     if not 0 < least <= _UNIT:
         raise ValueError("similarity must be above 0 and at most 1")
-    prints = SharedTable(_prints(docs, id_col, text_col, words, least), "prints").df
-    nodes = prints.groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    prints = _told_apart(SharedTable(_prints(docs, id_col, text_col, words, least), "prints").df)
+    nodes = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     spread = nodes.select("fp", "n", F.posexplode("prefix").alias("at", "cell"))
     spread = spread.select("cell", F.lit(0).cast("long").alias("pair"), "fp", "n", (F.col("n") - F.col("at")).alias("rest"))
     dealt = spread.repartition("cell").sortWithinPartitions("cell")
@@ -233,9 +245,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # SimHash links of sets that share no prefix can't be alike; they end at the texts, which only sets in cells have.
     meet = _candidates(cells.withColumn("part", F.col("fp")), hot, least, False).unionByName(_simhash_pairs(sims))
     first = SharedTable(meet.distinct(), "pairs").df
-    keys = prints.groupBy("fp").agg(F.min("key").alias("key")).join(cells.select("fp").distinct(), "fp", "left_semi")
-    once = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    texts = SharedTable(once.join(keys, "key").groupBy("fp").agg(F.first("text").alias("text")), "texts").df
+    keys = prints.groupBy("fp").agg(F.min(F.struct("key", "id")).alias("k")).join(cells.select("fp").distinct(), "fp", "left_semi").select("fp", "k.*")
+    once = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = SharedTable(once.join(keys, ["key", "id"]).groupBy("fp").agg(F.first("text").alias("text")), "texts").df
     edges = SharedTable(_verified(first, texts, words, least), "links").df
     parts = connected_components(edges).select(F.col("node").alias("fp"), "root")
     parted = cells.join(parts, "fp", "left").withColumn("part", F.coalesce("root", "fp")).drop("root")
