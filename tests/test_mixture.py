@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from varfold.functions import numeric
 from varfold.operators import mixture as m
+from varfold.operators.germline import fit_germline
 from varfold.operators.prior import default_prior, germline_prior, priors
 from varfold.operators.specs import FitOptions, SomaticMixtureSpec
 from varfold.plans import registry
@@ -92,6 +93,19 @@ def test_extra_columns_of_the_prior_stay_and_germline_is_fitted_once(spark):
     assert out.note == "x" and out.n_variants == 0 and out.loglik == 0.0
 
 
+def test_steps_out_of_order_are_refused(spark, variants, fits):
+    with pytest.raises(ValueError, match="see fit_mixture.* mu, kappa, pi"):
+        m.predict(variants, variants.select(*KEYS).distinct(), KEYS)
+    with pytest.raises(ValueError, match="see predict.* resp"):
+        m.component_summary(variants, fits, KEYS)
+    with pytest.raises(ValueError, match="see predict.* resp"):
+        m.component_rows(variants, 1)
+    with pytest.raises(ValueError, match="see priors.* mu_prior_mean"):
+        m.fit_mixture(variants, variants.select(*KEYS).distinct(), KEYS)
+    with pytest.raises(ValueError, match="genotype"):
+        fit_germline(variants, KEYS)
+
+
 def test_counts_equal_rows_and_best_restart_is_no_worse(variants, fits):
     rows = [(r.alt, r.depth) for r in variants.where("chrom = 'chr2'").collect()]
     alt, depth = (np.array(x, float) for x in zip(*rows, strict=True))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varfold.functions.numeric import Counts, fit_beta_binomial_mle
+from varfold.functions.names import require
 from varfold.functions.special import clip, vaf
 from varfold.operators.keys import dealt_by, join_on
 from varfold.operators.specs import GermlineSpec
@@ -105,6 +106,7 @@ def fit_germline(variants: DataFrame, keys: tuple[str, ...] = KEYS, spec: Germli
     fallback values and log-likelihood 0. Without hom rows this is the het-only fit.
     """
     spec = spec or GermlineSpec()
+    require(variants, (*keys, "genotype", "alt", "depth"), "fit_germline")
     germline = variants.where(F.col("genotype").isin("hetalt", "homalt"))
     counts = counts_by_class(germline, keys)
     fitted = fit_classes(germline, keys, spec)
@@ -119,5 +121,6 @@ def fit_germline(variants: DataFrame, keys: tuple[str, ...] = KEYS, spec: Germli
 
 def fit_germline_from_mask(variants: DataFrame, mask: str = "is_het", keys: tuple[str, ...] = KEYS, spec: GermlineSpec | None = None) -> DataFrame:
     """The same from rows with a boolean: true for het, false for hom; rows with a null mask take no part."""
+    require(variants, (mask,), "fit_germline_from_mask")
     kind = F.when(F.col(mask), "hetalt").when(~F.col(mask), "homalt")
     return fit_germline(variants.withColumn("genotype", kind), keys, spec)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from varfold.functions import special as sp
-from varfold.functions.names import unused_prefix
+from varfold.functions.names import require, unused_prefix
 from varfold.functions.numeric import Counts, maximise
 from varfold.operators.germline import KEYS, counts_of, fit_germline
 from varfold.operators.keys import dealt_by, join_on
@@ -32,6 +32,7 @@ _FIT_SCHEMA = "mu array<double>, kappa array<double>, pi array<double>, n_varian
 def smart_init(variants: DataFrame, keys: tuple[str, ...] = KEYS, spec: SomaticMixtureSpec | None = None) -> DataFrame:
     """keys and init_mu, the start of the three means: mean, median and mean of the fraction's bands, within bounds."""
     spec = spec or SomaticMixtureSpec()
+    require(variants, (*keys, "alt", "depth"), "smart_init")
     v = variants.select(*keys, sp.vaf("alt", "depth").alias("vaf"))
     x = F.col("vaf")
     bands = (x < SUB_BELOW, (x >= CLONAL_BAND[0]) & (x <= CLONAL_BAND[1]), x > LOH_ABOVE)
@@ -123,6 +124,8 @@ def fit_mixture(variants: DataFrame, prior: DataFrame, keys: tuple[str, ...] = K
     from is computed once. Posteriors are then plain columns (``posteriors``).
     """
     spec, options = spec or SomaticMixtureSpec(), options or FitOptions()
+    require(variants, (*keys, "alt", "depth"), "fit_mixture")
+    require(prior, (*keys, *NEEDED), "fit_mixture with a prior (see priors)")
     kept = prior.select(*[f"`{c}`" for c in prior.columns if c not in FIT])
     kinds = (*[pa.list_(pa.float64())] * 3, pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int32())
 
@@ -159,6 +162,8 @@ def posteriors(variants: DataFrame, fits: DataFrame, keys: tuple[str, ...] = KEY
     the fits are one row a key, and Spark broadcasts them when they are small. Filters on resp or on what is derived from it
     read the computed value. Columns resp and log_norm of ``variants`` are replaced and dropped.
     """
+    require(variants, (*keys, "alt", "depth"), "posteriors")
+    require(fits, (*keys, "mu", "kappa", "pi"), "posteriors under a fit (see fit_mixture)")
     p = unused_prefix(variants)
     parameters = fits.select(*keys, *[F.col(c).alias(f"{p}{c}") for c in ("mu", "kappa", "pi")])
     scored = e_step(join_on(variants, parameters, keys, "inner"), f"{p}mu", f"{p}kappa", f"{p}pi")
@@ -177,11 +182,14 @@ def assignments(variants: DataFrame, fits: DataFrame, keys: tuple[str, ...] = KE
 
 def component_rows(scored: DataFrame, component: int) -> DataFrame:
     """Scored rows whose likeliest component is ``component``, however uncertain."""
+    require(scored, ("resp",), "component_rows of scored variants (see predict)")
     return scored.where(sp.argmax("resp") == component)
 
 
 def component_summary(scored: DataFrame, fits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Three rows a key: component, mu, kappa, pi, n_assigned, mean_responsibility."""
+    require(scored, (*keys, "resp"), "component_summary of scored variants (see predict)")
+    require(fits, (*keys, "mu", "kappa", "pi"), "component_summary under a fit (see fit_mixture)")
     p = unused_prefix(scored)
     own = F.col(f"{p}k")
     counted = scored.withColumn(f"{p}k", sp.argmax("resp")).groupBy(*keys).agg(
