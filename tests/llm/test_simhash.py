@@ -84,6 +84,39 @@ def test_dense_groups_keep_their_links(spark, monkeypatch, rows):
     assert [got[i] for i in ids] == slow_components(ids, prints, 4)
 
 
+@pytest.mark.parametrize("exact", [1, 4])
+def test_finer_cells_lose_no_link(spark, exact):
+    rnd, prints = random.Random(9), []
+    for _ in range(8):
+        fp = rnd.getrandbits(64)
+        for _ in range(25):
+            prints.append(fp)
+            for _ in range(rnd.choice([2, 4, 4, 5])):
+                fp ^= 1 << rnd.randrange(64)
+    frame = spark.createDataFrame([(i, int(np.uint64(p).astype(np.int64))) for i, p in enumerate(prints)], "id long, fp long")
+    cells = simhash.grid_cells(frame.select("fp").distinct(), 4, exact)
+    got = {r.id: r.component_id for r in simhash.assign_components(frame, simhash.links(cells, 4)).collect()}
+    assert [got[i] for i in range(len(prints))] == slow_components(list(range(len(prints))), prints, 4)
+    assert cells.select("cell").distinct().count() > simhash.grid_cells(frame.select("fp").distinct(), 4).select("cell").distinct().count()
+
+
+def test_cells_grow_finer_with_the_number_of_fingerprints():
+    found = [simhash.exact_segments(n) for n in (0, 10**6, 2 * 10**7, 10**8, 10**9, 10**10, 5 * 10**10, 10**12)]
+    assert found[:3] == [0, 0, 0] and found[-1] == 4 and found == sorted(found)
+    assert all(n * (3 / 8) ** (16 - 4 * e) * (1 / 4) ** (4 * e) <= 4 * simhash.FELLOWS for n, e in zip((10**8, 10**9, 10**10, 5 * 10**10), found[3:7], strict=True))
+
+
+def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
+    from varfold.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, -1, id % 500) as k", "cast(null as string) as note")
+    ones = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("value", F.col("k") * 7)
+    got = common.join_one(rows, ones, "k", "n")
+    assert got.columns == ["k", "id", "note", "value"] and "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.k, r.value) for r in got.collect()) == [(i, -1 if i % 3 == 0 else i % 500, 7 * (-1 if i % 3 == 0 else i % 500)) for i in range(3000)]
+
+
 def test_bound_is_below_hamming():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 63, (2, 2000), dtype=np.uint64)
