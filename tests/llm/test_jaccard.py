@@ -105,3 +105,17 @@ def test_sets_that_share_a_hash_are_told_apart(spark):
     rows = [(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 8, 5), (5, 8, 5)]
     got = {r.id: r.fp for r in jaccard._told_apart(spark.createDataFrame(rows, "id long, fp long, other long")).collect()}
     assert got[1] == got[3] != got[2] and got[4] == got[5] == 8 and len(set(got.values())) == 3
+
+
+def test_single_cells_go_whatever_the_batches():
+    import pyarrow as pa
+
+    from varfold.llm import jaccard
+
+    rnd = random.Random(2)
+    cells = sorted(rnd.choice(range(60)) for _ in range(70))
+    for size in (1, 2, 3, 7, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(cells[i : i + size], pa.int64()), pa.array(range(i, min(i + size, 70)), pa.int64())], ["cell", "fp"]) for i in range(0, 70, size)]
+        batches.insert(1, batches[0].slice(0, 0))
+        got = [r for b in jaccard._shared(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert got == [(c, i) for i, c in enumerate(cells) if cells.count(c) > 1]

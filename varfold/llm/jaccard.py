@@ -84,12 +84,13 @@ def _frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, n
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, words: int, least: int) -> DataFrame:
-    """(id, fp, other, key, n, sim, prefix): fp and other are hashes of the set, key of the row's id and text, sim is the SimHash fingerprint."""
+    """(id, fp, other, key, n, sim, rare, prefix): fp and other are hashes of the set, key of the row's id and text, sim is the SimHash
+    fingerprint; the first ``rare`` shingles of the prefix are not among the frequent ones."""
     order = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 2):
-            fps, others, sizes, sims, prefixes = [], [], [], [], []
+            fps, others, sizes, sims, rare, prefixes = [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = shingle_hashes(text, words)
                 found = np.unique(hashes)
@@ -98,12 +99,14 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, words: int, least: int)
                 fps.append(whole & _WORD)
                 others.append(whole >> 64)
                 sizes.append(len(found))
-                prefixes.append(in_order(found, *order.value)[: prefix_size(len(found), least)].view(np.int64))
-            out = [batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, others)), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sims, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, ["id", "fp", "other", "key", "n", "sim", "prefix"])
+                prefix = in_order(found, *order.value)[: prefix_size(len(found), least)]
+                prefixes.append(prefix.view(np.int64))
+                rare.append(len(prefix) - int(np.isin(prefix, order.value[0]).sum()))
+            out = [batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, others)), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sims, pa.int64()), pa.array(rare, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["id", "fp", "other", "key", "n", "sim", "rare", "prefix"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, fp long, other long, key long, n long, sim long, prefix array<long>")
+    return rows.mapInArrow(run, "id long, fp long, other long, key long, n long, sim long, rare long, prefix array<long>")
 
 
 def _told_apart(prints: DataFrame) -> DataFrame:
@@ -131,12 +134,21 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, pair, fp, n, rest) of cells with more than one row."""
-    for rows in _units(batches):
-        same = rows[1:, 0] == rows[:-1, 0]
-        rows = rows[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in (0, 2, 3, 4)], ["cell", "fp", "n", "rest"])
+    """Rows (cell, ...) of cells with more than one row, sorted by cell; holds one batch and the row before it."""
+    held, given = None, False  # the last row, and whether it has gone out already
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        cell = rows.column(0).to_numpy()
+        same = cell[1:] == cell[:-1]
+        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        if given:
+            keep[0] = False
+        held, given = rows.slice(rows.num_rows - 1), bool(keep[-1]) or (given and rows.num_rows == 1)
+        out = rows.filter(pa.array(keep))
+        if out.num_rows:
+            yield out
 
 
 def _possible(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
@@ -234,11 +246,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 < least <= _UNIT:
         raise ValueError("similarity must be above 0 and at most 1")
     prints = _told_apart(SharedTable(_prints(docs, id_col, text_col, words, least), "prints").df)
-    nodes = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    spread = nodes.select("fp", "n", F.posexplode("prefix").alias("at", "cell"))
-    spread = spread.select("cell", F.lit(0).cast("long").alias("pair"), "fp", "n", (F.col("n") - F.col("at")).alias("rest"))
-    dealt = spread.repartition("cell").sortWithinPartitions("cell")
-    cells = SharedTable(dealt.mapInArrow(_shared, "cell long, fp long, n long, rest long"), "cells").df
+    nodes = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
+    nodes = SharedTable(nodes, "sets").df
+    spread = nodes.select("fp", "n", "rare", F.posexplode("prefix").alias("at", "cell"))
+    spread = spread.select("cell", "fp", "n", (F.col("n") - F.col("at")).alias("rest"), (F.col("at") < F.col("rare")).alias("few"))
+    # Cells with one row have no pairs and go. Frequent shingles have more, and stay where they are; without them no cell is hot, since
+    # one that is not among the HELD most frequent has no more rows than a HELD-th of all, by the sample's counts.
+    few = spread.where("few").drop("few").repartition("cell").sortWithinPartitions("cell").mapInArrow(_shared, "cell long, fp long, n long, rest long")
+    cells = SharedTable(few.unionByName(spread.where("not few").drop("few")), "cells").df
     sizes = cells.groupBy("cell").agg(F.count("*").alias("m")).where(F.col("m") > CELL_ROWS)
     hot = SharedTable(sizes.select("cell", F.ceil(F.col("m") / (CELL_ROWS // 2)).cast("int").alias("chunks")), "hot-cells").df
     sims = SharedTable(prints.groupBy("fp").agg(F.min("sim").alias("sim")), "fingerprints").df
