@@ -9,7 +9,11 @@ stage's ``docs``. All but the last return the columns of ``documents``:
 4. secrets: secrets in the texts are replaced by a mark, and n_chars is set anew;
 5. segmentation: each text becomes four sampled segmentations (ids as four bytes little-endian a piece) with inclusion scores.
 
-Defined results: rows with null texts count as empty texts in every stage; an empty table gives an empty result.
+Defined results: rows with null texts count as empty texts in every stage, and null texts stay null until segmentation. Exact
+repeats of id and text become one row in near_dedup, copies and near-copies the one with the smallest id; rows without an id
+all stay there. Where several rows are alike in every respect, it does not matter which stays: ties are settled by the other columns.
+Whole texts are taken, however long. Columns beyond those of ``documents`` are carried through, whatever their names; the last
+stage has its own. An empty table gives an empty result.
 SQL cannot express the stages, so ORACLE_SQL is None and tests/llm/test_pipeline.py holds them against plain versions.
 """
 
@@ -39,7 +43,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group, at a Jaccard index of 0.8 over five-word shingles."""
+    """Keep one document of each group at a Jaccard index of 0.8 over five-word shingles: SimHash grid first, an exact path for the rest."""
     return keep_one(docs)
 
 
