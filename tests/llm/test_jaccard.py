@@ -114,8 +114,10 @@ def test_single_cells_go_whatever_the_batches():
 
     rnd = random.Random(2)
     cells = sorted(rnd.choice(range(60)) for _ in range(70))
+    lone = next(c for c in cells if cells.count(c) == 1)
     for size in (1, 2, 3, 7, 100):
-        batches = [pa.RecordBatch.from_arrays([pa.array(cells[i : i + size], pa.int64()), pa.array(range(i, min(i + size, 70)), pa.int64())], ["cell", "fp"]) for i in range(0, 70, size)]
+        columns = lambda i, j: [pa.array(cells[i:j], pa.int64()), *(pa.array(range(i, j), pa.int64()) for _ in range(3)), pa.array([c == lone for c in cells[i:j]])]
+        batches = [pa.RecordBatch.from_arrays(columns(i, min(i + size, 70)), ["cell", "fp", "n", "rest", "frequent"]) for i in range(0, 70, size)]
         batches.insert(1, batches[0].slice(0, 0))
         got = [r for b in jaccard._shared(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        assert got == [(c, i) for i, c in enumerate(cells) if cells.count(c) > 1]
+        assert got == [(c, i, i, i) for i, c in enumerate(cells) if cells.count(c) > 1 or c == lone]

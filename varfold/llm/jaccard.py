@@ -11,10 +11,10 @@ shared shingle of a true pair never rules it out). What remains is verified on t
 Any order gives the same links. Shingles that are frequent in a sample of texts come last in it, so that few prefixes hold
 them; the others are in the order of their hashes. Texts with equal sets are one node from the start.
 
-Pairs are verified in two rounds. The first takes the SimHash links, and neighbours by size in each cell (a cell: the nodes
-that have a shingle in their prefixes), a number in proportion to the nodes and cells' rows, which joins nearly all of what
-belongs together; the second takes all pairs that are still in different components. So each link is verified or its ends
-are in one component already.
+Pairs are verified in three rounds. The first takes the SimHash links, and neighbours by size in the cells of each set's first
+few shingles (a cell: the nodes that have a shingle in their prefixes), a number in proportion to the nodes. The second takes
+nodes at a few distances in all cells that are still in different components, which joins nearly all of what belongs together;
+the third takes all pairs that are still in different components. So each link is verified or its ends are in one component already.
 """
 
 from __future__ import annotations
@@ -39,6 +39,10 @@ _UNIT = 1000
 _WORD = (1 << 64) - 1
 #: Cells of at most so many rows are compared by shifts over the whole batch.
 _SMALL = 12
+#: Places of a prefix in whose cells neighbours are taken in the first round, so that a set has a few candidates there, however many shingles it shares.
+HEAD = 4
+#: How far apart in a cell the rows of different components stand that are compared in the second round.
+APART = (1, 2, 5, 11, 23, 47, 95, 191)
 #: Pairs that a task holds before it hands them on.
 _TOGETHER = 1 << 18
 
@@ -134,7 +138,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, ...) of cells with more than one row, sorted by cell; holds one batch and the row before it."""
+    """Rows (cell, fp, n, rest) of frequent cells, and of others with more than one row; (..., frequent) come in sorted by cell.
+
+    Holds one batch and the row before it.
+    """
     held, given = None, False  # the last row, and whether it has gone out already
     for batch in batches:
         if not batch.num_rows:
@@ -142,13 +149,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = batch if held is None else pa.concat_batches([held, batch])
         cell = rows.column(0).to_numpy()
         same = cell[1:] == cell[:-1]
-        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        keep = np.concatenate(([False], same)) | np.concatenate((same, [False])) | rows.column(4).to_numpy(zero_copy_only=False)
         if given:
             keep[0] = False
         held, given = rows.slice(rows.num_rows - 1), bool(keep[-1]) or (given and rows.num_rows == 1)
         out = rows.filter(pa.array(keep))
         if out.num_rows:
-            yield out
+            yield pa.RecordBatch.from_arrays(out.columns[:4], out.schema.names[:4])
 
 
 def _possible(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
@@ -156,13 +163,14 @@ def _possible(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
     return ((_UNIT + least) * np.minimum(a[..., 4], b[..., 4]) >= least * (a[..., 2] + b[..., 2])) & (a[..., 5] != b[..., 5])
 
 
-def _pairs(rows: np.ndarray, least: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Possible pairs within runs of (cell, pair), sorted by size: of neighbours, or all."""
+def _pairs(rows: np.ndarray, least: int, shifts: tuple[int, ...] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Possible pairs within runs of (cell, pair), sorted by size: of rows that stand so far apart, or all."""
     bounds = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1), [True])))
     sizes = np.diff(bounds)
     run_at = np.repeat(np.arange(len(sizes)), sizes)
+    every = shifts is None
     small = np.flatnonzero(sizes[run_at] <= _SMALL) if every else np.arange(len(rows))
-    for shift in range(1, _SMALL if every else 2):
+    for shift in range(1, _SMALL) if every else shifts:
         at = np.flatnonzero(run_at[small][shift:] == run_at[small][:-shift])
         a, b = rows[small[at]], rows[small[at + shift]]
         good = _possible(a, b, least)
@@ -175,7 +183,7 @@ def _pairs(rows: np.ndarray, least: int, every: bool) -> Iterator[tuple[np.ndarr
             yield np.full(int(good.sum()), row[3]), mine[good, 3]
 
 
-def _pairer(least: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pairer(least: int, shifts: tuple[int, ...] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         a, b = (np.concatenate(c) for c in zip(*found, strict=True))
         both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
@@ -184,7 +192,7 @@ def _pairer(least: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
         for rows in _units(batches):
-            for pair in _pairs(rows, least, every):
+            for pair in _pairs(rows, least, shifts):
                 if len(pair[0]):
                     found.append(pair)
                     size += len(pair[0])
@@ -197,7 +205,7 @@ def _pairer(least: int, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def _candidates(cells: DataFrame, hot: DataFrame, least: int, every: bool) -> DataFrame:
+def _candidates(cells: DataFrame, hot: DataFrame, least: int, shifts: tuple[int, ...] | None) -> DataFrame:
     """Distinct pairs (u, v) to verify; ``cells`` has cell, fp, n, rest and part. Pairs of chunks of a large cell are units of their own."""
     k = F.col("chunks")
     mine = F.pmod(F.xxhash64("fp"), k).cast("int")
@@ -205,7 +213,7 @@ def _candidates(cells: DataFrame, hot: DataFrame, least: int, every: bool) -> Da
     pairs = F.when(k.isNull(), F.array(F.lit(0))).otherwise(others)
     spread = cells.join(hot, "cell", "left").select("cell", F.explode(pairs).alias("pair"), "n", "fp", "rest", "part")
     dealt = spread.repartition(F.col("cell"), F.col("pair")).sortWithinPartitions("cell", "pair", "n", "fp")
-    return dealt.mapInArrow(_pairer(least, every), "u long, v long").distinct()
+    return dealt.mapInArrow(_pairer(least, shifts), "u long, v long").distinct()
 
 
 def _simhash_pairs(nodes: DataFrame) -> DataFrame:
@@ -247,25 +255,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("similarity must be above 0 and at most 1")
     prints = _told_apart(SharedTable(_prints(docs, id_col, text_col, words, least), "prints").df)
     nodes = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
-    nodes = SharedTable(nodes, "sets").df
     spread = nodes.select("fp", "n", "rare", F.posexplode("prefix").alias("at", "cell"))
-    spread = spread.select("cell", "fp", "n", (F.col("n") - F.col("at")).alias("rest"), (F.col("at") < F.col("rare")).alias("few"))
-    # Cells with one row have no pairs and go. Frequent shingles have more, and stay where they are; without them no cell is hot, since
-    # one that is not among the HELD most frequent has no more rows than a HELD-th of all, by the sample's counts.
-    few = spread.where("few").drop("few").repartition("cell").sortWithinPartitions("cell").mapInArrow(_shared, "cell long, fp long, n long, rest long")
-    cells = SharedTable(few.unionByName(spread.where("not few").drop("few")), "cells").df
+    spread = spread.select("cell", "fp", "n", (F.col("n") - F.col("at")).alias("rest"), (F.col("at") >= F.col("rare")).alias("frequent"))
+    # Cells with one row have no pairs and go. Frequent shingles have more, so their rows stay and are dealt by their sets. No other
+    # cell is hot: one that is not among the HELD most frequent has no more rows than a HELD-th of all, by the sample's counts.
+    salt = F.when(F.col("frequent"), F.col("fp")).otherwise(0)
+    dealt = spread.repartition(F.col("cell"), salt).sortWithinPartitions("cell")
+    cells = SharedTable(dealt.mapInArrow(_shared, "cell long, fp long, n long, rest long"), "cells").df
     sizes = cells.groupBy("cell").agg(F.count("*").alias("m")).where(F.col("m") > CELL_ROWS)
     hot = SharedTable(sizes.select("cell", F.ceil(F.col("m") / (CELL_ROWS // 2)).cast("int").alias("chunks")), "hot-cells").df
     sims = SharedTable(prints.groupBy("fp").agg(F.min("sim").alias("sim")), "fingerprints").df
     # SimHash links of sets that share no prefix can't be alike; they end at the texts, which only sets in cells have.
-    meet = _candidates(cells.withColumn("part", F.col("fp")), hot, least, False).unionByName(_simhash_pairs(sims))
+    head = cells.where(F.col("n") - F.col("rest") < HEAD).withColumn("part", F.col("fp"))
+    meet = _candidates(head, hot, least, (1,)).unionByName(_simhash_pairs(sims))
     first = SharedTable(meet.distinct(), "pairs").df
     keys = prints.groupBy("fp").agg(F.min(F.struct("key", "id")).alias("k")).join(cells.select("fp").distinct(), "fp", "left_semi").select("fp", "k.*")
     once = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = SharedTable(once.join(keys, ["key", "id"]).groupBy("fp").agg(F.first("text").alias("text")), "texts").df
-    edges = SharedTable(_verified(first, texts, words, least), "links").df
-    parts = connected_components(edges).select(F.col("node").alias("fp"), "root")
-    parted = cells.join(parts, "fp", "left").withColumn("part", F.coalesce("root", "fp")).drop("root")
-    rest = _candidates(parted, hot, least, True).join(first, ["u", "v"], "left_anti")
-    more = SharedTable(_verified(rest, texts, words, least), "links").df
-    return assign_components(prints.select("id", "fp"), edges.unionByName(more))
+    edges, seen = SharedTable(_verified(first, texts, words, least), "links").df, first
+    for shifts in (APART, None):
+        parts = connected_components(edges).select(F.col("node").alias("fp"), "root")
+        parted = cells.join(parts, "fp", "left").withColumn("part", F.coalesce("root", "fp")).drop("root")
+        rest = SharedTable(_candidates(parted, hot, least, shifts).join(seen, ["u", "v"], "left_anti"), "pairs").df
+        edges = edges.unionByName(SharedTable(_verified(rest, texts, words, least), "links").df)
+        seen = seen.unionByName(rest)
+    return assign_components(prints.select("id", "fp"), edges)
