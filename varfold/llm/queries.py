@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from varfold.llm.decontaminate import op10_decontaminate
 from varfold.llm.digests import op3_digests
+from varfold.llm.divergence import OP12_SQL, op12_divergence
 from varfold.llm.licenses import op6_licenses
 from varfold.llm.pii import op8_pii
 from varfold.llm.quality import op9_quality
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
+    "op12_divergence": op12_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_divergence": OP12_SQL}
