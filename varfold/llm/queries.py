@@ -17,6 +17,7 @@ from varfold.llm.segmentation import op2_segmentations
 from varfold.llm.sharding import op7_sharding
 from varfold.llm.simhash import op1_simhash
 from varfold.llm.toxicity import op5_toxicity
+from varfold.llm.whitening import op13_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
     "op12_divergence": op12_divergence,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {"op12_divergence": OP12_SQL}
