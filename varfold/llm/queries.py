@@ -12,6 +12,7 @@ from varfold.llm.divergence import OP12_SQL, op12_divergence
 from varfold.llm.licenses import op6_licenses
 from varfold.llm.pii import op8_pii
 from varfold.llm.quality import op9_quality
+from varfold.llm.repeats import OP11_SQL, op11_repeats
 from varfold.llm.secrets import op4_secrets
 from varfold.llm.segmentation import op2_segmentations
 from varfold.llm.sharding import op7_sharding
@@ -30,8 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
+    "op11_repeats": op11_repeats,
     "op12_divergence": op12_divergence,
     "op13_whitening": op13_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {"op12_divergence": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_repeats": OP11_SQL, "op12_divergence": OP12_SQL}
