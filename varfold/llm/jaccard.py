@@ -11,10 +11,14 @@ shared shingle of a true pair never rules it out). What remains is verified on t
 Any order gives the same links. Shingles that are frequent in a sample of texts come last in it, so that few prefixes hold
 them; the others are in the order of their hashes. Texts with equal sets are one node from the start.
 
-Pairs are verified in three rounds. The first takes the SimHash links, and neighbours by size in the cells of each set's first
-few shingles (a cell: the nodes that have a shingle in their prefixes), a number in proportion to the nodes. The second takes
-nodes at a few distances in all cells that are still in different components, which joins nearly all of what belongs together;
-the third takes all pairs that are still in different components. So each link is verified or its ends are in one component already.
+Texts are not sent with candidates. A set has a mark of two to four bits a shingle, which bounds what two sets can have in common; pairs
+that their marks rule out go first. The others are verified on their texts, which are fetched for the sets that need it.
+
+Pairs are taken in three rounds. The first takes the SimHash links, and neighbours by size in the cells of each set's first
+few shingles (a cell: the nodes that have a shingle in their prefixes), a number in proportion to the nodes; of what the marks leave, each
+set's best pair is verified. The second takes what was left and is still in different components, and nodes at a few distances in all cells,
+which joins nearly all of what belongs together; the third takes all pairs that are still in different components. So each link is verified or
+its ends are in one component already. A set of many pairs is sent to several tasks, each for a bounded number of them.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varfold.llm.common import SharedTable, blocks, connected_components, join_one
+from varfold.llm.common import SharedTable, blocks, connected_components
 from varfold.llm.simhash import CELL_ROWS, assign_components, grid_links, majority, shingle_hashes
 
 #: Bits of 64 in which fingerprints that are candidates differ at most.
@@ -43,6 +47,8 @@ _SMALL = 12
 HEAD = 4
 #: How far apart in a cell the rows of different components stand that are compared in the second round.
 APART = (1, 2, 5, 11, 23, 47, 95, 191)
+#: Pairs of one set that are dealt to a task together.
+SPLIT = 64
 #: Pairs that a task holds before it hands them on.
 _TOGETHER = 1 << 18
 
@@ -63,6 +69,21 @@ def alike(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     return _UNIT * common >= least * (len(a) + len(b) - common)
 
 
+def mark(found: np.ndarray) -> np.ndarray:
+    """Bits of the places that a set's hashes have, two to four a hash, as bytes."""
+    bits = np.zeros(max(64, 1 << (2 * len(found) - 1).bit_length()) if len(found) else 64, bool)
+    bits[(found & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def most_common(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
+    """How much sets of ``n`` and ``m`` hashes with the marks ``a`` and ``b`` can have in common at most."""
+    if len(a) > len(b):
+        a, b, n, m = b, a, m, n
+    b = np.bitwise_or.reduce(b.reshape(-1, len(a)), axis=0)
+    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+
+
 def in_order(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """An ascending set in the common order: frequent shingles last, by their counts and then their hashes."""
     if not len(frequent) or not len(found):
@@ -88,13 +109,13 @@ def _frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, n
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, words: int, least: int) -> DataFrame:
-    """(id, fp, other, key, n, sim, rare, prefix): fp and other are hashes of the set, key of the row's id and text, sim is the SimHash
-    fingerprint; the first ``rare`` shingles of the prefix are not among the frequent ones."""
+    """(id, fp, other, key, n, sim, rare, prefix, bits): fp and other are hashes of the set, key of the row's id and text, sim is the SimHash
+    fingerprint; the first ``rare`` shingles of the prefix are not among the frequent ones; bits is the set's mark."""
     order = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 2):
-            fps, others, sizes, sims, rare, prefixes = [], [], [], [], [], []
+            fps, others, sizes, sims, rare, prefixes, bits = [], [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = shingle_hashes(text, words)
                 found = np.unique(hashes)
@@ -106,11 +127,12 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, words: int, least: int)
                 prefix = in_order(found, *order.value)[: prefix_size(len(found), least)]
                 prefixes.append(prefix.view(np.int64))
                 rare.append(len(prefix) - int(np.isin(prefix, order.value[0]).sum()))
-            out = [batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, others)), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sims, pa.int64()), pa.array(rare, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, ["id", "fp", "other", "key", "n", "sim", "rare", "prefix"])
+                bits.append(mark(found).tobytes())
+            out = [batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, others)), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sims, pa.int64()), pa.array(rare, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["id", "fp", "other", "key", "n", "sim", "rare", "prefix", "bits"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, fp long, other long, key long, n long, sim long, rare long, prefix array<long>")
+    return rows.mapInArrow(run, "id long, fp long, other long, key long, n long, sim long, rare long, prefix array<long>, bits binary")
 
 
 def _told_apart(prints: DataFrame) -> DataFrame:
@@ -216,36 +238,105 @@ def _candidates(cells: DataFrame, hot: DataFrame, least: int, shifts: tuple[int,
     return dealt.mapInArrow(_pairer(least, shifts), "u long, v long").distinct()
 
 
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of neighbours with one fingerprint; (sim, fp) come in sorted."""
+    last: tuple[int, int] | None = None
+    for batch in batches:
+        sim, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if last is not None:
+            sim, fp = np.append(last[0], sim), np.append(last[1], fp)
+        if len(sim):
+            last = (sim[-1], fp[-1])
+            same = np.flatnonzero(sim[1:] == sim[:-1])
+            a, b = fp[same], fp[same + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+
+
 def _simhash_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of sets by their fingerprints; ``nodes`` has fp and sim. Sets with one fingerprint meet its first set, which stands for them in the grid's links."""
-    first = nodes.groupBy("sim").agg(F.min("fp").alias("u"), F.count("*").alias("m"))
-    first = SharedTable(first, "sims").df
-    same = join_one(nodes, first, "sim", "m").where("fp <> u").select("u", F.col("fp").alias("v"))
+    """Pairs (u, v) of sets by their fingerprints; ``nodes`` has fp and sim.
+
+    Sets of one fingerprint stand in a row, of which tasks have a range each, and are paired with their neighbours; a pair that a
+    range cuts is left to the exact path. One set of each fingerprint stands for it in the grid's links.
+    """
+    row = nodes.select("sim", "fp").repartitionByRange("sim", "fp").sortWithinPartitions("sim", "fp")
+    same = row.mapInArrow(_chained, "u long, v long")
+    first = SharedTable(nodes.groupBy("sim").agg(F.min("fp").alias("u")), "sims").df
     near = grid_links(first.select(F.col("sim").alias("fp")), BITS)
     near = near.join(first.select(F.col("sim").alias("u"), F.col("u").alias("a")), "u").join(first.select(F.col("sim").alias("v"), F.col("u").alias("b")), "v")
     return same.unionByName(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
 
 
+def _with_ends(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``pairs`` (u, v; a stored table) with the columns of ``rows`` (fp, ...) for both ends, as a_... and b_..., sorted by v.
+
+    A pair costs time rather than bytes, so it is dealt over a stated number of partitions, which adaptive execution leaves as it is. What belongs
+    to a set of many pairs is sent to several partitions, for SPLIT pairs or so each.
+    """
+    spark = pairs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    sides, dealt = {"u": "v", "v": "u"}, pairs.select("u", "v")
+    hot = {}
+    for end in sides:
+        many = pairs.groupBy(end).agg(F.count("*").alias("m")).where(F.col("m") > SPLIT)
+        hot[end] = SharedTable(many.select(end, F.ceil(F.col("m") / SPLIT).cast("int").alias(f"parts_{end}")), "hot-ends").df
+        dealt = dealt.join(hot[end], end, "left")
+    parts = {end: F.coalesce(f"parts_{end}", F.lit(1)) for end in sides}
+    dealt = dealt.select("u", "v", *[F.pmod(F.xxhash64(other), parts[end]).cast("int").alias(f"part_{end}") for end, other in sides.items()])
+    for end, name in zip(sides, "ab", strict=True):
+        own = rows.select(F.col("fp").alias(end), *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c != "fp"]).join(hot[end], end, "left")
+        own = own.withColumn(f"part_{end}", F.explode(F.sequence(F.lit(0), parts[end] - 1))).drop(f"parts_{end}")
+        dealt = dealt.repartition(n, end, f"part_{end}").join(own, [end, f"part_{end}"]).drop(f"part_{end}")
+    return dealt.sortWithinPartitions("v")
+
+
+def _plausible(pairs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
+    """The pairs (u, v; a stored table) that the marks of their sets don't rule out, with score, the bound in thousandths; ``marks`` has fp, n and bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, n, m, a, b = batch.columns
+            scores = []
+            for x, y, p, q in zip(n.to_pylist(), m.to_pylist(), a, b, strict=True):
+                common = most_common(np.frombuffer(p.as_buffer(), np.uint8), np.frombuffer(q.as_buffer(), np.uint8), x, y)
+                scores.append(_UNIT * common // max(x + y - common, 1) if _UNIT * common >= least * (x + y - common) else -1)
+            score = np.array(scores, np.int64)
+            yield pa.RecordBatch.from_arrays([u, v, pa.array(score)], ["u", "v", "score"]).filter(pa.array(score >= 0))
+
+    rows = _with_ends(pairs, marks.select("fp", "n", "bits")).select("u", "v", "a_n", "b_n", "a_bits", "b_bits")
+    return rows.mapInArrow(run, "u long, v long, score long")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (u, v, score) each set's one of the largest score: no more pairs than sets."""
+    pair = F.struct("u", "v")
+    both = pairs.select(F.col("u").alias("node"), "score", pair.alias("pair")).unionByName(pairs.select(F.col("v").alias("node"), "score", pair.alias("pair")))
+    return both.groupBy("node").agg(F.min_by("pair", F.struct(-F.col("score"), "pair")).alias("pair")).select("pair.*").distinct()
+
+
+def _texts_of(pairs: DataFrame, docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(fp, text) of the sets in ``pairs``; ``keys`` has fp and the key and id of a row that has the set."""
+    ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
+    asked = SharedTable(keys.join(ends, "fp", "left_semi"), "asked").df
+    once = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return SharedTable(once.join(asked, ["key", "id"]).groupBy("fp").agg(F.first("text").alias("text")), "texts").df
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets are alike; ``texts`` has fp and text."""
+    """The pairs (u, v; a stored table) whose whole sets are alike; ``texts`` has fp and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
-        for batch in (part for b in batches for part in blocks([b], 2)):
-            u, v, a, b = (c.to_pylist() for c in batch.columns)
+        last: list[tuple[int | None, np.ndarray]] = [(None, np.empty(0, np.uint64))] * 2
+        for batch in (part for b in batches for half in blocks([b], 2) for part in blocks([half], 3)):
+            ids, texts = (batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.columns[2:]
             keep = []
-            for i in range(len(u)):
-                if last[0] != v[i]:
-                    last = (v[i], shingle_set(b[i], words))
-                keep.append(alike(shingle_set(a[i], words), last[1], least))
+            for i in range(batch.num_rows):
+                for k in (0, 1):
+                    if last[k][0] != ids[k][i]:
+                        last[k] = (ids[k][i], shingle_set(texts[k][i].as_py(), words))
+                keep.append(alike(last[0][1], last[1][1], least))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    # A pair costs time rather than bytes, so the number of partitions is stated, which adaptive execution leaves as it is.
-    spark = pairs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    one = pairs.repartition(n, "u").join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u")
-    both = one.repartition(n, "v").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
-    return both.sortWithinPartitions("v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return _with_ends(pairs, texts).select("u", "v", "a_text", "b_text").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -255,6 +346,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("similarity must be above 0 and at most 1")
     prints = _told_apart(SharedTable(_prints(docs, id_col, text_col, words, least), "prints").df)
     nodes = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
+    keys = prints.groupBy("fp").agg(F.min(F.struct("key", "id")).alias("k"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("sim").alias("sim"))
+    marks = SharedTable(keys.select("fp", "k.key", "k.id", "n", "bits", "sim"), "marks").df
     spread = nodes.select("fp", "n", "rare", F.posexplode("prefix").alias("at", "cell"))
     spread = spread.select("cell", "fp", "n", (F.col("n") - F.col("at")).alias("rest"), (F.col("at") >= F.col("rare")).alias("frequent"))
     # Cells with one row have no pairs and go. Frequent shingles have more, so their rows stay and are dealt by their sets. No other
@@ -264,19 +357,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = SharedTable(dealt.mapInArrow(_shared, "cell long, fp long, n long, rest long"), "cells").df
     sizes = cells.groupBy("cell").agg(F.count("*").alias("m")).where(F.col("m") > CELL_ROWS)
     hot = SharedTable(sizes.select("cell", F.ceil(F.col("m") / (CELL_ROWS // 2)).cast("int").alias("chunks")), "hot-cells").df
-    sims = SharedTable(prints.groupBy("fp").agg(F.min("sim").alias("sim")), "fingerprints").df
-    # SimHash links of sets that share no prefix can't be alike; they end at the texts, which only sets in cells have.
     head = cells.where(F.col("n") - F.col("rest") < HEAD).withColumn("part", F.col("fp"))
-    meet = _candidates(head, hot, least, (1,)).unionByName(_simhash_pairs(sims))
-    first = SharedTable(meet.distinct(), "pairs").df
-    keys = prints.groupBy("fp").agg(F.min(F.struct("key", "id")).alias("k")).join(cells.select("fp").distinct(), "fp", "left_semi").select("fp", "k.*")
-    once = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = SharedTable(once.join(keys, ["key", "id"]).groupBy("fp").agg(F.first("text").alias("text")), "texts").df
-    edges, seen = SharedTable(_verified(first, texts, words, least), "links").df, first
+    meet = _candidates(head, hot, least, (1,)).unionByName(_simhash_pairs(marks))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        texts = _texts_of(pairs, docs, marks.select("fp", "key", "id"), id_col, text_col)
+        return SharedTable(_verified(pairs, texts, words, least), "links").df
+
+    seen = SharedTable(meet.distinct(), "pairs").df
+    left = SharedTable(_plausible(seen, marks, least), "plausible").df
+    best = SharedTable(_best(left), "best").df
+    edges, left = links(best), left.join(best, ["u", "v"], "left_anti").select("u", "v")  # left: to be looked at again in the second round
     for shifts in (APART, None):
-        parts = connected_components(edges).select(F.col("node").alias("fp"), "root")
+        parts = SharedTable(connected_components(edges).select(F.col("node").alias("fp"), "root"), "parts").df
         parted = cells.join(parts, "fp", "left").withColumn("part", F.coalesce("root", "fp")).drop("root")
         rest = SharedTable(_candidates(parted, hot, least, shifts).join(seen, ["u", "v"], "left_anti"), "pairs").df
-        edges = edges.unionByName(SharedTable(_verified(rest, texts, words, least), "links").df)
+        more = _plausible(rest, marks, least).select("u", "v")
+        if shifts:
+            of = lambda end: parts.select(F.col("fp").alias(end), F.col("root").alias(f"root_{end}"))
+            more = more.unionByName(left.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v"))
+        edges = edges.unionByName(links(SharedTable(more, "plausible").df))
         seen = seen.unionByName(rest)
     return assign_components(prints.select("id", "fp"), edges)
