@@ -22,6 +22,8 @@ COMPONENTS = ("subclonal", "clonal", "loh")
 _SHIFT = 8
 _HALF_LOG_TAU = 0.9189385332046727
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+#: Of x**-2, x**-4, ... in the series of digamma: the slopes of the terms above.
+_DIGAMMA = tuple((2 * i + 1) * c for i, c in enumerate(_STIRLING))
 
 
 def col(x: Column | str | float) -> Column:
@@ -38,6 +40,15 @@ def lgamma(x: Column | str | float) -> Column:
     return (z - 0.5) * F.ln(z) - z + _HALF_LOG_TAU + series - F.ln(rising)
 
 
+def digamma(x: Column | str | float) -> Column:
+    """The slope of log-gamma at a positive number: its series at x + 8, less 1 / x + ... + 1 / (x + 7)."""
+    x = col(x)
+    z = x + float(_SHIFT)
+    r = F.lit(1.0) / z
+    series = reduce(lambda s, c: s * r * r + c, reversed(_DIGAMMA[:-1]), F.lit(_DIGAMMA[-1])) * r * r
+    return F.ln(z) - 0.5 * r - series - reduce(lambda s, i: s + F.lit(1.0) / (x + float(i)), range(1, _SHIFT), F.lit(1.0) / x)
+
+
 def staged(rows: DataFrame, **columns: Column) -> DataFrame:
     """``rows`` with more columns that are computed once a row.
 

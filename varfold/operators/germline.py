@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,9 +73,11 @@ def _schema_of(df: DataFrame, columns: tuple[str, ...]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def counts_of(rows: pd.DataFrame) -> Counts:
-    ordered = rows.sort_values(["alt", "depth"])
-    return Counts(*(ordered[c].to_numpy(float) for c in ("alt", "depth", "weight")))
+def counts_of(rows: pd.DataFrame | pa.Table) -> Counts:
+    """The pairs of one group, in order."""
+    alt, depth, weight = (rows[c].to_numpy().astype(float) for c in ("alt", "depth", "weight"))
+    order = np.lexsort((depth, alt))
+    return Counts(alt[order], depth[order], weight[order])
 
 
 def fit_classes(variants: DataFrame, keys: tuple[str, ...] = KEYS, spec: GermlineSpec | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from varfold.functions import special as sp
 from varfold.functions.names import require, unused_prefix
-from varfold.functions.numeric import Counts, maximise
+from varfold.functions.numeric import Counts, better
 from varfold.operators.germline import KEYS, counts_of, fit_germline
 from varfold.operators.keys import dealt_by, join_on
 from varfold.operators.prior import PRIOR, priors
@@ -29,27 +29,39 @@ FIT = ("mu", "kappa", "pi", "n_variants", "loglik", "bic", "converged", "n_itera
 _FIT_SCHEMA = "mu array<double>, kappa array<double>, pi array<double>, n_variants long, loglik double, bic double, converged boolean, n_iterations int"
 
 
+def _bands(x):
+    """Whether a fraction is in the band of each component: a Column of them or an array."""
+    return x < SUB_BELOW, (x >= CLONAL_BAND[0]) & (x <= CLONAL_BAND[1]), x > LOH_ABOVE
+
+
 def smart_init(variants: DataFrame, keys: tuple[str, ...] = KEYS, spec: SomaticMixtureSpec | None = None) -> DataFrame:
     """keys and init_mu, the start of the three means: mean, median and mean of the fraction's bands, within bounds."""
-    spec = spec or SomaticMixtureSpec()
     require(variants, (*keys, "alt", "depth"), "smart_init")
-    v = variants.select(*keys, sp.vaf("alt", "depth").alias("vaf"))
-    x = F.col("vaf")
-    bands = (x < SUB_BELOW, (x >= CLONAL_BAND[0]) & (x <= CLONAL_BAND[1]), x > LOH_ABOVE)
-    counted = v.groupBy(*keys).agg(
-        *[F.count_if(b).alias(f"n{i}") for i, b in enumerate(bands)],
-        F.avg(F.when(bands[0], x)).alias("m0"),
-        F.median(F.when(bands[1], x)).alias("m1"),
-        F.avg(F.when(bands[2], x)).alias("m2"),
+    return start_of_counts(variants.groupBy(*keys, "alt", "depth").agg(F.count("*").alias("weight")), keys, spec)
+
+
+def start_of_counts(counts: DataFrame, keys: tuple[str, ...] = KEYS, spec: SomaticMixtureSpec | None = None) -> DataFrame:
+    """The same from counts (keys, alt, depth, weight), which are fewer than rows: means and exact medians weighted by them."""
+    spec = spec or SomaticMixtureSpec()
+    require(counts, (*keys, "alt", "depth", "weight"), "start_of_counts of a histogram")
+    v = counts.select(*keys, sp.vaf("alt", "depth").alias("vaf"), "weight")
+    x, w = F.col("vaf"), F.col("weight")
+    bands = _bands(x)
+    mean = lambda b: F.sum(F.when(b, x * w)) / F.sum(F.when(b, w))
+    found = v.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(F.when(b, w)), F.lit(0)).alias(f"n{i}") for i, b in enumerate(bands)],
+        mean(bands[0]).alias("m0"),
+        F.percentile(F.when(bands[1], x), F.lit(0.5), w).alias("m1"),
+        mean(bands[2]).alias("m2"),
     )
     start = [sp.clip(F.when(F.col(f"n{i}") > BAND_COUNT, F.col(f"m{i}")).otherwise(START_DEFAULT[i]), *spec.bounds_mu[i]) for i in range(3)]
-    return counted.select(*keys, F.array(*start).alias("init_mu"))
+    return found.select(*keys, F.array(*start).alias("init_mu"))
 
 
 def _weighted_start(counts: Counts, bounds) -> np.ndarray:
     x = counts.alt / (counts.depth + sp.VAF_EPSILON)
     out = []
-    for i, band in enumerate((x < SUB_BELOW, (x >= CLONAL_BAND[0]) & (x <= CLONAL_BAND[1]), x > LOH_ABOVE)):
+    for i, band in enumerate(_bands(x)):
         weight = counts.weight[band]
         if weight.sum() <= BAND_COUNT:
             out.append(START_DEFAULT[i])
@@ -73,43 +85,53 @@ def starts(first_mu: np.ndarray, mu0: np.ndarray, kappa0: np.ndarray, spec: Soma
     return out
 
 
-def _posterior(counts: Counts, mu: np.ndarray, kappa: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, float]:
-    joint = np.stack([np.log(pi[k] + sp.PI_FLOOR) + counts.logpmf(mu[k], kappa[k]) for k in range(3)], 1)
-    top = joint.max(1, keepdims=True)
-    lse = top[:, 0] + np.log(np.exp(joint - top).sum(1))
-    return np.exp(joint - lse[:, None]), float(counts.weight @ lse)
+def run_em(counts: Counts, prior: dict, spec: SomaticMixtureSpec, options: FitOptions, restart: int = 0) -> dict:
+    """One MAP-EM run on weighted counts, from the start values of restart number ``restart``."""
+    mu0, sigma, kappa0, weight0 = (np.array(prior[n], float) for n in ("mu_prior_mean", "mu_prior_sigma", "kappa_prior_mean", "pi_prior"))
+    log_sigma = float(prior["kappa_prior_log_sigma"])
+    log0, log_bounds = np.log(kappa0), np.log(spec.bounds_kappa)
+    mu, kappa = starts(_weighted_start(counts, spec.bounds_mu), mu0, kappa0, spec, options)[restart]
+    pi, last, settled = weight0 / weight0.sum(), -np.inf, False
+    for turn in range(1, options.max_iter + 1):
+        loglik, mass, data = counts.e_step(mu, kappa, pi)
+        if abs(loglik - last) < options.tol:
+            settled = True
+            break
+        last = loglik
+        pi = mass + weight0
+        pi = pi / pi.sum()
+        for k, own in enumerate(data):
+
+            def of_mu(m, own=own, k=k):
+                return own(m, kappa[k]) - 0.5 * ((m - mu0[k]) / sigma[k]) ** 2
+
+            def mu_slopes(m, own=own, k=k):
+                first, second, *_ = own.slopes(m, kappa[k])
+                return first - (m - mu0[k]) / sigma[k] ** 2, second - 1 / sigma[k] ** 2
+
+            mu[k] = better(of_mu, mu_slopes, mu[k], *spec.bounds_mu[k])
+
+            def of_kappa(t, own=own, k=k):
+                return own(mu[k], np.exp(t)) - 0.5 * ((t - log0[k]) / log_sigma) ** 2
+
+            def kappa_slopes(t, own=own, k=k):
+                *_, first, second = own.slopes(mu[k], np.exp(t))
+                return first - (t - log0[k]) / log_sigma**2, second - 1 / log_sigma**2
+
+            kappa[k] = np.clip(np.exp(better(of_kappa, kappa_slopes, np.log(kappa[k]), *log_bounds)), *spec.bounds_kappa)
+    return {"mu": mu, "kappa": kappa, "pi": pi, "loglik": loglik, "bic": PARAMETERS * np.log(counts.total) - 2 * loglik, "converged": settled, "n_iterations": turn}
 
 
 def map_em(counts: Counts, prior: dict, spec: SomaticMixtureSpec, options: FitOptions) -> dict:
-    """The best of several MAP-EM runs on weighted counts: largest data log-likelihood, the earliest of equals."""
-    mu0, sigma, kappa0, weight0 = (np.array(prior[n], float) for n in ("mu_prior_mean", "mu_prior_sigma", "kappa_prior_mean", "pi_prior"))
-    log_sigma, n = float(prior["kappa_prior_log_sigma"]), counts.total
-    best: dict | None = None
-    for mu, kappa in starts(_weighted_start(counts, spec.bounds_mu), mu0, kappa0, spec, options):
-        pi, last, settled = weight0 / weight0.sum(), -np.inf, False
-        for turn in range(1, options.max_iter + 1):
-            resp, loglik = _posterior(counts, mu, kappa, pi)
-            if abs(loglik - last) < options.tol:
-                settled = True
-                break
-            last = loglik
-            mass = resp * counts.weight[:, None]
-            pi = mass.sum(0) + weight0
-            pi = pi / pi.sum()
-            for k in range(3):
-                data = counts.objective(mass[:, k])
-                mu[k] = maximise(lambda m, k=k, data=data: data(m, kappa[k]) - 0.5 * ((m - mu0[k]) / sigma[k]) ** 2, *spec.bounds_mu[k])
-                kappa[k] = maximise(lambda c, k=k, data=data: data(mu[k], c) - 0.5 * (np.log(c / kappa0[k]) / log_sigma) ** 2, *spec.bounds_kappa)
-        if best is None or loglik > best["loglik"]:
-            best = {"mu": mu, "kappa": kappa, "pi": pi, "loglik": loglik, "bic": PARAMETERS * np.log(n) - 2 * loglik, "converged": settled, "n_iterations": turn}
-    return best
-
-
-def _fit_key(counts: Counts, prior: dict, spec: SomaticMixtureSpec, options: FitOptions) -> dict:
-    """One key's fit; the prior's values where there are fewer than three variants."""
+    """The best of several MAP-EM runs: largest data log-likelihood, the earliest of equals."""
+    return max((run_em(counts, prior, spec, options, r) for r in range(options.n_restarts)), key=lambda found: found["loglik"])
+
+
+def _fit_key(counts: Counts, prior: dict, spec: SomaticMixtureSpec, options: FitOptions, restart: int) -> dict:
+    """One run for one key; the prior's values where there are fewer than three variants."""
     n = int(counts.total)
     if n >= 3:
-        return map_em(counts, prior, spec, options) | {"n_variants": n}
+        return run_em(counts, prior, spec, options, restart) | {"n_variants": n}
     weight = np.array(prior["pi_prior"], float)
     loglik, bic = (0.0, 0.0) if n == 0 else (-np.inf, np.inf)
     return {"mu": prior["mu_prior_mean"], "kappa": prior["kappa_prior_mean"], "pi": weight / weight.sum(), "n_variants": n, "loglik": loglik, "bic": bic, "converged": True, "n_iterations": 0}
@@ -120,25 +142,35 @@ def fit_mixture(variants: DataFrame, prior: DataFrame, keys: tuple[str, ...] = K
 
     Keys without variants take the prior's values, log-likelihood 0; keys with one or two take them too, with -inf
     (and BIC +inf). All keys are fitted in one job, on their counts of (alt, depth): what a grouped task holds is bounded by
-    the range of depths, and only parameters come back. Each prior meets its counts once, so whatever ``prior`` was made
-    from is computed once. Posteriors are then plain columns (``posteriors``).
+    the range of depths, and only parameters come back. Restarts are groups of their own, so they run beside each other; of a key's
+    runs the one with the largest log-likelihood stays, the earliest of equals. Each prior meets its counts once, so whatever
+    ``prior`` was made from is computed once. Posteriors are then plain columns (``posteriors``).
     """
     spec, options = spec or SomaticMixtureSpec(), options or FitOptions()
     require(variants, (*keys, "alt", "depth"), "fit_mixture")
     require(prior, (*keys, *NEEDED), "fit_mixture with a prior (see priors)")
     kept = prior.select(*[f"`{c}`" for c in prior.columns if c not in FIT])
+    own_columns, p = kept.columns, unused_prefix(kept)
+    run, every = f"{p}run", F.explode(F.sequence(F.lit(0), F.lit(options.n_restarts - 1)))
     kinds = (*[pa.list_(pa.float64())] * 3, pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int32())
 
     def fit(own: pa.Table, rows: pa.Table) -> pa.Table:
         values: dict = dict.fromkeys(FIT)
         if own.num_rows:  # counts of keys that have no prior give no row
-            values = _fit_key(counts_of(rows.select(["alt", "depth", "weight"]).to_pandas()), own.slice(0, 1).select(NEEDED).to_pylist()[0], spec, options)
+            values = _fit_key(counts_of(rows), own.slice(0, 1).select(NEEDED).to_pylist()[0], spec, options, own.column(run)[0].as_py())
         for name, kind in zip(FIT, kinds, strict=True):
             own = own.append_column(name, pa.array([values[name]] * own.num_rows, kind))
         return own
 
-    schema = StructType([*kept.schema.fields, *StructType.fromDDL(_FIT_SCHEMA).fields])
-    return dealt_by(kept, keys).groupBy(*keys).cogroup(dealt_by(histogram(variants, keys), keys).groupBy(*keys)).applyInArrow(fit, schema)
+    tried, counts = kept.withColumn(run, every), histogram(variants, keys).withColumn(run, every)
+    schema = StructType([*tried.schema.fields, *StructType.fromDDL(_FIT_SCHEMA).fields])
+    groups = (*keys, run)
+    runs = dealt_by(tried, groups).groupBy(*groups).cogroup(dealt_by(counts, groups).groupBy(*groups)).applyInArrow(fit, schema)
+    # The prior's rows come from one run; of the fits the best stays.
+    rows = F.collect_list(F.when(F.col(run) == 0, F.struct(*[f"`{c}`" for c in own_columns])))
+    best = F.min_by(F.struct(*FIT), F.struct(-F.col("loglik"), F.col(run)))
+    of_key = runs.groupBy(*[F.col(k).alias(f"{p}{k}") for k in keys]).agg(rows.alias(f"{p}rows"), best.alias(f"{p}fit"))
+    return of_key.select(F.explode(f"{p}rows").alias(f"{p}row"), f"{p}fit").select(f"{p}row.*", f"{p}fit.*")
 
 
 def e_step(rows: DataFrame, mu: Column | str = "mu", kappa: Column | str = "kappa", pi: Column | str = "pi") -> DataFrame:

@@ -15,11 +15,12 @@ from varfold.functions import special as sp
 from varfold.operators import germline as g
 from varfold.operators import mixture as m
 from varfold.operators.keys import join_on
+from varfold.operators.optimality import optimality, slopes
 from varfold.operators.prior import default_prior, germline_prior, priors
 from varfold.operators.specs import GermlineSpec, SomaticMixtureSpec
 from varfold.operators.variants import collected, genotype_class, histogram, is_common, read_germline_variants
 from varfold.sources import vcf
-from varfold.sources.arms import CHROMOSOMES, arm_rows, arm_table, reduce_arms, with_arm
+from varfold.sources.arms import CHROMOSOMES, arm_table, reduce_arms, with_arm
 from varfold.sources.shared import SharedFits, shared_path
 from varfold.sources.tables import KEYS, VARIANTS_SQL, variants
 
@@ -48,7 +49,10 @@ def _round(c: Column | str, digits: int = 4) -> Column:
 
 
 def arm_table_reduce(spark, sf_dir):
-    return reduce_arms(arm_table(spark))
+    """Line items looked up in a table of arms that is reduced to centromeres and ends."""
+    arms = arm_table(spark)
+    found = with_arm(variants(spark, sf_dir), arms).groupBy("chrom").agg(*[F.count_if(F.col("arm") == a).alias(f"n_{a}") for a in ("p", "q")], F.count_if(F.col("arm").isNull()).alias("n_unknown"))
+    return join_on(found, reduce_arms(arms), ("chrom",))
 
 
 def arm_lookup(spark, sf_dir):
@@ -165,7 +169,8 @@ def somatic_prior(spark, sf_dir):
 
 
 def default_priors(spark, sf_dir):
-    return _flat_prior(spark.range(1).select(*[c.alias(n) for n, c in default_prior().items()]), ())
+    """The prior of each arm where no germline estimate is given."""
+    return _flat_prior(priors(_arms(spark, sf_dir).select(*ARM).distinct(), None, ARM), ARM)
 
 
 # --- mixture
@@ -301,6 +306,19 @@ def em_kappa_grid_step(spark, sf_dir):
     return _map_step(spark, sf_dir, "kappa", _of_component(SPEC.mu_default), kappa, z * z)
 
 
+#: Parameters at which slopes are taken: off the prior's means and precisions.
+_OFF_MU, _OFF_KAPPA = (0.17, 0.48, 0.82), (40.0, 60.0, 45.0)
+
+
+def em_slopes(spark, sf_dir):
+    """Slopes of the objective by each mean and log-precision of each chromosome, away from an optimum."""
+    prior = [c.alias(n) for n, c in default_prior().items() if n in m.NEEDED]
+    counts = _with_default(histogram(_somatic(spark, sf_dir), ("chrom",))).select("*", *prior)
+    found = slopes(counts.withColumns({"mu": F.array(*sp.literals(_OFF_MU)), "kappa": F.array(*sp.literals(_OFF_KAPPA))}), ("chrom",))
+    rows = F.array(*[F.struct(F.lit(k).alias("component"), *[_round(F.get(f"{n}_slopes", F.lit(k)), 4).alias(f"{n}_slope") for n in ("mu", "kappa")]) for k in range(3)])
+    return found.select("chrom", F.explode(rows).alias("r")).select("chrom", "r.*")
+
+
 #: Start means of two further restarts for the query below, beside the default.
 _RESTARTS = ((0.15, 0.50, 0.85), (0.19, 0.49, 0.90), (0.12, 0.54, 0.79))
 
@@ -355,6 +373,7 @@ def germline_fit_checked(spark, sf_dir):
         "n_hom",
         (of_rows[0] & of_rows[1]).alias("loglik_is_of_rows"),
         (likeliest[0] & likeliest[1]).alias("likeliest_around"),
+        (F.abs(F.col("loglik") - sum((F.when(few[k], 0.0).otherwise(F.col(f"own_{k}")) for k in slack), F.lit(0.0))) < 2e-6 * (1.0 + F.abs(F.col("loglik")))).alias("total_is_of_rows"),
         (F.col("masked") == F.struct("mu_het", "kappa_het", "mu_hom", "kappa_hom")).alias("mask_is_same"),
         (F.col("alone") == F.struct("mu_het", "kappa_het")).alias("het_alone_is_same"),
     )
@@ -368,7 +387,7 @@ def mixture_fit_checked(spark, sf_dir):
     """Properties of the mixture fits by chromosome, of which some have two variants or none.
 
     Sums, bounds and BIC hold; the log-likelihood is that of the rows; the posterior density is not below that of the
-    prior's own parameters; without enough variants the values are the prior's.
+    prior's own parameters, and no point around a fit has a larger one; without enough variants the values are the prior's.
     """
     somatic = _somatic(spark, sf_dir)
     order = Window.partitionBy("chrom").orderBy("l_orderkey", "l_linenumber")
@@ -379,7 +398,7 @@ def mixture_fit_checked(spark, sf_dir):
     default = _with_default(fits.select("chrom")).select("chrom", *[F.col(c).alias(f"{c}0") for c in ("mu", "kappa", "pi")])
     scored = m.e_step(join_on(counts, fits.select("chrom", "mu", "kappa", "pi"), ("chrom",), "inner")).groupBy("chrom").agg(F.sum(F.col("weight") * F.col("log_norm")).alias("own"))
     start = m.e_step(join_on(counts, default, ("chrom",), "inner"), "mu0", "kappa0", "pi0").groupBy("chrom").agg(F.sum(F.col("weight") * F.col("log_norm")).alias("start"))
-    out = join_on(join_on(fits, scored, ("chrom",)), start, ("chrom",))
+    out = join_on(join_on(join_on(fits, scored, ("chrom",)), start, ("chrom",)), optimality(kept, fits, ("chrom",)).select("chrom", "is_optimum"), ("chrom",))
     mu, kappa, pi = (sp.three(c) for c in ("mu", "kappa", "pi"))
     total = sum(SPEC.pi_prior_default)
     penalty = sum((((a - x) / s) * ((a - x) / s) for a, x, s in zip(mu, SPEC.mu_default, SPEC.mu_prior_sigma_default, strict=True)), F.lit(0.0)) + sum(
@@ -400,14 +419,18 @@ def mixture_fit_checked(spark, sf_dir):
         (F.abs(pi[0] + pi[1] + pi[2] - 1.0) < 1e-9).alias("pi_holds"),
         F.when(fitted, inside & (F.col("n_iterations") > 0)).otherwise(at_prior).alias("values_hold"),
         F.when(fitted, F.col("own") - 0.5 * penalty + weighed >= F.col("start") - 1e-6 * F.abs(F.col("start"))).otherwise(True).alias("no_worse_than_prior"),
+        F.when(fitted, F.col("is_optimum")).otherwise(True).alias("optimum"),
     )
 
 
 def arms_checked(spark, sf_dir):
-    """Properties of the whole pipeline by arm: variants, where the prior comes from, whether the germline fit stands beside it."""
-    out = m.fit_arms(_germline(spark, sf_dir), _somatic(spark, sf_dir), KEYS)
+    """Properties of the whole pipeline by arm: variants, where the prior comes from, whether the germline fit stands beside it,
+    and whether no point around the fit has a larger posterior density under that prior."""
+    somatic = _somatic(spark, sf_dir)
+    fits = SharedFits(m.fit_arms(_germline(spark, sf_dir), somatic, KEYS), "arms").df
+    out = join_on(fits, optimality(somatic, fits, KEYS).select(*KEYS, "is_optimum"), KEYS)
     own = F.col("germline_fit")
-    return out.select(*KEYS, "n_variants", "prior_source", own["n_het"].alias("n_het"), (own.isNull() == (F.col("prior_source") == "default")).alias("fit_beside_prior"), (F.size("mu") == 3).alias("whole"))
+    return out.select(*KEYS, "n_variants", "prior_source", own["n_het"].alias("n_het"), (own.isNull() == (F.col("prior_source") == "default")).alias("fit_beside_prior"), (F.size("mu") == 3).alias("whole"), F.when(F.col("n_variants") >= 3, F.col("is_optimum")).otherwise(True).alias("optimum"))
 
 
 def germline_mle(spark, sf_dir):
@@ -466,6 +489,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         germline_grid_mle,
         em_mu_grid_step,
         em_kappa_grid_step,
+        em_slopes,
         best_restart,
         germline_mle,
         somatic_mixture,
@@ -504,9 +528,9 @@ def _joint(mu, kappa, pi, k: int) -> str:
     return f"(ln({pi[k]!r}+1e-10)+{_pmf(repr(float(mu[k] * kappa[k])), repr(float((1 - mu[k]) * kappa[k])))})"
 
 
-def _estep(mu=SPEC.mu_default, keys: str = _K) -> str:
+def _estep(mu=SPEC.mu_default, keys: str = _K, kappa=SPEC.kappa_default) -> str:
     pi = [x / sum(SPEC.pi_prior_default) for x in SPEC.pi_prior_default]
-    j = [f"cast({_joint(mu, SPEC.kappa_default, pi, k)} as double) as j{k}" for k in range(3)]
+    j = [f"cast({_joint(mu, kappa, pi, k)} as double) as j{k}" for k in range(3)]
     return f"""es as (select *, greatest(j0,j1,j2) as jm from (select {keys}, alt, depth, {', '.join(j)} from som)),
 ln_ as (select *, jm+ln(exp(j0-jm)+exp(j1-jm)+exp(j2-jm)) as lse from es),
 rs as (select *, exp(j0-lse) as r0, exp(j1-lse) as r1, exp(j2-lse) as r2 from ln_)"""
@@ -530,6 +554,21 @@ bs as (select *, row_number() over (partition by chrom, k order by o desc, i) as
 select chrom, cast(k as int) as component, cast(i as int) as {name}_i, o+0e0 as objective from bs where rn=1"""
 
 
+def _psi(x: str) -> str:
+    """Digamma by its series, since the engine has none."""
+    z = f"({x}+8e0)"
+    series = "".join(f"{'-' if c > 0 else '+'}{abs(c)!r}*pow({z},-{2 * i + 2})" for i, c in enumerate((1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132)))
+    return f"(ln{z}-5e-1/{z}{series}-(" + "+".join(f"1e0/({x}+{i}e0)" for i in range(8)) + "))"
+
+
+def _slopes_sql(k: int) -> str:
+    mu, kappa, mu0, sigma, spread = _OFF_MU[k], _OFF_KAPPA[k], SPEC.mu_default[k], SPEC.mu_prior_sigma_default[k], SPEC.kappa_prior_log_sigma_default
+    a, b = repr(mu * kappa), repr((1 - mu) * kappa)
+    one, two, three = f"sum(r{k}*({_psi(f'(alt+{a})')}-{_psi(a)}))", f"sum(r{k}*({_psi(f'(depth-alt+{b})')}-{_psi(b)}))", f"sum(r{k}*({_psi(repr(kappa))}-{_psi(f'(depth+{kappa!r})')}))"
+    return f"""select chrom, cast({k} as int) as component, round({kappa!r}*(cast({one} as double)-cast({two} as double))-({(mu - mu0) / sigma**2!r}),4)+0e0 as mu_slope,
+  round({kappa!r}*({mu!r}*cast({one} as double)+{1 - mu!r}*cast({two} as double)+cast({three} as double))-({float(np.log(kappa / 50.0)) / spread**2!r}),4)+0e0 as kappa_slope from rs group by chrom"""
+
+
 _PRIOR_COLUMNS = ", ".join(f"round({e}, {d})+0e0 as {n}" for n, e, d in [
     ("mu0", "case when s then 12e-2 else 15e-2 end", 6),
     ("mu1", "case when not s then 5e-1 when loh then mu_het else 5e-1 end", 6),
@@ -544,9 +583,10 @@ _PRIOR_COLUMNS = ", ".join(f"round({e}, {d})+0e0 as {n}" for n, e, d in [
 ])
 
 ORACLE_SQL: dict[str, str] = {
-    "arm_table_reduce": "select chrom, cast(max(case when arm='p' then e end) as bigint) as centromere, cast(max(e) as bigint) as chr_end from (values "
-    + ", ".join(f"('{c}', {s}, {e}, '{a}')" for c, s, e, a in arm_rows())
-    + ") t(chrom, s, e, arm) group by chrom",
+    "arm_table_reduce": f"{_V}, ends(chrom, chr_end) as (values "
+    + ", ".join(f"('{c}', {e})" for c, _, e in CHROMOSOMES)
+    + ") select v.chrom, count(*) filter (arm='p') as n_p, count(*) filter (arm='q') as n_q, count(*) filter (arm is null) as n_unknown, cast(max(c.centromere) as bigint) as centromere, cast(max(e.chr_end) as bigint) as chr_end"
+    " from v left join cent c on v.chrom=c.chrom left join ends e on v.chrom=e.chrom group by v.chrom",
     "arm_lookup": f"{_V} select chrom, arm, count(*) as n, min(pos) as first_pos, max(pos) as last_pos from v group by chrom, arm",
     "genotype_classes": "with x as (select list_extract([" + ", ".join(f"'{x}'" for x in _GENOTYPES) + "], cast((l_partkey+l_linenumber)%9 as int)+1) as gt from lineitem), y as (select gt, string_split(replace(gt,'|','/'),'/') as a from x)"
     " select gt, case when len(a)<>2 then 'skip' when a[1]='1' and a[2]='1' then 'homalt' when a[1]='1' or a[2]='1' then 'hetalt' else 'skip' end as genotype, count(*) as n from y group by 1, 2",
@@ -557,18 +597,18 @@ ORACLE_SQL: dict[str, str] = {
     "germline_store": f"{_V} select chrom, arm, genotype, count(*) as n, cast(sum(depth) as bigint) as depth, cast(sum(alt) as bigint) as alt, round(sum(alt/depth),4)+0e0 as vaf from ger where pos%4<>0 and genotype is not null group by all",
     "component_rows": f"{_V}, {_estep(keys='chrom, arm')} select chrom, arm, cast({_LABEL} as int) as component, count(*) as n, cast(sum(alt) as bigint) as alt from rs group by 1, 2, 3",
     "uncertain_labels": f"{_V}, {_estep(keys='chrom, arm')} select chrom, arm, count(*) as n, cast(sum(depth) as bigint) as depth, count(*) filter (r1>5e-1) as n_middle from rs where greatest(r0,r1,r2)<9e-1 group by 1, 2",
-    "germline_fit_checked": f"{_V} select chrom, count(*) filter (genotype='hetalt') as n_het, count(*) filter (genotype='homalt') as n_hom, true as loglik_is_of_rows, true as likeliest_around, true as mask_is_same, case when count(*) filter (genotype='hetalt')>0 then true end as het_alone_is_same from ger group by chrom",
+    "germline_fit_checked": f"{_V} select chrom, count(*) filter (genotype='hetalt') as n_het, count(*) filter (genotype='homalt') as n_hom, true as loglik_is_of_rows, true as likeliest_around, true as total_is_of_rows, true as mask_is_same, case when count(*) filter (genotype='hetalt')>0 then true end as het_alone_is_same from ger group by chrom",
     "mixture_fit_checked": f"{_V}, c as (select chrom, count(*) as n from som group by all), k as (select chrom, cast(case when chrom in {_TWO_LEFT} then least(n, 2) when chrom in {_NONE_LEFT} then 0 else n end as bigint) as n_variants from c)"
-    " select chrom, n_variants, case when n_variants>=3 then 'fit' when n_variants=0 then 'no variants' else 'too few' end as kind, true as loglik_holds, true as bic_holds, true as pi_holds, true as values_hold, true as no_worse_than_prior from k",
+    " select chrom, n_variants, case when n_variants>=3 then 'fit' when n_variants=0 then 'no variants' else 'too few' end as kind, true as loglik_holds, true as bic_holds, true as pi_holds, true as values_hold, true as no_worse_than_prior, true as optimum from k",
     "arms_checked": f"{_V}, ks as (select distinct {_K} from v), h as (select {_K}, count(*) filter (genotype='hetalt') as n_het from ger group by all), s as (select {_K}, count(*) as n from som group by all)"
-    " select ks.*, coalesce(n, 0) as n_variants, case when n_het>=5 then 'germline' else 'default' end as prior_source, case when n_het>=5 then n_het end as n_het, true as fit_beside_prior, true as whole from ks"
+    " select ks.*, coalesce(n, 0) as n_variants, case when n_het>=5 then 'germline' else 'default' end as prior_source, case when n_het>=5 then n_het end as n_het, true as fit_beside_prior, true as whole, true as optimum from ks"
     " left join h on ks.sample_id=h.sample_id and ks.chrom=h.chrom and ks.arm is not distinct from h.arm left join s on ks.sample_id=s.sample_id and ks.chrom=s.chrom and ks.arm is not distinct from s.arm",
     "germline_moments": f"{_V}, {_SUMS} select {_K}, n_het, n_hom, round(mean_het,6)+0e0 as mean_het, round(mean_hom,6)+0e0 as mean_hom, round(var_het,6)+0e0 as var_het, round(var_hom,6)+0e0 as var_hom, case when mean_het is null then null else round(mu0,6)+0e0 end as mu0, round(kappa0,2)+0e0 as kappa0 from mm",
     "germline_fallback": f"{_V}, {_SUMS} select {_K}, round(case when n_het=0 then 5e-1 when n_het<5 then greatest(3e-1, least(7e-1, mean_het)) end,6)+0e0 as mu_het, case when n_het<5 then 5e1 end as kappa_het, round(case when n_hom=0 then 98e-2 when n_hom<3 then greatest(9e-1, least(999e-3, mean_hom)) end,6)+0e0 as mu_hom, case when n_hom<3 then 1e2 end as kappa_hom from mom",
     "germline_flags": f"{_V}, {_SUMS}, {_FLAGS} select {_K}, n_het+n_hom as n_variants, round(imb,6)+0e0 as allelic_imbalance, n_het>=10 and imb>1e-1 as has_loh_signal, n_het>=10 and imb>1e-1 as has_loh_by_spec, round(confidence,6)+0e0 as confidence, cast(case when imb<5e-2 then 0 when mu_het>5e-1 then 1 else -1 end as int) as het_direction from fl",
     "somatic_prior": f"{_V}, {_SUMS}, {_FLAGS}, ks as (select distinct {_K} from v), jn as (select ks.*, n_het is not null as s, n_het>=10 and imb>1e-1 as loh, mu_het, kappa_het, confidence, 1/(5e-1+5e-1*confidence) as sc from ks left join (select * from fl where n_het>=5) f on ks.sample_id=f.sample_id and ks.chrom=f.chrom and ks.arm is not distinct from f.arm)"
     f" select {_K}, {_PRIOR_COLUMNS}, 5e-1 as kappa_prior_log_sigma, coalesce(loh, false) as loh_detected, case when s then round(confidence,6)+0e0 else 0e0 end as confidence, case when s then 'germline' else 'default' end as source from jn",
-    "default_priors": "select 15e-2 as mu0, 5e-1 as mu1, 85e-2 as mu2, 8e-2 as sigma0, 12e-2 as sigma1, 12e-2 as sigma2, 5e1 as kappa0, 5e1 as kappa1, 5e1 as kappa2, 2e0 as pi0, 4e0 as pi1, 2e0 as pi2, 5e-1 as kappa_prior_log_sigma, false as loh_detected, 0e0 as confidence, 'default' as source",
+    "default_priors": f"{_V} select distinct chrom, arm, 15e-2 as mu0, 5e-1 as mu1, 85e-2 as mu2, 8e-2 as sigma0, 12e-2 as sigma1, 12e-2 as sigma2, 5e1 as kappa0, 5e1 as kappa1, 5e1 as kappa2, 2e0 as pi0, 4e0 as pi1, 2e0 as pi2, 5e-1 as kappa_prior_log_sigma, false as loh_detected, 0e0 as confidence, 'default' as source from v",
     "smart_init": f"{_V}, st as (select {_K}, count(*) filter (vaf<25e-2) as n0, count(*) filter (vaf>=35e-2 and vaf<=65e-2) as n1, count(*) filter (vaf>65e-2) as n2, avg(vaf) filter (vaf<25e-2) as m0, median(vaf) filter (vaf>=35e-2 and vaf<=65e-2) as m1, avg(vaf) filter (vaf>65e-2) as m2 from som group by all)"
     f" select {_K}, round(greatest(2e-2, least(3e-1, case when n0>5 then m0 else 15e-2 end)),6)+0e0 as mu0, round(greatest(25e-2, least(75e-2, case when n1>5 then m1 else 5e-1 end)),6)+0e0 as mu1, round(greatest(5e-1, least(99e-2, case when n2>5 then m2 else 85e-2 end)),6)+0e0 as mu2 from st",
     "bb_logpmf_by_arm": f"{_V} select chrom, arm, round(sum({_pmf('25e0', '25e0')}),3)+0e0 as loglik, count(*) as n from v group by chrom, arm",
@@ -590,5 +630,6 @@ select chrom, cast(mi as int) as mu_i, cast(ki as int) as kappa_i, ll+0e0 as log
         f"pow((mu-({_case(SPEC.mu_default)}))/({_case(SPEC.mu_prior_sigma_default)}), 2)",
     ),
     "em_kappa_grid_step": _map_sql("kappa", _case(SPEC.mu_default), "5e0*pow(100e0, i/1e1)", "pow(ln(kappa/5e1)/5e-1, 2)"),
+    "em_slopes": f"{_V}, {_estep(_OFF_MU, 'chrom', _OFF_KAPPA)} " + " union all ".join(_slopes_sql(k) for k in range(3)),
     "best_restart": f"{_V}, " + "all_ as (" + " union all ".join(f"(with {_estep(mu)} select {_K}, {i} as restart, round(sum(lse),4) as ll from rs group by {_K})" for i, mu in enumerate(_RESTARTS)) + f"), bs as (select *, row_number() over (partition by {_K} order by ll desc, restart) as rn from all_) select {_K}, cast(restart as int) as restart, ll+0e0 as loglik from bs where rn=1",
 }
