@@ -49,9 +49,9 @@ def germline_variants(records: DataFrame, keys: list[str] | None, least_af: floa
     return out.select("chrom", "pos", "arm", "genotype", "depth", "alt", share.alias("vaf"))
 
 
-def read_germline_variants(spark: SparkSession, path: str, least_af: float = COMMON_AF, sample: int = 0, every_alt: bool = False) -> DataFrame:
-    """Germline variants of the VCF file(s) at ``path``."""
-    return germline_variants(vcf.read_vcf(spark, path), vcf.read_csq_keys(spark, path), least_af, sample, None, every_alt)
+def read_germline_variants(spark: SparkSession, path: str, least_af: float = COMMON_AF, sample: int = 0, every_alt: bool = False, split_bytes: int = vcf.SPLIT_BYTES) -> DataFrame:
+    """Germline variants of the VCF file(s) at ``path``; block-gzip files are read in ranges of ``split_bytes``."""
+    return germline_variants(vcf.read_vcf(spark, path, split_bytes), vcf.read_csq_keys(spark, path), least_af, sample, None, every_alt)
 
 
 def malformed_af(records: DataFrame, keys: list[str] | None) -> DataFrame:

@@ -21,6 +21,7 @@ from varfold.operators.specs import GermlineSpec, SomaticMixtureSpec
 from varfold.operators.variants import collected, genotype_class, histogram, is_common, read_germline_variants
 from varfold.sources import vcf
 from varfold.sources.arms import CHROMOSOMES, arm_table, reduce_arms, with_arm
+from varfold.sources.bgzf import write_blocks
 from varfold.sources.shared import SharedFits, shared_path
 from varfold.sources.tables import KEYS, VARIANTS_SQL, variants
 
@@ -87,8 +88,12 @@ VCF_HEADER = """##fileformat=VCFv4.2
 #CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"""
 
 
-def _vcf(spark, sf_dir) -> DataFrame:
-    """Germline variants of VCF files made from line items in the shared folder: header, records and all."""
+#: Bytes of a block-gzip file that a task reads below, so that the files are read in ranges at every scale.
+_RANGE = 1 << 18
+
+
+def _vcf(spark, sf_dir, packed: bool = False) -> DataFrame:
+    """Germline variants of VCF files made from line items in the shared folder: header, records and all; plain or block-gzip."""
     v = variants(spark, sf_dir)
     gt = F.when(F.col("genotype") == "homalt", "1/1").when(F.col("genotype") == "hetalt", "0/1").otherwise("0/0")
     af = F.when(F.col("pos") % 4 == 0, "0.01").otherwise("0.25")
@@ -97,13 +102,22 @@ def _vcf(spark, sf_dir) -> DataFrame:
     sample = F.concat_ws(":", gt, F.col("depth").cast("string"), F.concat_ws(",", ref, F.col("alt").cast("string")))
     fields = [F.col("chrom"), F.col("pos").cast("string"), *[F.lit(x) for x in (".", "A", "C", "50", "PASS")], info, F.lit("GT:DP:AD"), sample]
     path = shared_path(spark, "vcf")
-    vcf.write_vcf(v.select(F.concat_ws("\t", *fields).alias("value")), VCF_HEADER, path)
+    lines = v.select(F.concat_ws("\t", *fields).alias("value"))
+    if packed:
+        write_blocks(lines, VCF_HEADER, path)
+        return read_germline_variants(spark, path, split_bytes=_RANGE)
+    vcf.write_vcf(lines, VCF_HEADER, path)
     return read_germline_variants(spark, path)
 
 
-def vcf_germline(spark, sf_dir):
+def vcf_germline(spark, sf_dir, packed: bool = False):
     """Counts and reads of the germline variants in VCF files."""
-    return _vcf(spark, sf_dir).groupBy("chrom", "arm", "genotype").agg(F.count("*").alias("n"), F.sum("depth").alias("depth"), F.sum("alt").alias("alt"))
+    return _vcf(spark, sf_dir, packed).groupBy("chrom", "arm", "genotype").agg(F.count("*").alias("n"), F.sum("depth").alias("depth"), F.sum("alt").alias("alt"))
+
+
+def vcf_block_gzip(spark, sf_dir):
+    """The same from block-gzip files, each a whole VCF, of which a task reads a range of blocks."""
+    return vcf_germline(spark, sf_dir, packed=True)
 
 
 # --- germline
@@ -468,6 +482,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         genotype_classes,
         csq_af_filter,
         vcf_germline,
+        vcf_block_gzip,
         germline_collect_counts,
         germline_moments,
         germline_fallback,
@@ -633,3 +648,4 @@ select chrom, cast(mi as int) as mu_i, cast(ki as int) as kappa_i, ll+0e0 as log
     "em_slopes": f"{_V}, {_estep(_OFF_MU, 'chrom', _OFF_KAPPA)} " + " union all ".join(_slopes_sql(k) for k in range(3)),
     "best_restart": f"{_V}, " + "all_ as (" + " union all ".join(f"(with {_estep(mu)} select {_K}, {i} as restart, round(sum(lse),4) as ll from rs group by {_K})" for i, mu in enumerate(_RESTARTS)) + f"), bs as (select *, row_number() over (partition by {_K} order by ll desc, restart) as rn from all_) select {_K}, cast(restart as int) as restart, ll+0e0 as loglik from bs where rn=1",
 }
+ORACLE_SQL["vcf_block_gzip"] = ORACLE_SQL["vcf_germline"]

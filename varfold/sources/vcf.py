@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varfold.functions.special import staged
+from varfold.sources.bgzf import SPLIT_BYTES, head_of, read_blocks
 
 FIXED = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
-#: Header lines read to find the annotation's keys; a header is a fixed, small part of a file.
-HEADER_LINES = 20_000
+#: Names of files that may be block-gzip.
+PACKED = r"(?i)\.(gz|bgz|bgzf)$"
 
 
 def csq_keys(description: str) -> list[str]:
@@ -20,11 +24,31 @@ def csq_keys(description: str) -> list[str]:
     return [k.strip() for k in keys.split("Format: ")[0].split("|")]
 
 
+def files_at(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files at ``path``, a file, folder or pattern; nothing is read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
+def heads(files: DataFrame) -> DataFrame:
+    """(path, length, blocked, head) of each file: whether it is block-gzip, and its header's text. Tasks read the beginnings of the files only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [head_of(p) for p in batch.column(0).to_pylist()]
+            columns = [*batch.columns, pa.array([b for b, _ in found], pa.bool_()), pa.array([h.decode("utf-8", "replace") for _, h in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "length", "blocked", "head"])
+
+    return files.mapInArrow(run, "path string, length long, blocked boolean, head string")
+
+
 def read_csq_keys(spark: SparkSession, path: str) -> list[str] | None:
-    """The annotation's field names from the header of the file(s) at ``path``; None if it declares none."""
-    line = F.col("value")
-    declared = spark.read.text(path).where(line.startswith("##INFO=<ID=CSQ,"))
-    rows = declared.select(F.regexp_extract("value", r'Description="([^"]*)"', 1).alias("d")).distinct().limit(HEADER_LINES).collect()
+    """The annotation's field names from the header of the file(s) at ``path``; None if it declares none.
+
+    Only the beginnings of the files are read, so the work doesn't grow with the records.
+    """
+    lines = heads(files_at(spark, path)).select(F.explode(F.split("head", "\n")).alias("value"))
+    declared = lines.where(F.col("value").startswith("##INFO=<ID=CSQ,"))
+    rows = declared.select(F.regexp_extract("value", r'Description="([^"]*)"', 1).alias("d")).distinct().limit(100).collect()
     lists = {tuple(csq_keys(r["d"])) for r in rows}
     if len(lists) > 1:
         raise ValueError(f"the files at {path} declare different CSQ fields")
@@ -44,13 +68,27 @@ def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
     return staged(parts, **fields, samples=samples).drop("f")
 
 
-def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the VCF file(s) at ``path``. Plain files are split over tasks; gzip files are one task each."""
-    return parse_records(spark.read.text(path))
+def read_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(value) the lines of the file(s) at ``path``. Plain and block-gzip files are split over tasks; other gzip files are one task each."""
+    packed = files_at(spark, path).where(F.col("path").rlike(PACKED))
+    blocked = [(r["path"], r["length"]) for r in heads(packed).where("blocked").select("path", "length").collect()]
+    if not blocked:
+        return spark.read.text(path)
+    lines, known = read_blocks(spark, blocked, split_bytes), {p for p, _ in blocked}
+    others = [r["path"] for r in files_at(spark, path).select("path").collect() if r["path"] not in known]
+    return lines.unionByName(spark.read.text(others)) if others else lines
+
+
+def read_vcf(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Records of the VCF file(s) at ``path``, plain, block-gzip or gzip (see ``read_lines``)."""
+    return parse_records(read_lines(spark, path, split_bytes))
 
 
 def write_vcf(lines: DataFrame, header: str, path: str, column: str = "value") -> None:
-    """Write text lines of records as a folder of VCF files, each of the tasks' files under the header of its own that readers look for once."""
+    """Write text lines of records as a text folder, which readers take as one VCF: the header is in one of its files, the others have records alone.
+
+    ``bgzf.write_blocks`` writes files that are each a whole VCF.
+    """
     head = lines.sparkSession.createDataFrame([(h,) for h in header.splitlines()], "value string").coalesce(1)
     head.unionByName(lines.select(F.col(column).alias("value"))).write.text(path)
 
@@ -69,11 +107,6 @@ def csq_value(csq: Column | str, keys: list[str] | None, key: str) -> Column:
     return F.get(F.split(first, "[|]"), F.lit(len(keys) - 1 - keys[::-1].index(key)))
 
 
-def sample_field(key: str, sample: int = 0, form: str = "FORMAT", samples: str = "samples") -> Column:
-    """A FORMAT field of one sample; null if absent or '.'."""
-    return field_of(key, F.split(form, ":"), F.split(F.get(F.col(samples), F.lit(sample)), ":"))
-
-
 def field_of(key: str, names: Column, values: Column) -> Column:
     """The value of the first of ``names`` that is ``key``; null if absent or '.'."""
     at = F.array_position(names, F.lit(key)).cast("int")
