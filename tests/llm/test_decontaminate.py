@@ -122,3 +122,23 @@ def test_query(spark):
     want = {(d, i) for d, t in texts.items() for i, b in items.items() if b in t}
     got = QUERIES["op10_decontaminate"](spark, SF).collect()
     assert {(r.doc_id, r.item_id) for r in got if r.distance == 0} == want
+
+
+def test_documents_are_read_once_whatever_the_blocks(spark, monkeypatch, tmp_path):
+    """Thirty blocks are run over each task's documents in turn; the plan scans the documents once and has no item in it."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    items = [(i, " ".join(word() for _ in range(10))) for i in range(60)]
+    docs = [(d, " ".join([word(), *(items[i][1] for i in rnd.sample(range(60), d % 4)), word()])) for d in range(80)]
+    want = {(d, i) for d, t in docs for i, x in items if x in t}
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    frame, of = spark.read.parquet(f"{tmp_path}/docs"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(dc, "BLOCK_CHARS", 170)
+    assert len(list(dc._item_blocks(of, "text"))) == 30
+    found = dc.find_leaks(frame, of)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and not any(x in plan for _, x in items) and len(plan) < 10_000
+    got = found.collect()
+    assert {(r.id, r.item) for r in got} == want and len(got) == len(want) > 60
+    assert {r.doc_id for r in dc.drop_contaminated(frame, of).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    assert all("_value" not in b.__dict__ for b in dc._Blocks(spark, dc._numbered(of, "text")).shared)

@@ -9,8 +9,9 @@ distance (semi-global; one bit a character of the item).
 Items shorter than WHOLE_WORDS characters have no budget and must stand between other characters than letters and digits
 (or at an end), so that "art" is not found in "part".
 
-The items are the stated query set: their distinct texts go to the executors in blocks of a bounded number of
-characters, and every block runs over all documents. Ids are joined to what was found, so repeated items cost nothing twice.
+The items are the stated query set. Their distinct texts are numbered in a shared table and go to the executors in blocks of a bounded
+number of characters; the driver holds one block at a time. Documents are read once: a task takes some megabytes of text and runs the blocks over
+them in turn, holding one automaton. Ids are joined to what was found, so repeated items cost nothing twice.
 
 Defined results: null text counts as empty and matches nothing; items that are null or empty after normalising are left
 out; repeated items and rows each give their own rows; empty tables give empty results; columns other than the named
@@ -22,20 +23,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varfold.llm.common import blocks, table
+from varfold.llm.common import SharedTable, blocks, table
 
 ERROR_RATE = 0.05
 #: Shorter items are found as they are, as whole words.
 WHOLE_WORDS = 24
 #: Characters of distinct items in one block (at least one item each); this bounds what is collected and broadcast at a time.
 BLOCK_CHARS = 4_000_000
+#: Bytes of text that a task holds while it runs several blocks over them, each of which is built for that.
+HELD_BYTES = 64 << 20
 
 
 def normalise(text: str | None) -> str:
@@ -164,15 +166,21 @@ class Matcher:
         return out
 
 
-def _item_blocks(items: DataFrame, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """Distinct texts with a number each, in blocks of BLOCK_CHARS; the driver holds one block and one partition at a time."""
+def _numbered(items: DataFrame, text_col: str) -> DataFrame:
+    """(number, text) of the distinct texts, in a shared table."""
     texts = items.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct()
+    return SharedTable(texts.select(F.monotonically_increasing_id().alias("number"), "text"), "items").df
+
+
+def _item_blocks(items: DataFrame, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """Distinct texts with their numbers, in blocks of BLOCK_CHARS; the driver holds one block and one partition at a time."""
+    numbered = items if "number" in items.columns else _numbered(items, text_col)
     block, chars = [], 0
-    for number, row in enumerate(texts.toLocalIterator()):
+    for row in numbered.toLocalIterator():
         if block and chars + len(row["text"]) > BLOCK_CHARS:
             yield block
             block, chars = [], 0
-        block.append((number, row["text"]))
+        block.append((row["number"], row["text"]))
         chars += len(row["text"])
     if block:
         yield block
@@ -181,63 +189,62 @@ def _item_blocks(items: DataFrame, text_col: str) -> Iterator[list[tuple[int, st
 _BUILT: dict[str, Matcher] = {}
 
 
-def _matcher(shared) -> Matcher:
-    """The matcher of a broadcast block, built once in each Python worker."""
-    if shared.id not in _BUILT:
-        _BUILT.clear()
-        _BUILT[shared.id] = Matcher(shared.value)
-    return _BUILT[shared.id]
-
+class _Blocks:
+    """Blocks of items as broadcast variables, which the driver keeps on disk, and their matchers in a task."""
 
-class _Block:
-    def __init__(self, spark, items: list) -> None:
-        self.shared = spark.sparkContext.broadcast(items)
+    def __init__(self, spark, numbered: DataFrame) -> None:
         self.id = uuid.uuid4().hex
-
-    @property
-    def value(self) -> list:
-        return self.shared.value
-
-
-def _pairs(block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        self.shared = [spark.sparkContext.broadcast(block) for block in _item_blocks(numbered, "text")]
+
+    def matchers(self) -> Iterator[Matcher]:
+        """One at a time; a single one is built once in each Python worker."""
+        if len(self.shared) == 1:
+            if self.id not in _BUILT:
+                _BUILT.clear()
+                _BUILT[self.id] = Matcher(self.shared[0].value)
+            yield _BUILT[self.id]
+            return
+        for block in self.shared:
+            yield Matcher(block.value)
+            block.__dict__.pop("_value", None)  # a worker that has read a block would keep it
+
+    def batches(self, batches: Iterator[pa.RecordBatch], text: int | str) -> Iterator[pa.RecordBatch]:
+        """The batches in parts that a task holds together."""
+        limit = {} if len(self.shared) == 1 else {"limit": HELD_BYTES}
+        yield from (part for batch in batches for part in blocks([batch], text, **limit))
+
+
+def _pairs(items: _Blocks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(block)
-        for batch in blocks(batches, 1):
-            out = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in matcher.find(t)]
+        for batch in items.batches(batches, 1):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out = [(d, *m) for matcher in items.matchers() for d, t in zip(ids, texts, strict=True) for m in matcher.find(t)]
             columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["id", "item", "distance", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["id", "number", "distance", "start", "end"])
 
     return run
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, distance, start, end): the best occurrence of each item in each document, within the item's budget."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, item long, distance int, start int, end int"
-    keyed = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
-    found = []
-    for block in _item_blocks(items, item_text_col):
-        numbers = spark.createDataFrame(block, "number long, text string")
-        ids = keyed.join(F.broadcast(numbers), "text").select("number", "item")  # a block is BLOCK_CHARS characters at most, or one item
-        hits = rows.mapInArrow(_pairs(_Block(spark, block)), schema).withColumnRenamed("item", "number")
-        found.append(hits.join(ids, "number").select("id", "item", "distance", "start", "end"))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+    numbered = _numbered(items, item_text_col)
+    ids = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).join(numbered, "text").select("number", "item")
+    hits = rows.mapInArrow(_pairs(_Blocks(docs.sparkSession, numbered)), "id long, number long, distance int, start int, end int")
+    return hits.join(ids, "number").select("id", "item", "distance", "start", "end")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item occurs within its budget, all columns kept."""
-    out = docs
-    for items_of in _item_blocks(items, item_text_col):
-        block = _Block(docs.sparkSession, items_of)
+    known = _Blocks(docs.sparkSession, _numbered(items, item_text_col))
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(block)
-            for part in (p for b in batches for p in blocks([b], text_col)):
-                yield part.filter(pa.array([not matcher.find(t, first_only=True) for t in part.column(text_col).to_pylist()], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in known.batches(batches, text_col):
+            for matcher in known.matchers():
+                part = part.filter(pa.array([not matcher.find(t, first_only=True) for t in part.column(text_col).to_pylist()], pa.bool_()))
+            yield part
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
