@@ -121,3 +121,45 @@ def test_single_cells_go_whatever_the_batches():
         batches.insert(1, batches[0].slice(0, 0))
         got = [r for b in jaccard._shared(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         assert got == [(c, i, i, i) for i, c in enumerate(cells) if cells.count(c) > 1 or c == lone]
+
+
+def test_marks_bound_what_sets_have_in_common():
+    import numpy as np
+
+    from varfold.llm import jaccard
+
+    rng = np.random.default_rng(4)
+    tight = []
+    for n, m, common in [(1, 1, 0), (1, 1, 1), (5, 400, 5), (60, 70, 0), (64, 65, 60), (500, 520, 450), (500, 520, 0), (4000, 3300, 3300), (0, 7, 0), (0, 0, 0)]:
+        whole = np.unique(rng.integers(0, 1 << 63, n + m, np.uint64))
+        a, b = np.sort(whole[:n]), np.sort(whole[n - common : n - common + m])
+        marks = jaccard.mark(a), jaccard.mark(b)
+        assert all(len(x) >= max(8, len(s) // 4) for x, s in zip(marks, (a, b), strict=True))
+        bound = jaccard.most_common(*marks, n, m)
+        assert common <= bound == jaccard.most_common(*marks[::-1], m, n) <= min(n, m)
+        tight.append((bound - common) / max(min(n, m), 1))
+    assert tight[6] < 0.6 and tight[5] < 0.1  # unlike sets fall, and like ones are told closely
+
+
+def test_sets_of_many_pairs_are_dealt_out(spark, monkeypatch):
+    """A set that half of all pairs have goes to several partitions, and each pair keeps both its ends."""
+    from varfold.llm import jaccard
+    from varfold.llm.common import SharedTable
+
+    monkeypatch.setattr(jaccard, "SPLIT", 10)
+    pairs = {(0, v) for v in range(1, 400)} | {(u, 500) for u in range(300)} | {(7, 9), (500, 600)}
+    frame = SharedTable(spark.createDataFrame(sorted(pairs), "u long, v long"), "test-pairs").df
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(700)], "fp long, text string")
+    out = jaccard._with_ends(frame, rows)
+    got = [tuple(r) for r in out.select("u", "v", "a_text", "b_text").collect()]
+    assert len(got) == len(pairs) and set(got) == {(u, v, f"t{u}", f"t{v}") for u, v in pairs}
+    parts = out.rdd.mapPartitions(lambda rs: [sum(r.v == 500 for r in rs)]).collect()
+    assert max(parts) < 150 and sum(n > 0 for n in parts) > 5
+
+
+def test_each_set_keeps_its_best_pair(spark):
+    from varfold.llm import jaccard
+
+    rows = [(1, 2, 900), (1, 3, 950), (2, 3, 850), (4, 5, 800), (1, 6, 810), (6, 7, 810)]
+    got = {tuple(r) for r in jaccard._best(spark.createDataFrame(rows, "u long, v long, score long")).collect()}
+    assert got == {(1, 3), (1, 2), (4, 5), (1, 6), (6, 7)}
