@@ -185,3 +185,39 @@ def test_start_values_from_counts_equal_those_from_rows(spark):
         for i in range(3):
             low, high = SPEC.bounds_mu[i]
             assert r.init_mu[i] == pytest.approx(min(max(w[f"m{i}"] if w[f"n{i}"] > m.BAND_COUNT else m.START_DEFAULT[i], low), high), abs=1e-12)
+
+
+def test_a_key_of_a_million_pairs(monkeypatch):
+    """Little is held besides the pairs, and what comes out is what one chunk gives."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    depth = rng.integers(1000, 30_000, 1_020_000)
+    pairs, weight = np.unique(np.stack([rng.binomial(depth, rng.beta(5, 9, len(depth))), depth], 1), axis=0, return_counts=True)
+    alt, depth = pairs.T.astype(float)
+    assert len(alt) > 1_000_000
+    mu, kappa, pi = np.array([0.15, 0.4, 0.8]), np.array([20.0, 14.0, 50.0]), np.array([0.2, 0.6, 0.2])
+    tracemalloc.start()
+    deep = numeric.Counts(alt, depth, weight.astype(float))
+    loglik, mass, data = deep.e_step(mu, kappa, pi)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    monkeypatch.setattr(numeric, "CHUNK", 1 << 21)
+    whole = numeric.Counts(alt, depth, weight.astype(float)).e_step(mu, kappa, pi)
+    assert loglik == pytest.approx(whole[0], rel=1e-12) and mass == pytest.approx(whole[1], rel=1e-11)
+    for a, b in zip(data, whole[2], strict=True):
+        assert a.slopes(0.4, 15.0) == pytest.approx(b.slopes(0.4, 15.0), rel=1e-9)
+
+
+def test_what_is_written_on_the_way_can_be_dropped(spark):
+    import os
+
+    from varfold.sources.shared import SharedTable, drop_tables, shared_path
+
+    others, SharedTable.written[:] = list(SharedTable.written), []
+    folder, table = shared_path(spark, "vcf"), SharedTable(spark.range(3), "fits")
+    spark.range(2).write.csv(folder)
+    assert SharedTable.written == [folder, table.path] and table.df.count() == 3
+    assert drop_tables(spark) == 2 and not any(os.path.exists(p.removeprefix("file:")) for p in (folder, table.path))
+    SharedTable.written[:] = others

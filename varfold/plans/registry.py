@@ -22,7 +22,7 @@ from varfold.operators.variants import collected, genotype_class, histogram, is_
 from varfold.sources import vcf
 from varfold.sources.arms import CHROMOSOMES, arm_table, reduce_arms, with_arm
 from varfold.sources.bgzf import write_blocks
-from varfold.sources.shared import SharedFits, shared_path
+from varfold.sources.shared import SharedTable, shared_path
 from varfold.sources.tables import KEYS, VARIANTS_SQL, variants
 
 ARM = ("chrom", "arm")
@@ -232,6 +232,17 @@ def _predicted_by_default(spark, sf_dir, threshold: float) -> DataFrame:
     return m.predict(somatic, _with_default(somatic.select(*ARM).distinct()), ARM, threshold)
 
 
+def posteriors_by_name(spark, sf_dir):
+    """Rows by chromosome and the name of their likeliest component, from array functions: log-likelihoods and posteriors."""
+    laws = [(*sp.shapes(m_, c), p / sum(SPEC.pi_prior_default)) for m_, c, p in zip(SPEC.mu_default, SPEC.kappa_default, SPEC.pi_prior_default, strict=True)]
+    joint = F.array(*[F.ln(F.lit(p + sp.PI_FLOOR)) + sp.beta_binom_logpmf("alt", "depth", a, b) for a, b, p in laws])
+    rows = sp.staged(_somatic(spark, sf_dir).select("chrom", "alt", "depth"), joint=joint)
+    rows = sp.staged(rows, log_norm=sp.logsumexp("joint"))
+    rows = sp.staged(rows, resp=sp.softmax("joint", "log_norm"))
+    own = F.get("resp", sp.argmax("resp"))
+    return rows.groupBy("chrom", sp.component_name(sp.argmax("resp")).alias("component")).agg(F.count("*").alias("n"), _round(F.sum("log_norm"), 3).alias("loglik"), _round(F.sum(own), 4).alias("certainty"))
+
+
 def component_rows(spark, sf_dir):
     """Rows of each component by arm, however uncertain: what is filtered is a computed value, not its expression."""
     scored = _predicted_by_default(spark, sf_dir, 0.0)
@@ -369,9 +380,9 @@ def germline_fit_checked(spark, sf_dir):
     The fits by genotype column and by a boolean mask are one, and the het fit alone is the same as beside the hom one.
     """
     v, key = _germline(spark, sf_dir), ("chrom",)
-    fits = SharedFits(g.fit_germline(v, key), "germline").df
-    masked = SharedFits(g.fit_germline_from_mask(v.withColumn("is_het", F.col("genotype") == "hetalt"), keys=key), "germline").df
-    alone = SharedFits(g.fit_germline(v.where("genotype = 'hetalt'"), key), "germline").df
+    fits = SharedTable(g.fit_germline(v, key), "germline").df
+    masked = SharedTable(g.fit_germline_from_mask(v.withColumn("is_het", F.col("genotype") == "hetalt"), keys=key), "germline").df
+    alone = SharedTable(g.fit_germline(v.where("genotype = 'hetalt'"), key), "germline").df
     out = fits
     for kind, genotype, bounds in (("het", "hetalt", GERMLINE.mu_het_bounds), ("hom", "homalt", GERMLINE.mu_hom_bounds)):
         out = join_on(out, _around(histogram(v.where(F.col("genotype") == genotype), key), fits, kind, bounds), key)
@@ -407,7 +418,7 @@ def mixture_fit_checked(spark, sf_dir):
     order = Window.partitionBy("chrom").orderBy("l_orderkey", "l_linenumber")
     few = somatic.where(F.col("chrom").isin(*_TWO_LEFT)).withColumn("at", F.row_number().over(order)).where("at <= 2").drop("at")
     kept = somatic.where(~F.col("chrom").isin(*_TWO_LEFT, *_NONE_LEFT)).unionByName(few)
-    fits = SharedFits(m.fit_mixture(kept, priors(somatic.select("chrom").distinct(), None, ("chrom",)), ("chrom",)), "mixture").df
+    fits = SharedTable(m.fit_mixture(kept, priors(somatic.select("chrom").distinct(), None, ("chrom",)), ("chrom",)), "mixture").df
     counts = histogram(kept, ("chrom",))
     default = _with_default(fits.select("chrom")).select("chrom", *[F.col(c).alias(f"{c}0") for c in ("mu", "kappa", "pi")])
     scored = m.e_step(join_on(counts, fits.select("chrom", "mu", "kappa", "pi"), ("chrom",), "inner")).groupBy("chrom").agg(F.sum(F.col("weight") * F.col("log_norm")).alias("own"))
@@ -441,7 +452,7 @@ def arms_checked(spark, sf_dir):
     """Properties of the whole pipeline by arm: variants, where the prior comes from, whether the germline fit stands beside it,
     and whether no point around the fit has a larger posterior density under that prior."""
     somatic = _somatic(spark, sf_dir)
-    fits = SharedFits(m.fit_arms(_germline(spark, sf_dir), somatic, KEYS), "arms").df
+    fits = SharedTable(m.fit_arms(_germline(spark, sf_dir), somatic, KEYS), "arms").df
     out = join_on(fits, optimality(somatic, fits, KEYS).select(*KEYS, "is_optimum"), KEYS)
     own = F.col("germline_fit")
     return out.select(*KEYS, "n_variants", "prior_source", own["n_het"].alias("n_het"), (own.isNull() == (F.col("prior_source") == "default")).alias("fit_beside_prior"), (F.size("mu") == 3).alias("whole"), F.when(F.col("n_variants") >= 3, F.col("is_optimum")).otherwise(True).alias("optimum"))
@@ -492,6 +503,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         smart_init,
         bb_logpmf_by_arm,
         germline_store,
+        posteriors_by_name,
         component_rows,
         uncertain_labels,
         germline_fit_checked,
@@ -610,6 +622,7 @@ ORACLE_SQL: dict[str, str] = {
     "vcf_germline": f"{_V} select chrom, arm, genotype, count(*) as n, cast(sum(depth) as bigint) as depth, cast(sum(alt) as bigint) as alt from ger where pos%4<>0 and genotype is not null group by all",
     "germline_collect_counts": f"{_V} select {_K}, genotype, count(*) as n, cast(sum(depth) as bigint) as depth, cast(sum(alt) as bigint) as alt from ger where genotype is not null group by all",
     "germline_store": f"{_V} select chrom, arm, genotype, count(*) as n, cast(sum(depth) as bigint) as depth, cast(sum(alt) as bigint) as alt, round(sum(alt/depth),4)+0e0 as vaf from ger where pos%4<>0 and genotype is not null group by all",
+    "posteriors_by_name": f"{_V}, {_estep(keys='chrom')}, l as (select *, {_LABEL} as label from rs) select chrom, case label when 0 then 'subclonal' when 1 then 'clonal' else 'loh' end as component, count(*) as n, round(sum(lse),3)+0e0 as loglik, round(sum(greatest(r0,r1,r2)),4)+0e0 as certainty from l group by 1, 2",
     "component_rows": f"{_V}, {_estep(keys='chrom, arm')} select chrom, arm, cast({_LABEL} as int) as component, count(*) as n, cast(sum(alt) as bigint) as alt from rs group by 1, 2, 3",
     "uncertain_labels": f"{_V}, {_estep(keys='chrom, arm')} select chrom, arm, count(*) as n, cast(sum(depth) as bigint) as depth, count(*) filter (r1>5e-1) as n_middle from rs where greatest(r0,r1,r2)<9e-1 group by 1, 2",
     "germline_fit_checked": f"{_V} select chrom, count(*) filter (genotype='hetalt') as n_het, count(*) filter (genotype='homalt') as n_hom, true as loglik_is_of_rows, true as likeliest_around, true as total_is_of_rows, true as mask_is_same, case when count(*) filter (genotype='hetalt')>0 then true end as het_alone_is_same from ger group by chrom",
