@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,54 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varfold.sources.shared import SharedTable, drop_tables, shared_dir  # noqa: F401  taken from here by the operators and tests
+
 #: Rows handed to Python code at a time are cut so that their text stays near this many bytes.
 BLOCK_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own in local mode where it is unset."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="varfold-"))
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
-class SharedTable:
-    """A DataFrame written as Parquet to the shared folder: its lineage ends there, and lost executors cost nothing."""
-
-    #: Paths of this process's tables that are still there.
-    written: list[str] = []
-
-    def __init__(self, df: DataFrame, name: str) -> None:
-        self._spark = df.sparkSession
-        self.path = f"{shared_dir(self._spark)}/varfold/{name}-{uuid.uuid4().hex}"
-        SharedTable.written.append(self.path)
-        df.write.parquet(self.path)
-        self.df = self._spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """Delete the files. Only call this when no DataFrame that reads them is still to run."""
-        _delete(self._spark, self.path)
-        SharedTable.written.remove(self.path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
-
-
-def drop_tables(spark: SparkSession) -> int:
-    """Delete all tables that this process has written on the way, once results that read them have been stored. Gives their number."""
-    paths, SharedTable.written[:] = list(SharedTable.written), []
-    for path in paths:
-        _delete(spark, path)
-    return len(paths)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -84,13 +84,13 @@ def most_common(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
     return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
 
 
-def in_order(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """An ascending set in the common order: frequent shingles last, by their counts and then their hashes."""
+def in_order(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """An ascending set in the common order: frequent shingles last, by their counts and then their hashes; and how many are not frequent."""
     if not len(frequent) or not len(found):
-        return found
+        return found, len(found)
     at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
     known = frequent[at] == found
-    return np.concatenate((found[~known], found[known][np.argsort(counts[at[known]], kind="stable")]))
+    return np.concatenate((found[~known], found[known][np.argsort(counts[at[known]], kind="stable")])), int((~known).sum())
 
 
 def _frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,9 +124,10 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, words: int, least: int)
                 fps.append(whole & _WORD)
                 others.append(whole >> 64)
                 sizes.append(len(found))
-                prefix = in_order(found, *order.value)[: prefix_size(len(found), least)]
+                whole, n_rare = in_order(found, *order.value)
+                prefix = whole[: prefix_size(len(found), least)]
                 prefixes.append(prefix.view(np.int64))
-                rare.append(len(prefix) - int(np.isin(prefix, order.value[0]).sum()))
+                rare.append(min(n_rare, len(prefix)))
                 bits.append(mark(found).tobytes())
             out = [batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, others)), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sims, pa.int64()), pa.array(rare, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(out, ["id", "fp", "other", "key", "n", "sim", "rare", "prefix", "bits"])
