@@ -16,6 +16,15 @@ from varfold.sources.shared import SharedTable, drop_tables, shared_dir  # noqa:
 BLOCK_BYTES = 4 << 20
 
 
+#: Rows of a side that is broadcast, at most: some tens of MB where a row has a few numbers.
+SIDE_ROWS = 1 << 18
+
+
+def broadcast_if_small(side: DataFrame) -> DataFrame:
+    """``side``, a stored table of a few numbers a row, to be broadcast if it has at most SIDE_ROWS rows; else the join shuffles both sides."""
+    return F.broadcast(side) if side.limit(SIDE_ROWS + 1).count() <= SIDE_ROWS else side
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

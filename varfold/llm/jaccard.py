@@ -11,14 +11,14 @@ shared shingle of a true pair never rules it out). What remains is verified on t
 Any order gives the same links. Shingles that are frequent in a sample of texts come last in it, so that few prefixes hold
 them; the others are in the order of their hashes. Texts with equal sets are one node from the start.
 
-Texts are not sent with candidates. A set has a mark of two to four bits a shingle, which bounds what two sets can have in common; pairs
+Texts are not sent with candidates. A set has a mark of a few bits a shingle, which bounds what two sets can have in common; pairs
 that their marks rule out go first. The others are verified on their texts, which are fetched for the sets that need it.
 
-Pairs are taken in three rounds. The first takes the SimHash links, and neighbours by size in the cells of each set's first
-few shingles (a cell: the nodes that have a shingle in their prefixes), a number in proportion to the nodes; of what the marks leave, each
-set's best pair is verified. The second takes what was left and is still in different components, and nodes at a few distances in all cells,
-which joins nearly all of what belongs together; the third takes all pairs that are still in different components. So each link is verified or
-its ends are in one component already. A set of many pairs is sent to several tasks, each for a bounded number of them.
+Pairs are taken in rounds (ROUNDS). The first takes the SimHash links, and neighbours by size in the cells of each set's first
+few shingles (a cell: the nodes that have a shingle in their prefixes), a number in proportion to the nodes; the next take nodes at a few
+distances in all cells that are still in different components, and the last all pairs that are. Of what the marks leave, each set's best pairs
+are verified first; the others wait for the next round, and those that are in one component by then go. So each link is verified or its ends
+are in one component already. A set of many pairs is sent to several tasks, each for a bounded number of them.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varfold.llm.common import SharedTable, blocks, connected_components
+from varfold.llm.common import SharedTable, blocks, broadcast_if_small, connected_components
 from varfold.llm.simhash import CELL_ROWS, assign_components, grid_links, majority, shingle_hashes
 
 #: Bits of 64 in which fingerprints that are candidates differ at most.
@@ -45,8 +45,11 @@ _WORD = (1 << 64) - 1
 _SMALL = 12
 #: Places of a prefix in whose cells neighbours are taken in the first round, so that a set has a few candidates there, however many shingles it shares.
 HEAD = 4
-#: How far apart in a cell the rows of different components stand that are compared in the second round.
-APART = (1, 2, 5, 11, 23, 47, 95, 191)
+#: Rounds: how far apart in a cell the rows of different components stand that are compared (None: all), and how many pairs of a set are verified
+#: (None: all). The first has its own candidates.
+ROUNDS: tuple[tuple[tuple[int, ...] | None, int | None], ...] = (((), 1), ((1, 2, 5, 11, 23, 47, 95, 191), 2), ((3, 7, 15, 31, 63, 127, 255), 4), (None, None))
+#: Bits of a mark for each shingle, at least.
+BITS_EACH = 4
 #: Pairs of one set that are dealt to a task together.
 SPLIT = 64
 #: Pairs that a task holds before it hands them on.
@@ -70,8 +73,8 @@ def alike(a: np.ndarray, b: np.ndarray, least: int) -> bool:
 
 
 def mark(found: np.ndarray) -> np.ndarray:
-    """Bits of the places that a set's hashes have, two to four a hash, as bytes."""
-    bits = np.zeros(max(64, 1 << (2 * len(found) - 1).bit_length()) if len(found) else 64, bool)
+    """Bits of the places that a set's hashes have, BITS_EACH to twice as many a hash, as bytes."""
+    bits = np.zeros(max(64, 1 << (BITS_EACH * len(found) - 1).bit_length()) if len(found) else 64, bool)
     bits[(found & np.uint64(len(bits) - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little")
 
@@ -307,11 +310,21 @@ def _plausible(pairs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long, score long")
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """Of the pairs (u, v, score) each set's one of the largest score: no more pairs than sets."""
-    pair = F.struct("u", "v")
-    both = pairs.select(F.col("u").alias("node"), "score", pair.alias("pair")).unionByName(pairs.select(F.col("v").alias("node"), "score", pair.alias("pair")))
-    return both.groupBy("node").agg(F.min_by("pair", F.struct(-F.col("score"), "pair")).alias("pair")).select("pair.*").distinct()
+def _best(pairs: DataFrame, most: int = 1) -> DataFrame:
+    """Of the pairs (u, v, score) those that are among the ``most`` of the largest score for one of their sets: in proportion to the sets."""
+    pair = F.struct(-F.col("score"), "u", "v")
+    both = pairs.select(F.col("u").alias("node"), pair.alias("pair")).unionByName(pairs.select(F.col("v").alias("node"), pair.alias("pair")))
+    if most == 1:
+        return both.groupBy("node").agg(F.min("pair").alias("pair")).select("pair.u", "pair.v").distinct()
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("pair")))
+    return ranked.where(F.col("rank") <= most).select("pair.u", "pair.v").distinct()
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (u, v, score) whose sets are in different components; ``parts`` has fp and root."""
+    of = lambda end: parts.select(F.col("fp").alias(end), F.col("root").alias(f"root_{end}"))
+    both = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return both.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v", "score")
 
 
 def _texts_of(pairs: DataFrame, docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -319,7 +332,7 @@ def _texts_of(pairs: DataFrame, docs: DataFrame, keys: DataFrame, id_col: str, t
     ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
     asked = SharedTable(keys.join(ends, "fp", "left_semi"), "asked").df
     once = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return SharedTable(once.join(asked, ["key", "id"]).groupBy("fp").agg(F.first("text").alias("text")), "texts").df
+    return SharedTable(once.join(broadcast_if_small(asked), ["key", "id"]).groupBy("fp").agg(F.first("text").alias("text")), "texts").df
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
@@ -365,18 +378,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = _texts_of(pairs, docs, marks.select("fp", "key", "id"), id_col, text_col)
         return SharedTable(_verified(pairs, texts, words, least), "links").df
 
-    seen = SharedTable(meet.distinct(), "pairs").df
-    left = SharedTable(_plausible(seen, marks, least), "plausible").df
-    best = SharedTable(_best(left), "best").df
-    edges, left = links(best), left.join(best, ["u", "v"], "left_anti").select("u", "v")  # left: to be looked at again in the second round
-    for shifts in (APART, None):
-        parts = SharedTable(connected_components(edges).select(F.col("node").alias("fp"), "root"), "parts").df
-        parted = cells.join(parts, "fp", "left").withColumn("part", F.coalesce("root", "fp")).drop("root")
-        rest = SharedTable(_candidates(parted, hot, least, shifts).join(seen, ["u", "v"], "left_anti"), "pairs").df
-        more = _plausible(rest, marks, least).select("u", "v")
-        if shifts:
-            of = lambda end: parts.select(F.col("fp").alias(end), F.col("root").alias(f"root_{end}"))
-            more = more.unionByName(left.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v"))
-        edges = edges.unionByName(links(SharedTable(more, "plausible").df))
-        seen = seen.unionByName(rest)
+    pairs = SharedTable(meet.distinct(), "pairs").df
+    open_ = SharedTable(_plausible(pairs, marks, least), "plausible").df  # candidates of which the marks have ruled out none
+    seen, edges, parts = pairs, None, None
+    for shifts, most in ROUNDS:
+        if parts is not None:
+            parted = cells.join(parts, "fp", "left").withColumn("part", F.coalesce("root", "fp")).drop("root")
+            pairs = SharedTable(_candidates(parted, hot, least, shifts).join(seen, ["u", "v"], "left_anti"), "pairs").df
+            fresh, seen = _plausible(pairs, marks, least), seen.unionByName(pairs)
+            open_ = SharedTable(_apart(open_, parts).unionByName(fresh), "plausible").df
+        chosen = SharedTable(_best(open_, most) if most else open_.select("u", "v"), "chosen").df
+        found = links(chosen)
+        edges = found if edges is None else edges.unionByName(found)
+        if most:
+            open_ = open_.join(chosen, ["u", "v"], "left_anti")
+            parts = SharedTable(connected_components(edges).select(F.col("node").alias("fp"), "root"), "parts").df
     return assign_components(prints.select("id", "fp"), edges)

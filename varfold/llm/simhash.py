@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varfold.functions.names import unused_prefix
-from varfold.llm.common import SharedTable, blocks, connected_components, join_one
+from varfold.llm.common import SharedTable, blocks, broadcast_if_small, connected_components, join_one
 
 #: Members of a grid cell that one unit of work compares at most; larger cells are cut into chunks of half as many.
 CELL_ROWS = 4096
@@ -268,8 +268,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     p, known = unused_prefix(docs), docs.where(F.col(id_col).isNotNull())
     own, print_ = F.col(f"{p}id"), F.xxhash64(text_col)
-    keep = near_duplicates(known, id_col, text_col, words, similarity).where("id = component_id").select(F.col("id").alias(f"{p}id")).distinct()
-    once = docs.join(keep, F.col(id_col) == own, "left_semi")
+    found = near_duplicates(known, id_col, text_col, words, similarity)
+    # Fewer rows go than stay, so those that go are looked up. A null id equals none and stays.
+    gone = found.groupBy(F.col("id").alias(f"{p}id")).agg(F.max(F.col("id") == F.col("component_id")).alias("stays")).where("not stays").select(f"{p}id")
+    once = docs.join(broadcast_if_small(SharedTable(gone, "gone").df), F.col(id_col) == own, "left_anti")
     counted = known.groupBy(F.col(id_col).alias(f"{p}id"), print_.alias(f"{p}text")).agg(F.count("*").alias(f"{p}n"))
     repeated = SharedTable(counted.where(F.col(f"{p}n") > 1).drop(f"{p}n"), "repeated").df
     if not repeated.isEmpty():
@@ -279,7 +281,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         # Repeats meet in an aggregate, which reduces them before they are shuffled.
         one = once.join(repeated, same, "left_semi").groupBy(F.col(id_col).alias(f"{p}id"), print_.alias(f"{p}text")).agg(least).select(f"{p}row.*")
         once = once.join(repeated, same, "left_anti").unionByName(one)
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    return once
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
