@@ -174,3 +174,16 @@ def test_heads_end_where_the_header_does(monkeypatch, tmp_path, kind):
         data = {"plain": text.encode(), "gzip": gzip.compress(text.encode()), "blocks": b"".join(bgzf.packed(iter([text.encode()])))}[kind]
         want = "#a\n" if text == "#a\nrec" else "" if text == "rec\n" else text
         assert bgzf.head_of("x")[1].decode() == want
+
+
+def test_file_systems_that_arrow_does_not_know(spark, tmp_path, monkeypatch):
+    """Spark's own readers take over."""
+    path = written(tmp_path / "a.vcf.gz", HEADER + record(1) + record(2), 100)
+
+    def unknown(path):
+        raise pa.ArrowInvalid("Unrecognized filesystem type")
+
+    monkeypatch.setattr(vcf, "opened", unknown)
+    assert vcf.read_csq_keys(spark, path) == ["gene", "impact", "AF"]
+    assert {r.POS for r in vcf.read_vcf(spark, path).collect()} == {1001, 1002}
+    assert vcf.read_lines(spark, path)._jdf.queryExecution().executedPlan().toString().count("block_gzip") == 0

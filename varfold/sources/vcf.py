@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varfold.functions.special import staged
-from varfold.sources.bgzf import SPLIT_BYTES, head_of, read_blocks
+from varfold.sources.bgzf import SPLIT_BYTES, head_of, opened, read_blocks
 
 FIXED = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
 #: Names of files that may be block-gzip.
@@ -29,6 +29,15 @@ def files_at(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length")
 
 
+def opens(files: DataFrame) -> bool:
+    """Whether Arrow has the file system of the files."""
+    first = files.first()
+    try:
+        return first is None or bool(opened(first["path"]))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
 def heads(files: DataFrame) -> DataFrame:
     """(path, length, blocked, head) of each file: whether it is block-gzip, and its header's text. Tasks read the beginnings of the files only."""
 
@@ -41,13 +50,21 @@ def heads(files: DataFrame) -> DataFrame:
     return files.mapInArrow(run, "path string, length long, blocked boolean, head string")
 
 
-def read_csq_keys(spark: SparkSession, path: str) -> list[str] | None:
-    """The annotation's field names from the header of the file(s) at ``path``; None if it declares none.
+def header_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value) the header lines of the files at ``path``.
 
-    Only the beginnings of the files are read, so the work doesn't grow with the records.
+    Only the beginnings of the files are read, so the work doesn't grow with the records; where Arrow can't open the path's file system, Spark
+    reads the files as text, whole.
     """
-    lines = heads(files_at(spark, path)).select(F.explode(F.split("head", "\n")).alias("value"))
-    declared = lines.where(F.col("value").startswith("##INFO=<ID=CSQ,"))
+    files = files_at(spark, path)
+    if not opens(files):
+        return spark.read.text(path).where(F.col("value").startswith("#"))
+    return heads(files).select(F.explode(F.split("head", "\n")).alias("value"))
+
+
+def read_csq_keys(spark: SparkSession, path: str) -> list[str] | None:
+    """The annotation's field names from the header of the file(s) at ``path``; None if it declares none."""
+    declared = header_lines(spark, path).where(F.col("value").startswith("##INFO=<ID=CSQ,"))
     rows = declared.select(F.regexp_extract("value", r'Description="([^"]*)"', 1).alias("d")).distinct().limit(100).collect()
     lists = {tuple(csq_keys(r["d"])) for r in rows}
     if len(lists) > 1:
@@ -69,8 +86,11 @@ def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(value) the lines of the file(s) at ``path``. Plain and block-gzip files are split over tasks; other gzip files are one task each."""
+    """(value) the lines of the file(s) at ``path``. Plain and block-gzip files are split over tasks; other gzip files are one task each, as are all
+    where Arrow can't open the path's file system."""
     packed = files_at(spark, path).where(F.col("path").rlike(PACKED))
+    if not opens(packed):
+        return spark.read.text(path)
     blocked = [(r["path"], r["length"]) for r in heads(packed).where("blocked").select("path", "length").collect()]
     if not blocked:
         return spark.read.text(path)
