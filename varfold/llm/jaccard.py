@@ -51,7 +51,7 @@ ROUNDS: tuple[tuple[tuple[int, ...] | None, int | None], ...] = (((), 1), ((1, 2
 #: Bits of a mark for each shingle, at least.
 BITS_EACH = 4
 #: Pairs of one set that are dealt to a task together.
-SPLIT = 64
+SPLIT = 1024
 #: Pairs that a task holds before it hands them on.
 _TOGETHER = 1 << 18
 
@@ -278,17 +278,21 @@ def _with_ends(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """
     spark = pairs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    sides, dealt = {"u": "v", "v": "u"}, pairs.select("u", "v")
-    hot = {}
-    for end in sides:
-        many = pairs.groupBy(end).agg(F.count("*").alias("m")).where(F.col("m") > SPLIT)
-        hot[end] = SharedTable(many.select(end, F.ceil(F.col("m") / SPLIT).cast("int").alias(f"parts_{end}")), "hot-ends").df
-        dealt = dealt.join(hot[end], end, "left")
-    parts = {end: F.coalesce(f"parts_{end}", F.lit(1)) for end in sides}
-    dealt = dealt.select("u", "v", *[F.pmod(F.xxhash64(other), parts[end]).cast("int").alias(f"part_{end}") for end, other in sides.items()])
+    sides, dealt, many = {"u": "v", "v": "u"}, pairs.select("u", "v"), {}
+    for end, other in sides.items():
+        counted = pairs.groupBy(end).agg(F.count("*").alias("m")).where(F.col("m") > SPLIT)
+        found = SharedTable(counted.select(end, F.ceil(F.col("m") / SPLIT).cast("int").alias("parts")), "hot-ends").df
+        part = F.lit(0)
+        if not found.isEmpty():
+            many[end], dealt = found, dealt.join(found, end, "left")
+            part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")
+        dealt = dealt.withColumn(f"part_{end}", part).drop("parts")
     for end, name in zip(sides, "ab", strict=True):
-        own = rows.select(F.col("fp").alias(end), *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c != "fp"]).join(hot[end], end, "left")
-        own = own.withColumn(f"part_{end}", F.explode(F.sequence(F.lit(0), parts[end] - 1))).drop(f"parts_{end}")
+        own = rows.select(F.col("fp").alias(end), *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c != "fp"])
+        if end in many:
+            own = own.join(many[end], end, "left").withColumn(f"part_{end}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        else:
+            own = own.withColumn(f"part_{end}", F.lit(0))
         dealt = dealt.repartition(n, end, f"part_{end}").join(own, [end, f"part_{end}"]).drop(f"part_{end}")
     return dealt.sortWithinPartitions("v")
 
