@@ -28,6 +28,8 @@ from varfold.llm.common import SharedTable, blocks, crc_fold, span_hashes, table
 POOLED, DIAGONAL = 0.1, 0.05
 #: A document is kept from this score on.
 KEEP = 0.7
+#: Bytes of text whose statistics are taken together, which take some 100 bytes of memory each.
+TOGETHER = 1 << 20
 
 _CLASS = np.full(256, 7, np.uint8)  # 7: bytes beyond ASCII
 _CLASS[:128] = 6  # symbols and control bytes
@@ -97,7 +99,7 @@ def _mapper(keep: int, finish: Callable[[np.ndarray], list[pa.Array]], names: li
     """The first ``keep`` columns stay; the text in the column after them becomes what ``finish`` makes of its statistics."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, keep):
+        for batch in blocks(batches, keep, TOGETHER):
             made = finish(statistics(batch.column(keep).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *made], names)
 
