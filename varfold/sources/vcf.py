@@ -30,10 +30,10 @@ def files_at(spark: SparkSession, path: str) -> DataFrame:
 
 
 def opens(files: DataFrame) -> bool:
-    """Whether Arrow has the file system of the files."""
+    """Whether there are files, and Arrow has their file system."""
     first = files.first()
     try:
-        return first is None or bool(opened(first["path"]))
+        return first is not None and bool(opened(first["path"]))
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
         return False
 
@@ -89,7 +89,7 @@ def read_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -
     """(value) the lines of the file(s) at ``path``. Plain and block-gzip files are split over tasks; other gzip files are one task each, as are all
     where Arrow can't open the path's file system."""
     packed = files_at(spark, path).where(F.col("path").rlike(PACKED))
-    if not opens(packed):
+    if not opens(packed):  # none of them may be block-gzip, or none can be told
         return spark.read.text(path)
     blocked = [(r["path"], r["length"]) for r in heads(packed).where("blocked").select("path", "length").collect()]
     if not blocked:
