@@ -76,6 +76,11 @@ def valid_counts(variants: DataFrame, alt: str = "alt", depth: str = "depth") ->
     return variants.where((F.col(alt) >= 0) & (F.col(alt) <= F.col(depth)))
 
 
+def weighted_counts(variants: DataFrame, keys: tuple[str, ...], alt: str = "alt", depth: str = "depth") -> DataFrame:
+    """keys, alt, depth and the number of rows (weight), of all rows: also of those that have no probability."""
+    return variants.groupBy(*keys, F.col(alt).alias("alt"), F.col(depth).alias("depth")).agg(F.count("*").alias("weight"))
+
+
 def histogram(variants: DataFrame, keys: tuple[str, ...], alt: str = "alt", depth: str = "depth") -> DataFrame:
     """Sufficient statistics: keys, alt, depth and the number of rows. Every likelihood depends on a row through these only."""
-    return valid_counts(variants, alt, depth).groupBy(*keys, F.col(alt).alias("alt"), F.col(depth).alias("depth")).agg(F.count("*").alias("weight"))
+    return weighted_counts(valid_counts(variants, alt, depth), keys, alt, depth)

@@ -18,7 +18,7 @@ from varfold.operators.keys import join_on
 from varfold.operators.optimality import optimality, slopes
 from varfold.operators.prior import default_prior, germline_prior, priors
 from varfold.operators.specs import GermlineSpec, SomaticMixtureSpec
-from varfold.operators.variants import collected, genotype_class, histogram, is_common, read_germline_variants
+from varfold.operators.variants import collected, genotype_class, histogram, is_common, read_germline_variants, weighted_counts
 from varfold.sources import vcf
 from varfold.sources.arms import CHROMOSOMES, arm_table, reduce_arms, with_arm
 from varfold.sources.bgzf import write_blocks
@@ -233,14 +233,17 @@ def _predicted_by_default(spark, sf_dir, threshold: float) -> DataFrame:
 
 
 def posteriors_by_name(spark, sf_dir):
-    """Rows by chromosome and the name of their likeliest component, from array functions: log-likelihoods and posteriors."""
+    """Rows by chromosome and the name of their likeliest component, from array functions: log-likelihoods and posteriors.
+
+    Counts are scored, not rows: distinct (alt, depth) are few, whatever the rows.
+    """
     laws = [(*sp.shapes(m_, c), p / sum(SPEC.pi_prior_default)) for m_, c, p in zip(SPEC.mu_default, SPEC.kappa_default, SPEC.pi_prior_default, strict=True)]
     joint = F.array(*[F.ln(F.lit(p + sp.PI_FLOOR)) + sp.beta_binom_logpmf("alt", "depth", a, b) for a, b, p in laws])
-    rows = sp.staged(_somatic(spark, sf_dir).select("chrom", "alt", "depth"), joint=joint)
+    rows = sp.staged(weighted_counts(_somatic(spark, sf_dir), ("chrom",)), joint=joint)
     rows = sp.staged(rows, log_norm=sp.logsumexp("joint"))
     rows = sp.staged(rows, resp=sp.softmax("joint", "log_norm"))
-    own = F.get("resp", sp.argmax("resp"))
-    return rows.groupBy("chrom", sp.component_name(sp.argmax("resp")).alias("component")).agg(F.count("*").alias("n"), _round(F.sum("log_norm"), 3).alias("loglik"), _round(F.sum(own), 4).alias("certainty"))
+    own, w = F.get("resp", sp.argmax("resp")), F.col("weight")
+    return rows.groupBy("chrom", sp.component_name(sp.argmax("resp")).alias("component")).agg(F.sum(w).alias("n"), _round(F.sum(w * F.col("log_norm")), 3).alias("loglik"), _round(F.sum(w * own), 4).alias("certainty"))
 
 
 def component_rows(spark, sf_dir):
