@@ -13,6 +13,8 @@ _RISE = np.arange(_SHIFT, dtype=float)[:, None]
 _GOLD = (3 - 5**0.5) / 2
 #: Pairs whose posteriors are held at a time.
 CHUNK = 1 << 16
+#: By how much of its size a sum of weighted log-probabilities is rounded, at most.
+ROUNDING = 1e-12
 
 
 def lgamma(x: np.ndarray | float) -> np.ndarray:
@@ -207,9 +209,13 @@ def climb(slopes: Callable[[float], tuple[float, float]], start: float, low: flo
 
 
 def better(f: Callable[[float], float], slopes: Callable[[float], tuple[float, float]], start: float, low: float, high: float) -> float:
-    """A maximum of f: by ``climb`` from ``start``, or by ``maximise`` where that doesn't lead up."""
-    found = climb(slopes, start, low, high)
-    return found if f(found) >= f(start) else maximise(f, low, high)
+    """A maximum of f: by ``climb`` from ``start``, or by ``maximise`` where that doesn't lead up.
+
+    Values are compared up to their rounding: at the maximum of a sum over millions of rows, ``climb`` would else be taken to have
+    failed by it, and the coarser search would lead away again from where it had settled.
+    """
+    found, before = climb(slopes, start, low, high), f(start)
+    return found if f(found) >= before - ROUNDING * abs(before) else maximise(f, low, high)
 
 
 def fit_beta_binomial_mle(counts: Counts, mu_bounds: tuple[float, float] = (0.01, 0.99), kappa_bounds: tuple[float, float] = (1.0, 1000.0)) -> tuple[float, float, float]:

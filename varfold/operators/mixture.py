@@ -23,6 +23,8 @@ START_DEFAULT = (0.15, 0.50, 0.85)
 #: Jitter of later restarts.
 MU_JITTER, KAPPA_JITTER = 0.08, (0.7, 1.3)
 PARAMETERS = 8
+#: By how much of its size a data log-likelihood is rounded; more than the default tolerance only from 10 million on.
+LOGLIK_ROUNDING = 1e-13
 #: The prior's columns that a fit reads.
 NEEDED = ["mu_prior_mean", "mu_prior_sigma", "kappa_prior_mean", "kappa_prior_log_sigma", "pi_prior"]
 FIT = ("mu", "kappa", "pi", "n_variants", "loglik", "bic", "converged", "n_iterations")
@@ -94,7 +96,7 @@ def run_em(counts: Counts, prior: dict, spec: SomaticMixtureSpec, options: FitOp
     pi, last, settled = weight0 / weight0.sum(), -np.inf, False
     for turn in range(1, options.max_iter + 1):
         loglik, mass, data = counts.e_step(mu, kappa, pi)
-        if abs(loglik - last) < options.tol:
+        if abs(loglik - last) < max(options.tol, LOGLIK_ROUNDING * abs(loglik)):  # no finer than a sum over many rows is rounded
             settled = True
             break
         last = loglik
@@ -190,8 +192,8 @@ def e_step(rows: DataFrame, mu: Column | str = "mu", kappa: Column | str = "kapp
 def posteriors(variants: DataFrame, fits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """``variants`` with resp, the posterior of each component under its key's fit.
 
-    Distinct (key, alt, depth) are few, but scoring a row is cheaper than joining twice, so rows are scored where they are;
-    the fits are one row a key, and Spark broadcasts them when they are small. Filters on resp or on what is derived from it
+    Rows are scored where they are, which saves joining them with scored counts; where only sums are wanted, hand in
+    ``weighted_counts`` of the rows, which are few, and weight the sums. The fits are one row a key, and Spark broadcasts them when they are small. Filters on resp or on what is derived from it
     read the computed value. Columns resp and log_norm of ``variants`` are replaced and dropped.
     """
     require(variants, (*keys, "alt", "depth"), "posteriors")
@@ -218,15 +220,15 @@ def component_rows(scored: DataFrame, component: int) -> DataFrame:
     return scored.where(sp.argmax("resp") == component)
 
 
-def component_summary(scored: DataFrame, fits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Three rows a key: component, mu, kappa, pi, n_assigned, mean_responsibility."""
-    require(scored, (*keys, "resp"), "component_summary of scored variants (see predict)")
+def component_summary(scored: DataFrame, fits: DataFrame, keys: tuple[str, ...] = KEYS, weight: str | None = None) -> DataFrame:
+    """Three rows a key: component, mu, kappa, pi, n_assigned, mean_responsibility. ``weight`` names the number of rows where counts were scored."""
+    require(scored, (*keys, "resp", *([weight] if weight else [])), "component_summary of scored variants (see predict)")
     require(fits, (*keys, "mu", "kappa", "pi"), "component_summary under a fit (see fit_mixture)")
     p = unused_prefix(scored)
-    own = F.col(f"{p}k")
+    own, w, resp = F.col(f"{p}k"), F.col(weight) if weight else F.lit(1), sp.three("resp")
     counted = scored.withColumn(f"{p}k", sp.argmax("resp")).groupBy(*keys).agg(
-        *[F.count_if(own == k).alias(f"n{k}") for k in range(3)],
-        *[F.avg(F.get("resp", F.lit(k))).alias(f"r{k}") for k in range(3)],
+        *[F.coalesce(F.sum(F.when(own == k, w)), F.lit(0)).alias(f"n{k}") for k in range(3)],
+        *[(F.sum(w * r) / F.sum(F.when(r.isNotNull(), w))).alias(f"r{k}") for k, r in enumerate(resp)],
     )
     joined = join_on(fits.select(*keys, "mu", "kappa", "pi"), counted, keys)
     rows = F.array(*[F.struct(F.lit(sp.COMPONENTS[k]).alias("component"), *[F.get(c, F.lit(k)).alias(c) for c in ("mu", "kappa", "pi")], F.coalesce(f"n{k}", F.lit(0)).alias("n_assigned"), F.col(f"r{k}").alias("mean_responsibility")) for k in range(3)])

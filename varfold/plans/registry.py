@@ -228,8 +228,9 @@ def predict_labels(spark, sf_dir):
 
 
 def _predicted_by_default(spark, sf_dir, threshold: float) -> DataFrame:
+    """Counts by arm with their labels; scoring counts instead of rows keeps this work the same whatever the rows."""
     somatic = _somatic(spark, sf_dir)
-    return m.predict(somatic, _with_default(somatic.select(*ARM).distinct()), ARM, threshold)
+    return m.predict(weighted_counts(somatic, ARM), _with_default(somatic.select(*ARM).distinct()), ARM, threshold)
 
 
 def posteriors_by_name(spark, sf_dir):
@@ -249,20 +250,23 @@ def posteriors_by_name(spark, sf_dir):
 def component_rows(spark, sf_dir):
     """Rows of each component by arm, however uncertain: what is filtered is a computed value, not its expression."""
     scored = _predicted_by_default(spark, sf_dir, 0.0)
-    parts = [m.component_rows(scored, k).groupBy(*ARM).agg(F.count("*").alias("n"), F.sum("alt").alias("alt")).withColumn("component", F.lit(k)) for k in range(3)]
+    parts = [m.component_rows(scored, k).groupBy(*ARM).agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("alt")).alias("alt")).withColumn("component", F.lit(k)) for k in range(3)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def uncertain_labels(spark, sf_dir):
     """Rows that no component has at 0.9, by arm, and those among them that the middle one has above one half."""
     unsure = _predicted_by_default(spark, sf_dir, 0.9).where("label = -1")
-    return unsure.groupBy(*ARM).agg(F.count("*").alias("n"), F.sum("depth").alias("depth"), F.count_if(F.get("resp", F.lit(1)) > 0.5).alias("n_middle"))
+    w = F.col("weight")
+    middle = F.coalesce(F.sum(F.when(F.get("resp", F.lit(1)) > 0.5, w)), F.lit(0))
+    return unsure.groupBy(*ARM).agg(F.sum(w).alias("n"), F.sum(w * F.col("depth")).alias("depth"), middle.alias("n_middle"))
 
 
 def component_summary(spark, sf_dir):
-    scored = m.e_step(_with_default(_somatic(spark, sf_dir)))
-    fits = _with_default(_somatic(spark, sf_dir).select(*ARM).distinct())
-    out = m.component_summary(scored, fits, ARM)
+    somatic = _somatic(spark, sf_dir)
+    scored = m.e_step(_with_default(weighted_counts(somatic, ARM)))
+    fits = _with_default(somatic.select(*ARM).distinct())
+    out = m.component_summary(scored, fits, ARM, "weight")
     return out.select(*ARM, "component", "mu", "kappa", "pi", "n_assigned", _round("mean_responsibility", 6).alias("mean_responsibility"))
 
 
@@ -485,7 +489,7 @@ def predicted(spark, sf_dir):
     """Label counts under the fitted mixtures."""
     somatic = _somatic(spark, sf_dir)
     fits = m.fit_mixture(somatic, priors(somatic.select(*ARM).distinct(), None, ARM), ARM)
-    return m.predict(somatic, fits, ARM, 0.5).groupBy(*ARM, "label").agg(F.count("*").alias("n"))
+    return m.predict(weighted_counts(somatic, ARM), fits, ARM, 0.5).groupBy(*ARM, "label").agg(F.sum("weight").alias("n"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
