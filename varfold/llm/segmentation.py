@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from varfold.llm.common import SpanHashes, blocks, span_hashes, table
 
 #: Edges of lattices kept by a Python worker, beyond which it starts anew; bytes of text sampled together.
-KEPT_EDGES = 5_000_000
-_TOGETHER = 1 << 18
+KEPT_EDGES = 10_000_000
+_TOGETHER = 1 << 20
 #: The factor (its logarithm) that lifts sums of weights for each character, and the longest rest of a part that is summed so.
 _LIFT, _PLAIN = 3.0, 48
 #: Rows of a long part's table that are lists at a time; parts so few are drawn one after the other.
@@ -49,6 +49,8 @@ _HIGHEST = 36.75
 _PARTS = re.compile(" *[^ \n]+| +|\n")
 _ODD_SPACES = re.compile("  | \n| $|\0")
 _U = np.uint64
+#: In place of an id: no piece, but the beginning of one.
+_BEGINS = -2
 
 
 @dataclass(frozen=True)
@@ -132,12 +134,13 @@ class Lattices:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.longest = max(map(len, vocabulary.ids), default=0)
-        pieces = list(vocabulary.ids)
+        # Pieces and what pieces begin with: a span that is neither has no longer piece either, so its state is done.
+        pieces = list(dict.fromkeys(p[:n] for p in vocabulary.ids for n in range(1, len(p) + 1)))
         data, starts, ends = _code_points(pieces)
         hashes = span_hashes(data, starts, ends)
         order = np.argsort(hashes, kind="stable")
         self._hashes = np.append(hashes[order], _U(0))
-        self._ids = np.append(np.array([vocabulary.ids[p] for p in pieces], np.int64)[order], -1)
+        self._ids = np.append(np.array([vocabulary.ids.get(p, _BEGINS) for p in pieces], np.int64)[order], -1)
         self._bucket = np.searchsorted(hashes[order] >> _U(44), np.arange((1 << 20) + 1, dtype=_U)).astype(np.int32)
         self._filled = np.diff(self._bucket).astype(np.int8)
         self._weight = np.full(vocabulary.size + 5, -np.inf)  # then those of one to four bytes; the last stands for no piece
@@ -152,7 +155,7 @@ class Lattices:
         self.clear()
 
     def _look_up(self, h: np.ndarray) -> np.ndarray:
-        """Ids of the pieces with these hashes; -1 where there is none."""
+        """Ids of the pieces with these hashes; _BEGINS where pieces only begin so, -1 where none does."""
         bucket = (h >> _U(44)).astype(np.int32)
         filled, out = self._filled[bucket], np.full(len(h), -1, np.int32)
         some, j = np.flatnonzero(filled), 0
@@ -221,12 +224,15 @@ class Lattices:
         # A table of states and widths, the longest first, with the piece there is; one prefix sum gives the hashes of all spans.
         bits = max(self.longest - 1, 0).bit_length()
         table_ = np.full((len(places), 1 << bits), -1, np.int32)
-        spans = SpanHashes(data)
+        spans, row = SpanHashes(data), np.arange(len(places))
         for width in range(1, self.longest + 1):
-            row = np.flatnonzero(left >= width)
+            row = row[left[row] >= width]
             if not len(row):
                 break
-            table_[row, -width] = self._look_up(spans.all(width)[places[row]])
+            at = places[row]
+            found = self._look_up(spans.all(width)[at] if 2 * len(row) > len(data) else spans(at, at + width))
+            table_[row, -width] = np.maximum(found, -1)
+            row = row[found != -1]
         odd = np.flatnonzero(table_[:, -1] < 0)  # a character that is no piece becomes bytes
         code = data[places[odd]].astype(np.int64)
         table_[odd, -1] = size + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
