@@ -28,7 +28,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count, repeat
+from itertools import compress, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,11 @@ from pyspark.sql import functions as F
 
 from varfold.llm.common import SpanHashes, blocks, span_hashes, table
 
-#: Edges of lattices kept by a Python worker, beyond which it starts anew; bytes of text sampled together.
-KEPT_EDGES = 10_000_000
+#: Edges of lattices kept by a Python worker, beyond which those of parts not asked for again go; bytes of text sampled together.
+KEPT_EDGES = 4_000_000
 _TOGETHER = 1 << 20
+#: Characters of new parts whose lattices are built together (a longer part is built alone), and pieces spelt together.
+_BUILT, _SPELT = 1 << 15, 1 << 15
 #: The factor (its logarithm) that lifts sums of weights for each character, and the longest rest of a part that is summed so.
 _LIFT, _PLAIN = 3.0, 48
 #: Rows of a long part's table that are lists at a time; parts so few are drawn one after the other.
@@ -175,8 +177,28 @@ class Lattices:
         size = KEPT_EDGES + (KEPT_EDGES >> 2)
         self.next, self.symbol = np.empty(size, np.int32), np.empty(size, np.int32)
         self.log_p, self.share = np.empty(size), np.empty(size)
-        #: By state: its first edge, one more at the end. By part: its first state.
-        self.first, self._starts = np.zeros(size // 2, np.int64), np.empty(size // 8, np.int64)
+        #: By state: its first edge, one more at the end. By part: its first state, and whether it was asked for again.
+        self.first, self._starts, self._again = np.zeros(size // 2, np.int64), np.empty(size // 8, np.int64), np.empty(size // 8, bool)
+
+    def _shrink(self) -> None:
+        """Keep the parts that were asked for again; none where they have more than half the edges that may be kept."""
+        again = self._again[: self._parts]
+        kept, starts = np.flatnonzero(again), np.append(self._starts[: self._parts], self._states)
+        state, states = starts[kept], starts[kept + 1] - starts[kept]
+        edge, edges = self.first[state], self.first[state + states] - self.first[state]
+        if 2 * edges.sum() > KEPT_EDGES:
+            return self.clear()
+        begins, at = np.cumsum(states) - states, _ranges(edge, edges)
+        first = self.first[_ranges(state, states)] + np.repeat(np.cumsum(edges) - edges - edge, states)
+        held = {x: getattr(self, x)[at] for x in ("symbol", "log_p", "share")}
+        held |= {"first": np.append(first, len(at)), "_starts": begins, "_again": np.zeros(len(kept), bool)}
+        held["next"] = self.next[at]
+        held["next"] += np.where(held["next"] < 0, 0, np.repeat((begins - state).astype(np.int32), edges))
+        number = dict(zip(compress(self._number, again.tolist()), count()))
+        self.clear()
+        for name, values in held.items():
+            self._put(name, 0, values)
+        self._number, self._parts, self._states, self._edges = number, len(kept), int(states.sum()), len(at)
 
     def _put(self, name: str, begin: int, values: np.ndarray) -> None:
         held = getattr(self, name)
@@ -189,14 +211,16 @@ class Lattices:
     def starts(self, parts: list[str]) -> np.ndarray:
         """The first state of each part. A state is a place in a distinct part; parts seen before are not built again."""
         if self._edges > KEPT_EDGES:
-            self.clear()
+            self._shrink()
         numbers = np.fromiter(map(self._number.get, parts, repeat(-1)), np.int64, len(parts))
         missing = np.flatnonzero(numbers < 0)
+        self._again[numbers[numbers >= 0]] = True
         if len(missing):
             asked = [parts[i] for i in missing.tolist()]
             new = dict.fromkeys(asked)
             self._number.update(zip(new, count(len(self._number))))
-            self._build(list(new))
+            for together in _groups(list(new)):
+                self._build(together)
             numbers[missing] = np.fromiter(map(self._number.__getitem__, asked), np.int64, len(asked))
         return self._starts[numbers]
 
@@ -278,6 +302,7 @@ class Lattices:
         for name, values in (("next", np.where(inside, target + self._states, -1)), ("symbol", symbol), ("log_p", log_p), ("share", share)):
             self._put(name, self._edges, values)
         self._put("_starts", self._parts, begins + self._states)
+        self._put("_again", self._parts, np.zeros(len(new), bool))
         self._put("first", self._states, first + self._edges)
         self._parts += len(new)
         self._states += len(places)
@@ -326,6 +351,17 @@ class Lattices:
         return out, np.concatenate(([0], ends))[bounds]
 
 
+def _groups(parts: list[str]) -> Iterator[list[str]]:
+    """The parts in their order, about _BUILT characters together."""
+    begin = held = 0
+    for i, part in enumerate(parts):
+        if held and held + len(part) > _BUILT:
+            yield parts[begin:i]
+            begin, held = i, 0
+        held += len(part)
+    yield parts[begin:]
+
+
 def _code_points(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the strings in a row, one unused place after each, and where each begins and ends."""
     sizes = np.array([len(x) for x in strings], np.int64)
@@ -350,8 +386,9 @@ class _Drawn:
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[i], starts[i] + 1, ... (counts[i] of them), all in a row."""
-    total = int(counts.sum())
-    return np.arange(total) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    out = np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    out += np.arange(len(out))
+    return out
 
 
 class Sampler:
@@ -534,7 +571,8 @@ class Spelling:
     def equal(self, ids: np.ndarray, ends: np.ndarray, wanted: list[bytes]) -> list[bool]:
         """Whether the pieces of each segmentation (it ends at ``ends``) join to the bytes wanted."""
         size = self._size[ids]
-        made = self._data[_ranges(self._start[ids], size)].tobytes()
+        runs = (slice(i, i + _SPELT) for i in range(0, len(ids), _SPELT))
+        made = b"".join([self._data[_ranges(self._start[ids[x]], size[x])].tobytes() for x in runs])
         bytes_to = np.concatenate(([0], np.cumsum(size)))[ends].tolist()
         return [made[a:b] == w for a, b, w in zip([0, *bytes_to], bytes_to, wanted, strict=False)]
 
