@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from varfold.llm.common import SpanHashes, blocks, span_hashes, table
 
 #: Edges of lattices kept by a Python worker, beyond which those of parts not asked for again go; bytes of text sampled together.
-KEPT_EDGES = 4_000_000
-_TOGETHER = 1 << 20
+KEPT_EDGES = 3_000_000
+_TOGETHER = 1 << 19
 #: Characters of new parts whose lattices are built together (a longer part is built alone), and pieces spelt together.
 _BUILT, _SPELT = 1 << 15, 1 << 15
 #: The factor (its logarithm) that lifts sums of weights for each character, and the longest rest of a part that is summed so.
@@ -179,6 +179,7 @@ class Lattices:
         self.log_p, self.share = np.empty(size), np.empty(size)
         #: By state: its first edge, one more at the end. By part: its first state, and whether it was asked for again.
         self.first, self._starts, self._again = np.zeros(size // 2, np.int64), np.empty(size // 8, np.int64), np.empty(size // 8, bool)
+        self._sizes = {x: len(getattr(self, x)) for x in ("next", "symbol", "log_p", "share", "first", "_starts", "_again")}
 
     def _shrink(self) -> None:
         """Keep the parts that were asked for again; none where they have more than half the edges that may be kept."""
@@ -190,15 +191,22 @@ class Lattices:
             return self.clear()
         begins, at = np.cumsum(states) - states, _ranges(edge, edges)
         first = self.first[_ranges(state, states)] + np.repeat(np.cumsum(edges) - edges - edge, states)
-        held = {x: getattr(self, x)[at] for x in ("symbol", "log_p", "share")}
-        held |= {"first": np.append(first, len(at)), "_starts": begins, "_again": np.zeros(len(kept), bool)}
-        held["next"] = self.next[at]
-        held["next"] += np.where(held["next"] < 0, 0, np.repeat((begins - state).astype(np.int32), edges))
-        number = dict(zip(compress(self._number, again.tolist()), count()))
-        self.clear()
-        for name, values in held.items():
-            self._put(name, 0, values)
-        self._number, self._parts, self._states, self._edges = number, len(kept), int(states.sum()), len(at)
+        self._number = dict(zip(compress(self._number, again.tolist()), count()))
+        next_ = self.next[at]
+        next_ += np.where(next_ < 0, 0, np.repeat((begins - state).astype(np.int32), edges))
+        self._replace("next", next_)
+        for name in ("symbol", "log_p", "share"):  # one after the other, so that a single copy is held beside them
+            self._replace(name, getattr(self, name)[at])
+        for name, values in (("first", np.append(first, len(at))), ("_starts", begins), ("_again", np.zeros(len(kept), bool))):
+            self._replace(name, values)
+        self._parts, self._states, self._edges = len(kept), int(states.sum()), len(at)
+
+    def _replace(self, name: str, values: np.ndarray) -> None:
+        """``values`` instead of all there is, in an array no larger than ``clear`` makes it."""
+        held = getattr(self, name)
+        if len(held) > self._sizes[name]:
+            setattr(self, name, np.empty(self._sizes[name], held.dtype))
+        self._put(name, 0, values)
 
     def _put(self, name: str, begin: int, values: np.ndarray) -> None:
         held = getattr(self, name)
@@ -248,14 +256,16 @@ class Lattices:
         # A table of states and widths, the longest first, with the piece there is; one prefix sum gives the hashes of all spans.
         bits = max(self.longest - 1, 0).bit_length()
         table_ = np.full((len(places), 1 << bits), -1, np.int32)
-        spans, row = SpanHashes(data), np.arange(len(places))
+        spans, row, widest = SpanHashes(data), np.arange(len(places)), np.ones(len(places), np.int64)
         for width in range(1, self.longest + 1):
             row = row[left[row] >= width]
             if not len(row):
                 break
             at = places[row]
             found = self._look_up(spans.all(width)[at] if 2 * len(row) > len(data) else spans(at, at + width))
-            table_[row, -width] = np.maximum(found, -1)
+            piece = np.flatnonzero(found >= 0)
+            table_[row[piece], -width] = found[piece]
+            widest[row[piece]] = width
             row = row[found != -1]
         odd = np.flatnonzero(table_[:, -1] < 0)  # a character that is no piece becomes bytes
         code = data[places[odd]].astype(np.int64)
@@ -263,17 +273,20 @@ class Lattices:
         # Backward sums, from the ends of all parts at once; where a part is too long for plain sums, their logarithms.
         plain, lift = np.zeros(len(places) + 1), self._lifted
         near = np.flatnonzero(left <= _PLAIN)
-        order = near[np.argsort(left[near].astype(np.uint8), kind="stable")]
-        levels = np.concatenate(([0], np.cumsum(np.bincount(left[order], minlength=_PLAIN + 1))))
-        for level in range(1, _PLAIN + 1):
-            rows = order[levels[level] : levels[level + 1]]
+        level = left[near] * (_PLAIN + 1) + _PLAIN - widest[near]  # of a level, places with the widest pieces first
+        order = near[np.argsort(level.astype(np.uint16), kind="stable")]
+        wide = np.cumsum(np.bincount(level, minlength=(_PLAIN + 1) ** 2).reshape(-1, _PLAIN + 1), 1)
+        end = 0
+        for level, most in enumerate(wide[1:, ::-1].tolist(), 1):  # by width: how many places have a piece so wide or wider
+            rows = order[end : end + most[0]]
             if not len(rows):
                 break
-            deep = min(level, self.longest)
-            found = table_[rows, -deep:].T
-            total = lift[found[0]] * (1.0 if deep == level else plain[rows + deep])
-            for w in range(1, deep):
-                total += lift[found[-w]] * plain[rows + w]
+            end += len(rows)
+            deep, total = min(level, self.longest), np.zeros(len(rows))
+            for w in (deep, *range(1, deep)):
+                if most[w]:
+                    some = rows[: most[w]]
+                    total[: most[w]] += lift[table_[some, -w]] * (1.0 if w == level else plain[some + w])
             plain[rows] = total
         after = np.zeros(len(places) + 1)
         after[near] = np.log(plain[near]) - _LIFT * left[near]
@@ -531,24 +544,33 @@ class Sampler:
             log_p = lat.log_p[edges[np.where(beyond, bounds[live][:, None], here)]]
             log_p[beyond] = 0.0
             sums = np.cumsum(np.concatenate((before[live][:, None], log_p), 1), 1)
-            m = np.full(log_p.shape, -np.inf)
-            open_ = (log_p < 0) & (column >= head[live][:, None])
-            m[open_] = sums[:, :-1][open_] + np.log(-np.expm1(log_p[open_]))
+            least = best[live, -1]
+            row, col = np.nonzero((log_p < 0) & (column >= head[live][:, None] + turned) & (sums[:, :-1] + _HIGHEST >= least[:, None]))
+            u = _uniform(salt[live[row]] + _REGION * (column[col] + 1).astype(_U))
+            # As -log u >= 1 - u, what is left out here can't be among the k largest.
+            can = np.flatnonzero(1 - u <= np.exp(np.minimum(sums[row, col] - least[row], 1.0)) * (1 + 1e-9))
+            row, col, u = row[can], col[can], u[can]
+            m = sums[row, col] + np.log(-np.expm1(log_p[row, col]))
             if turned:
-                row = np.flatnonzero((head[live] >= at) & (head[live] < at + size))
-                m[row, head[live[row]] - at] = sums[row, head[live[row]] - at] + rest[live[row]]
-            x = np.ones(log_p.shape)
-            some = np.isfinite(m)
-            x[some] = -np.log(_uniform((salt[live][:, None] + _REGION * (column + 1).astype(_U))[some]))
-            score = np.full(log_p.shape, -np.inf)
-            score[some] = m[some] - np.log(x[some])
-            joined = [np.concatenate((old[live], fresh), 1) for old, fresh in ((best, score), (mass, m), (noise, x), (where, here))]
-            top = np.argsort(-joined[0], axis=1, kind="stable")[:, :k]
-            best[live], mass[live], noise[live], where[live] = (np.take_along_axis(c, top, 1) for c in joined)
+                own = np.flatnonzero((head[live] >= at) & (head[live] < at + size))
+                m = np.append(m, sums[own, head[live[own]] - at] + rest[live[own]])
+                row, col = np.append(row, own), np.append(col, head[live[own]] - at)
+                u = np.append(u, _uniform(salt[live[own]] + _REGION * (head[live[own]] + 1).astype(_U)))
+            x = -np.log(u)
+            score = m - np.log(x)
+            some = np.flatnonzero(score > least[row])
+            mine = np.unique(row[some])  # of these texts what was found before and what is new, the best first
+            old = np.repeat(mine, k)
+            joined = [np.concatenate((kept[live[mine]].ravel(), fresh[some])) for kept, fresh in ((best, score), (mass, m), (noise, x), (where, here[row, col]))]
+            order = np.lexsort((np.append(np.tile(np.arange(-k, 0), len(mine)), col[some]), -joined[0], owner := np.append(old, row[some])))
+            counts = np.bincount(owner, minlength=len(live))[mine]
+            top = order[_ranges(np.cumsum(counts) - counts, np.full(len(mine), k))].reshape(-1, k)
+            for kept, values in zip((best, mass, noise, where), joined, strict=True):
+                kept[live[mine]] = values[top]
             before[live] = sums[:, -1]
             at += size
             live = live[(bounds[live] + at < bounds[live + 1]) & (before[live] + _HIGHEST >= best[live, -1])]
-            size = max(32, min(2 * size, (1 << 18) // max(len(live), 1)))
+            size = max(32, min(2 * size, (1 << 16) // max(len(live), 1)))
         some = np.isfinite(best)
         m, top = mass[some], np.repeat(value, k).reshape(n, k)[some]
         best[some] = m - np.log(np.exp(m - top) + noise[some])
@@ -603,7 +625,8 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = 4, seed: int
             pieces, *numbers = zip(*[sample for samples in found for sample in samples], strict=True)
             sizes = np.array([len(x) for x in pieces], np.int64)
             flat, ends = np.concatenate(pieces).astype("<i4"), np.cumsum(sizes)
-            same = spelt.equal(flat, ends, [(" " + texts[i] if texts[i] else "").encode("utf-8", "replace") for i in owner])
+            wanted = [(" " + t if t else "").encode("utf-8", "replace") for t in texts]
+            same = spelt.equal(flat, ends, [wanted[i] for i in owner])
             ids = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(np.append(0, 4 * ends).astype(np.int32)), pa.py_buffer(flat)])
             columns = [pa.array([keys[i] for i in owner], pa.int64()), pa.array(rank, pa.int32()), ids, pa.array(sizes), *(pa.array(c, pa.float64()) for c in numbers), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names)
