@@ -5,8 +5,10 @@ from __future__ import annotations
 import inspect
 import os
 
+import pyarrow as pa
 import pytest
 
+from varfold.llm import quality
 from varfold.llm.common import SharedTable, drop_tables
 from varfold.llm.segmentation import sample_segmentations
 
@@ -28,3 +30,21 @@ def test_tables_on_the_way_can_be_dropped(spark):
     SharedTable.written[:], others = [kept.path], list(SharedTable.written)
     assert drop_tables(spark) == 1 and not os.path.exists(kept.path.removeprefix("file:"))
     SharedTable.written[:] = [p for p in others if p != kept.path]
+
+
+def test_texts_are_filtered_in_small_blocks(monkeypatch):
+    """keep_quality took the statistics of 4 MB of text together, some 100 bytes of memory for each byte."""
+    sizes, taken = [], quality.statistics
+    monkeypatch.setattr(quality, "statistics", lambda texts: sizes.append(sum(map(len, texts))) or taken(texts))
+
+    class Docs:
+        schema = None
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    model = quality._constant(0.9)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["some words " * 10_000] * 40)], ["doc_id", "text"])
+    kept = list(quality.keep_quality(Docs(), model)(iter([batch])))
+    assert max(sizes) <= quality.TOGETHER and sum(sizes) == 40 * 110_000
+    assert pa.Table.from_batches(kept).equals(pa.Table.from_batches([batch]))

@@ -209,7 +209,7 @@ def keep_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks([batch], text_col):
+            for part in blocks([batch], text_col, TOGETHER):
                 yield part.filter(pa.array(model.score(statistics(part.column(text_col).to_pylist())) >= least))
 
     return docs.mapInArrow(run, docs.schema)
